@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encode_decode
 from tidemark.llm.html_extract import extract_main_text
+from tidemark.llm.language_id import fit_text_model, identify_pages
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.token_counts import token_counts
 
@@ -18,17 +22,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated chunks removed and what was removed counted."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "chunks", "removed_chunks", "removed_lines")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, with the text model fitted on a sample of the labelled documents."""
+    return identify_pages(table(spark, sf_dir, "pages"), fit_text_model(table(spark, sf_dir, "documents")))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_language_id": op5_language_id,
     "op8_html_extraction": op8_html_extraction,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
 
