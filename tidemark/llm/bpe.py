@@ -6,9 +6,10 @@ functions and a literal rank map, and puts the ids back in place; decoding
 concatenates the binary pieces of the ids.
 
 Pieces go to where they are needed by block: a block is a run of documents that
-one task reads (a few MB of text, or one long document). Its distinct pieces
-join the encoded vocabulary, and the block gets back one packed code book, so
-neither texts nor occurrences are shuffled and no broadcast grows with the data.
+one task reads (tens of MB of text, or one long document). The distinct pieces of
+all blocks meet by their bytes, the first of each is folded and the block gets
+back one code book. Of the texts, only packed piece numbers are shuffled, and no
+broadcast grows with the data.
 """
 
 from __future__ import annotations
@@ -16,24 +17,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, written
+from tidemark.llm.common import text_of
 
 #: The vocabulary's pattern with ``\s`` spelled as the property it means in it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 BUCKETS = 1 << 14
 #: Longer pieces (runs of punctuation or letters) are merged with a heap, as folding them would be quadratic.
 FOLD_BYTES = 48
-BLOCK_PIECES = 1 << 20
+BLOCK_PIECES = 1 << 22
 
 
 def default_ranks() -> str:
@@ -122,37 +122,46 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[start[i] : end[i]]] for i in range(n) if alive[i]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to blocks: ids, pieces a document, piece numbers, and the block's distinct pieces."""
-    import numpy as np
-
-    for batch in batches:
-        ids, words = batch.column("id"), batch.column("pieces")
-        lens = np.asarray(pc.list_value_length(words)).astype(np.int64)
-        ends = np.cumsum(lens)
-        at = 0
-        while at < len(ids):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_PIECES, side="right")))
-            coded = pc.dictionary_encode(words.slice(at, to - at).flatten())
-            row = {
-                "block": [uuid.uuid4().bytes],
-                "ids": [ids.slice(at, to - at)],
-                "lens": [lens[at:to].astype("<i4").tobytes()],
-                "at": [np.asarray(coded.indices).astype("<i4").tobytes()],
-                "words": [coded.dictionary],
-            }
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["block"], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), ids.slice(at, to - at)),
-                    pa.array(row["lens"], pa.binary()),
-                    pa.array(row["at"], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
-                ],
-                ["block", "ids", "lens", "at", "words"],
-            )
-            at = to
+def _blocks(path: str, payload: bool):
+    """Documents to blocks, the same ones at each call.
+
+    With ``payload``: ids, pieces a document, packed piece numbers and the codes
+    of long pieces; else the distinct short pieces, null where one is long.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            ids, words = batch.column("id"), batch.column("pieces")
+            lens = np.asarray(pc.list_value_length(words)).astype("<i4")
+            ends = np.cumsum(lens, dtype=np.int64)
+            start = 0
+            while start < len(ids):
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_PIECES, side="right")))
+                coded = pc.dictionary_encode(words.slice(start, stop - start).flatten())
+                at, distinct = np.asarray(coded.indices).astype("<i4"), coded.dictionary
+                own = ids.slice(start, stop - start)
+                name = hashlib.blake2b(at.tobytes() + lens[start:stop].tobytes() + repr(own.to_pylist()).encode(), digest_size=8).digest()
+                block = pa.array([int.from_bytes(name, "little", signed=True)], pa.int64())
+                long = pc.greater(pc.binary_length(distinct), FOLD_BYTES)
+                if payload:
+                    known = read_ranks(path)
+                    no = np.flatnonzero(np.asarray(long))
+                    raw = [x.as_py().encode() for x in distinct.take(pa.array(no))]
+                    ids_of_long = pa.array([[known[x]] if x in known else heap_merges(x, known) for x in raw], pa.list_(pa.int32()))
+                    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                    # byte planes of small numbers compress to about a byte and a half a piece
+                    planes = at.view(np.uint8).reshape(-1, 4).T.tobytes()
+                    cells = [block, one(own), pa.array([lens[start:stop].tobytes()], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary()), pa.array([len(distinct)], pa.int32()), one(pa.array(no, pa.int32())), one(ids_of_long)]
+                    yield pa.RecordBatch.from_arrays(cells, ["block", "ids", "lens", "n_pieces", "at", "n_words", "long_no", "long_ids"])
+                else:
+                    short = pc.if_else(long, pa.scalar(None, distinct.type), distinct)
+                    yield pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short)], ["block", "words"])
+                start = stop
+
+    return run
 
 
 def _assemble(path: str):
@@ -178,16 +187,20 @@ def _assemble(path: str):
         for batch in batches:
             for i in range(batch.num_rows):
                 lens = np.frombuffer(batch.column("lens")[i].as_py(), "<i4")
-                at = np.frombuffer(batch.column("at")[i].as_py(), "<i4")
-                book = batch.column("book")[i].values
-                n_words = batch.column("n_words")[i].as_py()
+                n_pieces, n_words = batch.column("n_pieces")[i].as_py(), batch.column("n_words")[i].as_py()
+                planes = pa.decompress(batch.column("at")[i].as_py(), decompressed_size=4 * n_pieces, codec="zstd", asbytes=True)
+                at = np.frombuffer(np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes(), "<i4")
                 code_len, code_at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-                codes = np.zeros(0, np.int64)
-                if book is not None and len(book):
-                    no, lists = np.asarray(book.field("no")), book.field("ids")
-                    offsets = np.asarray(lists.offsets)
-                    codes = np.asarray(lists.values).astype(np.int64)
-                    code_len[no], code_at[no] = np.diff(offsets), offsets[:-1]
+                parts, held = [np.zeros(0, np.int64)], 0
+                book = batch.column("book")[i].values
+                own_long = (np.asarray(batch.column("long_no")[i].values), batch.column("long_ids")[i].values)
+                for no, lists in [own_long, *([(np.asarray(book.field("no")), book.field("ids"))] if book is not None else [])]:
+                    if len(no):
+                        offsets = np.asarray(lists.offsets).astype(np.int64)
+                        code_len[no], code_at[no] = np.diff(offsets), offsets[:-1] - offsets[0] + held
+                        parts.append(np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64))
+                        held += len(parts[-1])
+                codes = np.concatenate(parts)
                 doc_ends = np.cumsum(lens)
                 n_tokens, id_hash, text_hash = [], [], []
                 for doc, end in enumerate(doc_ends):
@@ -205,21 +218,13 @@ def _assemble(path: str):
     return run
 
 
-def encode_pieces(pieces: DataFrame, path: str) -> DataFrame:
-    """``word, ids`` of distinct words: short ones by the fold, long ones by the heap."""
-    ranks = rank_map(read_ranks(path))
-    long = F.octet_length("word") > FOLD_BYTES
-    short = pieces.where(~long).select("word", fold_merges(F.col("word").cast("binary"), ranks).alias("ids"))
-
-    def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = read_ranks(path)
-        for batch in batches:
-            for word in batch.column("word"):
-                raw = word.as_py().encode()
-                ids = [known[raw]] if raw in known else heap_merges(raw, known)
-                yield pa.RecordBatch.from_arrays([pa.array([word.as_py()]), pa.array([ids], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return short.unionByName(pieces.where(long).select("word").mapInArrow(by_heap, "word string, ids array<int>"))
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """``block, no, ids`` of ``words(block, no, word)``: the rows of a word meet, the first is folded and the others take its ids."""
+    alike = Window.partitionBy("word")
+    first = F.row_number().over(alike.orderBy("block", "no")) == 1
+    folded = F.when(F.col("first"), fold_merges(F.col("word").cast("binary"), rank_map(read_ranks(path))))
+    coded = words.withColumn("first", first).withColumn("ids", folded)
+    return coded.select("block", "no", F.first("ids", ignorenulls=True).over(alike).alias("ids"))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -233,11 +238,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = path or default_ranks()
     id_type = docs.schema[id_col].dataType.simpleString()
     pieces = F.regexp_extract_all(text_of(text_col), F.lit(PATTERN), F.lit(0)).alias("pieces")
-    blocks = docs.select(F.col(id_col).alias("id"), pieces).mapInArrow(_blocks, f"block binary, ids array<{id_type}>, lens binary, at binary, words array<string>")
-    blocks = written(blocks, "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("no", "word"))
-    codes = written(encode_pieces(words.select("word").distinct(), path), "bpe-vocabulary")
-    book = words.join(codes, "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("book"))
-    whole = blocks.withColumn("n_words", F.size("words")).drop("words").join(book, "block", "left")
-    out = whole.mapInArrow(_assemble(path), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    split = docs.select(F.col(id_col).alias("id"), pieces)
+    words = split.mapInArrow(_blocks(path, False), "block long, words array<string>")
+    words = words.select("block", F.posexplode("words").alias("no", "word")).where("word is not null")
+    book = encode_words(words, path).groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("book"))
+    whole = split.mapInArrow(_blocks(path, True), f"block long, ids array<{id_type}>, lens binary, n_pieces long, at binary, n_words int, long_no array<int>, long_ids array<array<int>>")
+    out = whole.join(book, "block", "left").mapInArrow(_assemble(path), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
