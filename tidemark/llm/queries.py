@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann import nearest
 from tidemark.llm.bpe import encode_decode
+from tidemark.llm.cap_filters import near_duplicates
 from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.language_id import fit_text_model, identify_pages
 from tidemark.llm.line_dedup import dedup_lines
@@ -28,11 +30,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "chunks", "removed_chunks", "removed_lines")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, with the text model fitted on a sample of the labelled documents."""
     return identify_pages(table(spark, sf_dir, "pages"), fit_text_model(table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -48,7 +59,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_language_id": op5_language_id,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
