@@ -12,6 +12,8 @@ from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.language_id import fit_text_model, identify_pages
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
+from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.pii import pseudonymise
 from tidemark.llm.token_counts import token_counts
 
 
@@ -35,6 +37,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, with the text model fitted on a sample of the labelled documents."""
     return identify_pages(table(spark, sf_dir, "pages"), fit_text_model(table(spark, sf_dir, "documents")))
@@ -44,6 +50,12 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of its personal data. A deployment passes its own secret as the key."""
+    out = pseudonymise(table(spark, sf_dir, "documents"), "public demonstration key")
+    return out.select("doc_id", "text", "n_entities", "kinds")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -60,8 +72,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_ngram_join": op4_ngram_join,
     "op5_language_id": op5_language_id,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_html_extraction": op8_html_extraction,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
