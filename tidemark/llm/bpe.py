@@ -33,7 +33,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}
 BUCKETS = 1 << 14
 #: Longer pieces (runs of punctuation or letters) are merged with a heap, as folding them would be quadratic.
 FOLD_BYTES = 48
-BLOCK_PIECES = 1 << 22
+BLOCK_PIECES = 1 << 23
 
 
 def default_ranks() -> str:
@@ -191,16 +191,21 @@ def _assemble(path: str):
                 planes = pa.decompress(batch.column("at")[i].as_py(), decompressed_size=4 * n_pieces, codec="zstd", asbytes=True)
                 at = np.frombuffer(np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes(), "<i4")
                 code_len, code_at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-                parts, held = [np.zeros(0, np.int64)], 0
+                long_no, long_ids = np.asarray(batch.column("long_no")[i].values), batch.column("long_ids")[i].values
+                code_len[long_no] = np.asarray(pc.list_value_length(long_ids))
+                code_at[long_no] = np.cumsum(code_len[long_no]) - code_len[long_no]
+                codes = np.asarray(long_ids.flatten()).astype(np.int64)
                 book = batch.column("book")[i].values
-                own_long = (np.asarray(batch.column("long_no")[i].values), batch.column("long_ids")[i].values)
-                for no, lists in [own_long, *([(np.asarray(book.field("no")), book.field("ids"))] if book is not None else [])]:
-                    if len(no):
-                        offsets = np.asarray(lists.offsets).astype(np.int64)
-                        code_len[no], code_at[no] = np.diff(offsets), offsets[:-1] - offsets[0] + held
-                        parts.append(np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64))
-                        held += len(parts[-1])
-                codes = np.concatenate(parts)
+                if book is not None and len(book):
+                    offsets = np.frombuffer(book.buffers()[1], np.int32)[book.offset : book.offset + len(book) + 1].astype(np.int64)
+                    raw = np.frombuffer(book.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                    head = (offsets[:-1] - offsets[0])[:, None] + np.arange(4)
+                    no = raw[head].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+                    rest = np.ones(len(raw), bool)
+                    rest[head.ravel()] = False
+                    code_len[no] = (np.diff(offsets) - 4) // 3
+                    code_at[no] = np.cumsum(code_len[no]) - code_len[no] + len(codes)
+                    codes = np.concatenate([codes, raw[rest].reshape(-1, 3).astype(np.int64) @ np.array([1 << 16, 1 << 8, 1])])
                 doc_ends = np.cumsum(lens)
                 n_tokens, id_hash, text_hash = [], [], []
                 for doc, end in enumerate(doc_ends):
@@ -219,12 +224,18 @@ def _assemble(path: str):
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``block, no, ids`` of ``words(block, no, word)``: the rows of a word meet, the first is folded and the others take its ids."""
+    """``block, code`` of ``words(block, no, word)``: the rows of a word meet, the first is folded and the others take its ids.
+
+    A code is the number in four bytes and each id in three.
+    """
+    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
     alike = Window.partitionBy("word")
     first = F.row_number().over(alike.orderBy("block", "no")) == 1
-    folded = F.when(F.col("first"), fold_merges(F.col("word").cast("binary"), rank_map(read_ranks(path))))
+    ids = fold_merges(F.col("word").cast("binary"), rank_map(read_ranks(path)))
+    folded = F.when(F.col("first"), F.array_join(F.transform(ids, lambda i: wide(i, 6)), ""))
     coded = words.withColumn("first", first).withColumn("ids", folded)
-    return coded.select("block", "no", F.first("ids", ignorenulls=True).over(alike).alias("ids"))
+    same = F.first("ids", ignorenulls=True).over(alike)
+    return coded.select("block", F.unhex(F.concat(wide(F.col("no"), 8), same)).alias("code"))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -241,7 +252,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = docs.select(F.col(id_col).alias("id"), pieces)
     words = split.mapInArrow(_blocks(path, False), "block long, words array<string>")
     words = words.select("block", F.posexplode("words").alias("no", "word")).where("word is not null")
-    book = encode_words(words, path).groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("book"))
+    book = encode_words(words, path).groupBy("block").agg(F.collect_list("code").alias("book"))
     whole = split.mapInArrow(_blocks(path, True), f"block long, ids array<{id_type}>, lens binary, n_pieces long, at binary, n_words int, long_no array<int>, long_ids array<array<int>>")
     out = whole.join(book, "block", "left").mapInArrow(_assemble(path), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
