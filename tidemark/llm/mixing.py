@@ -64,7 +64,7 @@ def mix(
     most: float = 2.0,
     seed: int = 7,
 ) -> DataFrame:
-    """``id_col, size, source_size, target, taken`` of every row of ``docs``.
+    """``id_col, size, source_size, target, taken, copies`` of every row of ``docs``.
 
     ``taken`` is the words the mix takes of the row, repeats counted: its size
     times its certain copies, once more if it is sampled. Null texts have size
@@ -92,8 +92,8 @@ def mix(
     got = got.withColumnRenamed("source", "of")
     rows = rows.join(got, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rows = _front(rows.withColumn("need", F.col("need") - F.col("got")).drop("got"), whole_only=False)
-    taken = F.col("size") * (F.col("whole") + F.col("extra").cast("long"))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def _front(rows: DataFrame, whole_only: bool) -> DataFrame:
