@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import cosines, matrix, usable
+from tidemark.llm.vectors import matrix, usable
 
-RADII = (0.15, 0.3, 0.5, 0.7, 0.85, 0.95, 1.03, 1.09, 1.14, 1.19, 1.24, 1.3, 1.4, 1.6, 2.0, math.inf)
+RADII = (0.3, 0.7, 0.95, 1.06, 1.13, 1.2, 1.27, 1.35, 1.5, 2.0, math.inf)
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class Collisions:
     width: float = 1.0
     miss: float = 0.04
     shard_rows: int = 4096
-    query_rows: int = 1024
+    query_rows: int = 512
     seed: int = 5
 
     @property
@@ -85,34 +85,56 @@ PACKED = {"dim": pa.int32(), "n": pa.int32(), "ids": pa.binary(), "vecs": pa.bin
 PACKED_SQL = "dim int, n int, ids binary, vecs binary, order binary, values binary"
 
 
-def search(query: np.ndarray, own_id: int, ids: np.ndarray, vecs: np.ndarray, order: np.ndarray, values: np.ndarray, k: int, conf: Collisions) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and cosines of a query's nearest rows in one shard, nearest first."""
-    m, n = order.shape
-    h = (query / math.sqrt((query * query).sum())) @ conf.directions(len(query))
-    counts = np.zeros(n, np.int64)
-    checked = ids == own_id
-    lo = hi = np.array([np.searchsorted(values[j], h[j]) for j in range(m)])
-    at, score = np.zeros(0, np.int64), np.zeros(0)
-    for radius in RADII:
-        if math.isinf(radius):
-            fresh = np.flatnonzero(~checked)
-        else:
-            reach = conf.width * radius
-            lo2 = np.array([np.searchsorted(values[j], h[j] - reach) for j in range(m)])
-            hi2 = np.array([np.searchsorted(values[j], h[j] + reach, side="right") for j in range(m)])
-            grown = [order[j, a:b] for j in range(m) for a, b in ((lo2[j], lo[j]), (hi[j], hi2[j])) if b > a]
-            if grown:
+class Shard:
+    """Rows of one length with their sorted projection arrays."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, order: np.ndarray, values: np.ndarray):
+        self.ids, self.vecs, self.order, self.values = ids, vecs, order, values
+        self.norms = np.sqrt(np.einsum("ij,ij->i", vecs, vecs))
+
+    def windows(self, queries: np.ndarray, conf: Collisions) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place of every query's window, by radius and projection."""
+        h = (queries / np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]) @ conf.directions(queries.shape[1])
+        reach = conf.width * np.array(RADII[:-1])
+        low = np.empty((len(queries), len(reach), len(self.order)), np.int32)
+        high = np.empty_like(low)
+        for j, row in enumerate(self.values):
+            low[:, :, j] = np.searchsorted(row, h[:, j, None] - reach)
+            high[:, :, j] = np.searchsorted(row, h[:, j, None] + reach, side="right")
+        return low, high
+
+    def search(self, query: np.ndarray, own_id: int, low: np.ndarray, high: np.ndarray, k: int, conf: Collisions) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of a query's nearest rows, nearest first."""
+        m, n = self.order.shape
+        counts = np.zeros(n, np.int64)
+        checked = self.ids == own_id
+        norm = math.sqrt(float((query * query).sum()))
+        at, score = np.zeros(0, np.int64), np.zeros(0)
+        was_low = was_high = None
+        for step, radius in enumerate(RADII):
+            if math.isinf(radius):
+                fresh = np.flatnonzero(~checked)
+            else:
+                now_low, now_high = low[step].tolist(), high[step].tolist()
+                if was_low is None:
+                    grown = [self.order[j, now_low[j] : now_high[j]] for j in range(m)]
+                else:
+                    grown = [self.order[j, now_low[j] : was_low[j]] for j in range(m)] + [self.order[j, was_high[j] : now_high[j]] for j in range(m)]
                 counts += np.bincount(np.concatenate(grown), minlength=n)
-            lo, hi = lo2, hi2
-            fresh = np.flatnonzero((counts >= conf.threshold) & ~checked)
-        if len(fresh):
-            checked[fresh] = True
-            at, score = np.concatenate([at, fresh]), np.concatenate([score, cosines(vecs[fresh], query)])
-            best = np.lexsort((ids[at], -score))[:k]
-            at, score = at[best], score[best]
-        if len(at) >= k and 2 - 2 * score[-1] <= radius * radius:
-            break
-    return at, score
+                was_low, was_high = now_low, now_high
+                fresh = np.flatnonzero((counts >= conf.threshold) & ~checked)
+            if len(fresh):
+                checked[fresh] = True
+                cos = np.einsum("ij,j->i", self.vecs[fresh], query) / (self.norms[fresh] * norm)
+                at, score = np.concatenate([at, fresh]), np.concatenate([score, cos])
+                if len(at) > k:
+                    front = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                    at, score = at[front], score[front]
+                best = np.lexsort((self.ids[at], -score))[:k]
+                at, score = at[best], score[best]
+            if len(at) >= k and 2 - 2 * score[-1] <= radius * radius:
+                break
+        return at, score
 
 
 def _search_pairs(k: int, conf: Collisions):
@@ -125,8 +147,10 @@ def _search_pairs(k: int, conf: Collisions):
                 order, values = np.frombuffer(cell("order"), "<i4").reshape(-1, n), np.frombuffer(cell("values"), "<f8").reshape(-1, n)
                 q_ids, q_vecs = np.frombuffer(cell("q_ids"), "<i8"), np.frombuffer(cell("q_vecs"), "<f8").reshape(-1, dim)
                 out: list[tuple] = []
-                for q, vec in zip(q_ids, q_vecs, strict=True):
-                    at, score = search(vec, q, ids, vecs, order, values, k, conf)
+                shard = Shard(ids, vecs, order, values)
+                low, high = shard.windows(q_vecs, conf)
+                for i, (q, vec) in enumerate(zip(q_ids, q_vecs, strict=True)):
+                    at, score = shard.search(vec, q, low[i], high[i], k, conf)
                     out.append((np.full(len(at), q), ids[at], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 

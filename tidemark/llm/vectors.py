@@ -21,7 +21,3 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     _, exponent = np.frexp(np.abs(x).max(axis=1)) if len(x) else (None, np.zeros(0, int))
     return np.ldexp(x, -exponent[:, None])
 
-
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of ``a`` with the vector ``b``; equal rows get equal results."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum()))
