@@ -135,7 +135,7 @@ def identify(
     whatever their names; an empty table gives an empty result.
     """
     names = (*model.languages, UNKNOWN)
-    known = range(len(model.languages))
+    known = model.languages
     none = F.lit(None).cast("string")
     code = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]+)", 1)) if declared is not None else none
     code = F.when(code.isin(*model.languages), code).when(F.length(code) > 0, F.lit("other"))
@@ -143,6 +143,7 @@ def identify(
     id_type = light.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior = np.log([0.98 / len(known)] * len(known) + [0.02])
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64)
             ends, at = np.cumsum(sizes), 0
@@ -150,68 +151,54 @@ def identify(
                 base = ends[at - 1] if at else 0
                 part = batch.slice(at, max(1, int(np.searchsorted(ends, base + (4 << 20), side="right")) - at))
                 logs = model.score(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("declared"), part.column("host"), part.column("suffix"), pa.array(list(logs), pa.list_(pa.float64())), pc.greater(pc.binary_length(part.column("text")), 2)], ["id", "declared", "host", "suffix", "logs", "has_text"])
+                has = np.asarray(pc.greater(pc.binary_length(part.column("text")), 2))
+                mass = softmax(logs + prior)[:, :-1] * has[:, None]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "declared", "host", "suffix")], pa.array(list(logs), pa.list_(pa.float64())), pa.array(list(mass), pa.list_(pa.float64())), pa.array(has)], ["id", "declared", "host", "suffix", "logs", "mass", "has_text"])
                 at += part.num_rows
 
-    scored = light.mapInArrow(score, f"id {id_type}, declared string, host string, suffix string, logs array<double>, has_text boolean")
-    scored = written(scored, "language-text")
-    logs = [F.col("logs")[k] for k in range(len(names))]
-    text_post = _softmax([x + F.lit(float(np.log(0.98 / len(model.languages) if k in known else 0.02))) for k, x in enumerate(logs)])
-    scored = scored.select("*", *[F.when(F.col("has_text"), p).otherwise(F.lit(1.0 / len(names))).alias(f"t{k}") for k, p in enumerate(text_post)])
-    soft = [F.col(f"t{k}") for k in known]
-    mass = [F.sum(F.when(F.col("has_text"), F.col(f"t{k}")).otherwise(F.lit(0.0))) for k in known]
-    total = scored.agg(*[m.alias(f"g{k}") for k, m in enumerate(mass)])
-    g_row = total.first()
-    g = [(g_row[k] or 0.0) + 1.0 for k in known]
-    g = [x / sum(g) for x in g]
-
-    # Declared codes are at most one a language and "other": a table bounded by the model.
-    by_code = {r["declared"]: r for r in scored.where(F.col("declared").isNotNull()).groupBy("declared").agg(*[m.alias(f"c{k}") for k, m in enumerate(mass)]).collect()}
-    sums = [sum(r[f"c{k}"] for r in by_code.values()) for k in known]
-    factor: list[Column] = []
-    for k in known:
-        col = F.lit(0.0)
-        for value, r in by_code.items():
-            p = (r[f"c{k}"] + 0.5) / (sums[k] + 0.5 * (len(names)))
-            col = F.when(F.col("declared") == value, F.lit(float(np.log(p)))).otherwise(col)
-        factor.append(col)
-
-    out = scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    own = [F.when(F.col("has_text"), s).otherwise(F.lit(0.0)) for s in soft]
+    scored = light.mapInArrow(score, f"id {id_type}, declared string, host string, suffix string, logs array<double>, mass array<double>, has_text boolean")
+    scored = written(scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), "language-text")
+    sums = F.array(*[F.sum(F.col("mass")[k]) for k in range(len(known))])
+    # One row, and at most one a language and "other": bounded by the model.
+    whole = np.array(scored.agg(sums.alias("m")).first()["m"], float) if not scored.isEmpty() else np.zeros(len(known))
+    by_code = {r["declared"]: np.array(r["m"], float) for r in scored.where(F.col("declared").isNotNull()).groupBy("declared").agg(sums.alias("m")).collect()}
+    out = scored
     for level in ("suffix", "domain", "host"):
-        table = out.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("__at")).agg(*[m.alias(f"{level}{k}") for k, m in enumerate(mass)])
+        table = scored.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("__at")).agg(sums.alias(f"{level}_mass"))
         out = out.join(table, F.col(level) == F.col("__at"), "left").drop("__at")
-    counts = {level: [F.greatest(F.coalesce(F.col(f"{level}{k}"), F.lit(0.0)) - own[k], F.lit(0.0)) for k in known] for level in ("suffix", "domain", "host")}
-
-    def smoothed(level: str, parent: list) -> list[Column]:
-        n = sum(counts[level][1:], counts[level][0])
-        return [(counts[level][k] + strength * parent[k]) / (n + strength) for k in known]
-
-    prior = smoothed("host", smoothed("domain", [F.lit(float(x)) for x in g]))
-    by_suffix = smoothed("suffix", [F.lit(float(x)) for x in g])
-    fused = [logs[k] + factor[k] + F.log(prior[k]) + F.log(by_suffix[k] / float(g[k])) + float(np.log(0.98)) for k in known]
-    fused.append(logs[-1] + float(np.log(0.02 / len(names))))
-    out = out.select("id", "declared", "host", "has_text", *[f"t{k}" for k in range(len(names))], *[f.alias(f"f{k}") for k, f in enumerate(fused)])
-    post = _softmax([F.col(f"f{k}") for k in range(len(names))])
-    out = out.select("*", *[p.alias(f"p{k}") for k, p in enumerate(post)])
-
-    def best(prefix: str) -> Column:
-        top = F.greatest(*[F.col(f"{prefix}{k}") for k in range(len(names))])
-        pick = F.lit(UNKNOWN)
-        for k in reversed(range(len(names))):
-            pick = F.when(F.col(f"{prefix}{k}") == top, F.lit(names[k])).otherwise(pick)
-        return F.when(F.col("has_text"), pick).otherwise(F.lit(UNKNOWN))
-
-    lang = best("p")
-    sure = F.greatest(*[F.col(f"p{k}") for k in range(len(names))])
-    out = out.select(F.col("id").alias(id_col), lang.alias("lang"), F.when(F.col("has_text"), sure).otherwise(F.lit(0.0)).alias("posterior"), best("t").alias("text_lang"), "declared", "host")
-    return out.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= accept))
-
-
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    each = [F.exp(x - top) for x in logs]
-    return [x / sum(each[1:], each[0]) for x in each]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_lang = len(known)
+        base = (whole + 1) / (whole + 1).sum()
+        spread = sum(by_code.values(), np.zeros(n_lang)) + 0.5 * len(names)
+        codes = {c: np.log((m + 0.5) / spread) for c, m in by_code.items()}
+        for batch in batches:
+            rows = batch.num_rows
+            cells = lambda c, n: np.array([x if x is not None else [0.0] * n for x in batch.column(c).to_pylist()], float).reshape(rows, n)  # noqa: B023, E731
+            logs, own, has = cells("logs", n_lang + 1), cells("mass", n_lang), np.asarray(batch.column("has_text"))
+
+            def smoothed(level: str, parent: np.ndarray) -> np.ndarray:
+                m = np.maximum(cells(f"{level}_mass", n_lang) - own, 0)  # noqa: B023
+                return (m + strength * parent) / (m.sum(axis=1, keepdims=True) + strength)
+
+            fused = logs.copy()
+            fused[:, :-1] += np.log(smoothed("host", smoothed("domain", base))) + np.log(smoothed("suffix", base) / base) + np.log(0.98)
+            fused[:, :-1] += np.array([codes.get(c, np.zeros(n_lang)) for c in batch.column("declared").to_pylist()]).reshape(rows, n_lang)
+            fused[:, -1] += np.log(0.02 / len(names))
+            post = softmax(fused)
+            text = softmax(logs + np.log([0.98 / n_lang] * n_lang + [0.02]))
+            pick = lambda p: pa.array([names[k] if h else UNKNOWN for k, h in zip(p.argmax(axis=1), has, strict=True)], pa.string())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pick(post), pa.array(np.where(has, post.max(axis=1), 0.0)), pick(text), batch.column("declared"), batch.column("host")], ["id", "lang", "posterior", "text_lang", "declared", "host"])
+
+    told = out.mapInArrow(fuse, f"id {id_type}, lang string, posterior double, text_lang string, declared string, host string")
+    told = told.withColumnRenamed("id", id_col)
+    return told.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= accept))
+
+
+def softmax(logs: np.ndarray) -> np.ndarray:
+    """Row by row."""
+    each = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return each / each.sum(axis=1, keepdims=True)
 
 
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
