@@ -11,6 +11,8 @@ from tidemark.operators.features import SPECS, feature
 
 LATENESS, OUT_OF_ORDER, IDLE = 900_000_000, 30_000_000, 5_000_000  # microseconds
 RING = 50
+#: Arrival numbers in a run of ``classify``.
+RUN = 1 << 18
 REFRESH, COOLDOWN = 15 * 60_000_000, 30 * 60_000_000
 
 
@@ -24,19 +26,19 @@ def classify(events: DataFrame, lateness: int = LATENESS, slack: int = OUT_OF_OR
     """``outcome`` of deduplicated arrivals against their source's running maximum.
 
     Rows that are too late lie below the maximum and cannot raise it, so the
-    maximum over all rows is that over accepted ones. A source is split by day
-    of arrival: the maximum of the days before comes from one row a source and
-    day, so no task sorts a whole source.
+    maximum over all rows is that over accepted ones. A source is split into
+    runs of arrivals: the maximum of the runs before comes from one row a source
+    and run, so no task sorts a whole source.
     """
-    day = F.floor(F.col("it") / DAY)
-    daily = events.groupBy("source_system", day.alias("__d")).agg(F.max("t").alias("__m"), F.min("arrival_seq").alias("__first"))
-    before = Window.partitionBy("source_system").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    carried = daily.select("source_system", "__d", F.max("__m").over(before).alias("__carried"))
-    within = Window.partitionBy("source_system", "__d").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("__d", day).join(carried, ["source_system", "__d"]).withColumn("prev_max", F.greatest("__carried", F.max("t").over(within)))
+    run = F.floor(F.col("arrival_seq") / RUN)
+    per_run = events.groupBy("source_system", run.alias("__run")).agg(F.max("t").alias("__m"))
+    before = Window.partitionBy("source_system").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_run.select("source_system", "__run", F.max("__m").over(before).alias("__carried"))
+    within = Window.partitionBy("source_system", "__run").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("__run", run).join(carried, ["source_system", "__run"]).withColumn("prev_max", F.greatest("__carried", F.max("t").over(within)))
     behind = F.col("prev_max") - F.col("t")
     outcome = F.when(behind > lateness, "too_late_dropped").when(behind > slack, "late_recomputed").otherwise("emitted")
-    return rows.withColumn("outcome", outcome).drop("__d", "__carried")
+    return rows.withColumn("outcome", outcome).drop("__run", "__carried")
 
 
 def late_recompute(classified: DataFrame, specs=SPECS) -> DataFrame:
