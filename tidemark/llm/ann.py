@@ -27,6 +27,9 @@ from tidemark.llm.vectors import matrix, usable
 
 RADII = (0.3, 0.7, 0.95, 1.06, 1.13, 1.2, 1.27, 1.35, 1.5, 2.0, math.inf)
 
+#: Query blocks that one task compares with its shard.
+BLOCKS_A_TASK = 8
+
 
 @dataclass(frozen=True)
 class Collisions:
@@ -137,21 +140,27 @@ class Shard:
         return at, score
 
 
-def _search_pairs(k: int, conf: Collisions):
+def _search_sorted(k: int, conf: Collisions):
+    """Rows in order of (shard, g, kind): a shard, then the query blocks that meet it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 n, dim = cell("n"), cell("dim")
                 ids, vecs = np.frombuffer(cell("ids"), "<i8"), np.frombuffer(cell("vecs"), "<f8").reshape(n, dim)
-                order, values = np.frombuffer(cell("order"), "<i4").reshape(-1, n), np.frombuffer(cell("values"), "<f8").reshape(-1, n)
-                q_ids, q_vecs = np.frombuffer(cell("q_ids"), "<i8"), np.frombuffer(cell("q_vecs"), "<f8").reshape(-1, dim)
+                if cell("kind") == 0:
+                    at = (cell("shard"), cell("g"))
+                    shard = Shard(ids, vecs, np.frombuffer(cell("order"), "<i4").reshape(-1, n), np.frombuffer(cell("values"), "<f8").reshape(-1, n))
+                    continue
+                if (cell("shard"), cell("g")) != at:
+                    raise ValueError("a query block came without its shard")
+                low, high = shard.windows(vecs, conf)
                 out: list[tuple] = []
-                shard = Shard(ids, vecs, order, values)
-                low, high = shard.windows(q_vecs, conf)
-                for i, (q, vec) in enumerate(zip(q_ids, q_vecs, strict=True)):
-                    at, score = shard.search(vec, q, low[i], high[i], k, conf)
-                    out.append((np.full(len(at), q), ids[at], score))
+                for i, (q, vec) in enumerate(zip(ids, vecs, strict=True)):
+                    best, score = shard.search(vec, q, low[i], high[i], k, conf)
+                    out.append((np.full(len(best), q), shard.ids[best], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
@@ -166,22 +175,23 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     with those of their own length. Repeated rows count once. Other columns are
     ignored, whatever their names; an empty table gives an empty result.
 
-    Queries go out in blocks, one pair of block and shard a row, so a task holds
-    one shard and one block whatever the table's size.
+    Query blocks are sent to the shards, a few blocks a task: a shard is held
+    once and its blocks stream past it, whatever the table's size.
     """
     fine = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
     rows = fine.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     shards = rows.mapInArrow(_pack(conf, conf.shard_rows, True), PACKED_SQL)
     shards = written(shards.withColumn("shard", F.monotonically_increasing_id()), "ann-shards")
     asked = fine.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    blocks = asked.repartition(max(1, math.ceil(asked.count() / conf.query_rows)), "id").mapInArrow(_pack(conf, conf.query_rows, False), PACKED_SQL)
-    blocks = written(blocks.select("dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.monotonically_increasing_id().alias("block")), "ann-queries")
-    # Which block meets which shard is a small table of keys; the payloads join it by key.
-    pairs = shards.select("shard", "dim").join(blocks.select("block", "dim"), "dim").select("shard", "block")
-    spread = pairs.repartition(max(1, min(pairs.count(), 100_000)), "shard", "block").sortWithinPartitions("shard")
-    met = spread.join(shards, "shard").join(blocks.drop("dim"), "block")
-    found = met.select("dim", "n", "ids", "vecs", "order", "values", "q_ids", "q_vecs").mapInArrow(_search_pairs(k, conf), "query_id long, vec_id long, score double")
-    found = written(found, "ann-found")
+    n_asked = asked.count()
+    groups = max(1, math.ceil(n_asked / (conf.query_rows * BLOCKS_A_TASK)))
+    blocks = asked.repartition(max(1, math.ceil(n_asked / conf.query_rows)), "id").mapInArrow(_pack(conf, conf.query_rows, False), PACKED_SQL)
+    blocks = written(blocks.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")), "ann-queries")
+    cols = ["shard", "g", "kind", *PACKED]
+    homes = shards.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("kind", F.lit(0)).select(*cols)
+    visits = blocks.join(shards.select("shard", "dim"), "dim").withColumn("kind", F.lit(1)).select(*cols)
+    met = homes.unionByName(visits).repartition("shard", "g").sortWithinPartitions("shard", "g", "kind")
+    found = written(met.mapInArrow(_search_sorted(k, conf), "query_id long, vec_id long, score double"), "ann-found")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
