@@ -24,6 +24,8 @@ CLASSES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)",
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Elements that both articles and their surroundings are made of; they are no evidence about their words.
+GENERIC = INLINE | {"html", "body", "div", "section", "p", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "table", "blockquote", "pre", "form", "footer", "header", "nav", "aside", "main"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 Piece = tuple[int, str, tuple[str, ...], int]
@@ -113,14 +115,17 @@ class Weights:
                 for f in around:
                     seen[inside][f] += n
         odds = lambda a, b, na, nb: math.log((a + 1) / (na + 2)) - math.log((b + 1) / (nb + 2))
-        self.near = {f: max(-6.0, min(3.0, odds(seen[True][f], seen[False][f], total[True], total[False]))) for f in {*seen[True], *seen[False]} - {"html", "body"}}
+        self.near = {f: max(-2.0, min(3.0, odds(seen[True][f], seen[False][f], total[True], total[False]))) for f in {*seen[True], *seen[False]} - GENERIC}
         self.word = 0.5
-        self.tag = {t: min(-0.05, 0.3 * max(-4.0, min(0.0, odds(tags[True][t], tags[False][t], sum(tags[True].values()), sum(tags[False].values()))))) for t in {*tags[True], *tags[False]}}
+        self.tag = {t: min(-0.05, 0.1 * max(-4.0, min(0.0, odds(tags[True][t], tags[False][t], sum(tags[True].values()), sum(tags[False].values()))))) for t in {*tags[True], *tags[False]}}
 
     def of_word(self, around: tuple[str, ...]) -> float:
         worst = min((self.near.get(f, 0.0) for f in around), default=0.0)
         best = max((self.near.get(f, 0.0) for f in around), default=0.0)
-        return worst if worst < -1.5 else self.word + max(0.0, best) * 0.5
+        if worst < -1.0:
+            return worst
+        link = (0.2 if best > 0.5 else 1.0) if "a" in around else 0.0
+        return self.word + max(0.0, best) * 0.5 - link
 
     def of_tag(self, name: str) -> float:
         return self.tag.get(name, -0.05)

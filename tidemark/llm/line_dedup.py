@@ -75,14 +75,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = each.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
     repeated = repeated.select(F.xxhash64("chunk").alias("h"), "chunk", "first_id")
     owners = each.select("id", F.xxhash64("chunk").alias("h")).distinct().join(repeated, "h")
-    owners = owners.groupBy("id").agg(F.collect_list(F.struct("chunk", "first_id")).alias("gone"))
+    owners = owners.groupBy("id").agg(F.collect_list(F.struct("chunk", "first_id")).alias("__gone"))
     added = ("chunks", "removed_chunks", "removed_lines")
     body = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.struct(F.col(id_col).alias("id")).alias("__key"))
     joined = body.join(owners.withColumnRenamed("id", "__owner"), F.col("__key.id").eqNullSafe(F.col("__owner")), "left")
 
     def keep(all_chunks: Column) -> Column:
         def stays(c: Column, i: Column) -> Column:
-            same = F.filter(F.col("gone"), lambda g: g["chunk"] == c["chunk"])
+            same = F.filter(F.col("__gone"), lambda g: g["chunk"] == c["chunk"])
             again = F.array_position(all_chunks["chunk"], c["chunk"]) <= i
             return ~c["removable"] | (F.size(same) == 0) | (F.coalesce(same[0]["first_id"].eqNullSafe(F.col("__key.id")), F.lit(False)) & ~again)
 
@@ -91,6 +91,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.struct(F.array_join(left["chunk"], "\n").alias("text"), F.size(all_chunks).alias("chunks"), (F.size(all_chunks) - F.size(left)).alias("removed_chunks"), lost.alias("removed_lines"))
 
     whole = F.struct(F.col(f"`{text_col}`").cast("string").alias("text"), F.size(chunks).alias("chunks"), F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines"))
-    done = joined.withColumn("__out", F.when(F.col("gone").isNull(), whole).otherwise(F.get(F.transform(F.array(chunks), keep), 0)))
+    done = joined.withColumn("__out", F.when(F.col("__gone").isNull(), whole).otherwise(F.get(F.transform(F.array(chunks), keep), 0)))
     kept = [F.col("__out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in body.columns if c != "__key"]
     return done.select(*kept, *[F.col(f"__out.{c}") for c in added])
