@@ -52,6 +52,16 @@ SYLLABLES = {
 }
 
 
+def may_hold(text: Column) -> Column:
+    """True for every text that a pattern can match, by plain searches: a sign, a digit or a title.
+
+    The patterns look behind and around each place; most texts need not pay for that.
+    """
+    plain = [F.contains(text, F.lit(x)) for x in ("@", "=", ":", "AKIA")]
+    titled = [F.contains(text, F.lit(t + end)) for ts in TITLES.values() for t in ts for end in (" ", ". ")]
+    return reduce(lambda a, b: a | b, [*plain, text.rlike("[0-9]"), *titled])
+
+
 def kind_of(found: Column) -> Column:
     """Type of a match: the first pattern that it fits alone; values that only stand after a key word are secrets."""
     kinds = [F.when(found.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items() if k != "secret"]
@@ -194,7 +204,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     body = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     text = text_of(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(ALL), F.lit(0))
-    has = text.rlike(ALL)
+    has = may_hold(text) & text.rlike(ALL)
     mentions = body.where(has).select(F.explode(found).alias("found")).distinct()
     mentions = mentions.withColumn("kind", kind_of(F.col("found"))).withColumn("norm", normal_form(F.col("kind"), F.col("found")))
     title = F.when(F.col("kind") == "name", F.regexp_extract("found", rf"^({TITLE}) ", 1))
