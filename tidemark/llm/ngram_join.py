@@ -5,7 +5,8 @@ threshold shares at least ``l`` shingles of both documents' prefixes of
 ``n - ceil(t n) + l``; each document picks the ``l`` of least estimated cost
 (reading its postings, and verifying the candidates that can share ``l`` of
 them), so frequent prefixes get longer and stricter. Candidates that share
-enough are verified on their whole sets.
+enough, and whose parity sketches leave room for it, are verified on their
+whole sets.
 
 The order comes from a count sketch of fixed size over all documents: counts
 only steer the cost, any order keeps the join exact. Equal sets are one class
@@ -34,6 +35,7 @@ VERIFY_COST = 20.0
 SHORT_LIST = 16
 BLOCK = 256
 FILTER_BITS = 1 << 24
+PARITY_BITS = 1024
 
 
 def needed(n: int, percent: int) -> int:
@@ -54,8 +56,17 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit for each of ``PARITY_BITS`` hash values: whether an odd number of shingles has it.
+
+    Where two sets differ in d shingles their parities differ in at most d
+    bits, so the difference bounds d from below and rules pairs out safely.
+    """
+    return np.packbits(np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _count(width: int):
-    """Per document its class and size (kind 0), per task its part of the sketch (kind 1)."""
+    """Per document its class, size and parity (kind 0), per task its part of the sketch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -67,7 +78,7 @@ def _count(width: int):
             if small:
                 sketch += np.bincount(_bucket(np.concatenate(small)), minlength=len(sketch))
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("id"), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["kind", "id", "ck", "n", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("id"), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.array([parity(s) for s in sets], pa.binary())], ["kind", "id", "ck", "n", "part", "counts"])
         parts = sketch.reshape(SKETCH_PARTS, -1)
         live = [p for p in range(SKETCH_PARTS) if parts[p].any()]
         n = len(live)
@@ -230,6 +241,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
+def _possible(percent: int):
+    """Pairs whose parities leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("pa", "pb")]
+            differ = np.unpackbits(bits[0] ^ bits[1], axis=1).sum(axis=1, dtype=np.int64)
+            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            # 100 i >= p u with i = (total - d) / 2 and u = (total + d) / 2
+            fits = pa.array(100 * (total - differ) >= percent * (total + differ))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(fits), batch.column("b").filter(fits)], ["a", "b"])
+
+    return run
+
+
 def _verify_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +341,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     first = written(rows.mapInArrow(_count(width), "kind int, id long, ck long, n long, part int, counts binary"), "ngram-sets", "kind")
-    keyed = first.where("kind = 0").select("id", "ck", "n")
+    told = first.where("kind = 0").select("id", "ck", "n", F.col("counts").alias("parity"))
+    keyed = told.select("id", "ck", "n")
     sums = first.where("kind = 1").select("part", "counts").repartition(SKETCH_PARTS * 4, "part", F.spark_partition_id() % 4).mapInArrow(_add, "part int, counts binary")
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in sums.collect():  # at most four rows a part, of fixed size
@@ -333,6 +360,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = members.where("ck <> hub").groupBy("ck", "hub").agg(F.count(F.lit(1)).alias("shared"))
     hubs = hubs.withColumn("r", F.row_number().over(best)).where("r <= 2")
     pairs = pairs.union(hubs.select(F.least("ck", "hub"), F.greatest("ck", "hub"))).distinct()
+    signs = told.where("ck is not null").groupBy("ck").agg(F.first("n").alias("n"), F.first("parity").alias("p"))
+    told_a, told_b = signs.toDF("a", "na", "pa"), signs.toDF("b", "nb", "pb")
+    pairs = pairs.join(told_a, "a").join(told_b, "b").mapInArrow(_possible(percent), "a long, b long")
     pairs = written(pairs, "ngram-pairs")
 
     reps = keyed.where("ck is not null").groupBy("ck").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
