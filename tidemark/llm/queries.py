@@ -81,4 +81,23 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP2_SQL = """
+WITH lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
+hashed AS (SELECT *, CAST('0x' || md5(line)[1:8] AS BIGINT) AS h, length(line) - length(replace(line, ' ', '')) >= 49 AS long FROM lines),
+cuts AS (SELECT *, lead(i) OVER w IS NULL OR long OR lead(long) OVER w OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 AS cut FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM cuts),
+chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, count(*) > 1 OR bool_or(long) AS removable FROM numbered GROUP BY 1, 2),
+again AS (SELECT chunk, min(doc_id) AS first_id FROM chunks WHERE removable AND trim(chunk, ' ') <> '' GROUP BY 1 HAVING count(*) > 1),
+marked AS (SELECT k.*, first_id IS NOT NULL AND (first_id <> doc_id OR row_number() OVER (PARTITION BY doc_id, k.chunk ORDER BY c) > 1) AS gone
+  FROM chunks k LEFT JOIN again a ON a.chunk = k.chunk AND k.removable),
+done AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS t, count(*) AS chunks, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (gone), 0) AS removed_lines FROM marked GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t END AS text, CAST(length(t) AS BIGINT) AS n_chars, CAST(chunks AS INT) AS chunks, CAST(removed_chunks AS INT) AS removed_chunks, CAST(removed_lines AS INT) AS removed_lines
+FROM documents d JOIN done USING (doc_id)"""
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.m FROM reach r JOIN links l ON l.a = r.n AND r.m < l.b),
+comp AS (SELECT n, min(m) AS m FROM reach GROUP BY 1), degree AS (SELECT a, count(*) AS k FROM links GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN comp ON n = vec_id LEFT JOIN degree ON a = vec_id"""
+#: The others hash with functions that SQL engines do not share, sample, or call a tokenizer.
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}
