@@ -266,43 +266,18 @@ def _verify_pairs(percent: int):
     return run
 
 
-def _verify_blocks(percent: int):
-    """Rows of (tok, ai, bj) in order: side 0 is compared with side 1 where components differ; links as edges.
-
-    A pair is compared only in the first long list that both are in.
-    """
-
-    def links(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        side, tok = np.asarray(rows.column("side")), rows.column("tok")[0].as_py()
-        ck, label = np.asarray(rows.column("ck")), np.asarray(rows.column("label"))
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")]
-        before = [frozenset(t for t in x if t < tok) for x in rows.column("toks").to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        right = np.flatnonzero(side == 1)
-        if not len(right):
-            return
-        joined = {int(v): int(v) for v in set(label)}
-
-        def root(v: int) -> int:
-            while joined[v] != v:
-                joined[v] = v = joined[joined[v]]
-            return v
-
-        for i in np.flatnonzero(side == 0):
-            mine = sets[i]
-            fit = right[(label[right] != label[i]) & (sizes[right] * 100 >= percent * len(mine)) & (len(mine) * 100 >= percent * sizes[right])]
-            fit = [j for j in fit if not (before[i] & before[j]) and root(int(label[i])) != root(int(label[j]))]
-            if not fit:
-                continue
-            flat = np.concatenate([sets[j] for j in fit])
-            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-            starts = np.concatenate([[0], np.cumsum(sizes[fit])[:-1]])
-            same = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
-            for j in np.asarray(fit)[100 * same >= percent * (len(mine) + sizes[fit] - same)]:
-                a, b = root(int(label[i])), root(int(label[j]))
-                if a != b:
-                    joined[a] = b
-                    yield int(ck[i]), int(ck[j])
+def _screen_blocks(percent: int):
+    """Rows of (tok, ai, bj) in order: pairs of a side 0 and a side 1 row in different components whose parities leave room for a link."""
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side, ck, label, n = (np.asarray(rows.column(c)) for c in ("side", "ck", "label", "n"))
+        bits = np.unpackbits(np.frombuffer(b"".join(rows.column("p").to_pylist()), np.uint8).reshape(len(ck), -1), axis=1).astype(np.float32) * 2 - 1
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        differ = (PARITY_BITS - bits[a] @ bits[b].T) / 2
+        total = n[a][:, None] + n[b][None, :]
+        fits = (100 * (total - differ) >= percent * (total + differ)) & (label[a][:, None] != label[b][None, :])
+        i, j = np.nonzero(fits)
+        return np.minimum(ck[a][i], ck[b][j]), np.maximum(ck[a][i], ck[b][j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -312,18 +287,17 @@ def _verify_blocks(percent: int):
             starts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1]).astype(int)
             stops = np.concatenate([starts[1:], [table.num_rows]]).astype(int)
             whole = len(starts) if last else len(starts) - 1
-            found = [p for s, e in zip(starts[:whole], stops[:whole], strict=True) for p in links(table.slice(s, e - s).combine_chunks())]
-            return found, None if last else table.slice(starts[-1])
+            found = [pairs(table.slice(s, e - s).combine_chunks()) for s, e in zip(starts[:whole], stops[:whole], strict=True)]
+            both = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+            return np.unique(np.stack(both), axis=1), None if last else table.slice(starts[-1])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             found, held = walk(table if held is None else pa.concat_tables([held, table]), False)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found]), pa.array([p[1] for p in found])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
         if held is not None and held.num_rows:
             found, _ = walk(held, True)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found]), pa.array([p[1] for p in found])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     return run
 
@@ -366,13 +340,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = written(pairs, "ngram-pairs")
 
     reps = keyed.where("ck is not null").groupBy("ck").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    involved = pairs.select(F.col("a").alias("ck")).union(pairs.select("b")).union(members.select("ck")).distinct()
-    wanted = Seen(involved.join(reps, "ck").select(F.coalesce("rep", F.lit(-1)).alias("id")))
     source = rows.select(F.coalesce("id", F.lit(-1)).alias("id"), "text")
-    sets = source.mapInArrow(_fetch(width, wanted), "ck long, shingles binary").join(involved, "ck", "left_semi")
-    sets = written(sets.groupBy("ck").agg(F.first("shingles").alias("shingles")), "ngram-whole")
-    met = pairs.join(sets.select(F.col("ck").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("ck").alias("b"), F.col("shingles").alias("sb")), "b")
-    edges = written(met.mapInArrow(_verify_pairs(percent), "a long, b long"), "ngram-edges")
+
+    def verified(some: DataFrame) -> DataFrame:
+        """The pairs that link, by the whole sets of their classes, which are read anew for them alone."""
+        involved = some.select(F.col("a").alias("ck")).union(some.select("b")).distinct()
+        wanted = Seen(involved.join(reps, "ck").select(F.coalesce("rep", F.lit(-1)).alias("id")))
+        sets = source.mapInArrow(_fetch(width, wanted), "ck long, shingles binary").join(involved, "ck", "left_semi")
+        sets = written(sets.groupBy("ck").agg(F.first("shingles").alias("shingles")), "ngram-whole")
+        met = some.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        return written(met.mapInArrow(_verify_pairs(percent), "a long, b long"), "ngram-edges")
+
+    edges = verified(pairs)
     label = components(edges, "ngram")
 
     # Long lists: members outside a list's largest component meet all of its other components.
@@ -387,10 +366,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as_a = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own_a.alias("ai"), j.alias("bj"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<ai:int,bj:int,side:int>>"))
     as_b = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.alias("ai"), own_b.alias("bj"), F.lit(1).alias("side")))
     spread = open_lists.select("tok", "ck", "label", F.explode(F.concat(as_a, as_b)).alias("m")).select("tok", "ck", "label", "m.ai", "m.bj", "m.side")
-    toks = open_lists.groupBy("ck").agg(F.collect_list("tok").alias("toks"))
-    payload = sets.join(toks, "ck")
-    blocks = spread.join(payload, "ck").repartition("tok", "ai", "bj").sortWithinPartitions("tok", "ai", "bj").select("tok", "ck", "label", "ai", "bj", "side", "toks", "shingles")
-    more = written(blocks.mapInArrow(_verify_blocks(percent), "a long, b long"), "ngram-edges")
+    light = spread.join(signs, "ck").repartition("tok", "ai", "bj").sortWithinPartitions("tok", "ai", "bj")
+    light = light.select("tok", "ck", "label", "ai", "bj", "side", "n", "p")
+    open_pairs = written(light.mapInArrow(_screen_blocks(percent), "a long, b long").distinct(), "ngram-pairs")
+    more = verified(open_pairs)
     comp = components(edges.union(more), "ngram-all").withColumnRenamed("node", "ck")
     placed = reps.select("ck", "rep").join(comp, "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
