@@ -92,7 +92,8 @@ def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
         n = np.zeros(GRAMS)
         own = counts[counts["lang"] == lang]
         n[own["gram"]] = own["n"]
-        logs[:, k] = np.log((n + 0.05) / (n.sum() + 0.05 * GRAMS))
+        # numbers and addresses inside a text count little against its language: a floor just below chance
+        logs[:, k] = np.maximum(np.log((n + 0.05) / (n.sum() + 0.05 * GRAMS)), -np.log(GRAMS) - 1.0)
     return TextModel(languages, logs)
 
 
