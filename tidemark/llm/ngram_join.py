@@ -11,9 +11,9 @@ whole sets.
 The order comes from a count sketch of fixed size over all documents: counts
 only steer the cost, any order keeps the join exact. Equal sets are one class
 throughout. A shingle's postings are split by size: of a short list all pairs
-are counted; a long list first links its members to hubs, and members in
-different components afterwards are compared block by block, so no list is
-ever expanded into pairs.
+are counted; a long list first links its members to hubs; members in different components
+afterwards are compared block by block, first each with its nearest alone, so
+no list is ever expanded into pairs.
 """
 
 from __future__ import annotations
@@ -266,18 +266,29 @@ def _verify_pairs(percent: int):
     return run
 
 
-def _screen_blocks(percent: int):
-    """Rows of (tok, ai, bj) in order: pairs of a side 0 and a side 1 row in different components whose parities leave room for a link."""
+def _screen_blocks(percent: int, nearest: bool):
+    """Rows of (tok, ai, bj) in order: pairs of a side 0 and a side 1 row in different components whose parities leave room for a link.
 
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    With ``nearest`` each row has its pair of least difference alone, so pairs
+    grow with the rows of a block and not with their square. ``differ`` tells
+    the bits in which a pair's parities differ.
+    """
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side, ck, label, n = (np.asarray(rows.column(c)) for c in ("side", "ck", "label", "n"))
         bits = np.unpackbits(np.frombuffer(b"".join(rows.column("p").to_pylist()), np.uint8).reshape(len(ck), -1), axis=1).astype(np.float32) * 2 - 1
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         differ = (PARITY_BITS - bits[a] @ bits[b].T) / 2
         total = n[a][:, None] + n[b][None, :]
         fits = (100 * (total - differ) >= percent * (total + differ)) & (label[a][:, None] != label[b][None, :])
-        i, j = np.nonzero(fits)
-        return np.minimum(ck[a][i], ck[b][j]), np.maximum(ck[a][i], ck[b][j])
+        if nearest and fits.size:
+            apart = np.where(fits, differ, np.inf)
+            i = np.concatenate([np.arange(len(a)), apart.argmin(axis=0)])
+            j = np.concatenate([apart.argmin(axis=1), np.arange(len(b))])
+            i, j = i[fits[i, j]], j[fits[i, j]]
+        else:
+            i, j = np.nonzero(fits)
+        return np.minimum(ck[a][i], ck[b][j]), np.maximum(ck[a][i], ck[b][j]), differ[i, j].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -288,20 +299,42 @@ def _screen_blocks(percent: int):
             stops = np.concatenate([starts[1:], [table.num_rows]]).astype(int)
             whole = len(starts) if last else len(starts) - 1
             found = [pairs(table.slice(s, e - s).combine_chunks()) for s, e in zip(starts[:whole], stops[:whole], strict=True)]
-            both = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+            both = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
             return np.unique(np.stack(both), axis=1), None if last else table.slice(starts[-1])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             found, held = walk(table if held is None else pa.concat_tables([held, table]), False)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "differ"])
         if held is not None and held.num_rows:
             found, _ = walk(held, True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "differ"])
 
     return run
 
 
+def _open_pairs(members: DataFrame, label: DataFrame, signs: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of long lists still to verify: members outside a list's largest component meet all of its other components."""
+    held = members.select("tok", "ck").join(label.withColumnRenamed("node", "ck"), "ck", "left").select("tok", "ck", F.coalesce("component", "ck").alias("label"))
+    held = written(held, "ngram-held")
+    shares = held.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("n"))
+    shape = shares.groupBy("tok").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
+    shape = shape.select("tok", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("na"))
+    open_lists = held.join(shape, "tok")
+    own_b = F.pmod(F.xxhash64("ck", F.lit(1)), "nb").cast("int")
+    own_a = F.pmod(F.xxhash64("ck", F.lit(2)), "na").cast("int")
+    as_a = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own_a.alias("ai"), j.alias("bj"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<ai:int,bj:int,side:int>>"))
+    as_b = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.alias("ai"), own_b.alias("bj"), F.lit(1).alias("side")))
+    spread = open_lists.select("tok", "ck", "label", F.explode(F.concat(as_a, as_b)).alias("m")).select("tok", "ck", "label", "m.ai", "m.bj", "m.side")
+    light = spread.join(signs, "ck").repartition("tok", "ai", "bj").sortWithinPartitions("tok", "ai", "bj")
+    light = light.select("tok", "ck", "label", "ai", "bj", "side", "n", "p")
+    found = light.mapInArrow(_screen_blocks(percent, nearest), "a long, b long, differ long")
+    if nearest:  # of a class's pairs from all lists, the nearest
+        sides = found.select(F.explode(F.array("a", "b")).alias("ck"), F.struct("differ", "a", "b").alias("p"))
+        found = sides.groupBy("ck").agg(F.min("p").alias("p")).select("p.a", "p.b")
+    return written(found.select("a", "b").distinct(), "ngram-pairs")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """``id_col, n_shingles, component_id`` of every row.
 
@@ -354,23 +387,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = verified(pairs)
     label = components(edges, "ngram")
 
-    # Long lists: members outside a list's largest component meet all of its other components.
-    held = members.select("tok", "ck").join(label.withColumnRenamed("node", "ck"), "ck", "left").select("tok", "ck", F.coalesce("component", "ck").alias("label"))
-    held = written(held, "ngram-held")
-    shares = held.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("n"))
-    shape = shares.groupBy("tok").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
-    shape = shape.select("tok", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("na"))
-    open_lists = held.join(shape, "tok")
-    own_b = F.pmod(F.xxhash64("ck", F.lit(1)), "nb").cast("int")
-    own_a = F.pmod(F.xxhash64("ck", F.lit(2)), "na").cast("int")
-    as_a = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own_a.alias("ai"), j.alias("bj"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<ai:int,bj:int,side:int>>"))
-    as_b = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.alias("ai"), own_b.alias("bj"), F.lit(1).alias("side")))
-    spread = open_lists.select("tok", "ck", "label", F.explode(F.concat(as_a, as_b)).alias("m")).select("tok", "ck", "label", "m.ai", "m.bj", "m.side")
-    light = spread.join(signs, "ck").repartition("tok", "ai", "bj").sortWithinPartitions("tok", "ai", "bj")
-    light = light.select("tok", "ck", "label", "ai", "bj", "side", "n", "p")
-    open_pairs = written(light.mapInArrow(_screen_blocks(percent), "a long, b long").distinct(), "ngram-pairs")
-    more = verified(open_pairs)
-    comp = components(edges.union(more), "ngram-all").withColumnRenamed("node", "ck")
+    # Nearest pairs first: where they link, their components grow together and the last pass has few pairs left.
+    for nearest in (True, False):
+        more = verified(_open_pairs(members, label, signs, percent, nearest))
+        edges = edges.union(more)
+        label = components(edges, "ngram-all")
+    comp = label.withColumnRenamed("node", "ck")
     placed = reps.select("ck", "rep").join(comp, "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(least, "component").select("ck", "component_id")
