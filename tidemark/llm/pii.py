@@ -5,13 +5,14 @@ IPv4 addresses, secrets and titled names. Every distinct entity of the corpus
 gets one surrogate that depends on a key: of its type, with its format (digits
 for digits, letters for letters, Luhn sums kept), its script and the gender
 that its titles show. Surrogates that meet each other or a real entity are
-drawn again, so distinct entities stay distinct, and equal ones stay equal
-across documents.
+drawn again, and longer after a few draws, so distinct entities stay distinct,
+and equal ones stay equal across documents.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ SYLLABLES = {
     "Greek": ("βα", "δε", "φι", "γο", "κου", "λα", "με", "νι", "πο", "ρου", "σα", "τε", "βι", "ξο", "ζου", "λερ"),
 }
 
+#: Letters and digits beyond ASCII become ones of their script and case, those of other scripts small Latin letters.
+LETTERS = (
+    (r"^[\p{IsCyrillic}&&\p{Ll}]$", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), (r"^[\p{IsCyrillic}&&\p{Lu}]$", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
+    (r"^[\p{IsGreek}&&\p{Ll}]$", "αβγδεζηθικλμνξοπρστυφχψω"), (r"^[\p{IsGreek}&&\p{Lu}]$", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"^\p{IsHan}$", "山水火木金土日月天地人口手目耳心石田竹米門雨雪風花草鳥魚馬牛羊犬"), (r"^\p{Lu}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"^[\p{L}\p{M}]$", "abcdefghijklmnopqrstuvwxyz"), (r"^\p{N}$", "0123456789"),
+)
+#: Draws that hold the length of an entity; each later one is two characters longer than the one before.
+EXACT_DRAWS = 4
+
 
 def may_hold(text: Column) -> Column:
     """True for every text that a pattern can match, by plain searches: a sign, a digit or a title.
@@ -87,17 +97,20 @@ def _chars(text: Column) -> Column:
 
 
 def _same_format(text: Column, digest: Column) -> Column:
-    """Each digit becomes a digit, each letter a letter of its case (of a-f if all of the text is hexadecimal)."""
+    """Each digit becomes a digit, each letter a letter of its case (of a-f if all of the text is hexadecimal).
+
+    Other signs stay, unless they are most of the text: they are what is secret then, and become letters.
+    """
     spread = F.when(text.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
+    signs = F.length(F.regexp_replace(text, r"[\p{L}\p{M}\p{N}]", "")) * 2 > F.length(text)
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(digest, i)
-        return (
-            F.when(c.rlike("^[0-9]$"), (b % 10).cast("string"))
-            .when(c.rlike("^[a-z]$"), F.char(F.lit(97) + b % spread))
-            .when(c.rlike("^[A-Z]$"), F.char(F.lit(65) + b % 26))
-            .otherwise(c)
-        )
+        small = F.char(F.lit(97) + b % spread)
+        out = F.when(c.rlike("^[0-9]$"), (b % 10).cast("string")).when(c.rlike("^[a-z]$"), small).when(c.rlike("^[A-Z]$"), F.char(F.lit(65) + b % 26))
+        for pattern, letters in LETTERS:
+            out = out.when(c.rlike(pattern), F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1)))
+        return out.when(signs, small).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
 
@@ -114,11 +127,11 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
 
-def _digits(kind: Column, norm: Column, digest: Column, country: Column) -> Column:
-    """As many digits: a country code stays, the first free digit is not 0, a valid card stays valid."""
-    free = F.substring(norm, country + 1, F.length(norm))
+def _digits(kind: Column, norm: Column, digest: Column, country: Column, more: Column) -> Column:
+    """As many digits and ``more``: a country code stays, the first free digit is not 0, a valid card stays valid."""
+    free = F.concat(F.substring(norm, country + 1, F.length(norm)), F.repeat(F.lit("0"), more))
     first = (F.lit(1) + _byte(digest, F.lit(63)) % 9).cast("string")
-    made = F.concat(F.substring(norm, F.lit(1), country), first, F.substring(_same_format(free, digest), F.lit(2), F.length(norm)))
+    made = F.concat(F.substring(norm, F.lit(1), country), first, F.substring(_same_format(free, digest), F.lit(2), F.length(free)))
     open_card = F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.lit("0"))
     valid_card = F.concat(F.substring(made, F.lit(1), F.length(made) - 1), ((F.lit(10) - _luhn_sum(open_card) % 10) % 10).cast("string"))
     return F.when((kind == "card") & (_luhn_sum(norm) % 10 == 0), valid_card).otherwise(made)
@@ -145,26 +158,31 @@ def surrogate(kind: Column, norm: Column, gender: Column, country: Column, key:
     longer = F.substring(F.sha2(F.concat(digest, F.lit("+")), 256), F.lit(1), attempt * 2)
     mail = F.concat(_same_format(local, digest), longer, F.lit("@mail"), (_byte(digest, F.lit(62)) % 10).cast("string"), F.lit(".example."), F.get(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(digest, F.lit(61)) % 3))
     ip = F.concat_ws(".", *[(1 + _byte(digest, F.lit(i)) % 254).cast("string") for i in range(4)])
-    aws = F.concat(F.lit("AKIA"), _same_format(F.substring(norm, F.lit(5), F.length(norm)), digest))
+    more = F.greatest(attempt - (EXACT_DRAWS - 1), F.lit(0)) * 2
+    tail = F.substring(F.sha2(F.concat(digest, F.lit("-")), 512), F.lit(1), more)
+    aws = F.concat(F.lit("AKIA"), _same_format(F.substring(norm, F.lit(5), F.length(norm)), digest), F.upper(tail))
+    # four numbers cannot grow: addresses that find none free get one of the range kept for documentation
+    ip = F.when(more > 0, F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(digest, F.lit(1 + 4 * i), F.lit(4))) for i in range(6)])).otherwise(ip)
     return (
-        F.when(kind.isin(*DIGIT_TYPES), _digits(kind, norm, digest, country))
+        F.when(kind.isin(*DIGIT_TYPES), _digits(kind, norm, digest, country, more))
         .when(kind == "email", mail)
         .when(kind == "ip", ip)
         .when(kind == "key", aws)
         .when(kind == "name", _name(norm, gender, digest, attempt))
-        .otherwise(_same_format(norm, digest))
+        .otherwise(F.concat(_same_format(norm, digest), tail))
     )
 
 
-def draw(entities: DataFrame, key: str, max_rounds: int = 24) -> DataFrame:
+def draw(entities: DataFrame, key: str) -> DataFrame:
     """``kind, norm, made`` for ``entities(kind, norm, gender, country)``: no two of a kind equal, none a real entity.
 
     Clashing ones but the first by normal form draw again; only their number
-    comes to the driver. Raises if a format has no room for all its entities.
+    comes to the driver. A format without room for all its entities is left for
+    longer surrogates, whose number grows with every draw, so the draws end.
     """
     real = entities.select("kind", F.col("norm").alias("shape"))
     pending, done = entities, None
-    for attempt in range(max_rounds):
+    for attempt in count():
         tried = pending.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("country"), key, F.lit(attempt)))
         tried = tried.withColumn("shape", F.lower("made")).withColumn("shape", F.when(F.col("kind").isin("email", "name"), F.col("shape")).otherwise(F.col("made")))
         taken = real if done is None else real.union(done.select("kind", "shape"))
@@ -176,7 +194,6 @@ def draw(entities: DataFrame, key: str, max_rounds: int = 24) -> DataFrame:
         pending = clash.where("not ok").select("kind", "norm", "gender", "country")
         if pending.isEmpty():
             return done.select("kind", "norm", "made")
-    raise ValueError(f"no distinct surrogates after {max_rounds} draws")
 
 
 def _formatted(kind: Column, found: Column, made: Column) -> Column:
@@ -186,7 +203,7 @@ def _formatted(kind: Column, found: Column, made: Column) -> Column:
         digit = c.rlike("^[0-9]$")
         return F.struct(F.concat(acc["out"], F.when(digit, F.substring(made, acc["k"], F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + digit.cast("int")).alias("k"))
 
-    digits = F.aggregate(_chars(found), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), fold, lambda a: a["out"])
+    digits = F.aggregate(_chars(found), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), fold, lambda a: F.concat(a["out"], F.substring(made, a["k"], F.length(made))))
     titled = F.concat(F.regexp_extract(found, rf"^({TITLE} )", 1), made)
     return F.when(kind.isin(*DIGIT_TYPES), digits).when(kind == "name", titled).otherwise(made)
 
