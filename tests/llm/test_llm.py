@@ -248,6 +248,15 @@ def test_language_on_held_out_documents(spark, small):
     assert (got.lang == got.true).mean() >= 0.97 and got.accepted.mean() >= 0.97
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, f"the plain words of document {i}", "en") for i in range(600)] + [(9000 + i, "zwykłe słowa rzadkiego języka", "pl") for i in range(2)] + [(None, "όλα χωρίς αριθμό", "el")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_text_model(d, fit_rows=20)
+    assert model.languages == ("el", "en", "pl")
+    got = language_id.identify_documents(d.withColumn("source", F.lit("s")), model).where("doc_id is null or doc_id >= 9000").collect()
+    assert sorted((r["lang"], r["accepted"]) for r in got) == [("el", True), ("pl", True), ("pl", True)]
+
+
 def test_evidence_is_fused(spark, small):
     model = language_id.fit_text_model(small)
     fr = [r["text"] for r in small.where("lang = 'fr'").limit(30).collect()]

@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import unit_hash, written
 
 GRAMS = 1 << 15
 #: A byte takes part in three trigrams, so their log likelihoods are divided by three.
 TEMPER = 1 / 3
 UNKNOWN = "und"
-#: Rows of the labelled sample on which the trigram model is fitted.
+#: Labelled rows of each language on which the trigram model is fitted, on average; all of a language that has no more.
 FIT_ROWS = 4000
 
 
@@ -67,10 +67,17 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> TextModel:
-    """Fit on the ``fit_rows`` labelled rows of least id hash; what reaches the driver is bounded by that and ``GRAMS``."""
+    """Fit on some ``fit_rows`` labelled rows of every language, so no language is lost at any size.
+
+    A language's rows are counted over all rows; those whose hash is within
+    its share are taken, and always the least. What reaches the driver is
+    bounded by the number of languages and ``GRAMS``.
+    """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(fit_rows).distinct()
-    sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit_hash(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).alias("u"))
+    upto = known.groupBy("lang").agg(F.greatest(F.min("u"), fit_rows / F.count(F.lit(1))).alias("upto"))
+    # one row a language
+    sample = known.join(F.broadcast(upto), "lang").where(F.col("u") <= F.col("upto")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
