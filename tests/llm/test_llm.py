@@ -386,6 +386,24 @@ def test_main_text(page, text):
     assert html_extract.main_text(page or "", html_extract.fitted()) == text
 
 
+A, B = "Title of five whole words", "some long text of the story that matters here"
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<html><body class='{c}'><div class='content'><h1>{A}</h1><p>{B}</p></div></body></html>" for c in ("has-sidebar", "no-sidebar", "home comments social", "menu")),
+    *(f"<html><body><nav><a href='/'>home</a></nav>{o}<h1>{A}</h1><p>{B}</p>{c}<footer>all rights reserved by us</footer></body></html>" for o, c in (
+        ("<main class='content with-sidebar'>", "</main>"), ("<div class='post share-enabled'>", "</div>"), ("<div id='form'><article>", "</article></div>"), ("<form><main>", "</main></form>"), ("<div class='layout sidebar-right'>", "</div>"), ("<div class='social'><div class='content'>", "</div></div>"))),
+    *(f"<html><body>{o}<h1>{A}</h1><div class='ad'>{'buy this now ' * n}</div><p>{B}</p>{c}</body></html>" for n in (4, 9, 300) for o, c in (("<article>", "</article>"), ("<div>", "</div>"), ("", ""))),
+])
+def test_innermost_evidence_decides_and_adverts_cost_little(page):
+    assert html_extract.main_text(page, html_extract.fitted()) == f"{A}\n\n{B}"
+
+
+def test_comments_with_bodies_of_their_own_stay_out():
+    page = f"<body><div class='content'><h1>{A}</h1><p>{B}</p></div><div class='comments'><div class='comment'><div class='content body'>{'a reader says ' * 40}</div></div></div></body>"
+    assert html_extract.main_text(page, html_extract.fitted()) == f"{A}\n\n{B}"
+
+
 def test_main_text_of_labelled_pages():
     """Held-out made-up pages: nearly all words inside, nearly none outside."""
     weights = html_extract.fitted()

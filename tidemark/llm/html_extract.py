@@ -4,6 +4,8 @@ A page is a sequence of words and tags. Words score by the elements around
 them, tags by their name, with weights fitted on labelled pages as log odds of
 lying inside the article; one linear scan finds the best contiguous region, and
 blocks inside it whose own score is negative (an advert between paragraphs) go.
+The innermost elements with evidence decide, and a block that goes costs the
+region around it little, so the article goes on behind it.
 """
 
 from __future__ import annotations
@@ -28,13 +30,46 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "d
 GENERIC = INLINE | {"html", "body", "div", "section", "p", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "table", "blockquote", "pre", "form", "footer", "header", "nav", "aside", "main"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-Piece = tuple[int, str, tuple[str, ...], int]
+#: A class or id of several words with one of these tells the state of a page or of its layout, not what an element holds.
+STATE = {"has", "no", "not", "non", "with", "without", "is", "hide", "hidden", "show", "enabled", "disabled", "enable", "disable", "on", "off", "open", "closed", "left", "right", "active", "layout", "page", "template", "theme"}
+#: Elements and words whose blocks have bodies and contents of their own, which are no article unless an element says so.
+FIRM = {"nav", "aside", "footer", "comments", "comment", "replies", "discussion", "respond"}
+#: What a text stands in within its container.
+TEXT_LEVEL = INLINE | {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption"}
+
+
+class Open:
+    """An open element: its own features, those of all elements around its content, and what its weights made of it."""
+
+    __slots__ = ("all", "box", "name", "own", "parent", "told")
+
+    def __init__(self, name: str, own: tuple[str, ...], parent: Open | None):
+        self.name, self.own, self.parent = name, own, parent
+        self.all = own if parent is None else tuple(dict.fromkeys((*parent.all, *own)))
+        #: the innermost element around that is more than a text's own
+        self.box = self if parent is None or name not in TEXT_LEVEL else parent.box
+        #: evidence of the innermost elements that have any, the outermost element of a negative block, whether it is firm
+        self.told: tuple[float, Open | None, bool] | None = (0.0, None, False) if parent is None else None
+
+
+Piece = tuple[int, str, Open, int]
+
+
+def features(name: str, attributes: str) -> tuple[str, ...]:
+    """The element's name and the words of its class, id and role; those of the page's own elements say nothing."""
+    found = {name}
+    for x in CLASSES.findall(attributes) if name not in ("html", "body") else ():
+        for token in x.lower().split():
+            words = re.findall(r"[a-z]+", token)
+            if len(words) == 1 or STATE.isdisjoint(words):
+                found.update(words)
+    return tuple(sorted(found))
 
 
 def pieces(page: str) -> Iterator[Piece]:
-    """``(kind, value, features of the open elements, block)`` in page order; kind 0 is text, 1 a tag."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    around: tuple[str, ...] = ()
+    """``(kind, value, innermost open element, block)`` in page order; kind 0 is text, 1 a tag."""
+    stack: list[Open] = []
+    around = root = Open("", (), None)
     at, block, end = 0, 0, len(page)
     last = page.rfind(">")
     while at < end:
@@ -51,23 +86,22 @@ def pieces(page: str) -> Iterator[Piece]:
         if name not in INLINE:
             block += 1
         if m.group(1):
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             if depth is not None:
                 del stack[depth:]
-                around = stack[-1][1] if stack else ()
+                around = stack[-1] if stack else root
             yield 1, name, around, block
             continue
-        while stack and name in CLOSED_BY.get(stack[-1][0], ()):
+        while stack and name in CLOSED_BY.get(stack[-1].name, ()):
             stack.pop()
-        around = stack[-1][1] if stack else ()
+        around = stack[-1] if stack else root
         yield 1, name, around, block
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
         elif name not in VOID and not m.group(3).rstrip().endswith("/"):
-            found = {name} | {w for x in CLASSES.findall(m.group(3)) for w in re.findall(r"[a-z]+", x.lower())}
-            around = tuple(dict.fromkeys((*around, *sorted(found))))
-            stack.append((name, around))
+            around = Open(name, features(name, m.group(3)), around)
+            stack.append(around)
 
 
 def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[list[tuple[Piece, bool]]]:
@@ -112,25 +146,49 @@ class Weights:
                     continue
                 n = len(value.split())
                 total[inside] += n
-                for f in around:
+                for f in around.all:
                     seen[inside][f] += n
         odds = lambda a, b, na, nb: math.log((a + 1) / (na + 2)) - math.log((b + 1) / (nb + 2))
         self.near = {f: max(-2.0, min(3.0, odds(seen[True][f], seen[False][f], total[True], total[False]))) for f in {*seen[True], *seen[False]} - GENERIC}
         self.word = 0.5
         self.tag = {t: min(-0.05, 0.1 * max(-4.0, min(0.0, odds(tags[True][t], tags[False][t], sum(tags[True].values()), sum(tags[False].values()))))) for t in {*tags[True], *tags[False]}}
 
-    def of_word(self, around: tuple[str, ...]) -> float:
-        worst = min((self.near.get(f, 0.0) for f in around), default=0.0)
-        best = max((self.near.get(f, 0.0) for f in around), default=0.0)
-        if worst < -1.0:
-            return worst
-        link = (0.2 if best > 0.5 else 1.0) if "a" in around else 0.0
+    def told(self, around: Open) -> tuple[float, Open | None, bool]:
+        """Evidence of the innermost elements that have any, with the outermost element of a negative block."""
+        chain, el = [], around
+        while el.told is None:
+            chain.append(el)
+            el = el.parent
+        for e in reversed(chain):
+            up, block, firm = e.parent.told
+            own = [self.near.get(f, 0.0) for f in e.own]
+            worst, best = min(own), max(own)
+            if e.name == "main" and best > 0.5:
+                worst = 0.0  # a page has one, whatever its layout
+            if worst < -1.0:
+                e.told = (min(worst, up), block or e, firm or not FIRM.isdisjoint(e.own))
+            elif block is None:
+                e.told = (max(up, best), None, False)
+            elif best > 0.5 and (not firm or e.name in ("article", "main")):
+                e.told = (best, None, False)
+            else:
+                e.told = e.parent.told
+        return around.told
+
+    def of_word(self, around: Open) -> float:
+        best, block, _ = self.told(around)
+        if block is not None:
+            return best
+        link = (0.2 if best > 0.5 else 1.0) if "a" in around.all else 0.0
         return self.word + max(0.0, best) * 0.5 - link
 
     def of_tag(self, name: str) -> float:
         return self.tag.get(name, -0.05)
 
 
+#: The most that a block which is removed within the article's container takes from the region around it, in the scan.
+REMOVABLE = 0.5
+
 _fitted: Weights | None = None
 
 
@@ -145,19 +203,30 @@ def fitted() -> Weights:
 def main_text(page: str, weights: Weights) -> str:
     """The best region's blocks, white space turned into one space, joined by two line feeds."""
     runs: list[tuple[float, str | None, int]] = []
-    memo: dict[tuple[str, ...], float] = {}
+    #: What each run costs in the scan, where a block that goes anyway has a bounded price.
+    scan: list[float] = []
+    box, paid, own = None, None, 0.0  # of the last article text; the block being paid for
     for kind, value, around, block in pieces(page):
+        worth, bad, _ = weights.told(around)
         if kind:
-            runs.append((weights.of_tag(value), " " if value == "br" else None, block))
-        elif value.strip():
-            w = memo.get(around)
-            if w is None:
-                w = memo[around] = weights.of_word(around)
-            runs.append((w * len(value.split()), value, block))
+            score, text = weights.of_tag(value), " " if value == "br" else None
         else:
-            runs.append((0.0, value, block))
+            score, text = (weights.of_word(around) * len(value.split()) if value.strip() else 0.0), value
+        runs.append((score, text, block))
+        if bad is None and (kind or score >= 0):
+            scan.append(score)
+            box = around.box if not kind and score > 0 else box
+            continue
+        key = bad or block
+        inside = bad.parent if bad else around
+        if key is not paid:
+            paid, own = key, 0.0
+        if score < 0 and (weights.told(inside)[0] > 0.5 or box is inside.box):
+            score = max(score, -REMOVABLE - own)
+            own += score
+        scan.append(score)
     best, total, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (score, _, _) in enumerate(runs):  # the linear scan
+    for i, score in enumerate(scan):  # the linear scan
         if total <= 0:
             total, start = 0.0, i
         total += score
