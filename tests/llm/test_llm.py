@@ -302,6 +302,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got[399]["component_id"] == 390 and got[399]["n_links"] == 9 and got[390]["kept"]
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 50_000), (64, 5_000_000), (16, 1_000_000), (8, 1_000_000), (4, 1_000_000), (3, 100_000), (2, 100_000)])
+def test_links_share_a_filter_whatever_the_size_of_a_label(dim, n):
+    rng = np.random.default_rng(1)
+    u, z = (rng.standard_normal((200, dim)) for _ in range(2))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    z -= (z * u).sum(axis=1)[:, None] * u
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    caps = cap_filters.Caps(words=int(np.ceil(np.sqrt(n * 14 / 32))))
+    own, near = caps.decode(u), caps.decode(0.98 * u + np.sqrt(1 - 0.98**2) * z)
+    assert min(map(len, own)) > 0 and sum(bool(set(a) & set(b)) for a, b in zip(own, near, strict=True)) >= 198
+    if dim == 64:
+        assert 0.8 * 42 < np.mean([len(f) for f in own]) < 1.3 * 42
+
+
 def test_blocks_of_a_large_filter(spark, monkeypatch):
     monkeypatch.setattr(cap_filters, "BLOCK", 16)
     rng = np.random.default_rng(5)

@@ -14,7 +14,6 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +29,27 @@ BLOCK = 512
 #: them on average and in more than ``APART`` with a probability below 1e-10; unrelated pairs differ in 64.
 SIGNS, APART = 128, 34
 
+#: The least angle of a cap, as a multiple of the angle of a link.
+WIDE = 2.5
+
 
 @dataclass(frozen=True)
 class Caps:
     """``words`` code words in each of two parts; caps that catch ``mean`` filters a vector on average.
 
     Product codes leave some vectors few filters, so ``rounds`` codes, each with
-    its own rotation, are used side by side.
+    its own rotation, are used side by side, and every vector has at least its
+    ``fewest`` best directions of each code. In few dimensions caps that hold
+    ``mean`` filters would be narrower than the angle of a link; there fewer
+    words keep them ``WIDE`` times as wide, and filters hold more vectors.
     """
 
     words: int
     mean: float = 14.0
     rounds: int = 3
     seed: int = 9
-
-    @property
-    def height(self) -> float:
-        """In standard deviations of the inner product of a unit vector and a direction."""
-        return NormalDist().inv_cdf(1 - min(0.5, self.mean / self.words**2))
+    fewest: int = 6
+    least: float = 0.98
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Numbers of all filters that each unit vector exceeds, ascending."""
@@ -56,22 +58,52 @@ class Caps:
 
     def _decode(self, unit: np.ndarray, r: int) -> list[np.ndarray]:
         dim = unit.shape[1]
-        turn, first, second = _code(dim, self.words, self.seed + r)
+        widest = math.cos(min(math.pi / 2, WIDE * math.acos(max(-1.0, min(1.0, self.least)))))
+        words = min(self.words, max(8, math.ceil(math.sqrt(self.mean / max(cap_share(dim, widest), 1e-300)))))
+        turn, first, second = _code(dim, words, self.seed + r)
         x = unit @ turn
         half = (dim + 1) // 2
         a, b = x[:, :half] @ first, x[:, half:] @ second
-        need = self.height / math.sqrt(dim)
-        order = np.argsort(-b, axis=1)
+        need = cap_height(dim, min(0.5, self.mean / (first.shape[1] * second.shape[1])))
+        order = np.argsort(-b, axis=1, kind="stable")
+        # the best sums are among the best few of each part
+        few = min(self.fewest, first.shape[1] * second.shape[1])
+        top = np.argsort(-a, axis=1, kind="stable")[:, :few]
         out = []
         for i in range(len(unit)):
             down = b[i, order[i]]
             reach = np.searchsorted(-down, -(need - a[i]), side="right")
-            hits = np.flatnonzero(reach)
-            own = np.concatenate([w * self.words + order[i, : reach[w]] for w in hits]) if len(hits) else np.zeros(0, np.int64)
+            if reach.sum() >= few:
+                own = np.concatenate([w * self.words + order[i, : reach[w]] for w in np.flatnonzero(reach)])
+            else:
+                sums = (a[i, top[i]][:, None] + down[:few][None, :]).ravel()
+                best = np.argsort(-sums, kind="stable")[:few]
+                width = len(down[:few])
+                own = top[i, best // width] * self.words + order[i, best % width]
             out.append(np.sort(own) + r * self.words**2)
         return out
 
 
+@lru_cache(maxsize=64)
+def _caps(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles to a direction up to a right one, and the share of all unit vectors of ``dim`` dimensions within each."""
+    angle = np.linspace(0, math.pi / 2, 1 << 16)
+    density = np.sin(angle) ** (dim - 2.0) if dim > 2 else np.ones(len(angle))
+    mass = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return angle, mass / (2 * mass[-1])
+
+
+def cap_height(dim: int, share: float) -> float:
+    """The inner product with a fixed direction that ``share`` of all unit vectors of ``dim`` dimensions exceed."""
+    angle, within = _caps(dim)
+    return float(np.cos(np.interp(share, within, angle))) if dim > 1 else 0.0
+
+
+def cap_share(dim: int, height: float) -> float:
+    angle, within = _caps(dim)
+    return float(np.interp(math.acos(height), angle, within)) if dim > 1 else 0.5
+
+
 def signature(unit: np.ndarray) -> np.ndarray:
     """128 signs of random projections, packed in 16 bytes a row."""
     planes = np.random.default_rng([4, unit.shape[1]]).standard_normal((unit.shape[1], SIGNS))
@@ -86,6 +118,7 @@ def _code(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.n
     parts = []
     for size in (half, dim - half):
         c = rng.standard_normal((max(size, 0), words))
+        c = np.unique(np.sign(c), axis=1) if size == 1 else c[:, :1] if size == 0 else c  # a line has two directions
         norm = np.sqrt((c * c).sum(axis=0, keepdims=True))
         parts.append(c / np.where(norm > 0, norm, 1) * math.sqrt(size / dim))
     return turn, parts[0], parts[1]
@@ -231,7 +264,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = keyed.where(F.col("ck").isNotNull()).groupBy("ck").agg(F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     classes = written(classes, "caps-classes")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    caps = Caps(words=max(8, math.ceil(math.sqrt(n * mean / target))), mean=mean)
+    caps = Caps(words=max(8, math.ceil(math.sqrt(n * mean / target))), mean=mean, least=least)
     vec_type, label_type = (classes.schema[c].dataType.simpleString() for c in ("vec", "label"))
     decoded = classes.mapInArrow(_decode(caps), f"ck long, label {label_type}, size long, vec {vec_type}, filters array<int>, signs binary")
     decoded = written(decoded.withColumn("label_key", F.xxhash64("label")).withColumn("dim", F.size("vec")).drop("label"), "caps-filters")
