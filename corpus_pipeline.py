@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import written
 from tidemark.llm.language_id import fit_text_model, identify_documents
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_lines, drop_repeated_runs
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import jaccard_components
 
@@ -35,9 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the chunks of lines that an earlier document has; a document that loses all of them goes."""
-    done = dedup_lines(docs)
-    gone = (F.col("removed_chunks") > 0) & (F.length(F.trim("text")) == 0)
+    """Texts without the long runs and the chunks of lines that an earlier document has; a document that loses all of them goes."""
+    done = dedup_lines(written(drop_repeated_runs(docs), "pipeline-runs"))
+    gone = (F.col("removed_chunks") + F.col("run_lines") > 0) & (F.length(F.trim("text")) == 0)
     done = done.where(~gone).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 

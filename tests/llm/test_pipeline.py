@@ -29,3 +29,29 @@ def test_one_of_each_group_stays(spark, sf):
     rows = [(5, text, "en", "s", 1), (2, text, "en", "s", 1), (9, text.replace("w40 ", "x "), "en", "s", 1), (7, "another text of its own", "en", "s", 1), (8, None, None, None, 0), (None, "no id", None, None, 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.ngram_join(spark, d, sf).collect()} == {2, 7, 8, None}
+
+
+def test_shared_runs_of_lines_go_whole(spark, sf):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    runs = {"two": [line("a", 25), line("b", 30)], "three": [line("c", 20), line("d", 20), line("e", 20)], "tail": [line("f", 40), line("g", 30), line("h", 5), line("i", 5)], "many": [line(f"m{k}x", 7) for k in range(20)]}
+    short = [line("k", 20), line("l", 20)]
+    rows, want = [], {}
+    for k, (name, run) in enumerate(runs.items()):
+        for j in range(3):
+            head, foot = line(f"head{k}{j}x", 9), line(f"foot{k}{j}x", 4)
+            own = [head, *run, foot]
+            rows.append((10 * k + j if j < 2 else None, "\n".join(own), "en", "s", 0))
+            want[head] = "\n".join(own if j == 0 else [head, foot])
+    twice = [line("z", 9), *[line("y", 30)] * 4]
+    rows += [(90, "\n".join(["x", short[0], "y", *runs["two"]]), "en", "s", 0), (91, "\n".join(short), "en", "s", 0), (92, None, "en", "s", 0), (93, "\n".join(twice), "en", "s", 0), (94, "\n".join(runs["two"]), "en", "s", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    from tidemark.llm.line_dedup import drop_repeated_runs
+
+    got = drop_repeated_runs(d.withColumn("at", F.lit("clash"))).collect()
+    texts = {(r["text"] or "").split("\n")[0]: r["text"] for r in got}
+    assert len(got) == len(rows) and {h: texts[h] for h in want} == want and {r["at"] for r in got} == {"clash"}
+    by_id = {r["doc_id"]: r["text"] for r in got}
+    assert by_id[90] == f"x\n{short[0]}\ny" and by_id[91] == "\n".join(short) and by_id[92] is None and by_id[93] == "\n".join(twice[:3]) and by_id[94] == ""
+    assert drop_repeated_runs(d.limit(0)).count() == 0
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, d, sf).collect()}
+    assert 94 not in kept and kept[1] == want[rows[1][1].split("\n")[0]]

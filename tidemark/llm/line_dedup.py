@@ -10,10 +10,10 @@ their bytes and compared byte by byte once more where they are removed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import text_of, written
 
 EVERY = 3
 LONG_WORDS = 50
@@ -94,3 +94,47 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done = joined.withColumn("__out", F.when(F.col("__gone").isNull(), whole).otherwise(F.get(F.transform(F.array(chunks), keep), 0)))
     kept = [F.col("__out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in body.columns if c != "__key"]
     return done.select(*kept, *[F.col(f"__out.{c}") for c in added])
+
+
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LONG_WORDS) -> DataFrame:
+    """``docs`` with ``text_col`` less every run of lines of ``least_words`` words or more that came before, plus ``run_lines``.
+
+    From each line on, and back from each, the fewest lines that reach
+    ``least_words`` words are a window; the windows inside a shared run depend
+    on the run alone and cover it whole, wherever it starts. Windows meet by
+    the MD5 of their lines. All occurrences but the first go, in the order of
+    ids (rows without one come last and are parted by their text), then of
+    lines; an occurrence that overlaps the first in its own text stays. Lines
+    without words do not count and go with the lines around them. Null texts
+    stay null; all columns are kept, one named as the added one is replaced.
+    """
+    body = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "run_lines"])
+    text = text_of(f"`{text_col}`")
+    row = [F.col(f"`{id_col}`").alias("__id"), F.md5(text).alias("__h")]
+    each = docs.select(*row, F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
+    each = each.select("__id", "__h", "i", F.size(F.array_remove(F.split("line", r"[ \t\r]+"), "")).cast("long").alias("words"), F.md5("line").alias("d")).where("words > 0")
+    each = each.groupBy("__id", "__h", "i").agg(F.first("words").alias("words"), F.first("d").alias("d"))  # a repeated row counts once
+    own = Window.partitionBy("__id", "__h")
+    each = each.withColumn("e", F.sum("words").over(own.orderBy("i"))).withColumn("s", F.col("e") - F.col("words"))
+    on, back = own.orderBy("s").rangeBetween(0, least_words - 1), own.orderBy("e").rangeBetween(1 - least_words, 0)
+    seen = each
+    for name, frame in (("on", on), ("back", back)):
+        made = F.struct(F.min("i").over(frame).alias("at"), F.max("i").over(frame).alias("end"), F.md5(F.array_join(F.collect_list("d").over(frame), "")).alias("key"))
+        seen = seen.withColumn(name, F.when(F.sum("words").over(frame) >= least_words, made))
+    seen = seen.select("__id", "__h", F.explode(F.array_compact(F.array_distinct(F.array("on", "back")))).alias("w")).select("__id", "__h", "w.*")
+    seen = written(seen, "line-windows")
+    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("at"), F.col("end"))
+    first = seen.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("key", "f")
+    same = F.col("__id").eqNullSafe(F.col("f.id")) & (F.col("__h") == F.col("f.h"))
+    gone = seen.join(first, "key").where(~same | (F.col("at") > F.col("f.end"))).select("__id", "__h", "at", "end").distinct()
+    # windows that touch are one range
+    before = F.max("end").over(own.orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.withColumn("new", F.coalesce(F.col("at") > before + 1, F.lit(True)).cast("int"))
+    gone = gone.withColumn("part", F.sum("new").over(own.orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    gone = gone.groupBy("__id", "__h", "part").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    gone = gone.groupBy("__id", "__h").agg(F.collect_list(F.struct("at", "end")).alias("__gone"), F.sum(F.col("end") - F.col("at") + 1).cast("int").alias("__n"))
+    gone = gone.select(F.col("__id").alias("__owner"), F.col("__h").alias("__of"), "__gone", "__n")
+    joined = body.withColumn("__h", F.md5(text)).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__owner")) & (F.col("__h") == F.col("__of")), "left")
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("__gone", lambda g: (g["at"] <= i) & (i <= g["end"])))
+    cut = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in body.columns], F.coalesce("__n", F.lit(0)).alias("run_lines"))
