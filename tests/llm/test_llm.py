@@ -217,6 +217,49 @@ def test_jaccard_equals_brute_force(spark, small, width, percent):
     assert got == want
 
 
+def test_jaccard_of_a_large_group_and_a_shared_passage(spark):
+    """More near copies than a block holds, and short texts that are one passage for the most part."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 300, 90)]
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = []
+    for _ in range(1300):
+        w = list(base)
+        for k in rng.integers(0, len(w), rng.integers(0, 4)):
+            w[k] = f"v{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    texts += [f"{passage} " + " ".join(f"q{rng.integers(0, 10**6)}" for _ in range(rng.integers(1, 12))) for _ in range(200)]
+    assert len(set(texts)) > ngram_join.BLOCK_ROWS
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), texts, 3, 90)
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (5, 255, 256, 257, 300, 1000, 1025):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for d in range(0, max(2, n // 9), max(1, n // 40)):
+            b = np.unique(np.concatenate([a[d:], rng.integers(0, 1 << 63, d).astype(np.uint64)]))
+            found = list(ngram_join.possible(np.array([len(a)]), np.array([len(b)]), [ngram_join.parity(a)], [ngram_join.parity(b)], 90))
+            assert not ngram_join.linked(a, b, 90) or sum(len(i) for i, _, _ in found) == 1
+
+
+def test_lists_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(t), int(c)) for t, c in zip(rng.integers(0, 12, 160), rng.integers(0, 40, 160), strict=True)} | {(50, 1), (51, 1), (51, 2)})
+    rows = [r for r in rows for _ in range(1 + (r[1] % 7 == 0))]
+    want = []
+    for t in sorted({t for t, _ in rows}):
+        own = sorted({c for u, c in rows if u == t})
+        want += [(own[0], c, min(own[0] % 3, c % 3), len(own) > 2) for c in own[1:]]
+    for size in (1, 2, 3, 5, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[1] % 3 for r in part], pa.int32())], ["tok", "ck", "ask"]) for part in (rows[k : k + size] for k in range(0, len(rows), size))]
+        got = [tuple(r.values()) for b in ngram_join._lists(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_jaccard_odd(spark, odd):
     got = ngram_join.jaccard_components(with_null_id(odd)).collect()
     assert len(got) == odd.count()

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one for tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process gets a folder of its own; on a
+    cluster there is no folder to fall back on, and this raises.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -45,13 +54,42 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+#: While a table is written: its shuffle files go when it stands, and batches sent to Python stay small in bytes too.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the length of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WRITING):
+        writer.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_path)
 
 
 def text_of(col: str) -> Column:
@@ -73,12 +111,14 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     contracted to edges between different labels, so a hub's edges vanish once
     its neighbours carry its label. Only the count of open edges comes to the driver.
     """
-    spark = edges.sparkSession
     live = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     live = written(live, f"{name}-edges")
     nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
     label = written(nodes.select("node", F.col("node").alias("component")), f"{name}-labels")
     for _ in range(max_rounds):
+        if live.isEmpty():
+            released(live)
+            return label
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy(F.col("a").alias("component")).agg(F.min("b").alias("near"))
         best = best.select("component", F.least("component", "near").alias("up"))
@@ -86,16 +126,13 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         jump = best.select(F.col("component").alias("up"), F.col("up").alias("up2"))
         best = best.join(jump, "up", "left").select("component", F.coalesce("up2", "up").alias("up"))
         best = written(best, f"{name}-moves")
-        label = written(
-            label.join(best, "component", "left").select("node", F.coalesce("up", "component").alias("component")),
-            f"{name}-labels",
-        )
+        moved = label.join(best, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        old, label = (label, live), written(moved, f"{name}-labels")
         to_a = best.select(F.col("component").alias("a"), F.col("up").alias("ua"))
         to_b = best.select(F.col("component").alias("b"), F.col("up").alias("ub"))
         live = live.join(to_a, "a", "left").join(to_b, "b", "left")
         live = live.select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b"))
         live = live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         live = written(live, f"{name}-edges")
-        if live.isEmpty():
-            return label
+        released(*old, best)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -5,15 +5,17 @@ threshold shares at least ``l`` shingles of both documents' prefixes of
 ``n - ceil(t n) + l``; each document picks the ``l`` of least estimated cost
 (reading its postings, and verifying the candidates that can share ``l`` of
 them), so frequent prefixes get longer and stricter. Candidates that share
-enough, and whose parity sketches leave room for it, are verified on their
+enough, and whose parity sketches leave room for a link, are verified on their
 whole sets.
 
 The order comes from a count sketch of fixed size over all documents: counts
 only steer the cost, any order keeps the join exact. Equal sets are one class
-throughout. A shingle's postings are split by size: of a short list all pairs
-are counted; a long list first links its members to hubs; members in different components
-afterwards are compared block by block, first each with its nearest alone, so
-no list is ever expanded into pairs.
+throughout. Of a shingle's postings the class of least key is the hub; the
+lists of one hub are one group, so the hundred lists that near copies share
+cost them one comparison and not a hundred. Two classes that meet in lists of
+their own alone are no group unless they share ``l`` of them. Groups are cut
+into blocks, block meets block, and what leaves a task is a spanning forest of
+the links found there: rows in proportion to the block, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,19 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, text_of, written
+from tidemark.llm.common import components, released, text_of, written
 from tidemark.llm.shingles import shingle_sets, sliced
 
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 MOST_MATCHES = 8
 VERIFY_COST = 20.0
-SHORT_LIST = 16
-BLOCK = 256
+#: Most rows and shingles of a block, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 FILTER_BITS = 1 << 24
-PARITY_BITS = 1024
+LEAST_PARITY = 256
 
 
 def needed(n: int, percent: int) -> int:
@@ -43,13 +45,10 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
-    return shingle_sets([x.as_py() for x in batch.column("text").cast(pa.binary())], width)
-
-
-def class_key(shingles: np.ndarray) -> int:
-    """Key of a set: equal sets are one class."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_key(shingles: np.ndarray, salt: int) -> tuple[int, int]:
+    """Key of a set and a check of it: equal sets are one class, and a key with two checks is a collision."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -57,53 +56,65 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """One bit for each of ``PARITY_BITS`` hash values: whether an odd number of shingles has it.
+    """One bit for each of ``b`` hash values, a power of two of ``n`` at least: whether an odd number of shingles has it.
 
     Where two sets differ in d shingles their parities differ in at most d
     bits, so the difference bounds d from below and rules pairs out safely.
+    A parity of ``2 b`` bits folds to one of ``b`` by exclusive or of its halves.
     """
-    return np.packbits(np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    bits = max(LEAST_PARITY, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _count(width: int):
-    """Per document its class, size and parity (kind 0), per task its part of the sketch (kind 1)."""
+def _count(width: int, salt: int):
+    """Per document its class, parity and set (kind 0), per task its part of the sketch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in sliced(batches):
-            sets = _sets(batch, width)
+            sets = shingle_sets([x.as_py() for x in batch.column("text").cast(pa.binary())], width)
             for s in sets:
                 sketch += np.bincount(_bucket(s), minlength=len(sketch)) if len(s) > 1 << 16 else 0
             small = [s for s in sets if len(s) <= 1 << 16]
             if small:
-                sketch += np.bincount(_bucket(np.concatenate(small)), minlength=len(sketch))
+                np.add.at(sketch, _bucket(np.concatenate(small)), 1)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("id"), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.array([parity(s) for s in sets], pa.binary())], ["kind", "id", "ck", "n", "part", "counts"])
+            keys = [class_key(s, salt) if len(s) else (None, None) for s in sets]
+            cells = [pa.array([0] * n, pa.int32()), batch.column("id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array([parity(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32())], COUNTED)
         parts = sketch.reshape(SKETCH_PARTS, -1)
         live = [p for p in range(SKETCH_PARTS) if parts[p].any()]
         n = len(live)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(live, pa.int32()), pa.array([parts[p].astype("<i8").tobytes() for p in live], pa.binary())], ["kind", "id", "ck", "n", "part", "counts"])
+        cells = [pa.array([1] * n, pa.int32()), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array([parts[p].astype("<i8").tobytes() for p in live], pa.binary()), pa.array(live, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cells, COUNTED)
 
     return run
 
 
+COUNTED = ["kind", "id", "ck", "proof", "n", "parity", "body", "part"]
+COUNTED_SQL = "kind int, id long, ck long, proof long, n long, parity binary, body binary, part int"
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the sketch parts of a partition as they come."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("body"), strict=True):
             held[part] = held.get(part, 0) + np.frombuffer(counts.as_py(), "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], ["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], ["part", "body"])
 
 
 def prefix_of(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """A set's prefix in the global order and the number of matches it asks for."""
     seen = sketch[_bucket(shingles)]
-    order = np.lexsort((shingles, seen))
     n = len(shingles)
     base = n - needed(n, percent)
     most = min(MOST_MATCHES, n - base)
-    lists = np.maximum(seen[order[: base + most]] - noise, 0.0)
+    front = np.arange(n)
+    if n > 4 * (base + most):
+        front = np.flatnonzero(seen <= np.partition(seen, base + most - 1)[base + most - 1])
+    order = front[np.lexsort((shingles[front], seen[front]))[: base + most]]
+    lists = np.maximum(seen[order] - noise, 0.0)
     read = np.cumsum(lists)[base:]
     matches = np.arange(1, most + 1)
     cost = read + VERIFY_COST * read / matches + 2 * matches
@@ -111,79 +122,85 @@ def prefix_of(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: i
     return shingles[order[: base + best]], best
 
 
-def _post(width: int, percent: int, sketch: np.ndarray):
-    noise = float(np.median(sketch)) + 3 * float(np.sqrt(np.median(sketch)))
+class Order:
+    """The global order of shingles, by the sketch of their counts."""
 
+    def __init__(self, sketch: np.ndarray, percent: int):
+        self.sketch, self.percent = sketch, percent
+        self.noise = float(np.median(sketch)) + 3 * float(np.sqrt(np.median(sketch)))
+
+    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
+        return prefix_of(shingles, self.sketch, self.noise, self.percent)
+
+
+def _post(order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in sliced(batches):
-            tok, ck, size, ask = [], [], [], []
-            for s in _sets(batch, width):
-                if len(s) and (key := class_key(s)) not in sent:
+        for batch in batches:
+            tok, ck, ask = [], [], []
+            for key, body in zip(batch.column("ck").to_pylist(), batch.column("body"), strict=True):
+                if key not in sent:
                     sent.add(key)
-                    prefix, matches = prefix_of(s, sketch, noise, percent)
+                    prefix, matches = order.prefix(np.frombuffer(body.as_py(), np.uint64))
                     tok.append(prefix)
                     ck.append(np.full(len(prefix), key))
-                    size.append(np.full(len(prefix), len(s)))
                     ask.append(np.full(len(prefix), matches, np.int32))
             if tok:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (ck, size)], pa.array(np.concatenate(ask))], ["tok", "ck", "n", "ask"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(ck)), pa.array(np.concatenate(ask))], ["tok", "ck", "ask"])
 
     return run
 
 
-def _lists(percent: int):
-    """Posting lists in order of (tok, n, ck): pairs of short ones (kind 0), members of long ones (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-        hub: list = [None, None]  # token and first class of the long list that is being streamed
-
-        def emit(kind: int, tok, a, b, ask) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(tok), pa.array(a), pa.array(b), pa.array(ask.astype(np.int32))], ["kind", "tok", "a", "b", "ask"])
-
-        def walk(cols: tuple[np.ndarray, ...], last: bool):
-            tok, n, ck, ask = cols
-            starts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1])
-            stops = np.concatenate([starts[1:], [len(tok)]])
-            rest = None
-            if not last and tok[-1] != hub[0]:  # the last list may go on in the next batch
-                rest = tuple(c[starts[-1] :] for c in cols)
-                if len(np.unique(rest[2])) > SHORT_LIST:
-                    rest = None
-                else:
-                    starts, stops = starts[:-1], stops[:-1]
-            pairs: list[tuple] = []
-            size = stops - starts
-            for s, e in zip(starts[size > 1], stops[size > 1], strict=True):
-                keep = np.concatenate([[True], ck[s + 1 : e] != ck[s : e - 1]])  # a class that several tasks have sent
-                c, m, k = ck[s:e][keep], n[s:e][keep], ask[s:e][keep]
-                if tok[s] == hub[0] or len(c) > SHORT_LIST:
-                    if tok[s] != hub[0]:
-                        hub[:2] = [tok[s], c[0]]
-                    yield emit(1, np.full(len(c), tok[s]), c, np.full(len(c), hub[1]), k)
-                    continue
-                i, j = np.triu_indices(len(c), 1)
-                fits = m[i] * 100 >= m[j] * percent
-                i, j = i[fits], j[fits]
-                if len(i):
-                    pairs.append((np.full(len(i), tok[s]), np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), np.minimum(k[i], k[j])))
-            one = starts[(size == 1) & (tok[starts] == hub[0])]
-            if len(one):
-                yield emit(1, tok[one], ck[one], np.full(len(one), hub[1]), ask[one])
-            if pairs:
-                yield emit(0, *[np.concatenate(x) for x in zip(*pairs, strict=True)])
-            return rest
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings in order of (tok, ck): each class with its list's hub; ``many`` where the list has a third class.
 
-        for batch in batches:
-            cols = tuple(np.asarray(batch.column(c)) for c in ("tok", "n", "ck", "ask"))
-            if held is not None:
-                cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
-            held = yield from walk(cols, False)
-        if held is not None and len(held[0]):
-            yield from walk(held, True)
+    A list streams by: only its first two rows are held until it is known whether a third follows.
+    """
+    held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    going: tuple | None = None  # token, hub and its ask, last class of a list of which more than two classes have passed
+
+    def walk(cols: tuple[np.ndarray, ...], last: bool):
+        nonlocal going, held
+        tok, ck, ask = cols
+        if not len(tok):
+            return None
+        keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (ck[1:] != ck[:-1])])  # a class that several tasks have sent
+        if going is not None and tok[0] == going[0] and ck[0] == going[3]:
+            keep[0] = False
+        tok, ck, ask = tok[keep], ck[keep], ask[keep]
+        if not len(tok):
+            return None
+        starts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1])
+        size = np.diff(np.concatenate([starts, [len(tok)]]))
+        goes_on = going is not None and tok[0] == going[0]
+        hub, hub_ask, many = ck[starts], ask[starts], size > 2
+        if goes_on:
+            hub[0], hub_ask[0], many[0] = going[1], going[2], True
+        open_end = len(starts) - 1
+        rows = np.ones(len(tok), bool)
+        rows[starts[1:] if goes_on else starts] = False  # the hub's own row
+        held = (tok[:0], ck[:0], ask[:0])
+        if not last:
+            if many[open_end]:
+                going = (tok[-1], hub[open_end], hub_ask[open_end], ck[-1])
+            else:
+                going = None
+                held = tuple(c[starts[open_end] :] for c in (tok, ck, ask))
+                rows[starts[open_end] :] = False
+        of = np.repeat(np.arange(len(starts)), size)[rows]
+        if not len(of):
+            return None
+        cells = [pa.array(hub[of]), pa.array(ck[rows]), pa.array(np.minimum(hub_ask[of], ask[rows])), pa.array(many[of])]
+        return pa.RecordBatch.from_arrays(cells, ["hub", "ck", "ask", "many"])
 
-    return run
+    for batch in batches:
+        own = tuple(np.asarray(batch.column(c)) for c in ("tok", "ck", "ask"))
+        out = walk(tuple(np.concatenate(x) for x in zip(held, own, strict=True)), False)
+        if out is not None:
+            yield out
+    out = walk(held, True)
+    if out is not None:
+        yield out
 
 
 class Seen:
@@ -211,128 +228,203 @@ class Seen:
         yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
 
     def __init__(self, keys: DataFrame):
-        parts = keys.mapInArrow(self.gather, "bits binary").coalesce(8).mapInArrow(self.merge, "bits binary").collect()
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for p in parts:
-            bits |= np.frombuffer(p["bits"], np.uint8)
-        self.held = np.unpackbits(bits).astype(bool)
+        parts = keys.coalesce(8).mapInArrow(self.gather, "bits binary").coalesce(1).mapInArrow(self.merge, "bits binary").collect()
+        self.held = np.frombuffer(parts[0]["bits"], np.uint8) if parts else np.zeros(FILTER_BITS // 8, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        return self.held[self.bits(keys)].all(axis=0)
+        at = self.bits(keys)
+        return ((self.held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
 
-def _fetch(width: int, wanted: Seen):
-    """Whole sets of the documents in the filter, each class once a task."""
+def _fetch(wanted: Seen):
+    """Whole sets of the classes in the filter, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            own = batch.filter(pa.array(wanted.has(np.asarray(batch.column("id")))))
-            for part in sliced(iter([own])):
-                rows = [(k, s.tobytes()) for s in _sets(part, width) if len(s) and (k := class_key(s)) not in sent and not sent.add(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["ck", "shingles"])
+            keys = np.asarray(batch.column("ck"))
+            at = [i for i in np.flatnonzero(wanted.has(keys)).tolist() if (k := int(keys[i])) not in sent and not sent.add(k)]
+            yield batch.take(pa.array(at, pa.int64()))
 
     return run
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two ascending arrays of distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = np.searchsorted(b, a)
-    same = int((b[np.minimum(both, len(b) - 1)] == a).sum())
+    same = shared(a, b)
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _possible(percent: int):
-    """Pairs whose parities leave room for a link."""
+def possible(n_a: np.ndarray, n_b: np.ndarray, p_a: list[bytes], p_b: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the pairs whose sizes and parities leave room for a link, and in how many bits they differ, some rows at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("pa", "pb")]
-            differ = np.unpackbits(bits[0] ^ bits[1], axis=1).sum(axis=1, dtype=np.int64)
-            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            # 100 i >= p u with i = (total - d) / 2 and u = (total + d) / 2
-            fits = pa.array(100 * (total - differ) >= percent * (total + differ))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(fits), batch.column("b").filter(fits)], ["a", "b"])
+    def folded(p: bytes, words: int) -> np.ndarray:
+        x = np.frombuffer(p, "<u8")
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
 
-    return run
+    lens_a, lens_b = np.array([len(p) for p in p_a]) // 8, np.array([len(p) for p in p_b]) // 8
+    for wa in np.unique(lens_a):
+        for wb in np.unique(lens_b):
+            if max(wa, wb) > 2 * min(wa, wb) and min(wa, wb) * 64 > LEAST_PARITY:
+                continue  # sizes of a pair that links are within a factor of two
+            words = int(min(wa, wb))
+            ia, ib = np.flatnonzero(lens_a == wa), np.flatnonzero(lens_b == wb)
+            x, y = (np.stack([folded(p[k], words) for k in i]) for p, i in ((p_a, ia), (p_b, ib)))
+            step = max(1, (1 << 20) // (len(ib) * words))
+            for at in range(0, len(ia), step):
+                own = ia[at : at + step]
+                differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = n_a[own][:, None] + n_b[ib][None, :]
+                differ = np.maximum(differ, np.abs(n_a[own][:, None] - n_b[ib][None, :]))
+                # 100 i >= p u with i = (total - d) / 2 and u = (total + d) / 2
+                i, j = np.nonzero(100 * (total - differ) >= percent * (total + differ))
+                yield own[i], ib[j], differ[i, j]
 
 
-def _verify_pairs(percent: int):
+GROUP = ("hub", "bi", "bj")
+
+
+def _by_group(handle, names: list[str]):
+    """Runs ``handle(rows of a group) -> columns`` over rows in order of GROUP; groups may span batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            own = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in handle(own)], names)
+
         for batch in batches:
-            x, y = batch.column("sa"), batch.column("sb")
-            hit = [linked(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit, pa.bool_())), batch.column("b").filter(pa.array(hit, pa.bool_()))], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            keys = [np.asarray(batch.column(c)) for c in GROUP]
+            cut = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if held and any(held[-1].column(c)[0].as_py() != k[s] for c, k in zip(GROUP, keys, strict=True)):
+                    yield done()
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield done()
 
     return run
 
 
-def _screen_blocks(percent: int, nearest: bool):
-    """Rows of (tok, ai, bj) in order: pairs of a side 0 and a side 1 row in different components whose parities leave room for a link.
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    side = np.asarray(rows.column("side"))
+    same = rows.column("bi")[0] == rows.column("bj")[0]
+    a = np.flatnonzero(side == 0)
+    return a, (a if same else np.flatnonzero(side == 1)), same
 
-    With ``nearest`` each row has its pair of least difference alone, so pairs
-    grow with the rows of a block and not with their square. ``differ`` tells
-    the bits in which a pair's parities differ.
-    """
 
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        side, ck, label, n = (np.asarray(rows.column(c)) for c in ("side", "ck", "label", "n"))
-        bits = np.unpackbits(np.frombuffer(b"".join(rows.column("p").to_pylist()), np.uint8).reshape(len(ck), -1), axis=1).astype(np.float32) * 2 - 1
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        differ = (PARITY_BITS - bits[a] @ bits[b].T) / 2
-        total = n[a][:, None] + n[b][None, :]
-        fits = (100 * (total - differ) >= percent * (total + differ)) & (label[a][:, None] != label[b][None, :])
-        if nearest and fits.size:
-            apart = np.where(fits, differ, np.inf)
-            i = np.concatenate([np.arange(len(a)), apart.argmin(axis=0)])
-            j = np.concatenate([apart.argmin(axis=1), np.arange(len(b))])
-            i, j = i[fits[i, j]], j[fits[i, j]]
-        else:
-            i, j = np.nonzero(fits)
-        return np.minimum(ck[a][i], ck[b][j]), np.maximum(ck[a][i], ck[b][j]), differ[i, j].astype(np.int64)
+def _screen(percent: int):
+    """The rows of a group that have a possible partner there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+    def handle(rows: pa.Table) -> list:
+        a, b, same = _sides(rows)
+        n, p = np.asarray(rows.column("n")), rows.column("parity").to_pylist()
+        hit = np.zeros(rows.num_rows, bool)
+        if len(a) and len(b):
+            for i, j, _ in possible(n[a], n[b], [p[k] for k in a], [p[k] for k in b], percent):
+                i, j = (i[i != j], j[i != j]) if same else (i, j)
+                hit[a[i]] = hit[b[j]] = True
+        return [np.asarray(rows.column(c))[hit] for c in ("ck", *GROUP, "side")]
 
-        def walk(table: pa.Table, last: bool):
-            keys = [np.asarray(table.column(c)) for c in ("tok", "ai", "bj")]
-            starts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1]).astype(int)
-            stops = np.concatenate([starts[1:], [table.num_rows]]).astype(int)
-            whole = len(starts) if last else len(starts) - 1
-            found = [pairs(table.slice(s, e - s).combine_chunks()) for s, e in zip(starts[:whole], stops[:whole], strict=True)]
-            both = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-            return np.unique(np.stack(both), axis=1), None if last else table.slice(starts[-1])
+    return _by_group(handle, ["ck", *GROUP, "side"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            found, held = walk(table if held is None else pa.concat_tables([held, table]), False)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "differ"])
-        if held is not None and held.num_rows:
-            found, _ = walk(held, True)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "differ"])
-
-    return run
 
+def forest(sets: list[np.ndarray], pairs: np.ndarray, order: Order) -> list[tuple[int, int]]:
+    """Links of a spanning forest among ``pairs`` (rows of two places and a difference, nearest first).
 
-def _open_pairs(members: DataFrame, label: DataFrame, signs: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of long lists still to verify: members outside a list's largest component meet all of its other components."""
-    held = members.select("tok", "ck").join(label.withColumnRenamed("node", "ck"), "ck", "left").select("tok", "ck", F.coalesce("component", "ck").alias("label"))
-    held = written(held, "ngram-held")
-    shares = held.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("n"))
-    shape = shares.groupBy("tok").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
-    shape = shape.select("tok", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("na"))
-    open_lists = held.join(shape, "tok")
-    own_b = F.pmod(F.xxhash64("ck", F.lit(1)), "nb").cast("int")
-    own_a = F.pmod(F.xxhash64("ck", F.lit(2)), "na").cast("int")
-    as_a = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own_a.alias("ai"), j.alias("bj"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<ai:int,bj:int,side:int>>"))
-    as_b = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.alias("ai"), own_b.alias("bj"), F.lit(1).alias("side")))
-    spread = open_lists.select("tok", "ck", "label", F.explode(F.concat(as_a, as_b)).alias("m")).select("tok", "ck", "label", "m.ai", "m.bj", "m.side")
-    light = spread.join(signs, "ck").repartition("tok", "ai", "bj").sortWithinPartitions("tok", "ai", "bj")
-    light = light.select("tok", "ck", "label", "ai", "bj", "side", "n", "p")
-    found = light.mapInArrow(_screen_blocks(percent, nearest), "a long, b long, differ long")
-    if nearest:  # of a class's pairs from all lists, the nearest
-        sides = found.select(F.explode(F.array("a", "b")).alias("ck"), F.struct("differ", "a", "b").alias("p"))
-        found = sides.groupBy("ck").agg(F.min("p").alias("p")).select("p.a", "p.b")
-    return written(found.select("a", "b").distinct(), "ngram-pairs")
+    In each round every row tries its nearest partners in other components,
+    twice as many as in the round before; a pair counts after its prefixes
+    share as much as one of them asks for.
+    """
+    prefixes: dict[int, tuple[np.ndarray, int]] = {}
+
+    def prefix(k: int) -> tuple[np.ndarray, int]:
+        if k not in prefixes:
+            tok, ask = order.prefix(sets[k])
+            prefixes[k] = np.sort(tok), ask
+        return prefixes[k]
+
+    root = np.arange(len(sets))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return int(k)
+
+    edges, tries = [], 1
+    while len(pairs):
+        top = np.array([find(k) for k in range(len(sets))])
+        pairs = pairs[top[pairs[:, 0]] != top[pairs[:, 1]]]
+        if not len(pairs):
+            break
+        chosen = np.zeros(len(pairs), bool)
+        for side in (0, 1):  # the first few of each row, as the pairs come nearest first
+            by_row = np.argsort(pairs[:, side], kind="stable")
+            own = pairs[by_row, side]
+            begin = np.concatenate([[True], own[1:] != own[:-1]])
+            rank = np.arange(len(own)) - np.maximum.accumulate(np.where(begin, np.arange(len(own)), 0))
+            chosen[by_row[rank < tries]] = True
+        for i, j in pairs[chosen, :2].tolist():
+            x, y = find(i), find(j)
+            if x == y:
+                continue
+            (p, k), (q, m) = prefix(i), prefix(j)
+            if shared(p, q) >= min(k, m) and linked(sets[i], sets[j], order.percent):
+                root[max(x, y)] = min(x, y)
+                edges.append((i, j))
+        pairs, tries = pairs[~chosen], tries * 2
+    return edges
+
+
+def _verify(order: Order):
+    """Groups with whole sets to the links of a spanning forest."""
+
+    def handle(rows: pa.Table) -> list:
+        a, b, same = _sides(rows)
+        if not len(a) or not len(b):
+            return [[], []]
+        ck = np.asarray(rows.column("ck"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("body")]
+        p, n = [parity(s) for s in sets], np.array([len(s) for s in sets])
+        found = [np.zeros((0, 3), np.int64)]
+        for i, j, differ in possible(n[a], n[b], [p[k] for k in a], [p[k] for k in b], order.percent):
+            keep = i < j if same else np.ones(len(i), bool)
+            found.append(np.stack([a[i[keep]], b[j[keep]], differ[keep]], axis=1))
+        pairs = np.concatenate(found)
+        edges = forest(sets, pairs[np.argsort(pairs[:, 2], kind="stable")], order)
+        return [ck[[e[0] for e in edges]], ck[[e[1] for e in edges]]] if edges else [[], []]
+
+    return _by_group(handle, ["a", "b"])
+
+
+def _groups(lists: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ck, hub, bi, bj, side, n, parity``: the members of every group, dealt to pairs of blocks; and the table they come from."""
+    met = lists.groupBy("hub", "ck").agg(F.count(F.lit(1)).alias("shared"), F.max("many").alias("many"), F.min("ask").alias("ask"))
+    met = met.where("many or shared >= ask").select("hub", "ck")
+    members = met.union(met.select("hub", F.col("hub").alias("ck")).distinct()).join(signs, "ck")
+    members = written(members, "ngram-members")
+    large = members.groupBy("hub").agg(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
+    placed = members.join(large.select("hub", F.ceil("blocks").cast("int").alias("blocks")), "hub", "left")
+    placed = placed.withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("ck", F.lit(3)), "blocks").cast("int")))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least("own", o).alias("bi"), F.greatest("own", o).alias("bj"), (F.col("own") > o).cast("int").alias("side")),
+    )
+    alone = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
+    spread = placed.withColumn("m", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)))
+    return spread.select("ck", "hub", "m.bi", "m.bj", "m.side", "n", "parity"), members
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -344,57 +436,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one shingle. Equal sets link, whatever their rows, so repeated rows do. A
     row with a null id takes part, and a component's id is its least id that is
     not null. Other columns are ignored, whatever their names; an empty table
-    gives an empty result. Texts are read whole.
+    gives an empty result. Texts are read whole. Shingles are told apart by 64
+    bits, sets by their shingles and 128 bits.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    first = written(rows.mapInArrow(_count(width), "kind int, id long, ck long, n long, part int, counts binary"), "ngram-sets", "kind")
-    told = first.where("kind = 0").select("id", "ck", "n", F.col("counts").alias("parity"))
-    keyed = told.select("id", "ck", "n")
-    sums = first.where("kind = 1").select("part", "counts").repartition(SKETCH_PARTS * 4, "part", F.spark_partition_id() % 4).mapInArrow(_add, "part int, counts binary")
+    for salt in range(8):
+        first = written(rows.mapInArrow(_count(width, salt), COUNTED_SQL), "ngram-sets", "kind")
+        sets = first.where("kind = 0")
+        signs = sets.where("ck is not null").groupBy("ck").agg(F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("id").alias("rep"), (F.min("proof") != F.max("proof")).alias("two"))
+        signs = written(signs, "ngram-classes")
+        if signs.where("two").isEmpty():  # else two sets have one key: new keys
+            break
+        released(first, signs)
+    sums = first.where("kind = 1").select("part", "body").repartition(SKETCH_PARTS * 4, "part", F.spark_partition_id() % 4).mapInArrow(_add, "part int, body binary")
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in sums.collect():  # at most four rows a part, of fixed size
-        sketch[r["part"]] += np.frombuffer(r["counts"], "<i8")
-    sketch = np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32)
-
-    posted = rows.mapInArrow(_post(width, percent, sketch), "tok long, ck long, n long, ask int")
-    lists = posted.repartition("tok").sortWithinPartitions("tok", "n", "ck").mapInArrow(_lists(percent), "kind int, tok long, a long, b long, ask int")
-    lists = written(lists, "ngram-lists", "kind")
-    long = lists.where("kind = 1").select("tok", F.col("a").alias("ck"), F.col("b").alias("hub")).distinct()
-    members = written(long, "ngram-long")
-    counted = lists.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask"))
-    pairs = counted.where("shared >= ask").select("a", "b")
-    best = Window.partitionBy("ck").orderBy(F.col("shared").desc(), "hub")
-    hubs = members.where("ck <> hub").groupBy("ck", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    hubs = hubs.withColumn("r", F.row_number().over(best)).where("r <= 2")
-    pairs = pairs.union(hubs.select(F.least("ck", "hub"), F.greatest("ck", "hub"))).distinct()
-    signs = told.where("ck is not null").groupBy("ck").agg(F.first("n").alias("n"), F.first("parity").alias("p"))
-    told_a, told_b = signs.toDF("a", "na", "pa"), signs.toDF("b", "nb", "pb")
-    pairs = pairs.join(told_a, "a").join(told_b, "b").mapInArrow(_possible(percent), "a long, b long")
-    pairs = written(pairs, "ngram-pairs")
-
-    reps = keyed.where("ck is not null").groupBy("ck").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    source = rows.select(F.coalesce("id", F.lit(-1)).alias("id"), "text")
-
-    def verified(some: DataFrame) -> DataFrame:
-        """The pairs that link, by the whole sets of their classes, which are read anew for them alone."""
-        involved = some.select(F.col("a").alias("ck")).union(some.select("b")).distinct()
-        wanted = Seen(involved.join(reps, "ck").select(F.coalesce("rep", F.lit(-1)).alias("id")))
-        sets = source.mapInArrow(_fetch(width, wanted), "ck long, shingles binary").join(involved, "ck", "left_semi")
-        sets = written(sets.groupBy("ck").agg(F.first("shingles").alias("shingles")), "ngram-whole")
-        met = some.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return written(met.mapInArrow(_verify_pairs(percent), "a long, b long"), "ngram-edges")
-
-    edges = verified(pairs)
-    label = components(edges, "ngram")
-
-    # Nearest pairs first: where they link, their components grow together and the last pass has few pairs left.
-    for nearest in (True, False):
-        more = verified(_open_pairs(members, label, signs, percent, nearest))
-        edges = edges.union(more)
-        label = components(edges, "ngram-all")
-    comp = label.withColumnRenamed("node", "ck")
-    placed = reps.select("ck", "rep").join(comp, "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
+        sketch[r["part"]] += np.frombuffer(r["body"], "<i8")
+    order = Order(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32), percent)
+
+    whole = sets.where("ck is not null").select("ck", "body")
+    posted = whole.mapInArrow(_post(order), "tok long, ck long, ask int")
+    lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(_lists, "hub long, ck long, ask int, many boolean")
+    lists = written(lists, "ngram-lists")
+    light, members = _groups(lists, signs.select("ck", "n", "parity"))
+    light = light.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    screened = written(light.mapInArrow(_screen(percent), "ck long, hub long, bi long, bj long, side long"), "ngram-screened")
+    released(lists, members)
+    wanted = Seen(screened.select("ck"))
+    bodies = whole.mapInArrow(_fetch(wanted), "ck long, body binary").join(screened.select("ck").distinct(), "ck", "left_semi")
+    bodies = written(bodies.groupBy("ck").agg(F.first("body").alias("body")), "ngram-whole")
+    paid = screened.join(bodies, "ck").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    edges = written(paid.mapInArrow(_verify(order), "a long, b long"), "ngram-edges")
+    released(screened, bodies)
+    comp = components(edges, "ngram").withColumnRenamed("node", "ck")
+    placed = signs.select("ck", "rep").join(comp, "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(least, "component").select("ck", "component_id")
-    out = keyed.join(of_class, "ck", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("ck").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    told = sets.select("id", "ck", "n").join(of_class, "ck", "left")
+    told = told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("ck").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    told = written(told, "ngram-told")
+    released(first, signs, edges)
+    return told
