@@ -244,16 +244,17 @@ def test_parities_never_rule_out_a_link():
             assert not ngram_join.linked(a, b, 90) or sum(len(i) for i, _, _ in found) == 1
 
 
-def test_lists_across_batches():
+def test_lists_across_batches(monkeypatch):
     import pyarrow as pa
 
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
     rng = np.random.default_rng(5)
-    rows = sorted({(int(t), int(c)) for t, c in zip(rng.integers(0, 12, 160), rng.integers(0, 40, 160), strict=True)} | {(50, 1), (51, 1), (51, 2)})
+    rows = sorted({(int(t), int(c)) for t, c in zip(rng.integers(0, 30, 160), rng.integers(0, 40, 160), strict=True)} | {(50, 1), (51, 1), (51, 2)} | {(40, k) for k in range(25)})
     rows = [r for r in rows for _ in range(1 + (r[1] % 7 == 0))]
     want = []
     for t in sorted({t for t, _ in rows}):
         own = sorted({c for u, c in rows if u == t})
-        want += [(own[0], c, min(own[0] % 3, c % 3), len(own) > 2) for c in own[1:]]
+        want += [(1, own[0], c, c % 3) for c in own[1:]] if len(own) > 4 else [(0, a, b, min(a % 3, b % 3)) for i, a in enumerate(own) for b in own[i + 1 :]]
     for size in (1, 2, 3, 5, 1000):
         batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[1] % 3 for r in part], pa.int32())], ["tok", "ck", "ask"]) for part in (rows[k : k + size] for k in range(0, len(rows), size))]
         got = [tuple(r.values()) for b in ngram_join._lists(iter(batches)) for r in b.to_pylist()]

@@ -10,12 +10,15 @@ whole sets.
 
 The order comes from a count sketch of fixed size over all documents: counts
 only steer the cost, any order keeps the join exact. Equal sets are one class
-throughout. Of a shingle's postings the class of least key is the hub; the
+throughout. Of a shingle's postings, a short list gives its pairs, which count
+the prefix shingles they share; the pairs that share as many as one of them
+asks for are candidates. In a long list the class of least key is the hub; the
 lists of one hub are one group, so the hundred lists that near copies share
-cost them one comparison and not a hundred. Two classes that meet in lists of
-their own alone are no group unless they share ``l`` of them. Groups are cut
-into blocks, block meets block, and what leaves a task is a spanning forest of
-the links found there: rows in proportion to the block, never its pairs.
+cost them one comparison of parities and not a hundred. Candidates of both
+kinds make bundles, each class in one, and its whole set is sent there alone.
+Groups and bundles are cut into blocks, block meets block, and what leaves a
+task is a spanning forest of the links found there: rows in proportion to the
+block, never its pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ from tidemark.llm.shingles import shingle_sets, sliced
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 MOST_MATCHES = 8
 VERIFY_COST = 20.0
+#: Of the documents that share a prefix shingle by chance, the part that shares one more.
+BY_CHANCE = 0.2
+SHORT_LIST = 16
 #: Most rows and shingles of a block, on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 FILTER_BITS = 1 << 24
@@ -114,10 +120,11 @@ def prefix_of(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: i
     if n > 4 * (base + most):
         front = np.flatnonzero(seen <= np.partition(seen, base + most - 1)[base + most - 1])
     order = front[np.lexsort((shingles[front], seen[front]))[: base + most]]
-    lists = np.maximum(seen[order] - noise, 0.0)
+    # what the noise of the sketch hides is a small list, too
+    lists = np.maximum(seen[order] - noise, 0.0) + BY_CHANCE * max(0.0, 1 - 1 / max(noise, 1.0))
     read = np.cumsum(lists)[base:]
     matches = np.arange(1, most + 1)
-    cost = read + VERIFY_COST * read / matches + 2 * matches
+    cost = read + VERIFY_COST * read * BY_CHANCE ** (matches - 1.0) + matches
     best = int(np.argmin(cost)) + 1
     return shingles[order[: base + best]], best
 
@@ -152,55 +159,53 @@ def _post(order: Order):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings in order of (tok, ck): each class with its list's hub; ``many`` where the list has a third class.
+    """Postings in order of (tok, ck): the pairs of short lists (kind 0), each class of a long one with its hub (kind 1).
 
-    A list streams by: only its first two rows are held until it is known whether a third follows.
+    A list streams by: its rows are held until it is known to be long.
     """
     held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    going: tuple | None = None  # token, hub and its ask, last class of a list of which more than two classes have passed
+    going: tuple | None = None  # token, hub and last class of a long list of which rows may follow
 
-    def walk(cols: tuple[np.ndarray, ...], last: bool):
+    def emit(kind: int, a: np.ndarray, b: np.ndarray, ask: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(ask.astype(np.int32))], ["kind", "a", "b", "ask"])
+
+    def walk(cols: tuple[np.ndarray, ...], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal going, held
         tok, ck, ask = cols
         if not len(tok):
-            return None
+            return
         keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (ck[1:] != ck[:-1])])  # a class that several tasks have sent
-        if going is not None and tok[0] == going[0] and ck[0] == going[3]:
+        if going is not None and tok[0] == going[0] and ck[0] == going[2]:
             keep[0] = False
         tok, ck, ask = tok[keep], ck[keep], ask[keep]
         if not len(tok):
-            return None
+            return
         starts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1])
         size = np.diff(np.concatenate([starts, [len(tok)]]))
+        long, hub = size > SHORT_LIST, ck[starts]
         goes_on = going is not None and tok[0] == going[0]
-        hub, hub_ask, many = ck[starts], ask[starts], size > 2
         if goes_on:
-            hub[0], hub_ask[0], many[0] = going[1], going[2], True
-        open_end = len(starts) - 1
-        rows = np.ones(len(tok), bool)
-        rows[starts[1:] if goes_on else starts] = False  # the hub's own row
-        held = (tok[:0], ck[:0], ask[:0])
+            long[0], hub[0] = True, going[1]
+        held, short = (tok[:0], ck[:0], ask[:0]), ~long & (size > 1)
         if not last:
-            if many[open_end]:
-                going = (tok[-1], hub[open_end], hub_ask[open_end], ck[-1])
-            else:
-                going = None
-                held = tuple(c[starts[open_end] :] for c in (tok, ck, ask))
-                rows[starts[open_end] :] = False
-        of = np.repeat(np.arange(len(starts)), size)[rows]
-        if not len(of):
-            return None
-        cells = [pa.array(hub[of]), pa.array(ck[rows]), pa.array(np.minimum(hub_ask[of], ask[rows])), pa.array(many[of])]
-        return pa.RecordBatch.from_arrays(cells, ["hub", "ck", "ask", "many"])
+            going = (tok[-1], hub[-1], ck[-1]) if long[-1] else None
+            if not long[-1]:
+                held = tuple(c[starts[-1] :] for c in (tok, ck, ask))
+                short[-1] = False
+        if long.any():
+            rows = np.repeat(long, size)
+            rows[starts[1:] if goes_on else starts] = False  # the hub's own row
+            yield emit(1, np.repeat(hub, size)[rows], ck[rows], ask[rows])
+        for m in np.unique(size[short]):
+            first = starts[short & (size == m)]
+            i, j = np.triu_indices(m, 1)
+            x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            yield emit(0, ck[x], ck[y], np.minimum(ask[x], ask[y]))
 
     for batch in batches:
         own = tuple(np.asarray(batch.column(c)) for c in ("tok", "ck", "ask"))
-        out = walk(tuple(np.concatenate(x) for x in zip(held, own, strict=True)), False)
-        if out is not None:
-            yield out
-    out = walk(held, True)
-    if out is not None:
-        yield out
+        yield from walk(tuple(np.concatenate(x) for x in zip(held, own, strict=True)), False)
+    yield from walk(held, True)
 
 
 class Seen:
@@ -289,7 +294,7 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, p_a: list[bytes], p_b: list[bytes
                 yield own[i], ib[j], differ[i, j]
 
 
-GROUP = ("hub", "bi", "bj")
+GROUP = ("grp", "bi", "bj")
 
 
 def _by_group(handle, names: list[str]):
@@ -325,20 +330,47 @@ def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return a, (a if same else np.flatnonzero(side == 1)), same
 
 
+class Roots:
+    """A union-find over places."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, k: int) -> int:
+        up = self.up
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    def join(self, i: int, j: int) -> bool:
+        """True if the two were apart."""
+        x, y = self.find(i), self.find(j)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+    def all(self) -> np.ndarray:
+        return np.array([self.find(k) for k in range(len(self.up))])
+
+
 def _screen(percent: int):
-    """The rows of a group that have a possible partner there."""
+    """The members of a long list's group to a spanning forest of their possible links."""
 
     def handle(rows: pa.Table) -> list:
         a, b, same = _sides(rows)
-        n, p = np.asarray(rows.column("n")), rows.column("parity").to_pylist()
-        hit = np.zeros(rows.num_rows, bool)
-        if len(a) and len(b):
-            for i, j, _ in possible(n[a], n[b], [p[k] for k in a], [p[k] for k in b], percent):
-                i, j = (i[i != j], j[i != j]) if same else (i, j)
-                hit[a[i]] = hit[b[j]] = True
-        return [np.asarray(rows.column(c))[hit] for c in ("ck", *GROUP, "side")]
+        if not len(a) or not len(b):
+            return [[], []]
+        ck, n, p = np.asarray(rows.column("ck")), np.asarray(rows.column("n")), rows.column("parity").to_pylist()
+        roots, edges = Roots(rows.num_rows), []
+        for i, j, _ in possible(n[a], n[b], [p[k] for k in a], [p[k] for k in b], percent):
+            pairs = np.stack([a[i], b[j]], axis=1)[i < j if same else slice(None)]
+            while len(pairs):  # those still apart, one a row at a time
+                top = roots.all()
+                pairs = pairs[top[pairs[:, 0]] != top[pairs[:, 1]]]
+                _, first = np.unique(pairs[:, 0], return_index=True)
+                edges += [e for e in pairs[first].tolist() if roots.join(*e)]
+        return [ck[[e[0] for e in edges]], ck[[e[1] for e in edges]]] if edges else [[], []]
 
-    return _by_group(handle, ["ck", *GROUP, "side"])
+    return _by_group(handle, ["a", "b"])
 
 
 def forest(sets: list[np.ndarray], pairs: np.ndarray, order: Order) -> list[tuple[int, int]]:
@@ -356,16 +388,9 @@ def forest(sets: list[np.ndarray], pairs: np.ndarray, order: Order) -> list[tupl
             prefixes[k] = np.sort(tok), ask
         return prefixes[k]
 
-    root = np.arange(len(sets))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return int(k)
-
-    edges, tries = [], 1
+    roots, edges, tries = Roots(len(sets)), [], 1
     while len(pairs):
-        top = np.array([find(k) for k in range(len(sets))])
+        top = roots.all()
         pairs = pairs[top[pairs[:, 0]] != top[pairs[:, 1]]]
         if not len(pairs):
             break
@@ -377,12 +402,11 @@ def forest(sets: list[np.ndarray], pairs: np.ndarray, order: Order) -> list[tupl
             rank = np.arange(len(own)) - np.maximum.accumulate(np.where(begin, np.arange(len(own)), 0))
             chosen[by_row[rank < tries]] = True
         for i, j in pairs[chosen, :2].tolist():
-            x, y = find(i), find(j)
-            if x == y:
+            if roots.find(i) == roots.find(j):
                 continue
             (p, k), (q, m) = prefix(i), prefix(j)
             if shared(p, q) >= min(k, m) and linked(sets[i], sets[j], order.percent):
-                root[max(x, y)] = min(x, y)
+                roots.join(i, j)
                 edges.append((i, j))
         pairs, tries = pairs[~chosen], tries * 2
     return edges
@@ -409,14 +433,10 @@ def _verify(order: Order):
     return _by_group(handle, ["a", "b"])
 
 
-def _groups(lists: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``ck, hub, bi, bj, side, n, parity``: the members of every group, dealt to pairs of blocks; and the table they come from."""
-    met = lists.groupBy("hub", "ck").agg(F.count(F.lit(1)).alias("shared"), F.max("many").alias("many"), F.min("ask").alias("ask"))
-    met = met.where("many or shared >= ask").select("hub", "ck")
-    members = met.union(met.select("hub", F.col("hub").alias("ck")).distinct()).join(signs, "ck")
-    members = written(members, "ngram-members")
-    large = members.groupBy("hub").agg(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
-    placed = members.join(large.select("hub", F.ceil("blocks").cast("int").alias("blocks")), "hub", "left")
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members(grp, ck, n, ...)`` to pairs of blocks of their group: adds ``bi, bj, side`` and sorts by group."""
+    large = members.groupBy("grp").agg(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
+    placed = members.join(large.select("grp", F.ceil("blocks").cast("int").alias("blocks")), "grp", "left")
     placed = placed.withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("ck", F.lit(3)), "blocks").cast("int")))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -424,7 +444,11 @@ def _groups(lists: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     alone = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
     spread = placed.withColumn("m", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)))
-    return spread.select("ck", "hub", "m.bi", "m.bj", "m.side", "n", "parity"), members
+    return spread.select(*members.columns, "m.bi", "m.bj", "m.side")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -456,18 +480,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     whole = sets.where("ck is not null").select("ck", "body")
     posted = whole.mapInArrow(_post(order), "tok long, ck long, ask int")
-    lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(_lists, "hub long, ck long, ask int, many boolean")
-    lists = written(lists, "ngram-lists")
-    light, members = _groups(lists, signs.select("ck", "n", "parity"))
-    light = light.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    screened = written(light.mapInArrow(_screen(percent), "ck long, hub long, bi long, bj long, side long"), "ngram-screened")
-    released(lists, members)
-    wanted = Seen(screened.select("ck"))
-    bodies = whole.mapInArrow(_fetch(wanted), "ck long, body binary").join(screened.select("ck").distinct(), "ck", "left_semi")
+    lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(_lists, "kind int, a long, b long, ask int")
+    lists = written(lists, "ngram-lists", "kind")
+    counted = lists.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask"))
+    pairs = counted.where("shared >= ask").select("a", "b")
+    long = lists.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("ck"))
+    long = long.union(long.select("grp", F.col("grp").alias("ck"))).distinct()
+    light = written(long.join(signs.select("ck", "n", "parity"), "ck"), "ngram-members")
+    found = _sorted(_dealt(light)).mapInArrow(_screen(percent), "a long, b long")
+    possible_links = written(pairs.union(found), "ngram-possible")
+    released(lists, light)
+    bundles = components(possible_links, "ngram-bundles")
+    members = written(bundles.toDF("ck", "grp").join(signs.select("ck", "n"), "ck"), "ngram-dealt")
+    wanted = Seen(members.select("ck"))
+    bodies = whole.mapInArrow(_fetch(wanted), "ck long, body binary").join(members.select("ck"), "ck", "left_semi")
     bodies = written(bodies.groupBy("ck").agg(F.first("body").alias("body")), "ngram-whole")
-    paid = screened.join(bodies, "ck").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    paid = _sorted(_dealt(members).select("ck", *GROUP, "side").join(bodies, "ck"))
     edges = written(paid.mapInArrow(_verify(order), "a long, b long"), "ngram-edges")
-    released(screened, bodies)
+    released(possible_links, members, bodies)
     comp = components(edges, "ngram").withColumnRenamed("node", "ck")
     placed = signs.select("ck", "rep").join(comp, "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
