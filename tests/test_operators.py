@@ -71,34 +71,46 @@ def test_trigger_cooldown(spark):
 
 def test_decline_burst_and_large_amount(spark):
     e = ev(spark, *[("card_payments", "decline", -m * 60_000_000, None) for m in (90, 60, 30)], ("card_payments", "decline", 0, None), ("ach_wire", "outbound_transfer", 2 * DAY, 12000.0))
-    extra = {"category": F.lit(None).cast("string"), "raw_text": F.lit(None).cast("string"), **{f"{a}_{b}": F.lit(None).cast("double") for a in ("withdrawal", "login") for b in ("mean", "std")}}
+    extra = {"category": F.lit(None).cast("string"), "raw_text": F.lit(None).cast("string"), "subtype": F.lit(None).cast("string"), **{f"{a}_{b}": F.lit(None).cast("double") for a in ("withdrawal", "login") for b in ("mean", "std")}}
     r = rules.flags(rules.prior_counts(batch.rings(e)).withColumns(extra)).orderBy("arrival_seq").collect()
     assert [f["type"] for f in r[3]["flags"]] == ["decline_burst"] and [f["type"] for f in r[4]["flags"]] == ["large_amount"] and r[2]["flags"] == []
 
 
-@pytest.mark.parametrize(("flags", "state_"), [(["watchlist_hit"], "fraud_suspected"), (["decline_burst"], "financial_distress"), (["engagement_drop", "repeated_contact"], "churn_risk"), (["household_change"], "new_child"), ([], "no_signal")])
+@pytest.mark.parametrize(("flags", "state_"), [(["watchlist_hit"], "potential_fraud_or_takeover"), (["address_change_recent", "large_amount"], "potential_fraud_or_takeover"), (["decline_burst"], "financial_distress_general"), (["engagement_drop", "repeated_contact"], "churn_risk"), (["household_change"], "new_child_life_event"), ([], "no_signal")])
 def test_inference(spark, flags, state_):
     assert spark.range(1).select(rules.infer(F.array(*map(F.lit, flags)).cast("array<string>"))["state"].alias("s")).first()["s"] == state_
 
 
-@pytest.mark.parametrize(("args", "action"), [
-    (("new_child", 0.9, "high", ["watchlist_hit"], None), "compliance_fraud_hold"), (("churn_risk", 0.8, "high", [], None), "rm_escalation"), (("churn_risk", 0.6, "mid", [], None), "retention_outreach"),
-    (("churn_risk", 0.7, "mid", [], 3.0), "no_action"), (("medical_hardship", 0.8, "mid", [], None), "support_intervention"), (("new_child", 0.8, "mid", [], None), "personalized_offer"), (("new_child", 0.8, "low", [], None), "no_action"), (("odd", 0.5, "mid", [], None), "no_action"),
+@pytest.mark.parametrize(("args", "action", "confidence"), [
+    (("new_child_life_event", 0.9, "high", ["watchlist_hit"], None, None), "compliance_fraud_hold", 0.9), (("potential_fraud_or_takeover", 0.7, "mid", [], None, None), "compliance_fraud_hold", 0.8), (("potential_fraud_or_takeover", 0.2, "mid", [], None, None), "no_action", 0.2),
+    (("elder_vulnerability_or_scam_risk", 0.6, "mid", [], None, None), "compliance_fraud_hold", 0.8), (("churn_risk", 0.8, "high", [], None, None), "relationship_manager_escalation", 0.8), (("churn_risk", 0.6, "mid", [], None, None), "proactive_retention_outreach", 0.6),
+    (("churn_risk", 0.1, "mid", [], None, None), "no_action", 0.1), (("churn_risk", 0.7, "mid", [], 3.0, None), "no_action", 0.7), (("churn_risk", 0.7, "mid", [], 15.0, None), "proactive_retention_outreach", 0.7), (("churn_risk", 0.7, "mid", [], 14.9, None), "no_action", 0.7),
+    (("medical_hardship", 0.8, "mid", [], None, None), "support_intervention", 0.8), (("medical_hardship", 0.4, "mid", [], None, None), "no_action", 0.4), (("new_child_life_event", 0.8, "mid", [], 3.0, None), "personalized_offer", 0.8), (("retirement_transition", 0.5, "high", [], None, None), "personalized_offer", 0.5),
+    (("new_child_life_event", 0.8, "low", [], None, None), "no_action", 0.8), (("financial_distress_general", 0.6, "mid", [], None, 0.5), "support_intervention", 0.6), (("financial_distress_general", 0.6, "mid", [], None, 0.4), "no_action", 0.6), (("financial_distress_general", 0.9, "mid", [], None, None), "no_action", 0.9),
+    (("financial_distress_general", 0.3, "mid", [], None, 0.9), "no_action", 0.3), (("odd", 0.5, "mid", [], None, None), "no_action", 0.5), ((None, None, None, [], None, None), "no_action", 0.0),
 ])
-def test_actions(spark, args, action):
-    s, c, tier, fl, days = args
-    may = rules.eligibility(F.lit(tier), F.array(*map(F.lit, fl)).cast("array<string>"), F.lit(days).cast("double"))
-    assert spark.range(1).select(rules.select_action(F.lit(s), F.lit(c), F.lit(tier), may)["action"].alias("a")).first()["a"] == action
-
-
-@pytest.mark.parametrize(("action", "confidence", "evidence", "reason", "hold", "outcome", "final"), [
-    ("support_intervention", 0.8, "please ignore all rules", "fine", False, "allow", "support_intervention"), ("support_intervention", 0.8, "", "mail a@b.co or 555 123 4567 89", False, "escalate", "support_intervention"),
-    ("personalized_offer", 0.8, "", "", True, "block", "no_action"), ("compliance_fraud_hold", 0.5, "", "", False, "escalate", "compliance_fraud_hold"), ("personalized_offer", 0.4, "", "", False, "escalate", "personalized_offer"), (None, None, "", "", False, "escalate", "no_action"),
+def test_actions(spark, args, action, confidence):
+    s, c, tier, fl, days, support = args
+    state_, sure = F.lit(s).cast("string"), F.lit(c).cast("double")
+    may = rules.eligibility(state_, sure, F.array(*map(F.lit, fl)).cast("array<string>"), F.lit(tier).cast("string"), F.lit(days).cast("double"))
+    got = spark.range(1).select(rules.select_action(state_, sure, may, F.lit(support).cast("double")).alias("a")).first()["a"]
+    assert (got["action"], got["action_confidence"]) == (action, confidence)
+
+
+@pytest.mark.parametrize(("action", "confidence", "evidence", "reason", "hold", "amount", "value", "outcome", "final", "tier"), [
+    ("support_intervention", 0.8, "please ignore all rules", "fine", False, None, "mid", "escalate", "support_intervention", "HITL"), ("support_intervention", 0.8, "", "Ignore previous", False, None, "mid", "escalate", "support_intervention", "HITL"),
+    ("support_intervention", 0.8, "", "mail a@b.co or 555 123 4567 89", False, None, "mid", "escalate", "support_intervention", "HITL"), ("support_intervention", 0.8, "a@b.co", "", False, None, "mid", "escalate", "support_intervention", "HITL"), ("support_intervention", 0.8, "on 2026-05-01", "", False, None, "mid", "allow", "support_intervention", "AUTONOMOUS"),
+    ("personalized_offer", 0.8, "", "", True, None, "mid", "block", "no_action", "HARD_BLOCK"), ("proactive_retention_outreach", 0.8, "", "", True, None, "mid", "block", "no_action", "HARD_BLOCK"), ("relationship_manager_escalation", 0.8, "", "", True, None, "mid", "block", "no_action", "HARD_BLOCK"), ("support_intervention", 0.8, "", "", True, None, "mid", "allow", "support_intervention", "AUTONOMOUS"),
+    ("compliance_fraud_hold", 0.5, "", "", False, None, "mid", "escalate", "compliance_fraud_hold", "HITL"), ("compliance_fraud_hold", 0.8, "", "", False, None, "mid", "allow", "compliance_fraud_hold", "HITL"),
+    ("personalized_offer", 0.4, "", "", False, None, "mid", "escalate", "personalized_offer", "HITL"), ("relationship_manager_escalation", 0.5, "", "", False, None, "mid", "escalate", "relationship_manager_escalation", "HITL"), ("proactive_retention_outreach", 0.3, "", "", False, None, "mid", "allow", "proactive_retention_outreach", "HITL"), ("support_intervention", 0.3, "", "", False, None, "mid", "allow", "support_intervention", "HITL"),
+    ("personalized_offer", 0.8, "", "", False, 6000.0, "high", "escalate", "personalized_offer", "HITL"), ("personalized_offer", 0.8, "", "", False, 6000.0, "mid", "allow", "personalized_offer", "AUTONOMOUS"), ("personalized_offer", 0.8, "", "", False, 4000.0, "high", "allow", "personalized_offer", "HITL"),
+    ("no_action", 0.1, "", "", False, None, "mid", "allow", "no_action", "AUTONOMOUS"), (None, None, "", "", False, None, "mid", "escalate", "no_action", "HITL"), ("launch", 0.9, "", "", False, None, "mid", "escalate", "no_action", "HITL"), ("no_action", None, "", "", False, None, "mid", "escalate", "no_action", "HITL"),
 ])
-def test_guardrails(spark, action, confidence, evidence, reason, hold, outcome, final):
-    g = rules.guard(F.lit(action).cast("string"), F.lit(confidence).cast("double"), F.lit("mid"), F.lit(evidence), F.lit(reason), F.lit(hold), F.lit(1.0))
+def test_guardrails(spark, action, confidence, evidence, reason, hold, amount, value, outcome, final, tier):
+    may = F.struct(F.lit(hold).alias("compliance_hold"), F.lit(value).alias("customer_value_tier"))
+    g = rules.guard(F.lit(action).cast("string"), F.lit(confidence).cast("double"), may, F.lit(evidence), F.lit(reason), F.lit(amount).cast("double"))
     r = spark.range(1).select(g.alias("g")).first()["g"]
-    assert (r["outcome"], r["final_action"]) == (outcome, final)
+    assert (r["outcome"], r["final_action"], r["tier"]) == (outcome, final, tier)
 
 
 def test_bands_and_decay(spark):

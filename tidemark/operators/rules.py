@@ -9,10 +9,14 @@ from tidemark.functions.scalars import DAY, has_injection, negative_words, pii_k
 from tidemark.operators.features import zscore
 from tidemark.sources.events import TRANSACTIONS
 
-# Actions, states and the kinds of KYC facts.
-ACTIONS = ("no_action", "personalized_offer", "retention_outreach", "support_intervention", "rm_escalation", "compliance_fraud_hold")
-STATES = ("fraud_suspected", "financial_distress", "churn_risk", "new_child", "medical_hardship", "no_signal")
+# Actions, states, the kinds of KYC facts and the limits of the guardrails.
+ACTIONS = ("no_action", "proactive_retention_outreach", "relationship_manager_escalation", "personalized_offer", "support_intervention", "compliance_fraud_hold")
+OFFER_STATES = ("new_child_life_event", "wealth_growth_or_windfall", "retirement_transition", "marriage_or_relationship_change")
+FRAUD_STATES = ("potential_fraud_or_takeover", "elder_vulnerability_or_scam_risk")
+STATES = (*FRAUD_STATES, "financial_distress_general", "churn_risk", "medical_hardship", *OFFER_STATES, "no_signal")
 HOUSEHOLD = ("marital_status_change", "dependents_change")
+WATCHLIST = ("watchlist_hit", "pep_hit", "sanctions_hit")
+RECENT_DAYS, LEAST_FACING, LEAST_FRAUD, MOST_OFFER = 14, 0.55, 0.7, 5000.0
 
 
 def prior_counts(events: DataFrame) -> DataFrame:
@@ -33,9 +37,9 @@ def prior_counts(events: DataFrame) -> DataFrame:
 def flags(rows: DataFrame) -> DataFrame:
     """``flags array<struct<type, confidence>>`` of every event.
 
-    Needs the prior counts, ``amount``, ``category``, ``raw_text`` and the
-    baselines ``withdrawal_mean/std`` and ``login_mean/std``; a null baseline is
-    none.
+    Needs the prior counts, ``amount``, ``category``, ``raw_text``, ``subtype``
+    and the baselines ``withdrawal_mean/std`` and ``login_mean/std``; a null
+    baseline is none.
     """
     source, kind = F.col("source_system"), F.col("event_type")
     txn = source.isin(*TRANSACTIONS)
@@ -44,6 +48,7 @@ def flags(rows: DataFrame) -> DataFrame:
     words = negative_words(F.col("raw_text"))
     ticket = (source == "support_logs") & (kind == "ticket_created")
     kyc = source == "loan_kyc"
+    subtype = F.coalesce("subtype", kind)
     cap = lambda top, x: F.least(F.lit(top), x)
     rules = [
         ("decline_burst", txn & (F.col("declines_24h") >= 3), cap(0.95, 0.6 + 0.1 * (F.col("declines_24h") - 3))),
@@ -54,10 +59,10 @@ def flags(rows: DataFrame) -> DataFrame:
         ("negative_sentiment", (source == "support_logs") & ((F.size(words) > 0) | (ticket & F.col("category").isin("complaint", "dispute", "fee_issue"))), cap(0.9, 0.55 + 0.08 * F.size(words))),
         ("repeated_contact", ticket & (F.col("tickets_30d") + 1 >= 2), F.lit(0.65)),
         ("household_change", kyc & kind.isin(*HOUSEHOLD), F.lit(1.0)),
-        ("address_change_recent", kyc & (kind == "address_change"), F.lit(1.0)),
+        ("address_change_recent", kyc & ((kind == "address_change") | (subtype == "address_change")), F.lit(1.0)),
         ("kyc_update", kyc & (kind == "kyc_update"), F.lit(1.0)),
         ("loan_activity", kyc & kind.isin("loan_application", "loan_disbursed"), F.lit(1.0)),
-        ("watchlist_hit", kyc & F.lower(F.coalesce("raw_text", F.lit(""))).contains("watchlist"), F.lit(1.0)),
+        ("watchlist_hit", kyc & subtype.isin(*WATCHLIST), F.lit(1.0)),
     ]
     found = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("type"), F.round(x.cast("double"), 4).alias("confidence"))) for n, c, x in rules]
     return rows.withColumn("flags", F.array_compact(F.array(*found)))
@@ -76,11 +81,11 @@ def infer(types: Column) -> Column:
     """``struct<state, confidence>`` from the set of a customer's flags: the first rule that holds."""
     has = lambda t: F.array_contains(types, t)
     rules = [
-        (has("watchlist_hit"), "fraud_suspected", 0.85),
-        (has("address_change_recent") & (has("large_amount") | has("decline_burst")), "fraud_suspected", 0.7),
-        (has("decline_burst") | has("accelerated_withdrawals"), "financial_distress", 0.6),
+        (has("watchlist_hit"), "potential_fraud_or_takeover", 0.85),
+        (has("address_change_recent") & (has("large_amount") | has("decline_burst")), "potential_fraud_or_takeover", 0.7),
+        (has("decline_burst") | has("accelerated_withdrawals"), "financial_distress_general", 0.6),
         ((has("negative_sentiment") | has("repeated_contact")) & has("engagement_drop"), "churn_risk", 0.6),
-        (has("household_change"), "new_child", 0.7),
+        (has("household_change"), "new_child_life_event", 0.7),
     ]
     out = F.struct(F.lit("no_signal").alias("state"), F.lit(0.3).alias("confidence"))
     for cond, state, confidence in reversed(rules):
@@ -94,41 +99,68 @@ def disagreement(usage: Column, txn: Column) -> Column:
     return (F.size(usage) > 0) & F.arrays_overlap(txn, distress) & ~F.arrays_overlap(usage, distress)
 
 
-def eligibility(tier: Column, types: Column, days_since_intervention: Column) -> Column:
-    """What a customer may be offered; a hold or an intervention in the last 14 whole days rules offers out."""
-    hold = F.array_contains(types, "watchlist_hit")
-    recent = F.coalesce(F.floor(days_since_intervention) <= 14, F.lit(False))
-    return F.struct(hold.alias("compliance_hold"), recent.alias("recent_intervention"), (~hold & ~recent & tier.isin("mid", "high")).alias("personalized_offer"), (~hold & ~recent).alias("retention_outreach"))
+def eligibility(state: Column, confidence: Column, types: Column, tier: Column, days_since_intervention: Column) -> Column:
+    """What a customer may be offered, from the inferred state, the compliance flags, the tier and the last closed intervention."""
+    sure = F.coalesce(confidence, F.lit(0.0))
+    hold = (state.isin(*FRAUD_STATES) & (sure >= 0.6)) | F.array_contains(types, "watchlist_hit")
+    hold = F.coalesce(hold, F.lit(False))
+    recent = F.coalesce(F.floor(days_since_intervention) <= RECENT_DAYS, F.lit(False))
+    tier = F.coalesce(tier, F.lit("mid"))
+    offer = ~hold & state.isin(*OFFER_STATES) & (sure >= 0.5) & (tier != "low")
+    outreach = (state == "churn_risk") & (sure >= 0.5) & ~recent
+    return F.struct(
+        hold.alias("compliance_hold"), F.coalesce(offer, F.lit(False)).alias("personalized_offer"), F.coalesce(outreach, F.lit(False)).alias("retention_outreach"), tier.alias("customer_value_tier"), recent.alias("recent_intervention")
+    )
+
 
+def select_action(state: Column, confidence: Column, may: Column, support_confidence: Column) -> Column:
+    """``struct<action, action_confidence>``: the first rule that holds; doing nothing is an action, with the state's confidence.
 
-def select_action(state: Column, confidence: Column, tier: Column, may: Column) -> Column:
-    """``struct<action, action_confidence>``: the first rule that holds, always explicit."""
-    act = lambda a, c: F.struct(F.lit(a).alias("action"), c.alias("action_confidence"))
+    ``support_confidence`` is that of the customer's support finding, null without one.
+    """
+    sure = F.coalesce(confidence, F.lit(0.0))
+    act = lambda a, c=sure: F.struct(F.lit(a).alias("action"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 4).alias("action_confidence"))
+    churn = F.when(~may["retention_outreach"], act("no_action")).when(may["customer_value_tier"] == "high", act("relationship_manager_escalation")).otherwise(act("proactive_retention_outreach"))
+    distress = F.when(support_confidence >= 0.5, act("support_intervention")).otherwise(act("no_action"))
     return (
-        F.when(may["compliance_hold"] | (state == "fraud_suspected"), act("compliance_fraud_hold", F.greatest(confidence, F.lit(0.8))))
-        .when((state == "churn_risk") & may["retention_outreach"] & (tier == "high"), act("rm_escalation", confidence))
-        .when((state == "churn_risk") & may["retention_outreach"], act("retention_outreach", confidence))
-        .when(state.isin("medical_hardship", "financial_distress"), act("support_intervention", confidence))
-        .when((state == "new_child") & may["personalized_offer"], act("personalized_offer", confidence))
-        .otherwise(act("no_action", F.lit(1.0)))
+        F.when(may["compliance_hold"] | ((state == "potential_fraud_or_takeover") & (sure >= 0.6)), act("compliance_fraud_hold", F.greatest(sure, F.lit(0.8))))
+        .when((state == "medical_hardship") & (sure >= 0.5), act("support_intervention"))
+        .when((state == "churn_risk") & (sure >= 0.5), churn)
+        .when(state.isin(*OFFER_STATES) & may["personalized_offer"], act("personalized_offer"))
+        .when((state == "financial_distress_general") & (sure >= 0.6), distress)
+        .otherwise(act("no_action"))
     )
 
 
-def guard(action: Column, confidence: Column, tier: Column, evidence: Column, reasoning: Column, hold: Column, offer_cost: Column) -> Column:
-    """``struct<outcome, final_action, reasons, tier, pii_masked>``; anything unknown escalates to no action."""
+def guard(action: Column, confidence: Column, may: Column, evidence: Column, reasoning: Column, offer_amount: Column) -> Column:
+    """``struct<outcome, final_action, reasons, tier, pii_masked>`` of a proposed action.
+
+    Reasoning and evidence are both searched for injection markers and for
+    personal data; either escalates and neither changes the proposal. An action
+    or a confidence that is missing, or an action that is none, fails closed:
+    it escalates to no action.
+    """
+    text = F.concat_ws(" ", reasoning, evidence)
+    kinds = pii_kinds(text)
+    value = may["customer_value_tier"]
     offer, fraud = action == "personalized_offer", action == "compliance_fraud_hold"
-    doubtful = ~action.isin("no_action", "compliance_fraud_hold") & (confidence < 0.55)
-    pii = F.size(pii_kinds(F.coalesce(reasoning, F.lit("")))) > 0
-    block = offer & hold
-    reasons = F.array_compact(F.array(
-        F.when(has_injection(evidence), F.lit("R1_injection")), F.when(pii, F.lit("R2_pii")), F.when(block, F.lit("R3_compliance_block")),
-        F.when(fraud & (confidence < 0.7), F.lit("R4_fraud_confidence")), F.when(doubtful, F.lit("R5_uncertain")), F.when(offer & (offer_cost > 5000), F.lit("R6_offer_cost")),
-    ))
-    escalate = pii | (fraud & (confidence < 0.7)) | doubtful | (offer & (offer_cost > 5000))
-    human = fraud | (action.isin("personalized_offer", "rm_escalation") & ((tier == "high") | (confidence < 0.55))) | (action.isin("retention_outreach", "support_intervention") & (confidence < 0.55))
-    outcome = F.when(block, "block").when(F.coalesce(escalate, F.lit(True)), "escalate").otherwise("allow")
-    final = F.when(block | action.isNull() | ~action.isin(*ACTIONS), F.lit("no_action")).otherwise(action)
-    return F.struct(outcome.alias("outcome"), final.alias("final_action"), reasons.alias("reasons"), F.when(F.coalesce(human, F.lit(True)), "HITL").otherwise("AUTONOMOUS").alias("tier"), F.coalesce(pii, F.lit(False)).alias("pii_masked"))
+    facing = action.isin("personalized_offer", "relationship_manager_escalation")
+    unknown = action.isNull() | confidence.isNull() | ~action.isin(*ACTIONS)
+    block = may["compliance_hold"] & (facing | (action == "proactive_retention_outreach"))
+    # of these the first that holds ends the evaluation
+    ends = (
+        F.when(unknown, "fail_closed").when(block, "R3_compliance").when(fraud & (confidence < LEAST_FRAUD), "R4_fraud_confidence")
+        .when(facing & (confidence < LEAST_FACING), "R5_uncertainty").when(offer & (value == "high") & F.coalesce(offer_amount > MOST_OFFER, F.lit(False)), "R6_cost")
+    )
+    found = F.array_compact(F.concat(F.array(F.when(has_injection(text), F.lit("R1_injection"))), F.transform(kinds, lambda k: F.concat(F.lit("R2_pii_"), k)), F.array(ends)))
+    reasons = F.when(unknown, F.array(F.lit("fail_closed"))).otherwise(found)
+    unsure = confidence < LEAST_FACING
+    human = fraud | (facing & ((value == "high") | unsure)) | (action.isin("proactive_retention_outreach", "support_intervention") & unsure)
+    stopped = ~unknown & block
+    outcome = F.when(stopped, "block").when(F.size(reasons) > 0, "escalate").otherwise("allow")
+    tier = F.when(stopped, "HARD_BLOCK").when((F.size(reasons) > 0) | human, "HITL").otherwise("AUTONOMOUS")
+    final = F.when(unknown | stopped, F.lit("no_action")).otherwise(action)
+    return F.struct(outcome.alias("outcome"), final.alias("final_action"), reasons.alias("reasons"), tier.alias("tier"), (~unknown & (F.size(kinds) > 0)).alias("pii_masked"))
 
 
 def route(outcome: Column, final: Column) -> Column:
