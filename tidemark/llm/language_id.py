@@ -135,9 +135,11 @@ def identify(
     """``id_col, lang, posterior, text_lang, declared, host, accepted`` of every row.
 
     ``lang`` is the language of greatest posterior, ``und`` for text that no
-    language explains better than chance and for rows whose text has fewer
-    than three bytes (null and empty texts too). A row is accepted if its
-    language is known and its posterior is at least ``accept``. Missing
+    language explains better than chance and for rows without any evidence.
+    A text of fewer than three bytes (null and empty ones too) is none; its
+    declared language, suffix and host then decide alone, and ``text_lang`` is
+    ``und``. A row is accepted if its language is known and its posterior is
+    at least ``accept``. Missing
     evidence (null) is no evidence. Ties go to the first language by name.
     Repeated rows and null ids are kept as rows; other columns are ignored,
     whatever their names; an empty table gives an empty result.
@@ -179,12 +181,19 @@ def identify(
         n_lang = len(known)
         base = (whole + 1) / (whole + 1).sum()
         spread = sum(by_code.values(), np.zeros(n_lang)) + 0.5 * len(names)
-        codes = {c: np.log((m + 0.5) / spread) for c, m in by_code.items()}
+        # a declaration counts as two texts of its language before any are seen
+        own_code = lambda c: 2.0 * np.array([k == c for k in known])
+        codes = {c: np.log((m + 0.5 + own_code(c)) / (spread + 2.0)) for c, m in by_code.items()}
         for batch in batches:
             rows = batch.num_rows
             cells = lambda c, n: np.array([x if x is not None else [0.0] * n for x in batch.column(c).to_pylist()], float).reshape(rows, n)  # noqa: B023, E731
             logs, own, has = cells("logs", n_lang + 1), cells("mass", n_lang), np.asarray(batch.column("has_text"))
 
+            told = np.array([c in known for c in batch.column("declared").to_pylist()], bool).reshape(rows)
+            for level in ("suffix", "domain", "host"):
+                told |= (cells(f"{level}_mass", n_lang) - own).sum(axis=1) > 1e-6
+            told |= has
+
             def smoothed(level: str, parent: np.ndarray) -> np.ndarray:
                 m = np.maximum(cells(f"{level}_mass", n_lang) - own, 0)  # noqa: B023
                 return (m + strength * parent) / (m.sum(axis=1, keepdims=True) + strength)
@@ -195,8 +204,8 @@ def identify(
             fused[:, -1] += np.log(0.02 / len(names))
             post = softmax(fused)
             text = softmax(logs + np.log([0.98 / n_lang] * n_lang + [0.02]))
-            pick = lambda p: pa.array([names[k] if h else UNKNOWN for k, h in zip(p.argmax(axis=1), has, strict=True)], pa.string())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pick(post), pa.array(np.where(has, post.max(axis=1), 0.0)), pick(text), batch.column("declared"), batch.column("host")], ["id", "lang", "posterior", "text_lang", "declared", "host"])
+            pick = lambda p, sure: pa.array([names[k] if h else UNKNOWN for k, h in zip(p.argmax(axis=1), sure, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pick(post, told), pa.array(np.where(told, post.max(axis=1), 0.0)), pick(text, has), batch.column("declared"), batch.column("host")], ["id", "lang", "posterior", "text_lang", "declared", "host"])
 
     told = out.mapInArrow(fuse, f"id {id_type}, lang string, posterior double, text_lang string, declared string, host string")
     told = told.withColumnRenamed("id", id_col)
