@@ -94,6 +94,8 @@ class Shard:
     def __init__(self, ids: np.ndarray, vecs: np.ndarray, order: np.ndarray, values: np.ndarray):
         self.ids, self.vecs, self.order, self.values = ids, vecs, order, values
         self.norms = np.sqrt(np.einsum("ij,ij->i", vecs, vecs))
+        #: rows that share an id take one place between them
+        self.repeated = len(np.unique(ids)) < len(ids)
 
     def windows(self, queries: np.ndarray, conf: Collisions) -> tuple[np.ndarray, np.ndarray]:
         """First and last place of every query's window, by radius and projection."""
@@ -130,11 +132,13 @@ class Shard:
                 checked[fresh] = True
                 cos = np.einsum("ij,j->i", self.vecs[fresh], query) / (self.norms[fresh] * norm)
                 at, score = np.concatenate([at, fresh]), np.concatenate([score, cos])
-                if len(at) > k:
+                if len(at) > k and not self.repeated:
                     front = np.flatnonzero(score >= np.partition(score, -k)[-k])
                     at, score = at[front], score[front]
-                best = np.lexsort((self.ids[at], -score))[:k]
-                at, score = at[best], score[best]
+                best = np.lexsort((self.ids[at], -score))
+                if self.repeated:
+                    best = best[np.sort(np.unique(self.ids[at[best]], return_index=True)[1])]
+                at, score = at[best[:k]], score[best[:k]]
             if len(at) >= k and 2 - 2 * score[-1] <= radius * radius:
                 break
         return at, score
@@ -172,7 +176,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     Queries are the rows where ``is_query``; rows with a query's id are its own
     and no candidates. Rows with a null id, and vectors that are null, empty,
     zero or hold null or non-finite components, take no part; vectors compare
-    with those of their own length. Repeated rows count once. Other columns are
+    with those of their own length. Rows that share an id take one place
+    between them, with the best score of any; so do queries that share one. Other columns are
     ignored, whatever their names; an empty table gives an empty result.
 
     Query blocks are sent to the shards, a few blocks a task: a shard is held
@@ -193,5 +198,5 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     met = homes.unionByName(visits).repartition("shard", "g").sortWithinPartitions("shard", "g", "kind")
     found = written(met.mapInArrow(_search_sorted(k, conf), "query_id long, vec_id long, score double"), "ann-found")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
