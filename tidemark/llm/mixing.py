@@ -89,7 +89,7 @@ def mix(
     rows = written(_front(rows.withColumn("extra", F.lit(False)), whole_only=True), "mix-front")
     # What one long document at the crossing left open goes to later documents that fit.
     got = rows.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got"))
-    got = got.withColumnRenamed("source", "of")
+    got = written(got.withColumnRenamed("source", "of"), "mix-got")
     rows = rows.join(got, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rows = _front(rows.withColumn("need", F.col("need") - F.col("got")).drop("got"), whole_only=False)
     copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
@@ -99,17 +99,20 @@ def mix(
 def _front(rows: DataFrame, whole_only: bool) -> DataFrame:
     """Sets ``extra`` for the front of each source's ranking that fills ``need``.
 
-    Candidates are rows not yet taken whose size fits in the need. The running
-    sum goes over bins of the rank first; only the bin where it crosses the need
-    is sorted row by row. With ``whole_only`` the sum stays below the need, else
-    it ends at the document boundary nearest to it.
+    Candidates are rows not yet taken. The running sum goes over bins of the
+    rank first; only the bin where it crosses the need is sorted row by row.
+    With ``whole_only`` the sum stays below the need; the pass after it fills
+    what one long document at the crossing left open with those that fit, and
+    ends at the document boundary nearest to the need.
     """
-    free = ~F.col("extra") & (F.col("part") > 0) & (F.col("size") <= F.col("need"))
+    free = ~F.col("extra") & (F.col("part") > 0)
+    free = free if whole_only else free & (F.col("size") <= F.col("need"))
     bins = rows.where(free).groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("need").alias("need"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cross = bins.withColumn("after", F.sum("bin_size").over(run)).where(F.col("after") > F.col("need"))
     cross = cross.groupBy(F.col("source").alias("of")).agg(F.min(F.struct("bin", (F.col("after") - F.col("bin_size")).alias("before"))).alias("x"))
-    cross = cross.select("of", F.col("x.bin").alias("at"), F.col("x.before").alias("before"))
+    # a row a source: its size is known once written, so the join broadcasts it where it is small
+    cross = written(cross.select("of", F.col("x.bin").alias("at"), F.col("x.before").alias("before")), "mix-cross")
     rows = rows.withColumn("free", free).join(cross, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     edge = F.col("free") & F.coalesce(F.col("bin") == F.col("at"), F.lit(False))
     inside = Window.partitionBy("source", "bin").orderBy("rank_key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
