@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, written
+from tidemark.llm.common import components, released, written
 from tidemark.llm.vectors import matrix, usable
 
 #: Rows of a filter that one task compares with each other; larger filters are cut into blocks, and block meets block.
@@ -260,9 +260,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     usable_row = usable(F.col("vec")) & F.col("label").isNotNull()
-    keyed = rows.withColumn("ck", F.when(usable_row, F.xxhash64("label", "vec")))
-    classes = keyed.where(F.col("ck").isNotNull()).groupBy("ck").agg(F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    classes = written(classes, "caps-classes")
+    for salt in range(8):
+        keyed = rows.withColumn("ck", F.when(usable_row, F.xxhash64(F.lit(salt), "label", "vec")))
+        classes = keyed.where(F.col("ck").isNotNull()).groupBy("ck").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("label", "vec")).alias("one"), F.max(F.struct("label", "vec")).alias("last"))
+        classes = classes.select("ck", "size", "one.label", "one.vec", (F.col("one") != F.col("last")).alias("two"))
+        classes = written(classes, "caps-classes")
+        if classes.where("two").isEmpty():  # else two vectors have one key: new keys
+            break
+        released(classes)
+    classes = classes.drop("two")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     caps = Caps(words=max(8, math.ceil(math.sqrt(n * mean / target))), mean=mean, least=least)
     vec_type, label_type = (classes.schema[c].dataType.simpleString() for c in ("vec", "label"))
