@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, written
+from tidemark.llm.common import written
 
 EVERY = 3
 LONG_WORDS = 50
@@ -60,40 +60,39 @@ def chunks_of(text: Column, every: int, long_words: int) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` less its repeated chunks, plus ``chunks``, ``removed_chunks`` and ``removed_lines``.
 
-    The first document of a chunk is the one of least id; it keeps the chunk's
-    first occurrence and loses further ones, all other documents lose every
-    one. Rows that share the first document's id count as that document. Rows
-    with a null id lose what any identified document has and keep what only
-    they have. Null texts stay null, empty texts stay empty and are never
-    removed. All columns are kept; the added names must be new, else those of
-    the input are replaced. An empty table gives an empty result.
+    A chunk's first occurrence stays and all further ones go, in the order of
+    ids, then of texts, then of places; rows without an id come last and are
+    told apart by their texts. Repeated rows (equal id and text) count as one
+    and stay alike. Null texts stay null, empty texts stay empty and are never
+    removed. All columns are kept, whatever their names; those named as the
+    added ones are replaced. An empty table gives an empty result.
     """
-    chunks = chunks_of(text_of(text_col), every, long_words)
-    each = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(chunks, lambda c: c["removable"] & (F.length(F.trim(c["chunk"])) > 0))).alias("c"))
-    each = each.select("id", F.col("c.chunk").alias("chunk"))
-    # Grouping by the chunk itself compares bytes; copies meet on the map side first.
-    repeated = each.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
-    repeated = repeated.select(F.xxhash64("chunk").alias("h"), "chunk", "first_id")
-    owners = each.select("id", F.xxhash64("chunk").alias("h")).distinct().join(repeated, "h")
-    owners = owners.groupBy("id").agg(F.collect_list(F.struct("chunk", "first_id")).alias("__gone"))
     added = ("chunks", "removed_chunks", "removed_lines")
-    body = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.struct(F.col(id_col).alias("id")).alias("__key"))
-    joined = body.join(owners.withColumnRenamed("id", "__owner"), F.col("__key.id").eqNullSafe(F.col("__owner")), "left")
+    names = [c for c in docs.columns if c not in added]
+    # everything that the input holds moves as one struct, so no name of it can clash
+    rows = docs.select(F.struct(F.lit(0).alias("\0"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    body = F.coalesce("text", F.lit(""))
+    chunks = chunks_of(body, every, long_words)
+    own = F.when(F.col("id").isNull(), F.md5(body)).otherwise(F.hex(F.xxhash64(body))).alias("own")
+    each = rows.select("id", own, F.posexplode(chunks).alias("at", "c")).where(F.col("c.removable") & (F.length(F.trim("c.chunk")) > 0))
+    each = each.select("id", "own", "at", F.col("c.chunk").alias("chunk"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "own", "at")
+    # Grouping by the chunk itself compares bytes; copies meet on the map side first.
+    repeated = each.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    repeated = repeated.select(F.xxhash64("chunk").alias("h"), "chunk", "first")
+    again = each.select("id", "own", "at", F.xxhash64("chunk").alias("h")).join(repeated, "h")
+    again = again.where(~place.eqNullSafe(F.col("first"))).select("id", "own", F.struct("at", "chunk").alias("gone")).distinct()
+    gone = again.groupBy(F.col("id").alias("of_id"), F.col("own").alias("of_own")).agg(F.map_from_entries(F.collect_list("gone")).alias("gone"))
+    joined = rows.withColumn("own", own).join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("own") == F.col("of_own")), "left")
 
     def keep(all_chunks: Column) -> Column:
-        def stays(c: Column, i: Column) -> Column:
-            same = F.filter(F.col("__gone"), lambda g: g["chunk"] == c["chunk"])
-            again = F.array_position(all_chunks["chunk"], c["chunk"]) <= i
-            return ~c["removable"] | (F.size(same) == 0) | (F.coalesce(same[0]["first_id"].eqNullSafe(F.col("__key.id")), F.lit(False)) & ~again)
-
-        left = F.filter(all_chunks, stays)
+        left = F.filter(all_chunks, lambda c, i: ~F.coalesce(F.element_at("gone", i) == c["chunk"], F.lit(False)))
         lost = F.aggregate(all_chunks, F.lit(0), lambda a, c: a + c["lines"]) - F.aggregate(left, F.lit(0), lambda a, c: a + c["lines"])
         return F.struct(F.array_join(left["chunk"], "\n").alias("text"), F.size(all_chunks).alias("chunks"), (F.size(all_chunks) - F.size(left)).alias("removed_chunks"), lost.alias("removed_lines"))
 
-    whole = F.struct(F.col(f"`{text_col}`").cast("string").alias("text"), F.size(chunks).alias("chunks"), F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines"))
-    done = joined.withColumn("__out", F.when(F.col("__gone").isNull(), whole).otherwise(F.get(F.transform(F.array(chunks), keep), 0)))
-    kept = [F.col("__out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in body.columns if c != "__key"]
-    return done.select(*kept, *[F.col(f"__out.{c}") for c in added])
+    whole = F.struct("text", F.size(chunks).alias("chunks"), F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines"))
+    done = joined.select("row", F.when(F.col("gone").isNull(), whole).otherwise(F.get(F.transform(F.array(chunks), keep), 0)).alias("out"))
+    return done.select(*[F.col("out.text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], *[F.col(f"out.{c}") for c in added])
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LONG_WORDS) -> DataFrame:
@@ -108,10 +107,11 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     without words do not count and go with the lines around them. Null texts
     stay null; all columns are kept, one named as the added one is replaced.
     """
-    body = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "run_lines"])
-    text = text_of(f"`{text_col}`")
-    row = [F.col(f"`{id_col}`").alias("__id"), F.md5(text).alias("__h")]
-    each = docs.select(*row, F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
+    names = [c for c in docs.columns if c != "run_lines"]
+    body = docs.select(F.struct(F.lit(0).alias("\0"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    body = body.withColumn("__h", F.md5(text))
+    each = body.select("__id", "__h", F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
     each = each.select("__id", "__h", "i", F.size(F.array_remove(F.split("line", r"[ \t\r]+"), "")).cast("long").alias("words"), F.md5("line").alias("d")).where("words > 0")
     each = each.groupBy("__id", "__h", "i").agg(F.first("words").alias("words"), F.first("d").alias("d"))  # a repeated row counts once
     own = Window.partitionBy("__id", "__h")
@@ -134,7 +134,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = gone.groupBy("__id", "__h", "part").agg(F.min("at").alias("at"), F.max("end").alias("end"))
     gone = gone.groupBy("__id", "__h").agg(F.collect_list(F.struct("at", "end")).alias("__gone"), F.sum(F.col("end") - F.col("at") + 1).cast("int").alias("__n"))
     gone = gone.select(F.col("__id").alias("__owner"), F.col("__h").alias("__of"), "__gone", "__n")
-    joined = body.withColumn("__h", F.md5(text)).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__owner")) & (F.col("__h") == F.col("__of")), "left")
+    joined = body.join(gone, F.col("__id").eqNullSafe(F.col("__owner")) & (F.col("__h") == F.col("__of")), "left")
     left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("__gone", lambda g: (g["at"] <= i) & (i <= g["end"])))
-    cut = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in body.columns], F.coalesce("__n", F.lit(0)).alias("run_lines"))
+    cut = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], F.coalesce("__n", F.lit(0)).alias("run_lines"))
