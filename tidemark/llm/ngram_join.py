@@ -51,6 +51,10 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    return shingle_sets([x.as_py() for x in batch.column("text").cast(pa.binary())], width)
+
+
 def class_key(shingles: np.ndarray, salt: int) -> tuple[int, int]:
     """Key of a set and a check of it: equal sets are one class, and a key with two checks is a collision."""
     digest = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
@@ -73,32 +77,29 @@ def parity(shingles: np.ndarray) -> bytes:
 
 
 def _count(width: int, salt: int):
-    """Per document its class, parity and set (kind 0), per task its part of the sketch (kind 1)."""
+    """Per document its class and parity (kind 0), per task its part of the sketch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in sliced(batches):
-            sets = shingle_sets([x.as_py() for x in batch.column("text").cast(pa.binary())], width)
+            sets = _sets(batch, width)
             for s in sets:
-                sketch += np.bincount(_bucket(s), minlength=len(sketch)) if len(s) > 1 << 16 else 0
-            small = [s for s in sets if len(s) <= 1 << 16]
-            if small:
-                np.add.at(sketch, _bucket(np.concatenate(small)), 1)
+                np.add.at(sketch, _bucket(s), 1)
             n = len(sets)
             keys = [class_key(s, salt) if len(s) else (None, None) for s in sets]
             cells = [pa.array([0] * n, pa.int32()), batch.column("id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array([parity(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32())], COUNTED)
+            yield pa.RecordBatch.from_arrays([*cells, pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32())], COUNTED)
         parts = sketch.reshape(SKETCH_PARTS, -1)
         live = [p for p in range(SKETCH_PARTS) if parts[p].any()]
         n = len(live)
-        cells = [pa.array([1] * n, pa.int32()), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array([parts[p].astype("<i8").tobytes() for p in live], pa.binary()), pa.array(live, pa.int32())]
+        cells = [pa.array([1] * n, pa.int32()), *[pa.nulls(n, pa.int64())] * 4, pa.array([parts[p].astype("<i8").tobytes() for p in live], pa.binary()), pa.array(live, pa.int32())]
         yield pa.RecordBatch.from_arrays(cells, COUNTED)
 
     return run
 
 
-COUNTED = ["kind", "id", "ck", "proof", "n", "parity", "body", "part"]
-COUNTED_SQL = "kind int, id long, ck long, proof long, n long, parity binary, body binary, part int"
+COUNTED = ["kind", "id", "ck", "proof", "n", "body", "part"]
+COUNTED_SQL = "kind int, id long, ck long, proof long, n long, body binary, part int"
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +141,15 @@ class Order:
         return prefix_of(shingles, self.sketch, self.noise, self.percent)
 
 
-def _post(order: Order):
+def _post(width: int, salt: int, order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             tok, ck, ask = [], [], []
-            for key, body in zip(batch.column("ck").to_pylist(), batch.column("body"), strict=True):
-                if key not in sent:
+            for s in _sets(batch, width):
+                if len(s) and (key := class_key(s, salt)[0]) not in sent:
                     sent.add(key)
-                    prefix, matches = order.prefix(np.frombuffer(body.as_py(), np.uint64))
+                    prefix, matches = order.prefix(s)
                     tok.append(prefix)
                     ck.append(np.full(len(prefix), key))
                     ask.append(np.full(len(prefix), matches, np.int32))
@@ -241,15 +242,16 @@ class Seen:
         return ((self.held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
 
-def _fetch(wanted: Seen):
-    """Whole sets of the classes in the filter, each once a task."""
+def _fetch(width: int, salt: int, wanted: Seen):
+    """Whole sets of the documents in the filter, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            keys = np.asarray(batch.column("ck"))
-            at = [i for i in np.flatnonzero(wanted.has(keys)).tolist() if (k := int(keys[i])) not in sent and not sent.add(k)]
-            yield batch.take(pa.array(at, pa.int64()))
+            own = batch.filter(pa.array(wanted.has(np.asarray(batch.column("id")))))
+            for part in sliced(iter([own])):
+                rows = [(k, s.tobytes()) for s in _sets(part, width) if len(s) and (k := class_key(s, salt)[0]) not in sent and not sent.add(k)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["ck", "body"])
 
     return run
 
@@ -294,6 +296,18 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, p_a: list[bytes], p_b: list[bytes
                 yield own[i], ib[j], differ[i, j]
 
 
+def _pairs(percent: int):
+    """The pairs whose sizes and parities leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            fits = [any(len(i) for i, _, _ in possible(n_a[k : k + 1], n_b[k : k + 1], [x.as_py()], [y.as_py()], percent)) for k, (x, y) in enumerate(zip(batch.column("pa"), batch.column("pb"), strict=True))]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return run
+
+
 GROUP = ("grp", "bi", "bj")
 
 
@@ -467,7 +481,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for salt in range(8):
         first = written(rows.mapInArrow(_count(width, salt), COUNTED_SQL), "ngram-sets", "kind")
         sets = first.where("kind = 0")
-        signs = sets.where("ck is not null").groupBy("ck").agg(F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("id").alias("rep"), (F.min("proof") != F.max("proof")).alias("two"))
+        signs = sets.where("ck is not null").groupBy("ck").agg(F.min("n").alias("n"), F.min("body").alias("parity"), F.min("id").alias("rep"), (F.min("proof") != F.max("proof")).alias("two"))
         signs = written(signs, "ngram-classes")
         if signs.where("two").isEmpty():  # else two sets have one key: new keys
             break
@@ -478,12 +492,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sketch[r["part"]] += np.frombuffer(r["body"], "<i8")
     order = Order(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32), percent)
 
-    whole = sets.where("ck is not null").select("ck", "body")
-    posted = whole.mapInArrow(_post(order), "tok long, ck long, ask int")
+    posted = rows.mapInArrow(_post(width, salt, order), "tok long, ck long, ask int")
     lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(_lists, "kind int, a long, b long, ask int")
     lists = written(lists, "ngram-lists", "kind")
     counted = lists.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask"))
-    pairs = counted.where("shared >= ask").select("a", "b")
+    told_a, told_b = signs.select(F.col("ck").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), signs.select(F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    pairs = written(counted.where("shared >= ask").select("a", "b"), "ngram-pairs")
+    pairs = pairs.join(told_a, "a").join(told_b, "b").mapInArrow(_pairs(percent), "a long, b long")
     long = lists.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("ck"))
     long = long.union(long.select("grp", F.col("grp").alias("ck"))).distinct()
     light = written(long.join(signs.select("ck", "n", "parity"), "ck"), "ngram-members")
@@ -491,11 +506,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     possible_links = written(pairs.union(found), "ngram-possible")
     released(lists, light)
     bundles = components(possible_links, "ngram-bundles")
-    members = written(bundles.toDF("ck", "grp").join(signs.select("ck", "n"), "ck"), "ngram-dealt")
-    wanted = Seen(members.select("ck"))
-    bodies = whole.mapInArrow(_fetch(wanted), "ck long, body binary").join(members.select("ck"), "ck", "left_semi")
+    members = written(bundles.toDF("ck", "grp").join(signs.select("ck", "n", "rep"), "ck"), "ngram-dealt")
+    wanted = Seen(members.select(F.coalesce("rep", F.lit(-1)).alias("id")))
+    source = rows.select(F.coalesce("id", F.lit(-1)).alias("id"), "text")
+    bodies = source.mapInArrow(_fetch(width, salt, wanted), "ck long, body binary").join(members.select("ck"), "ck", "left_semi")
     bodies = written(bodies.groupBy("ck").agg(F.first("body").alias("body")), "ngram-whole")
-    paid = _sorted(_dealt(members).select("ck", *GROUP, "side").join(bodies, "ck"))
+    paid = _sorted(_dealt(members.drop("rep")).select("ck", *GROUP, "side").join(bodies, "ck"))
     edges = written(paid.mapInArrow(_verify(order), "a long, b long"), "ngram-edges")
     released(possible_links, members, bodies)
     comp = components(edges, "ngram").withColumnRenamed("node", "ck")
