@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_decode
-from tidemark.llm.common import written
+from tidemark.llm.common import released, written
 from tidemark.llm.language_id import fit_text_model, identify_documents
 from tidemark.llm.line_dedup import dedup_lines, drop_repeated_runs
 from tidemark.llm.mixing import mix
@@ -22,39 +22,62 @@ from tidemark.llm.ngram_join import jaccard_components
 WIDTH, PERCENT = 5, 80
 
 
-def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``ids``, null included."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` lacks."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in ``gone``, a table whose written size decides how they meet."""
+    return docs.join(written(gone.distinct(), name), key, "left_anti").drop(key)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents have; others, and those without text, go."""
+    """Documents in a language that the labelled documents have; those that no evidence puts there go."""
     model = fit_text_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    told = identify_documents(docs, model)
-    return _having(docs, told.where("accepted"))
+    key = _unused(docs, "row_key")
+    keyed = docs.withColumn(key, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit("")))))
+    told = identify_documents(keyed, model, id_col=key)
+    return _without(keyed, key, told.where("not accepted").select(key), "pipeline-rejected").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the long runs and the chunks of lines that an earlier document has; a document that loses all of them goes."""
-    done = dedup_lines(written(drop_repeated_runs(docs), "pipeline-runs"))
+    light = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
+    done = dedup_lines(written(drop_repeated_runs(light), "pipeline-runs"))
     gone = (F.col("removed_chunks") + F.col("run_lines") > 0) & (F.length(F.trim("text")) == 0)
-    done = done.where(~gone).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.where(~gone).select(*[F.col(c) if c in ("doc_id", "text") else size.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id; rows without an id stay."""
-    comp = jaccard_components(docs, width=WIDTH, percent=PERCENT)
-    kept = _having(docs, comp.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each group of near duplicates, the one of least id; rows without an id come last, by their text.
+
+    Repeated rows are one; of rows that share an id, those that are equal in id and text.
+    """
+    key = _unused(docs, "row_key")
+    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), late))
+    comp = jaccard_components(keyed, id_col=key, width=WIDTH, percent=PERCENT)
+    kept = _without(keyed.withColumn(_unused(keyed, "again"), F.col(key)), key, comp.where(F.col(key) != F.col("component_id")).select(key), "pipeline-near")
+    again = kept.columns[-1]
+    twice = written(comp.groupBy(key).count().where("count > 1").select(F.col(key).alias(again)), "pipeline-repeated")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    alike = Window.partitionBy(again, F.md5(F.coalesce("text", F.lit("")))).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"])
+    first = kept.join(twice, again, "left_semi").withColumn(key, F.row_number().over(alike)).where(F.col(key) == 1)
+    return kept.join(twice, again, "left_anti").select(*docs.columns).union(first.select(*docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    taken = written(taken.where("__copies > 0"), "pipeline-copies")
-    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key, copies, one = (_unused(docs, c) for c in ("row_key", "row_copies", "row_copy"))
+    taken = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    taken = written(taken.where(F.col(copies) > 0), "pipeline-copies")
+    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
+    return met.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,13 +93,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", byte_bpe),
 ]
 
-#: The stages hash, sample and merge in ways that SQL cannot express; tests hold the pipeline against a brute-force version.
+#: The stages hash, sample and merge in ways that SQL cannot express; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every one but the last is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; every one but the last is written to the shared folder, and goes when the next stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            released(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import time
 
 import numpy as np
 import pandas as pd
@@ -130,6 +131,26 @@ def test_line_dedup_odd(odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_without_ids_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"b\n{long}"), (None, f"a\n{long}"), (None, f"a\n{long}"), (7, f"c\n{long}\nc"), (8, f"d\n{long}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("__gone", "__key", "__owner", "row", "id", "own", "at", "gone", "out", "of_id", "chunks"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = line_dedup.dedup_lines(d).collect()
+    assert sorted((r["text"] for r in got)) == sorted(["b", "a", "a", f"c\n{long}\nc", "d"]) and all(r["__gone"] == r["own"] == "clash" for r in got)
+    alone = line_dedup.dedup_lines(d.where("doc_id is null")).collect()
+    assert collections.Counter(r["text"].endswith(long) for r in alone) in ({True: 2, False: 1}, {True: 1, False: 2})  # the two equal rows stay alike
+
+
+def test_line_dedup_of_many_lines(spark):
+    """A document of 40,000 lines whose chunks another one has, too."""
+    text = "\n".join(f"line number {i} of a long document" for i in range(40000))
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string")).collect()}
+    assert got[1]["text"] == text and got[2]["removed_lines"] > 20000 and time.time() - began < 60
+
+
 # --- 3 nearest neighbours
 
 
@@ -167,6 +188,29 @@ def test_nearest_odd(spark):
     assert ann.nearest(v.limit(0), F.col("vec_id") % 2 == 0).count() == 0
 
 
+def test_rows_that_share_an_id_take_one_place(spark):
+    """An id with six rows leaves room for the others; its best vector counts."""
+    v = vectors(spark, [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 5 + [(1, [0.0, 1.0])] + [(k, [1.0, 0.1 * k]) for k in range(2, 9)])
+    got = [r["vec_id"] for r in ann.nearest(v, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
+
+
+def test_recall_over_many_shards(spark):
+    """Twelve shards, neighbours planted at several angles."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((150, 48))
+    x = np.concatenate([base, *[base + s * rng.standard_normal(base.shape) for s in (0.1, 0.3, 0.6, 0.9, 1.2)], rng.standard_normal((2100, 48))])
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(d, F.col("vec_id") < 150, conf=ann.Collisions(shard_rows=250)).toPandas()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(150):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 750 and hits / 750 >= 0.9
+
+
 # --- 4 n-gram join
 
 
@@ -311,6 +355,17 @@ def test_evidence_is_fused(spark, small):
     assert not got[101]["accepted"] and not got[102]["accepted"] and got[101]["lang"] == "und"
 
 
+def test_short_texts_are_told_by_their_other_evidence(spark, small):
+    model = language_id.fit_text_model(small)
+    french = [r["text"] for r in small.where("lang = 'fr' and length(text) > 200").select("text").limit(40).collect()]
+    page = lambda lang, text: f"<html{lang}><body>{text}</body></html>"
+    rows = [(i, "http://a.fr/x", page(" lang='fr'", t)) for i, t in enumerate(french)]
+    rows += [(100, "http://a.fr/y", page(" lang='fr'", "")), (101, "http://a.fr/z", page("", "")), (102, "http://b.zz/", page("", "")), (103, None, page(" lang='fr'", "")), (104, "http://a.fr/", None), (105, None, None)]
+    got = {r["page_id"]: r for r in language_id.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert all(got[i]["lang"] == "fr" and got[i]["accepted"] and got[i]["text_lang"] == "und" for i in (100, 101, 103, 104))
+    assert all(got[i]["lang"] == "und" and got[i]["posterior"] == 0 and not got[i]["accepted"] for i in (102, 105))
+
+
 def test_language_odd(spark, odd, small):
     model = language_id.fit_text_model(small)
     assert language_id.identify_documents(with_null_id(odd), model).count() == odd.count()
