@@ -553,6 +553,33 @@ def test_bpe_equals_the_library(odd, small):
             assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
 
 
+def test_every_code_point_is_split_as_the_library_does(spark):
+    """Behind a letter, a digit and a sign a code point continues the piece if and only if it is of that class."""
+    letters, digits = (set(bpe.library_class(c)) for c in "LN")
+    n = F.col("id").cast("int")
+    size = lambda head: F.size(F.regexp_extract_all(F.concat(F.lit(head), F.col("c")), F.lit(bpe.split_pattern(spark)), F.lit(0)))
+    points = spark.range(1, 0x110000).where((n < 0xD800) | (n > 0xDFFF)).select(n.alias("n"), F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32").alias("c"))
+    got = points.select("n", (size("a") == 1).alias("letter"), (size("1") == 1).alias("digit"), (size("!") == 1).alias("other")).toPandas()
+    chars = [chr(k) for k in got.n]
+    white = set(bpe.library_class("White_Space"))
+    assert (got.letter == [c in letters for c in chars]).all() and (got.digit == [c in digits for c in chars]).all()
+    assert (got.other == [c not in letters and c not in digits and c not in white for c in chars]).all()
+
+
+def test_bpe_of_new_letters_and_long_pieces(spark):
+    import tiktoken
+
+    rng = np.random.default_rng(6)
+    new = [chr(c) for c in (0x2EBF0, 0x31350, 0x323B0, 0x1E5D0, 0x1C89, 0x1E4D0, 0x11F50, 0x1E4F0)]
+    texts = [f"a{c}b 1{c}2 {c}{c} !{c}" for c in new]
+    for size in (48, 49, 60, 200, 1000, 5000):
+        texts += ["".join(rng.choice(list("abcdefgh"), size)), "=" * size, "".join(rng.choice(list("的一是不了人我在有他"), size // 3))]
+    ranks = bpe.read_ranks(bpe.default_ranks())
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_decode(docs_of(spark, texts)).collect()}
+    assert got == {i: hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() for i, ids in enumerate(map(lib.encode_ordinary, texts))}
+
+
 def test_bpe_odd(odd):
     assert bpe.encode_decode(with_null_id(odd)).count() == odd.count()
     assert bpe.encode_decode(odd.limit(0)).count() == 0

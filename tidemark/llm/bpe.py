@@ -23,19 +23,60 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
 
-#: The vocabulary's pattern with ``\s`` spelled as the property it means in it.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 BUCKETS = 1 << 14
 #: Longer pieces (runs of punctuation or letters) are merged with a heap, as folding them would be quadratic.
 FOLD_BYTES = 48
 BLOCK_PIECES = 1 << 23
 
 
+@lru_cache(maxsize=4)
+def library_class(name: str) -> str:
+    """All code points of a class as the tokenizer's library has it, asked of the library itself."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return bytes(probe.encode_ordinary("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))).decode()
+
+
+_patterns: dict[str, str] = {}
+
+
+def split_pattern(spark: SparkSession) -> str:
+    """The vocabulary's pattern for Java, whose tables lack the letters and digits that Unicode added last.
+
+    Those are found once a process, by one row, and written out as ranges.
+    ``\\s`` is spelled as the property it means in the library.
+    """
+    java = spark._jvm.java.lang.System.getProperty("java.version")
+    if java not in _patterns:
+        row = spark.createDataFrame([(library_class("L"), library_class("N"))], "l string, n string")
+        lacks = row.select(F.regexp_replace("l", r"\p{L}+", ""), F.regexp_replace("n", r"\p{N}+", "")).first()
+        letters, digits = (_ranges(sorted(map(ord, x))) for x in lacks)
+        also = lambda r: rf"[\x{{80}}-\x{{10FFFF}}&&[{r}]]" if r else ""  # noqa: E731  the cheap range first
+        other = rf"&&[^{letters}{digits}]" if letters or digits else ""
+        _patterns[java] = (
+            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}{also(letters)}]+| ?[\p{{N}}{also(digits)}]+| ?[\P{{IsWhite_Space}}&&\P{{L}}&&\P{{N}}{other}]+"
+            r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+        )
+    return _patterns[java]
+
+
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -196,6 +237,8 @@ def _assemble(path: str):
                 code_at[long_no] = np.cumsum(code_len[long_no]) - code_len[long_no]
                 codes = np.asarray(long_ids.flatten()).astype(np.int64)
                 book = batch.column("book")[i].values
+                if n_words - len(long_no) != (0 if book is None else len(book)):
+                    raise ValueError("a block came without its code book: the input gave its rows in another order when it was read again")
                 if book is not None and len(book):
                     offsets = np.frombuffer(book.buffers()[1], np.int32)[book.offset : book.offset + len(book) + 1].astype(np.int64)
                     raw = np.frombuffer(book.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -243,12 +286,13 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no ids. Repeated rows and null ids are kept as
     rows; other columns are ignored, whatever their names; an empty table gives
-    an empty result. Text is never cut. Which code points are letters or digits
-    is Java's table, which may lack those that Unicode added last.
+    an empty result. Text is never cut. Letters and digits are those of the
+    tokenizer's library. The input is read twice; one that gives its rows in
+    another order the second time (a shuffle that nothing has stored) fails.
     """
     path = path or default_ranks()
     id_type = docs.schema[id_col].dataType.simpleString()
-    pieces = F.regexp_extract_all(text_of(text_col), F.lit(PATTERN), F.lit(0)).alias("pieces")
+    pieces = F.regexp_extract_all(text_of(text_col), F.lit(split_pattern(docs.sparkSession)), F.lit(0)).alias("pieces")
     split = docs.select(F.col(id_col).alias("id"), pieces)
     words = split.mapInArrow(_blocks(path, False), "block long, words array<string>")
     words = words.select("block", F.posexplode("words").alias("no", "word")).where("word is not null")
