@@ -453,6 +453,35 @@ def test_surrogates(spark):
     assert again == {i: r["text"] for i, r in got.items()} and other[0] != again[0]
 
 
+def test_names_keep_their_person(spark):
+    texts = [
+        "Dr. Jane Doe met Ms. Doe. Then Jane Doe, not Doering, wrote to jane.doe@x.org.", "Mrs. Jane Roe and Mr. John Doe", "Mr. 王 小明 said so; 昨天王小明先生来了", "السيد محمد here", "Jane Doe unknown here",
+        "host 2001:0db8:85a3::8a2e:0370:7334 and fe80:0:0:0:1:2:3:4", "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "call 020 7946 0958 or 0171/1234567", "version 1.2.3.4 and v1.2.3.4, the token: something in a text", "order 1234567890123456",
+        "token: b7db7aa4a5fcc78305",
+    ]
+    got = [r["text"] for r in pii.pseudonymise(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    full, alone, again = re.fullmatch(r"Dr\. (\w+ \w+) met Ms\. (\w+)\. Then (\w+ \w+), not Doering, wrote to \S+@\S+\.", got[0]).groups()
+    assert full == again and full.split()[1] == alone and "Doe" not in got[0].replace("Doering", "").replace(got[0].split()[-1], "") and full.split()[0] in pii.GIVEN["Latin"]["f"]
+    first, second = re.fullmatch(r"Mrs\. (\w+ \w+) and Mr\. (\w+ \w+)", got[1]).groups()
+    assert first.split()[0] == full.split()[0] and second.split()[1] == alone and second.split()[0] in pii.GIVEN["Latin"]["m"] and first.split()[1] != alone
+    assert "小明" not in got[2] and re.fullmatch(r"Mr\. \w \w\w said so; 昨天\w{3}先生来了", got[2]) and "محمد" not in got[3] and re.fullmatch(r"السيد \w+ here", got[3])
+    assert got[4] == texts[4]  # no title in this document tells that it is a name
+    assert re.fullmatch(r"host 2001:db8(:[0-9a-f]{4}){6} and 2001:db8(:[0-9a-f]{4}){6}", got[5]) and got[5].split()[1] != got[5].split()[3]
+    spaced, tight = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20})", got[6]).groups()
+    assert spaced.replace(" ", "") == tight != "DE89370400440532013000" and int(tight[4:] + "1314" + tight[2:4]) % 97 == 1
+    assert re.fullmatch(r"call \d{3} \d{4} \d{4} or \d{4}/\d{7}", got[7]) and got[7] != texts[7] and got[8] == texts[8] and got[9] == texts[9] and re.fullmatch("token: [0-9a-f]{18}", got[10]) and got[10] != texts[10]
+
+
+def test_surrogates_beside_clashing_names_and_long_texts(spark):
+    d = spark.createDataFrame([(1, "mail a@b.co " * 3000 + "Mr. John Smith " + "and John Smith " * 2000), (None, "a@b.co"), (None, None)], "doc_id long, text string")
+    for c in ("__own", "__h", "own", "row", "found", "news", "alone", "kinds"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = pii.pseudonymise(d, "k").collect()
+    long = next(r for r in got if r["doc_id"] == 1)
+    assert long["n_entities"] == 3001 and "John" not in long["text"] and "a@b.co" not in long["text"] and long["row"] == long["__own"] == "clash" and long["kinds"] == ["email", "name"]
+    assert {r["text"] for r in got if r["doc_id"] is None} == {long["text"].split()[1], None}
+
+
 def test_surrogates_stay_distinct(spark):
     texts = [f"x{i}@a.com 123-45-{6000 + i}" for i in range(300)]
     got = [r["text"] for r in pii.pseudonymise(docs_of(spark, texts), "k").collect()]

@@ -9,6 +9,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,16 +104,53 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def contracted(pairs: np.ndarray) -> np.ndarray:
+    """The same components as ``pairs`` (two columns) in fewer and flatter edges: a star around each least node."""
+    names, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    low = np.arange(len(names))
+    while True:  # least label over the edges, with jumps
+        was = low
+        low = low.copy()
+        np.minimum.at(low, a, was[b])
+        np.minimum.at(low, b, was[a])
+        low = low[low]
+        if (low == was).all():
+            break
+    apart = np.flatnonzero(low != np.arange(len(names)))
+    return np.stack([names[low[apart]], names[apart]], axis=1)
+
+
+#: Edges that a task contracts at once.
+CONTRACT_ROWS = 1 << 18
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def done() -> pa.RecordBatch:
+        stars = contracted(np.concatenate(held)) if held else np.zeros((0, 2), np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([np.asarray(batch.column(c)) for c in ("a", "b")], axis=1))
+        if sum(map(len, held)) >= CONTRACT_ROWS:
+            yield done()
+    yield done()
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``.
 
-    Each round replaces a node's label by the smallest label around it and then
-    by its label's label, so the rounds grow with the logarithm of the longest
-    chain. Every round is written to the shared folder and the graph is
-    contracted to edges between different labels, so a hub's edges vanish once
-    its neighbours carry its label. Only the count of open edges comes to the driver.
+    Tasks first contract the edges that they read to stars. Each round then
+    replaces a node's label by the smallest label around it and that by its
+    label's label, so the rounds grow with the logarithm of the longest chain.
+    Every round is written to the shared folder and the graph is contracted to
+    edges between different labels, so a hub's edges vanish once its neighbours
+    carry its label. Only the question whether an edge is open comes to the driver.
     """
-    live = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    live = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").mapInArrow(_contract, "a long, b long").distinct()
     live = written(live, f"{name}-edges")
     nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
     label = written(nodes.select("node", F.col("node").alias("component")), f"{name}-labels")
@@ -119,7 +158,8 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         if live.isEmpty():
             released(live)
             return label
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        flat = live.mapInArrow(_contract, "a long, b long")
+        both = flat.union(flat.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy(F.col("a").alias("component")).agg(F.min("b").alias("near"))
         best = best.select("component", F.least("component", "near").alias("up"))
         # one pointer jump: where my smallest neighbour itself moves to
@@ -130,7 +170,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         old, label = (label, live), written(moved, f"{name}-labels")
         to_a = best.select(F.col("component").alias("a"), F.col("up").alias("ua"))
         to_b = best.select(F.col("component").alias("b"), F.col("up").alias("ub"))
-        live = live.join(to_a, "a", "left").join(to_b, "b", "left")
+        live = flat.join(to_a, "a", "left").join(to_b, "b", "left")
         live = live.select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b"))
         live = live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         live = written(live, f"{name}-edges")

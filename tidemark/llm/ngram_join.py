@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, released, text_of, written
+from tidemark.llm.common import components, contracted, released, text_of, written
 from tidemark.llm.shingles import shingle_sets, sliced
 
 SKETCH_BITS, SKETCH_PARTS = 20, 16
@@ -427,12 +427,12 @@ def forest(sets: list[np.ndarray], pairs: np.ndarray, order: Order) -> list[tupl
 
 
 def _verify(order: Order):
-    """Groups with whole sets to the links of a spanning forest."""
+    """Bundles with whole sets to the links of a spanning forest, as stars where the bundle is of one block: ``whole`` is 1."""
 
     def handle(rows: pa.Table) -> list:
         a, b, same = _sides(rows)
         if not len(a) or not len(b):
-            return [[], []]
+            return [[], [], []]
         ck = np.asarray(rows.column("ck"))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("body")]
         p, n = [parity(s) for s in sets], np.array([len(s) for s in sets])
@@ -442,13 +442,16 @@ def _verify(order: Order):
             found.append(np.stack([a[i[keep]], b[j[keep]], differ[keep]], axis=1))
         pairs = np.concatenate(found)
         edges = forest(sets, pairs[np.argsort(pairs[:, 2], kind="stable")], order)
-        return [ck[[e[0] for e in edges]], ck[[e[1] for e in edges]]] if edges else [[], []]
+        links = ck[np.array(edges, int).reshape(-1, 2)]
+        one = rows.column("blocks")[0].as_py() is None
+        links = contracted(links) if one and len(links) else links
+        return [links[:, 0], links[:, 1], np.full(len(links), int(one))]
 
-    return _by_group(handle, ["a", "b"])
+    return _by_group(handle, ["a", "b", "whole"])
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """``members(grp, ck, n, ...)`` to pairs of blocks of their group: adds ``bi, bj, side`` and sorts by group."""
+    """``members(grp, ck, n, ...)`` to pairs of blocks of their group: adds ``blocks`` (null for one block) and ``bi, bj, side``."""
     large = members.groupBy("grp").agg(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
     placed = members.join(large.select("grp", F.ceil("blocks").cast("int").alias("blocks")), "grp", "left")
     placed = placed.withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("ck", F.lit(3)), "blocks").cast("int")))
@@ -458,7 +461,7 @@ def _dealt(members: DataFrame) -> DataFrame:
     )
     alone = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
     spread = placed.withColumn("m", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)))
-    return spread.select(*members.columns, "m.bi", "m.bj", "m.side")
+    return spread.select(*members.columns, "blocks", "m.bi", "m.bj", "m.side")
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -511,10 +514,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = rows.select(F.coalesce("id", F.lit(-1)).alias("id"), "text")
     bodies = source.mapInArrow(_fetch(width, salt, wanted), "ck long, body binary").join(members.select("ck"), "ck", "left_semi")
     bodies = written(bodies.groupBy("ck").agg(F.first("body").alias("body")), "ngram-whole")
-    paid = _sorted(_dealt(members.drop("rep")).select("ck", *GROUP, "side").join(bodies, "ck"))
-    edges = written(paid.mapInArrow(_verify(order), "a long, b long"), "ngram-edges")
+    paid = _sorted(_dealt(members.drop("rep")).select("ck", *GROUP, "blocks", "side").join(bodies, "ck"))
+    edges = written(paid.mapInArrow(_verify(order), "a long, b long, whole long"), "ngram-edges")
     released(possible_links, members, bodies)
-    comp = components(edges, "ngram").withColumnRenamed("node", "ck")
+    # most bundles are of one block and settled where they were verified; only the links of the others have yet to meet
+    stars = edges.where("whole = 1")
+    comp = stars.select(F.col("b").alias("ck"), F.col("a").alias("component"))
+    if not (open_links := edges.where("whole = 0").select("a", "b")).isEmpty():
+        comp = comp.union(components(open_links, "ngram"))
     placed = signs.select("ck", "rep").join(comp, "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(least, "component").select("ck", "component_id")
