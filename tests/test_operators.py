@@ -209,3 +209,43 @@ def test_jsonl_and_checkpoints(spark, tmp_path):
 @pytest.mark.parametrize("kind", ["fraud_like", "ambiguous", "conflicting_signals", "no_action_stable"])
 def test_generated_ids_are_distinct(spark, kind):
     assert E.generate_scenario(spark, kind, 40).select("event_id").distinct().count() == 40
+
+
+def test_late_runs_count_what_was_accepted_by_then(spark):
+    e = ev(spark, ("card_payments", "purchase", 0, 10.0), ("card_payments", "purchase", DAY, 20.0), ("card_payments", "purchase", DAY - 60_000_000, 5.0), ("card_payments", "purchase", DAY + 1, 7.0))
+    got = batch.late_recompute(batch.classify(e)).collect()
+    assert [(r["late_id"], r["txn_count_30d"], r["txn_amount_sum_30d"]) for r in got] == [("e2", 3.0, 35.0)]
+
+
+def test_stale_versions_are_refused(spark):
+    schema = "episode_id long, customer_id string, field_path string, value string, confidence double, agent string, t long"
+    log = spark.createDataFrame([(1, "C", "p", "a", 0.6, "a", T0), (2, "C", "p", "b", 0.9, "b", T0)], schema)
+    writes = spark.createDataFrame([(k, c, "p", "v", 0.5, "a", T0, x) for k, c, x in ((3, "C", 2), (4, "C", 2), (5, "C", 1), (6, "C", None), (7, "D", 0))], f"{schema}, expected long")
+    taken, refused = state.update_field(log, writes, spark.createDataFrame([("C", 2)], "customer_id string, state_version long"))
+    assert {r["episode_id"] for r in taken.collect()} == {1, 2, 3, 6, 7} and {(r["episode_id"], r["actual"]) for r in refused.collect()} == {(4, 2), (5, 2)}
+
+
+def test_paths_and_summaries(spark):
+    m = F.create_map(*[F.lit(x) for x in ("a", "1", "b.c", "2", "b.d", "3")])
+    r = spark.range(1).select(S.path_get(m, "b.c").alias("x"), S.path_get(m, "b").alias("b"), S.path_get(m, "z").alias("z"), S.path_set(m, "a.k", F.lit("9")).alias("s"), S.path_set(m, "b", F.lit("0")).alias("t")).first()
+    assert (r["x"], r["b"], r["z"], r["s"], r["t"]) == ("2", '{"c":"2","d":"3"}', None, {"b.c": "2", "b.d": "3", "a.k": "9"}, {"a": "1", "b": "0"})
+    flags = F.array(F.struct(F.lit("x").alias("type"), F.lit(0.7).alias("confidence")))
+    r = spark.range(1).select(S.flag_summary(F.lit("usage"), flags).alias("s"), S.flag_summary(F.lit("usage"), F.slice(flags, 1, 0)).alias("n"), S.redact_all(F.struct(F.array(F.lit("a@b.co")).alias("x"))).alias("r")).first()
+    assert (r["s"], r["n"], r["r"]) == ("usage: 1 flag(s): x (conf 0.70)", "usage: no notable signals.", '{"x":["[EMAIL_REDACTED]"]}')
+
+
+def test_report_of_files(spark, tmp_path):
+    import json
+
+    from tidemark.plans import report
+
+    at = lambda d: f"2026-05-0{d}T00:00:00+00:00"
+    cp = lambda d, s, a, refs: {"as_of_time": at(d), "inferred_state": s, "confidence_band": "low", "action": a, "hitl_status": "auto_approved", "evidence_refs": refs}
+    want = lambda d: {"as_of_time": at(d), "expected_inferred_state": "no_signal", "expected_confidence_band": "low", "expected_action": "no_action"}
+    (tmp_path / "got.json").write_text(json.dumps([cp(1, "no_signal", "no_action", ["E1", "E9"]), cp(5, "churn_risk", "launch", [])], indent=1))
+    (tmp_path / "truth.json").write_text(json.dumps({"checkpoints": [want(1), want(5)], "signal_events": ["E1"], "red_herring_events": ["E2"]}))
+    got = {r["metric"]: r["value"] for r in report.run_report(spark, f"file://{tmp_path}/got.json", f"file://{tmp_path}/truth.json").collect()}
+    assert got == {"schema_errors": 1.0, "evidence_grounding": 0.5, "red_herring_filtering": 1.0, "matched": 2.0, "state_accuracy": 0.5, "band_accuracy": 1.0, "action_accuracy": 0.5, "hitl_accuracy": 1.0, "mean_score": 0.675}
+    alone = report.run_report(spark, f"file://{tmp_path}/got.json", None).collect()
+    assert {r["stage"] for r in alone} == {"consistency"}
+    assert report.main(["--inferred", f"file://{tmp_path}/got.json", "--out", str(tmp_path / "out.json")]) == 0 and json.loads((tmp_path / "out.json").read_text())["consistency"]["schema_errors"] == 1.0

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,17 +91,6 @@ def sign_of(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(token), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def embed(text: str, dims: int = 256, limit: int = 512) -> list[float]:
-    """The hashed embedding of one text of the driver (a query), as plain numbers."""
-    words = re.findall("[a-z0-9]+", text.lower())[:limit]
-    out = [0.0] * dims
-    for token in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False))]:
-        digest = hashlib.md5(token.encode()).digest()  # noqa: S324
-        out[digest[0] % dims] += 1.0 if digest[4] % 2 == 0 else -1.0
-    norm = math.sqrt(sum(x * x for x in out))
-    return [x / norm for x in out] if norm else out
-
-
 def cosine(a: Column, b: Column) -> Column:
     """0 when a norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -159,23 +146,54 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunk_text(text: pd.Series) -> pd.Series:
-    """Texts of up to 600 characters stay whole; longer ones are packed word by word."""
-
-    def pack(t: str | None, most: int = 600) -> list[str]:
-        t = (t or "").strip()
-        if len(t) <= most:
-            return [t] if t else []
-        out: list[str] = []
-        held: list[str] = []
-        size = 0
-        for word in t.split():
-            if held and size + len(word) + 1 > most:
-                out.append(" ".join(held))
-                held, size = [], 0
-            held.append(word)
-            size += len(word) + 1
-        return [*out, " ".join(held)] if held else out
-
-    return text.map(pack)
+def chunk_text(text: Column, most: int = 600) -> Column:
+    """Pieces of a text: one of up to ``most`` characters stays whole, a longer one is packed by words, none for null and blanks.
+
+    A fold over the words: a word opens a piece where it and a space would fill the open one up to ``most``.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    none = F.array().cast("array<string>")
+
+    def take(acc: Column, word: Column) -> Column:
+        full = (F.length(acc["open"]) > 0) & (F.length(acc["open"]) + F.length(word) + 2 > most)
+        done = F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(full | (acc["open"] == ""), word).otherwise(F.concat_ws(" ", acc["open"], word)).alias("open"))
+
+    packed = F.aggregate(F.split(bare, r"(?U)\s+"), F.struct(none.alias("done"), F.lit("").alias("open")), take, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    return F.when(bare == "", none).when(F.length(bare) <= most, F.array(bare)).otherwise(packed)
+
+
+def age_seconds(since: Column, now: Column) -> Column:
+    """Seconds from one moment (microseconds) to another, none for a future one."""
+    return F.greatest(F.lit(0.0), (now - since) / 1e6)
+
+
+def flag_summary(domain: Column, flags: Column) -> Column:
+    """A finding in words: its flags with their confidence to two places."""
+    parts = F.array_join(F.transform(flags, lambda f: F.format_string("%s (conf %.2f)", f["type"], f["confidence"])), "; ")
+    return F.when(F.size(flags) == 0, F.concat(domain, F.lit(": no notable signals."))).otherwise(F.concat(domain, F.format_string(": %d flag(s): ", F.size(flags)), parts))
+
+
+def path_get(state: Column, path: str) -> Column:
+    """What a state, a map of dotted paths to JSON values, holds at a path: its value, or the map of what lies below."""
+    below = F.map_filter(state, lambda k, _: k.startswith(path + "."))
+    return F.coalesce(F.element_at(state, path), F.when(F.size(below) > 0, F.to_json(F.transform_keys(below, lambda k, _: F.substring(k, len(path) + 2, 10_000)))))
+
+
+def path_set(state: Column, path: str, value: Column) -> Column:
+    """The state with one path set: what lay below it, and a plain value above it, give way."""
+    parts = path.split(".")
+    above = [".".join(parts[:i]) for i in range(1, len(parts))]
+    kept = F.map_filter(state, lambda k, _: ~(k.isin(path, *above) | k.startswith(path + ".")))
+    return F.map_concat(kept, F.create_map(F.lit(path), value))
+
+
+def self_contained(value: Column) -> Column:
+    """True for a JSON object that carries its own provenance or confidence."""
+    keys = F.json_object_keys(value)
+    return F.coalesce(F.array_contains(keys, "provenance") | F.array_contains(keys, "confidence"), F.lit(False))
+
+
+def redact_all(row: Column) -> Column:
+    """A nested value as JSON with the personal data of all its strings redacted."""
+    return redact(F.to_json(row))

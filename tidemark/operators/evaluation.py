@@ -6,7 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The bands and states that a checkpoint may name.
 BANDS = ("low", "medium", "high")
+STATES = (
+    "no_signal", "new_child_life_event", "marriage_or_relationship_change", "job_change_or_promotion", "job_loss_or_income_disruption", "medical_hardship", "financial_distress_general",
+    "relocation", "retirement_transition", "wealth_growth_or_windfall", "potential_fraud_or_takeover", "elder_vulnerability_or_scam_risk", "churn_risk", "small_business_cashflow_event",
+)
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -97,3 +102,22 @@ def checkpoint_errors(actions: tuple[str, ...], states: tuple[str, ...]) -> Colu
         F.when(F.col("as_of").isNull(), F.lit("as_of")), F.when(~F.coalesce(F.col("state").isin(*states), F.lit(False)), F.lit("state")),
         F.when(~F.coalesce(F.col("band").isin(*BANDS), F.lit(False)), F.lit("band")), F.when(~F.coalesce(F.col("action").isin(*actions), F.lit(False)), F.lit("action")),
     ))
+
+
+def report(checkpoints: DataFrame, known: DataFrame, red: DataFrame, actions: tuple[str, ...], states: tuple[str, ...], pairs: DataFrame | None = None) -> DataFrame:
+    """``stage, metric, value``: consistency of emitted checkpoints always, inference and action against matched pairs if there are any.
+
+    ``checkpoints(as_of, state, band, action, refs)``; ``known(event_id)`` and
+    ``red(event_id)`` hold existing and misleading events.
+    """
+    bad = checkpoints.agg(F.count_if(F.size(checkpoint_errors(actions, states)) > 0).cast("double").alias("value"))
+    refs = checkpoints.select(F.explode("refs").alias("ref")).distinct()
+    row = lambda df, stage, metric, col: df.select(F.lit(stage).alias("stage"), F.lit(metric).alias("metric"), F.col(col).cast("double").alias("value"))
+    out = row(bad, "consistency", "schema_errors", "value").union(row(grounding(refs, known), "consistency", "evidence_grounding", "grounding"))
+    out = out.union(row(herrings(red, refs), "consistency", "red_herring_filtering", "herring_clean"))
+    if pairs is None:
+        return out
+    s = summary(pair_scores(pairs))
+    for stage, metric in (("inference", "matched"), ("inference", "state_accuracy"), ("inference", "band_accuracy"), ("action", "action_accuracy"), ("action", "hitl_accuracy"), ("action", "mean_score")):
+        out = out.union(row(s, stage, metric, metric))
+    return out

@@ -73,3 +73,11 @@ def new_records(incoming: DataFrame, registry: DataFrame) -> DataFrame:
 def lookup(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     return incoming.join(registry, ["source_system", "source_customer_id"], "left")
 
+
+
+def add_edges(edges: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Undirected edges ``(a, b, method, confidence)``, once each: the surest stays, ties to the first method."""
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    both = edges.unionByName(incoming).select(*ends, "method", "confidence").where("a <> b")
+    w = Window.partitionBy("a", "b").orderBy(F.col("confidence").desc(), "method")
+    return both.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import DAY, RECENCY_PENALTY, bucket_of, chunk_text, embed, sign_of, tokens
+from tidemark.functions.scalars import DAY, RECENCY_PENALTY, bucket_of, chunk_text, sign_of, tokens
 
 WEIGHTS = (0.7, 0.3)
 
@@ -49,15 +49,15 @@ def sparse_embedding(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def search(rows: DataFrame, query: str, where: Column, now: Column, k: int = 5, text_col: str = "text", id_col: str = "chunk_id", penalty: float = RECENCY_PENALTY) -> DataFrame:
     """The ``k`` best rows in scope by ``0.7 cosine + 0.3 overlap - penalty * age in days``.
 
-    The scope filters the scan. The query's vector and terms are literals; the
-    rows' vectors stay sparse, so a row costs its tokens, and the plan ends in
-    one top-k.
+    The scope filters the scan. The query is a row that is embedded like any
+    other, in at most as many dimensions as there are buckets; the rows' vectors
+    stay sparse, so a row costs its tokens, and the plan ends in one top-k.
     """
-    q = embed(query)
+    asked = rows.sparkSession.range(1).select("id", F.lit(query).alias("text"))
+    q = sparse_embedding(asked, "id", "text").select("dim", F.col("weight").alias("q"))
     terms = sorted(set(re.findall("[a-z0-9]+", query.lower())))
     in_scope = rows.where(where)
-    weights = F.array(*map(F.lit, q))
-    dots = sparse_embedding(in_scope, id_col, text_col).groupBy("id").agg(F.sum(F.col("weight") * F.get(weights, F.col("dim"))).alias("dot"))
+    dots = sparse_embedding(in_scope, id_col, text_col).join(F.broadcast(q), "dim").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))  # a row a bucket
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     overlap = F.size(F.array_intersect(F.array(*map(F.lit, terms)), words)) / F.lit(float(max(len(terms), 1)))
     age = F.greatest((now - F.col("t")) / DAY, F.lit(0.0))

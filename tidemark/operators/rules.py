@@ -169,6 +169,23 @@ def route(outcome: Column, final: Column) -> Column:
     return F.struct(status.alias("status"), F.when(status != "pending_approval", final).alias("final_action"))
 
 
+def submit_approvals(decisions: DataFrame) -> DataFrame:
+    """Pending approvals of escalated ``decisions(decision_id, customer_id, proposed_action, submitted_at, …)``; the id hashes the decision's."""
+    rest = [c for c in decisions.columns if c not in ("decision_id", "customer_id", "proposed_action", "submitted_at")]
+    payload = F.to_json(F.struct(*sorted(rest))) if rest else F.lit("{}")
+    key = F.concat(F.lit("apr_"), F.substring(F.md5(F.col("decision_id").cast("string")), 1, 12))
+    return decisions.select(key.alias("approval_id"), "customer_id", "decision_id", "proposed_action", payload.alias("decision_payload"), F.lit("pending_approval").alias("status"), "submitted_at")
+
+
+def pending_approvals(approvals: DataFrame) -> DataFrame:
+    """Those still pending, oldest first."""
+    return approvals.where(F.col("status") == "pending_approval").orderBy("submitted_at", "approval_id")
+
+
+def get_approval(approvals: DataFrame, approval_id: str) -> DataFrame:
+    return approvals.where(F.col("approval_id") == approval_id)
+
+
 def resolve_approvals(pending: DataFrame, resolutions: DataFrame) -> DataFrame:
     """The first resolution of each pending approval: approve keeps the proposal, reject takes no action, modify replaces it."""
     w = Window.partitionBy("approval_id").orderBy("resolved_at", "reviewer")

@@ -61,3 +61,39 @@ def append_new(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def merge_by_type(entries: DataFrame) -> DataFrame:
     """Risks or opportunities a customer and type: earliest opening, latest confidence."""
     return entries.groupBy("customer_id", "type").agg(F.min("opened_at").alias("opened_at"), F.max(F.struct("opened_at", "confidence"))["confidence"].alias("confidence"))
+
+
+def update_field(log: DataFrame, writes: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(log with the accepted writes, conflicts)`` of ``writes(…, expected)``: a write whose expected version is not the customer's is refused.
+
+    ``versions`` holds ``customer_id, state_version``; a customer without one is
+    at 0, and a write that expects none (null) is always accepted. Of a batch's
+    writes of one customer that expect the same version the first is accepted.
+    """
+    met = writes.join(versions, "customer_id", "left").withColumn("now", F.coalesce("state_version", F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("customer_id", "expected").orderBy("episode_id")) == 1
+    ok = F.col("expected").isNull() | ((F.col("expected") == F.col("now")) & F.col("first"))
+    met = met.withColumn("first", first).withColumn("ok", F.coalesce(ok, F.lit(False)))
+    taken = log.unionByName(met.where("ok").select(*log.columns))
+    return taken, met.where("not ok").select(*log.columns, "expected", F.col("now").alias("actual"))
+
+
+def record_finding(findings: DataFrame) -> DataFrame:
+    """Findings ``(episode_id, customer_id, domain, value, confidence, agent, t)`` as writes of ``findings.<domain>``."""
+    path = F.concat(F.lit("findings."), F.col("domain")).alias("field_path")
+    return findings.select("episode_id", "customer_id", path, "value", "confidence", "agent", "t")
+
+
+def at_checkpoints(log: DataFrame, start: int, end: int, step: int, grace: int = 2 * DAY, half_life: float = HALF_LIFE_DAYS, floor: float = DECAY_FLOOR) -> DataFrame:
+    """``cp, customer_id, field_path, value, confidence``: every customer's decayed state at each step after ``start`` and before ``end``.
+
+    A write holds from the first checkpoint that sees it (``grace`` after it
+    counts) up to the one that sees its successor, so it is exploded to those
+    alone; the rows are those of the result before the floor.
+    """
+    n = max(0, -(-(end - start) // step) - 1)
+    w = Window.partitionBy(*PATH).orderBy("t", "episode_id")
+    sees = lambda t: F.greatest(F.lit(1), F.ceil((t - grace - start) / step)).cast("long")
+    held = log.withColumn("lo", sees(F.col("t"))).withColumn("hi", F.least(F.coalesce(F.lead("lo").over(w) - 1, F.lit(n)), F.lit(n)))
+    at = held.where("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi"))).withColumn("cp", F.lit(start) + F.col("i") * step)
+    return decayed(at, F.col("cp"), half_life, floor).select("cp", *PATH, "value", "confidence")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -428,6 +429,92 @@ def r13(spark, d):
     return state.merge_by_type(_env(spark, d).select("customer_id", F.col("event_type").alias("type"), F.col("t").alias("opened_at"), F.col("amount").alias("confidence")))
 
 
+WRITES = """wr AS (SELECT arrival_seq + 1000000000 AS episode_id, customer_id, 'findings.usage' AS field_path, 'x' AS value, 0.5 AS confidence, 'usage' AS agent, t, CASE WHEN arrival_seq % 3 > 0 THEN vn - arrival_seq % 3 + 1 END AS expected, vn
+  FROM env JOIN (SELECT customer_id, count(*) AS vn FROM log GROUP BY 1) USING (customer_id) WHERE arrival_seq % 10 = 0),
+  wk AS (SELECT *, expected IS NULL OR (expected = vn AND row_number() OVER (PARTITION BY customer_id, expected ORDER BY episode_id) = 1) AS ok FROM wr)"""
+
+
+def _writes(spark, d):
+    n = F.col("arrival_seq")
+    log = _log(spark, d)
+    versions = log.groupBy("customer_id").agg(F.count(F.lit(1)).alias("state_version"))
+    w = _env(spark, d).where(n % 10 == 0).join(versions, "customer_id")
+    expected = F.when(n % 3 > 0, F.col("state_version") - n % 3 + 1)
+    w = w.select((n + 1_000_000_000).alias("episode_id"), "customer_id", F.lit("findings.usage").alias("field_path"), F.lit("x").alias("value"), F.lit(0.5).alias("confidence"), F.lit("usage").alias("agent"), "t", expected.alias("expected"))
+    return state.update_field(log, w, versions)
+
+
+@query("b3_update_field", f"WITH {ENV}, {LOG}, {WRITES} SELECT episode_id, customer_id FROM log UNION ALL SELECT episode_id, customer_id FROM wk WHERE ok")
+def b3_update(spark, d):
+    """Writes with an expected version: stale ones are refused, of simultaneous ones the first is taken."""
+    return _writes(spark, d)[0].select("episode_id", "customer_id")
+
+
+@query("b3_version_conflicts", f"WITH {ENV}, {LOG}, {WRITES} SELECT episode_id, expected, vn AS actual FROM wk WHERE NOT ok")
+def b3_conflicts(spark, d):
+    return _writes(spark, d)[1].select("episode_id", "expected", "actual")
+
+
+@query("b4_record_finding", f"WITH {ENV} SELECT arrival_seq AS episode_id, customer_id, 'findings.' || CASE WHEN arrival_seq % 2 = 0 THEN 'usage' ELSE 'support' END AS field_path FROM env WHERE arrival_seq % 7 = 0")
+def b4(spark, d):
+    n = F.col("arrival_seq")
+    f = _env(spark, d).where(n % 7 == 0).select(n.alias("episode_id"), "customer_id", F.when(n % 2 == 0, "usage").otherwise("support").alias("domain"), F.lit("{}").alias("value"), F.lit(0.6).alias("confidence"), F.lit("usage").alias("agent"), "t")
+    return state.record_finding(f).select("episode_id", "customer_id", "field_path")
+
+
+@query("t6_baseline_writeback", f"""WITH {ENV}, {CLASSED}, acc AS (SELECT * FROM cls WHERE outcome <> 'too_late_dropped'), h AS (SELECT max(t) AS hz FROM acc), la AS (SELECT customer_id, max(arrival_seq) AS seq FROM acc WHERE outcome = 'late_recomputed' GROUP BY 1),
+  m AS (SELECT seq, hz, a.* FROM la JOIN acc a ON a.customer_id = la.customer_id AND a.arrival_seq <= seq, h), f AS (SELECT customer_id, seq, {', '.join(_spec_sql(s, 'hz') for s in features.SPECS)} FROM m GROUP BY 1, 2)
+  SELECT customer_id, seq, 'historical_baseline.' || name AS field_path, CAST(value AS DOUBLE) AS value FROM f UNPIVOT (value FOR name IN ({', '.join(s.name for s in features.SPECS)}))""")
+def t6(spark, d):
+    """The recomputed features as writes to the state, one row a path."""
+    c = batch.classify(_env(spark, d))
+    r = batch.late_recompute(c).join(c.select(F.col("event_id").alias("late_id"), F.col("arrival_seq").alias("seq")), "late_id")
+    return batch.baseline_writeback(r)
+
+
+@query("l5_live_order", f"WITH {ENV} SELECT event_id, row_number() OVER (PARTITION BY customer_id ORDER BY t, arrival_seq) AS n FROM env")
+def l5(spark, d):
+    """Place of each event in its customer's live stream by event time."""
+    return E.in_order(_env(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("customer_id").orderBy("t", "arrival_seq")).cast("long"))).select("event_id", "n")
+
+
+@query("x18_x19_state_paths", f"""WITH {ENV}, {LOG}, cur AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY customer_id, field_path ORDER BY t DESC, episode_id DESC) = 1), g AS (SELECT customer_id, count(*) AS n, count(*) FILTER (field_path = 'findings.decline') AS has, max(value) FILTER (field_path = 'findings.decline') AS v FROM cur GROUP BY 1)
+  SELECT customer_id, v AS got, n - has + 1 AS paths_after_set, CAST(1 AS BIGINT) AS paths_after_top, CAST(n % 2 = 0 AS BOOLEAN) AS contained FROM g""")
+def x18(spark, d):
+    """A path read and set, the whole branch set at its top, and whether a JSON value carries its own confidence."""
+    log = _log(spark, d)
+    m = state.as_of(log, F.lit(2**62)).groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "value"))).alias("m"))
+    one, top = S.path_set(F.col("m"), "findings.decline", F.lit("9")), S.path_set(F.col("m"), "findings", F.lit("{}"))
+    kind = F.when(F.size("m") % 2 == 0, F.lit('{"confidence": 0.5}')).otherwise(F.lit('{"value": 1}'))
+    return m.select("customer_id", S.path_get(F.col("m"), "findings.decline").alias("got"), F.size(one).cast("long").alias("paths_after_set"), F.size(top).cast("long").alias("paths_after_top"), S.self_contained(kind).alias("contained"))
+
+
+@query("x20_age_seconds", f"WITH {ENV} SELECT event_id, greatest(0.0, (it - t - 600000000) / 1e6) AS age FROM env")
+def x20(spark, d):
+    return _env(spark, d).select("event_id", S.age_seconds(F.col("t") + 600_000_000, F.col("it")).alias("age"))
+
+
+@query("b13_f6_hitl_submit", f"""WITH {ENV} SELECT 'apr_' || md5('D' || arrival_seq)[1:12] AS approval_id, customer_id, 'D' || arrival_seq AS decision_id, '{{"confidence":0.4}}' AS decision_payload, t AS submitted_at FROM env WHERE arrival_seq % 9 = 0""")
+def b13(spark, d):
+    """Escalated decisions enter the approvals and are listed oldest first."""
+    e = _env(spark, d).where("arrival_seq % 9 = 0")
+    s = rules.submit_approvals(e.select(F.concat(F.lit("D"), F.col("arrival_seq").cast("string")).alias("decision_id"), "customer_id", F.lit("support_intervention").alias("proposed_action"), F.col("t").alias("submitted_at"), F.lit(0.4).alias("confidence")))
+    return rules.pending_approvals(s).select("approval_id", "customer_id", "decision_id", "decision_payload", "submitted_at")
+
+
+@query("b8_add_edge", f"WITH {RECORDS}, {PAIRS}, {SCORED}, ed AS (SELECT a, b, method, CAST(confidence AS DOUBLE) AS c FROM mt UNION ALL SELECT a, b, 'manual', 0.9 FROM mt WHERE a % 2 = 0) SELECT a, b, arg_max(method, (c, -CASE method WHEN 'exact_email' THEN 1 WHEN 'exact_kyc' THEN 2 WHEN 'exact_phone' THEN 3 WHEN 'manual' THEN 4 ELSE 5 END)) AS method, max(c) AS confidence FROM ed GROUP BY 1, 2")
+def b8_edges(spark, d):
+    m = _matches(spark, d)[1].select("a", "b", "method", "confidence")
+    return identity.add_edges(m, m.where("a % 2 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("manual").alias("method"), F.lit(0.9).alias("confidence")))
+
+
+@query("s8_memory_sink", f"WITH {ENV}, {DUP} SELECT customer_id, count(*) AS n FROM arr GROUP BY 1")
+def s8(spark, d):
+    """Arrivals drained into a table of the session's memory."""
+    name = f"arrivals_{uuid.uuid4().hex}"
+    return E.memory_sink(_as_stream(spark, d), name).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- text and retrieval ----------------------------------------------------------------------------------
 
 
@@ -472,7 +559,9 @@ def x13(spark, d):
     return p.select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("cos"))
 
 
-@query("x14_b11_chunks")
+@query("x14_b11_chunks", """WITH b AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
+  p AS (SELECT conv_id, turn, CASE WHEN t = '' THEN [] WHEN length(t) <= 600 THEN [t] ELSE string_split(list_reduce(string_split_regex(t, '[ \\t\\r\\n]+'), lambda a, w: CASE WHEN length(string_split(a, chr(1))[-1]) + length(w) + 2 > 600 THEN a || chr(1) || w ELSE a || ' ' || w END), chr(1)) END AS c FROM b)
+  SELECT 'conversation:' || conv_id || ':' || (i - 1) AS upsert_key, turn, c[i] AS chunk_text FROM p, unnest(range(1, len(c) + 1)) u(i)""")
 def x14(spark, d):
     return retrieval.chunks(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "text", "conversation").select("upsert_key", "turn", "chunk_text")
 
@@ -571,6 +660,11 @@ def a16(spark, d):
     return _flagged(spark, d).where(F.size("flags") > 0).groupBy("customer_id").agg(refs.alias("r")).select("customer_id", F.size("r").cast("long").alias("n"), F.md5(F.array_join("r", ",")).alias("refs"))
 
 
+@query("x22_summary", f"WITH {ENVN}, {PRIOR}, {FLAGS}, w AS (SELECT event_id, [x FOR x IN [{', '.join(f"CASE WHEN c_{n} IS NOT NULL THEN '{n} (conf ' || format('{{:.2f}}', round(c_{n}, 4)) || ')' END" for n, _, _ in _FLAG)}] IF x IS NOT NULL] AS p FROM fl) SELECT event_id, CASE WHEN len(p) = 0 THEN 'agent: no notable signals.' ELSE 'agent: ' || len(p) || ' flag(s): ' || array_to_string(p, '; ') END AS summary FROM w")
+def x22(spark, d):
+    return _flagged(spark, d).select("event_id", S.flag_summary(F.lit("agent"), F.col("flags")).alias("summary"))
+
+
 INFER = """fs AS (SELECT customer_id, list_distinct(flatten(list(flags))) AS f, max(CASE WHEN source_system = 'support_logs' AND len(flags) > 0 THEN top END) AS support FROM fl GROUP BY 1), inf AS (SELECT *,
   CASE WHEN list_contains(f, 'watchlist_hit') THEN 'potential_fraud_or_takeover' WHEN list_contains(f, 'address_change_recent') AND (list_contains(f, 'large_amount') OR list_contains(f, 'decline_burst')) THEN 'potential_fraud_or_takeover'
   WHEN list_contains(f, 'decline_burst') OR list_contains(f, 'accelerated_withdrawals') THEN 'financial_distress_general'
@@ -691,13 +785,29 @@ def r19(spark, d):
 @query("r21_l6_checkpoints", f"""WITH {ENV}, {LOG}, sp AS (SELECT min(t) s, max(t) e FROM log), grid AS (SELECT s + i * {7 * DAY} AS cp FROM sp, range(1, 1000) r(i) WHERE s + i * {7 * DAY} < e)
   SELECT cp, count(DISTINCT customer_id) AS customers, count(*) AS fields FROM (SELECT cp, customer_id, field_path FROM grid JOIN log ON t <= cp + {2 * DAY} GROUP BY 1, 2, 3) GROUP BY 1""")
 def r21(spark, d):
-    """Fields known at each checkpoint with two days' grace: first writes carried forward over the grid."""
+    """Fields known at each checkpoint with two days' grace: first writes an interval, added up along the grid."""
+    log = _log(spark, d)
+    s, e = log.agg(F.min("t"), F.max("t")).first()
+    n = max(1, -(-(e - s) // (7 * DAY)) - 1)
+    seen = F.greatest(F.lit(1), F.ceil((F.col("t") - 2 * DAY - s) / (7 * DAY))).cast("long").alias("i")
+    fields = log.groupBy("customer_id", "field_path").agg(F.min("t").alias("t")).select("customer_id", seen)
+    customers = fields.groupBy("customer_id").agg(F.min("i").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("c"), F.lit(0).cast("long").alias("f"))
+    steps = fields.groupBy("i").agg(F.lit(0).cast("long").alias("c"), F.count(F.lit(1)).alias("f")).union(customers)
+    grid = spark.range(1, n + 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("f"))
+    upto = Window.orderBy("i")  # a row a checkpoint
+    at = steps.union(grid).where(F.col("i") <= n).groupBy("i").agg(F.sum("c").alias("c"), F.sum("f").alias("f"))
+    at = at.select((F.lit(s) + F.col("i") * 7 * DAY).alias("cp"), F.sum("c").over(upto).alias("customers"), F.sum("f").over(upto).alias("fields"))
+    return at.where((F.col("cp") < e) & (F.col("fields") > 0))
+
+
+@query("r21_l6_state_at_checkpoints", f"""WITH {ENV}, {LOG}, sp AS (SELECT min(t) s, max(t) e FROM log), grid AS (SELECT s + i * {14 * DAY} AS cp FROM sp, range(1, 1000) r(i) WHERE s + i * {14 * DAY} < e),
+  cur AS (SELECT cp, log.* FROM grid JOIN log ON t <= cp + {2 * DAY} QUALIFY row_number() OVER (PARTITION BY cp, customer_id, field_path ORDER BY t DESC, episode_id DESC) = 1),
+  dc AS (SELECT *, confidence * pow(0.5, greatest((cp - t) / {float(DAY)}, 0.0) / 30.0) AS c FROM cur) SELECT cp, customer_id, field_path, value, round(c, 4) AS confidence FROM dc WHERE c >= 0.1""")
+def r21_state(spark, d):
+    """Every customer's decayed state on a grid of 14 days."""
     log = _log(spark, d)
     s, e = log.agg(F.min("t"), F.max("t")).first()
-    first = log.groupBy("customer_id", "field_path").agg(F.min("t").alias("t"))
-    grid = F.explode(F.sequence(F.lit(1), F.lit(max(1, -(-(e - s) // (7 * DAY)) - 1)))).alias("i")
-    at = first.select("customer_id", "t", grid).withColumn("cp", F.lit(s) + F.col("i") * 7 * DAY).where((F.col("t") <= F.col("cp") + 2 * DAY) & (F.col("cp") < e))
-    return at.groupBy("cp").agg(F.count_distinct("customer_id").alias("customers"), F.count(F.lit(1)).alias("fields"))
+    return state.at_checkpoints(log, s, e, 14 * DAY)
 
 
 @query("r22_explanations", f"""WITH {GRID}, {DECIDE}, {PROPOSED} SELECT k AS decision_id, to_json(struct_pack(action := action, outcome := outcome, reasons := reasons, state := state)) AS explanation FROM go""")
@@ -775,6 +885,21 @@ def a14(spark, d):
     return evaluation.summary(evaluation.pair_scores(_pairs(spark, d)))
 
 
+@query("r24_report", f"""WITH {ENV}, {PAIR}, s AS (SELECT count(*) AS n, avg(CAST(is_ = es AS INT)) a, avg(CAST(ib = eb AS INT)) b, avg(CAST(ia = ea AS INT)) c, avg(CAST(coalesce(ih = eh, eh IS NULL) AS INT)) h,
+  avg(round(0.4 * CAST(is_ = es AS INT) + 0.25 * CAST(ib = eb AS INT) + 0.25 * CAST(ia = ea AS INT) + 0.1 * CAST(coalesce(ih = eh, eh IS NULL) AS INT), 4)::DOUBLE) m FROM pa),
+  rf AS (SELECT DISTINCT 'EVT_' || (arrival_seq * 2) AS ref FROM env), g AS (SELECT round(avg(CAST(e.event_id IS NOT NULL AS INT)), 4) AS v FROM rf LEFT JOIN env e ON e.event_id = ref),
+  rd AS (SELECT round(avg(CAST(ref IS NULL AS INT)), 4) AS v FROM env e LEFT JOIN rf ON ref = e.event_id WHERE e.arrival_seq % 3 = 0)
+  SELECT 'consistency' AS stage, 'schema_errors' AS metric, CAST((SELECT count(*) FROM env WHERE arrival_seq % 5 = 0) AS DOUBLE) AS value UNION ALL SELECT 'consistency', 'evidence_grounding', v FROM g UNION ALL SELECT 'consistency', 'red_herring_filtering', v FROM rd
+  UNION ALL SELECT 'inference', 'matched', n FROM s UNION ALL SELECT 'inference', 'state_accuracy', round(a, 4) FROM s UNION ALL SELECT 'inference', 'band_accuracy', round(b, 4) FROM s
+  UNION ALL SELECT 'action', 'action_accuracy', round(c, 4) FROM s UNION ALL SELECT 'action', 'hitl_accuracy', round(h, 4) FROM s UNION ALL SELECT 'action', 'mean_score', round(m, 4) FROM s""")
+def r24(spark, d):
+    """All three stages of the harness over emitted checkpoints, their references and their matched truths."""
+    e = _env(spark, d)
+    n = F.col("arrival_seq")
+    cps = e.select(F.col("t").alias("as_of"), F.lit("no_signal").alias("state"), F.lit("low").alias("band"), F.when(n % 5 == 0, "odd").otherwise("no_action").alias("action"), F.array(F.concat(F.lit("EVT_"), (n * 2).cast("string"))).alias("refs"))
+    return evaluation.report(cps, e, e.where(n % 3 == 0).select("event_id"), rules.ACTIONS, evaluation.STATES, _pairs(spark, d))
+
+
 @query("j7_checkpoint_match")
 def j7(spark, d):
     e = _env(spark, d)
@@ -794,7 +919,7 @@ def j10(spark, d):
 def r23(spark, d):
     n = F.col("arrival_seq")
     rows = _env(spark, d).select(n, F.col("t").alias("as_of"), F.when(n % 3 == 0, "odd").otherwise("no_signal").alias("state"), F.lit("low").alias("band"), F.when(n % 5 == 0, "odd").otherwise("no_action").alias("action"))
-    return rows.select(n, F.array_join(evaluation.checkpoint_errors(rules.ACTIONS, rules.STATES), ",").alias("errors"))
+    return rows.select(n, F.array_join(evaluation.checkpoint_errors(rules.ACTIONS, evaluation.STATES), ",").alias("errors"))
 
 
 FLAGSHIP = "r14_r15_action"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, else a folder of this machine for tests."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of its own for a session in one process, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -30,7 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage through a table in the shared folder."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -42,9 +54,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         up = both.groupBy(F.col("a").alias("component")).agg(F.min("b").alias("near")).select("component", F.least("component", "near").alias("up"))
         jump = up.select(F.col("component").alias("up"), F.col("up").alias("up2"))
         up = stored(up.join(jump, "up", "left").select("component", F.coalesce("up2", "up").alias("up")), "moves")
-        label = stored(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        old, label = (label, live), stored(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         moved = live.join(up.toDF("a", "ua"), "a", "left").join(up.toDF("b", "ub"), "b", "left").select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b"))
         live = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+        freed(*old, up)
         if live.isEmpty():
             return label
     raise RuntimeError("components did not settle")

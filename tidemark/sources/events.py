@@ -98,10 +98,31 @@ def load_scenario(spark: SparkSession, root: str, name: str) -> dict[str, DataFr
 
 
 def available_scenarios(spark: SparkSession, root: str) -> list[str]:
-    """Sorted names of the folders below ``root``, through Hadoop's file systems."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+    """Sorted names of the folders below ``root`` that hold a live stream, through Hadoop's file systems."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory() and files.exists(hadoop.Path(f.getPath(), "live_stream.jsonl")))
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """A live stream by event time, ties in order of arrival."""
+    return events.orderBy("t", "arrival_seq")
+
+
+def memory_sink(events: DataFrame, name: str) -> DataFrame:
+    """A stream drained into a table of this session's memory (for tests), or a batch registered under the name."""
+    if not events.isStreaming:
+        events.createOrReplaceTempView(name)
+        return events.sparkSession.table(name)
+    query = events.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return events.sparkSession.table(name)
+
+
+def paced(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
+    """A stream of the event files of a folder, so many a trigger: the trigger's interval is the pace."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
 def write_checkpoints(df: DataFrame, path: str) -> None:

@@ -6,8 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import DAY
-from tidemark.operators.features import SPECS, feature
+from tidemark.operators.features import SPECS, in_window
 
 LATENESS, OUT_OF_ORDER, IDLE = 900_000_000, 30_000_000, 5_000_000  # microseconds
 RING = 50
@@ -42,16 +41,30 @@ def classify(events: DataFrame, lateness: int = LATENESS, slack: int = OUT_OF_OR
 
 
 def late_recompute(classified: DataFrame, specs=SPECS) -> DataFrame:
-    """Features of each late row's customer over what had been accepted by then, as of the batch's latest accepted event."""
+    """Features of each late row's customer over what had been accepted by then, as of the batch's latest accepted event.
+
+    The moment is one for all, so a row's part in a feature does not depend on
+    the late row that asks: running sums in order of arrival answer all of them.
+    """
     taken = classified.where("outcome <> 'too_late_dropped'")
-    horizon = taken.agg(F.max("t").alias("horizon"))
-    late = taken.where("outcome = 'late_recomputed'").select("customer_id", F.col("event_id").alias("late_id"), F.col("arrival_seq").alias("late_seq")).crossJoin(F.broadcast(horizon))  # one row
-    reach = max(int(s.days * DAY) for s in specs)
-    met = late.join(taken, "customer_id").where((F.col("arrival_seq") <= F.col("late_seq")) & (F.col("t") >= F.col("horizon") - reach))
-    found = met.groupBy("customer_id", "late_id").agg(*[feature(s, F.col("horizon")) for s in specs])
-    names = [s.name for s in specs]
-    out = late.select("customer_id", "late_id").join(found, ["customer_id", "late_id"], "left")
-    return out.select("customer_id", "late_id", *[F.coalesce(n, F.lit(0.0)).alias(n) if s.aggregate == "count" else F.col(n) for n, s in zip(names, specs, strict=True)])
+    rows = taken.crossJoin(F.broadcast(taken.agg(F.max("t").alias("horizon"))))  # one row
+    upto = Window.partitionBy("customer_id").orderBy("arrival_seq")
+
+    def running(s) -> Column:
+        member = in_window(s, F.col("horizon"))
+        if s.aggregate == "count":
+            return F.count_if(member).over(upto).cast("double")
+        return (F.sum if s.aggregate == "sum" else F.max)(F.when(member, F.col(s.field))).over(upto)
+
+    done = rows.withColumns({s.name: running(s) for s in specs}).where("outcome = 'late_recomputed'")
+    return done.select("customer_id", F.col("event_id").alias("late_id"), *[s.name for s in specs])
+
+
+def baseline_writeback(recomputed: DataFrame, specs=SPECS) -> DataFrame:
+    """What a customer's recomputed features write to the state: ``customer_id, field_path, value, seq``, a later late row over an earlier."""
+    last = recomputed.groupBy("customer_id").agg(F.max(F.struct("seq", *[s.name for s in specs])).alias("w"))
+    pair = F.explode(F.array(*[F.struct(F.lit(f"historical_baseline.{s.name}").alias("path"), F.col(f"w.{s.name}").cast("double").alias("value")) for s in specs])).alias("p")
+    return last.select("customer_id", "w.seq", pair).where("p.value is not null").select("customer_id", F.col("p.path").alias("field_path"), F.col("p.value").alias("value"), "seq")
 
 
 def watermarks(accepted: DataFrame, now: Column, idle: int = IDLE) -> DataFrame:
