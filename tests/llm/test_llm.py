@@ -366,6 +366,46 @@ def test_short_texts_are_told_by_their_other_evidence(spark, small):
     assert all(got[i]["lang"] == "und" and got[i]["posterior"] == 0 and not got[i]["accepted"] for i in (102, 105))
 
 
+def test_fusion_equals_brute_force(spark, small):
+    """The posterior row by row: trigrams by the dozen, sums over all other rows of the suffix, the domain and the host."""
+    model = language_id.fit_text_model(small)
+    texts = [r["text"] for r in small.where("length(text) between 40 and 600").orderBy("doc_id").limit(40).collect()] + ["", None, "ab"]
+    rows = [(i, t, ("en", "fr", "xx", None)[i % 4], (None, "a.fr", "b.a.fr", "c.de")[i % 4 if i < 30 else 1]) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, code string, host string")
+    suffix = F.regexp_extract("host", r"\.([a-z]+)$", 1)
+    got = {r["doc_id"]: r for r in language_id.identify(d, model, "doc_id", F.col("text"), F.col("code"), F.col("host"), suffix).collect()}
+    known, n = model.languages, len(model.languages)
+    logs, mass = [], []
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for _, t, _, _ in rows:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        grams = [(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) % 2**32) >> 17 for i in range(len(raw) - 2)]
+        logs.append(sum((model.logs[g].astype(float) for g in grams), np.zeros(n + 1)) / 3)
+        mass.append(soft(logs[-1] + np.log([0.98 / n] * n + [0.02]))[:n] * (len(raw) > 2))
+    mass = np.array(mass)
+    code = [c if c in known else None if c is None else "other" for _, _, c, _ in rows]
+    base = (mass.sum(axis=0) + 1) / (mass.sum(axis=0) + 1).sum()
+    by_code = {c: mass[[x == c for x in code]].sum(axis=0) for c in set(code) - {None}}
+    total = sum(by_code.values()) + 0.5 * (n + 1) + 2.0
+    for i, (_, t, _, host) in enumerate(rows):
+        def lean(keys, parent):
+            own = [j for j, k in enumerate(keys) if keys[i] is not None and k == keys[i] and j != i]
+            m = mass[own].sum(axis=0) if own else np.zeros(n)
+            return (m + 8 * parent) / (m.sum() + 8), m.sum()
+        hosts = [r[3] for r in rows]
+        domains = [h and ".".join(h.split(".")[-2:]) for h in hosts]
+        (domain, k1), (sfx, k2) = lean(domains, base), lean([h and h.split(".")[-1] for h in hosts], base)
+        at_host, k3 = lean(hosts, domain)
+        fused = logs[i].copy()
+        fused[:n] += np.log(at_host) + np.log(sfx / base) + np.log(0.98)
+        if code[i]:
+            fused[:n] += np.log((by_code[code[i]] + 0.5 + 2.0 * np.array([k == code[i] for k in known])) / total)
+        fused[n] += np.log(0.02 / (n + 1))
+        post = soft(fused)
+        told = len((t or "").encode()) > 2 or code[i] in known or k1 + k2 + k3 > 1e-6
+        assert got[i]["lang"] == ((*known, "und")[post.argmax()] if told else "und") and abs(got[i]["posterior"] - (post.max() if told else 0)) < 1e-6
+
+
 def test_language_odd(spark, odd, small):
     model = language_id.fit_text_model(small)
     assert language_id.identify_documents(with_null_id(odd), model).count() == odd.count()
@@ -472,6 +512,33 @@ def test_names_keep_their_person(spark):
     assert re.fullmatch(r"call \d{3} \d{4} \d{4} or \d{4}/\d{7}", got[7]) and got[7] != texts[7] and got[8] == texts[8] and got[9] == texts[9] and re.fullmatch("token: [0-9a-f]{18}", got[10]) and got[10] != texts[10]
 
 
+def test_surrogates_equal_a_second_reading(spark, small):
+    """The same pattern in another regular expression engine: matches, what stays around them, one surrogate an entity."""
+    import regex
+
+    pattern = regex.compile(pii.ALL.replace(r"[\p{Lo}&&\P{IsHan}]", r"[\p{Lo}--\p{Han}]").replace("{IsHan}", "{Han}"), regex.V1)
+    luhn = lambda t: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(re.sub(r"\D", "", t)[::-1])) % 10 == 0
+    card = regex.compile(pii.PATTERNS["card"])
+    made: dict[str, str] = {}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(small, "k").collect()}
+    clean = 0
+    for r in small.collect():
+        text, out = r["text"], got[r["doc_id"]]
+        found = [m for m in pattern.finditer(text or "") if not card.fullmatch(m.group()) or luhn(m.group())]
+        assert out["n_entities"] == len(found)
+        if not found:
+            clean += 1
+            assert out["text"] == text
+            continue
+        ends = [0, *(x for m in found for x in m.span()), len(text)]
+        around = [text[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True)]
+        new = re.fullmatch("(.+?)".join(map(re.escape, around)), out["text"], re.S)
+        assert new and not any(m.group() in out["text"] for m in found)
+        for m, g in zip(found, new.groups(), strict=True):
+            assert made.setdefault(m.group(), g) == g
+    assert made and clean and len(set(made.values())) == len({re.sub(r"[ ().-]", "", k).lower() if k[-1].isdigit() else k.lower() for k in made})
+
+
 def test_surrogates_beside_clashing_names_and_long_texts(spark):
     d = spark.createDataFrame([(1, "mail a@b.co " * 3000 + "Mr. John Smith " + "and John Smith " * 2000), (None, "a@b.co"), (None, None)], "doc_id long, text string")
     for c in ("__own", "__h", "own", "row", "found", "news", "alone", "kinds"):
