@@ -6,7 +6,8 @@ functions and a literal rank map, and puts the ids back in place; decoding
 concatenates the binary pieces of the ids.
 
 Pieces go to where they are needed by block: a block is a run of documents that
-one task reads (tens of MB of text, or one long document). The distinct pieces of
+one task reads (tens of MB of text, or one long document), held as numbers while
+its batches of a few MB stream by. The distinct pieces of
 all blocks meet by their bytes, the first of each is folded and the block gets
 back one code book. Of the texts, only packed piece numbers are shuffled, and no
 broadcast grows with the data.
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import lean, text_of, written
 
 BUCKETS = 1 << 14
 #: Longer pieces (runs of punctuation or letters) are merged with a heap, as folding them would be quadratic.
@@ -173,34 +174,43 @@ def _blocks(path: str, payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        held: list[tuple[pa.Array, pa.DictionaryArray, np.ndarray]] = []  # ids, coded pieces, pieces a document
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        def block() -> pa.RecordBatch:
+            own = pa.concat_arrays([h[0] for h in held])
+            coded = pa.chunked_array([h[1] for h in held]).unify_dictionaries()
+            lens = np.concatenate([h[2] for h in held])
+            held.clear()
+            at = np.concatenate([np.asarray(c.indices) for c in coded.chunks]).astype("<i4", copy=False)
+            distinct = coded.chunk(0).dictionary
+            del coded
+            name = hashlib.blake2b(at, digest_size=8)
+            name.update(lens.tobytes() + repr(own.to_pylist()).encode())
+            key = pa.array([int.from_bytes(name.digest(), "little", signed=True)], pa.int64())
+            long = pc.greater(pc.binary_length(distinct), FOLD_BYTES)
+            if not payload:
+                return pa.RecordBatch.from_arrays([key, one(pc.if_else(long, pa.scalar(None, distinct.type), distinct))], ["block", "words"])
+            known = read_ranks(path)
+            no = np.flatnonzero(np.asarray(long))
+            raw = [x.as_py().encode() for x in distinct.take(pa.array(no))]
+            ids_of_long = pa.array([[known[x]] if x in known else heap_merges(x, known) for x in raw], pa.list_(pa.int32()))
+            n, n_words = len(at), len(distinct)
+            # byte planes of small numbers compress to about a byte and a half a piece
+            planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T)
+            del at
+            packed = pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
+            del planes
+            cells = [key, one(own), pa.array([lens.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([packed], pa.binary()), pa.array([n_words], pa.int32()), one(pa.array(no, pa.int32())), one(ids_of_long)]
+            return pa.RecordBatch.from_arrays(cells, ["block", "ids", "lens", "n_pieces", "at", "n_words", "long_no", "long_ids"])
+
         for batch in batches:
-            ids, words = batch.column("id"), batch.column("pieces")
-            lens = np.asarray(pc.list_value_length(words)).astype("<i4")
-            ends = np.cumsum(lens, dtype=np.int64)
-            start = 0
-            while start < len(ids):
-                base = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_PIECES, side="right")))
-                coded = pc.dictionary_encode(words.slice(start, stop - start).flatten())
-                at, distinct = np.asarray(coded.indices).astype("<i4"), coded.dictionary
-                own = ids.slice(start, stop - start)
-                name = hashlib.blake2b(at.tobytes() + lens[start:stop].tobytes() + repr(own.to_pylist()).encode(), digest_size=8).digest()
-                block = pa.array([int.from_bytes(name, "little", signed=True)], pa.int64())
-                long = pc.greater(pc.binary_length(distinct), FOLD_BYTES)
-                if payload:
-                    known = read_ranks(path)
-                    no = np.flatnonzero(np.asarray(long))
-                    raw = [x.as_py().encode() for x in distinct.take(pa.array(no))]
-                    ids_of_long = pa.array([[known[x]] if x in known else heap_merges(x, known) for x in raw], pa.list_(pa.int32()))
-                    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                    # byte planes of small numbers compress to about a byte and a half a piece
-                    planes = at.view(np.uint8).reshape(-1, 4).T.tobytes()
-                    cells = [block, one(own), pa.array([lens[start:stop].tobytes()], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary()), pa.array([len(distinct)], pa.int32()), one(pa.array(no, pa.int32())), one(ids_of_long)]
-                    yield pa.RecordBatch.from_arrays(cells, ["block", "ids", "lens", "n_pieces", "at", "n_words", "long_no", "long_ids"])
-                else:
-                    short = pc.if_else(long, pa.scalar(None, distinct.type), distinct)
-                    yield pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short)], ["block", "words"])
-                start = stop
+            words = batch.column("pieces")
+            held.append((batch.column("id"), pc.dictionary_encode(words.flatten()), np.asarray(pc.list_value_length(words)).astype("<i4")))
+            if sum(len(h[1]) for h in held) >= BLOCK_PIECES:
+                yield block()
+        if held:
+            yield block()
 
     return run
 
@@ -231,6 +241,7 @@ def _assemble(path: str):
                 n_pieces, n_words = batch.column("n_pieces")[i].as_py(), batch.column("n_words")[i].as_py()
                 planes = pa.decompress(batch.column("at")[i].as_py(), decompressed_size=4 * n_pieces, codec="zstd", asbytes=True)
                 at = np.frombuffer(np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes(), "<i4")
+                del planes
                 code_len, code_at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
                 long_no, long_ids = np.asarray(batch.column("long_no")[i].values), batch.column("long_ids")[i].values
                 code_len[long_no] = np.asarray(pc.list_value_length(long_ids))
@@ -294,9 +305,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = docs.schema[id_col].dataType.simpleString()
     pieces = F.regexp_extract_all(text_of(text_col), F.lit(split_pattern(docs.sparkSession)), F.lit(0)).alias("pieces")
     split = docs.select(F.col(id_col).alias("id"), pieces)
-    words = split.mapInArrow(_blocks(path, False), "block long, words array<string>")
+    words = split.mapInArrow(lean(_blocks(path, False)), "block long, words array<string>")
     words = words.select("block", F.posexplode("words").alias("no", "word")).where("word is not null")
     book = encode_words(words, path).groupBy("block").agg(F.collect_list("code").alias("book"))
-    whole = split.mapInArrow(_blocks(path, True), f"block long, ids array<{id_type}>, lens binary, n_pieces long, at binary, n_words int, long_no array<int>, long_ids array<array<int>>")
-    out = whole.join(book, "block", "left").mapInArrow(_assemble(path), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    whole = split.mapInArrow(lean(_blocks(path, True)), f"block long, ids array<{id_type}>, lens binary, n_pieces long, at binary, n_words int, long_no array<int>, long_ids array<array<int>>")
+    out = whole.join(book, "block", "left").mapInArrow(lean(_assemble(path)), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # written here, so that the batches which go to Python stay as small as ``written`` has them
+    return written(out, "bpe-ids").withColumnRenamed("id", id_col)
