@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import unit_hash, written
+from tidemark.llm.common import lean, unit_hash, written
 
 GRAMS = 1 << 15
 #: A byte takes part in three trigrams, so their log likelihoods are divided by three.
@@ -91,7 +91,7 @@ def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(lean(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
     logs = np.zeros((GRAMS, len(languages) + 1), np.float32)
     logs[:, -1] = -np.log(GRAMS)
@@ -157,16 +157,16 @@ def identify(
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64)
             ends, at = np.cumsum(sizes), 0
-            while at < batch.num_rows:  # slices of a few MB, or one long text
+            while at < batch.num_rows:  # slices of half a MB, or one long text
                 base = ends[at - 1] if at else 0
-                part = batch.slice(at, max(1, int(np.searchsorted(ends, base + (4 << 20), side="right")) - at))
+                part = batch.slice(at, max(1, int(np.searchsorted(ends, base + (1 << 19), side="right")) - at))
                 logs = model.score(part.column("text"))
                 has = np.asarray(pc.greater(pc.binary_length(part.column("text")), 2))
                 mass = softmax(logs + prior)[:, :-1] * has[:, None]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "declared", "host", "suffix")], pa.array(list(logs), pa.list_(pa.float64())), pa.array(list(mass), pa.list_(pa.float64())), pa.array(has)], ["id", "declared", "host", "suffix", "logs", "mass", "has_text"])
                 at += part.num_rows
 
-    scored = light.mapInArrow(score, f"id {id_type}, declared string, host string, suffix string, logs array<double>, mass array<double>, has_text boolean")
+    scored = light.mapInArrow(lean(score), f"id {id_type}, declared string, host string, suffix string, logs array<double>, mass array<double>, has_text boolean")
     scored = written(scored.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), "language-text")
     sums = F.array(*[F.sum(F.col("mass")[k]) for k in range(len(known))])
     # One row, and at most one a language and "other": bounded by the model.
@@ -207,7 +207,7 @@ def identify(
             pick = lambda p, sure: pa.array([names[k] if h else UNKNOWN for k, h in zip(p.argmax(axis=1), sure, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pick(post, told), pa.array(np.where(told, post.max(axis=1), 0.0)), pick(text, has), batch.column("declared"), batch.column("host")], ["id", "lang", "posterior", "text_lang", "declared", "host"])
 
-    told = out.mapInArrow(fuse, f"id {id_type}, lang string, posterior double, text_lang string, declared string, host string")
+    told = out.mapInArrow(lean(fuse), f"id {id_type}, lang string, posterior double, text_lang string, declared string, host string")
     told = told.withColumnRenamed("id", id_col)
     return told.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= accept))
 

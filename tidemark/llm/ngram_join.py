@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, contracted, released, text_of, written
+from tidemark.llm.common import components, contracted, lean, released, text_of, written
 from tidemark.llm.shingles import shingle_sets, sliced
 
 SKETCH_BITS, SKETCH_PARTS = 20, 16
@@ -482,7 +482,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     for salt in range(8):
-        first = written(rows.mapInArrow(_count(width, salt), COUNTED_SQL), "ngram-sets", "kind")
+        first = written(rows.mapInArrow(lean(_count(width, salt)), COUNTED_SQL), "ngram-sets", "kind")
         sets = first.where("kind = 0")
         signs = sets.where("ck is not null").groupBy("ck").agg(F.min("n").alias("n"), F.min("body").alias("parity"), F.min("id").alias("rep"), (F.min("proof") != F.max("proof")).alias("two"))
         signs = written(signs, "ngram-classes")
@@ -495,27 +495,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sketch[r["part"]] += np.frombuffer(r["body"], "<i8")
     order = Order(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32), percent)
 
-    posted = rows.mapInArrow(_post(width, salt, order), "tok long, ck long, ask int")
-    lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(_lists, "kind int, a long, b long, ask int")
+    posted = rows.mapInArrow(lean(_post(width, salt, order)), "tok long, ck long, ask int")
+    lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(lean(_lists), "kind int, a long, b long, ask int")
     lists = written(lists, "ngram-lists", "kind")
     counted = lists.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask"))
     told_a, told_b = signs.select(F.col("ck").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), signs.select(F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     pairs = written(counted.where("shared >= ask").select("a", "b"), "ngram-pairs")
-    pairs = pairs.join(told_a, "a").join(told_b, "b").mapInArrow(_pairs(percent), "a long, b long")
+    pairs = pairs.join(told_a, "a").join(told_b, "b").mapInArrow(lean(_pairs(percent)), "a long, b long")
     long = lists.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("ck"))
     long = long.union(long.select("grp", F.col("grp").alias("ck"))).distinct()
     light = written(long.join(signs.select("ck", "n", "parity"), "ck"), "ngram-members")
-    found = _sorted(_dealt(light)).mapInArrow(_screen(percent), "a long, b long")
+    found = _sorted(_dealt(light)).mapInArrow(lean(_screen(percent)), "a long, b long")
     possible_links = written(pairs.union(found), "ngram-possible")
     released(lists, light)
     bundles = components(possible_links, "ngram-bundles")
     members = written(bundles.toDF("ck", "grp").join(signs.select("ck", "n", "rep"), "ck"), "ngram-dealt")
     wanted = Seen(members.select(F.coalesce("rep", F.lit(-1)).alias("id")))
     source = rows.select(F.coalesce("id", F.lit(-1)).alias("id"), "text")
-    bodies = source.mapInArrow(_fetch(width, salt, wanted), "ck long, body binary").join(members.select("ck"), "ck", "left_semi")
+    bodies = source.mapInArrow(lean(_fetch(width, salt, wanted)), "ck long, body binary").join(members.select("ck"), "ck", "left_semi")
     bodies = written(bodies.groupBy("ck").agg(F.first("body").alias("body")), "ngram-whole")
     paid = _sorted(_dealt(members.drop("rep")).select("ck", *GROUP, "blocks", "side").join(bodies, "ck"))
-    edges = written(paid.mapInArrow(_verify(order), "a long, b long, whole long"), "ngram-edges")
+    edges = written(paid.mapInArrow(lean(_verify(order)), "a long, b long, whole long"), "ngram-edges")
     released(possible_links, members, bodies)
     # most bundles are of one block and settled where they were verified; only the links of the others have yet to meet
     stars = edges.where("whole = 1")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
