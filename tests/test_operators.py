@@ -249,3 +249,11 @@ def test_report_of_files(spark, tmp_path):
     alone = report.run_report(spark, f"file://{tmp_path}/got.json", None).collect()
     assert {r["stage"] for r in alone} == {"consistency"}
     assert report.main(["--inferred", f"file://{tmp_path}/got.json", "--out", str(tmp_path / "out.json")]) == 0 and json.loads((tmp_path / "out.json").read_text())["consistency"]["schema_errors"] == 1.0
+
+
+def test_a_common_name_does_not_make_all_pairs(spark):
+    schema = "record_id long, source_customer_id string, source_system string, full_name string, email string, phone string, dob string, kyc_doc_number string"
+    r = identity.canonical(spark.createDataFrame([(i, str(i), "s", "Ann Lee", None, None, None, None) for i in range(300)], schema))
+    c = identity.candidates(r)
+    assert c.count() == sum(min(i, identity.MOST) for i in range(300))
+    assert identity.resolve(r, identity.scored(r, c)).select("canonical_id").distinct().count() == 1

@@ -16,12 +16,22 @@ def canonical(records: DataFrame) -> DataFrame:
     return records.withColumns({"email_c": canonical_email(F.col("email")), "phone_c": canonical_phone(F.col("phone")), "name_c": F.lower("full_name")})
 
 
+#: Earlier records of a block that a record meets; those before meet one of these, so components stay whole where they all match.
+MOST = 50
+
+
 def candidates(records: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of record ids, a < b, that agree on any blocking key: one equi-join a key, never an OR."""
+    """Pairs ``(a, b)`` of record ids, a < b, that agree on a blocking key: each record with the 50 before it in its block.
+
+    One window a key, never a join of a block with itself, so a name that very
+    many bear costs its records and not their pairs.
+    """
     out = None
     for key in BLOCKS:
-        side = records.where(F.col(key).isNotNull()).select("record_id", F.col(key).alias("k"))
-        pairs = side.toDF("a", "k").join(side.toDF("b", "k"), "k").where("a < b").select("a", "b")
+        before = Window.partitionBy("k").orderBy("record_id").rowsBetween(-MOST, -1)
+        side = records.where(F.col(key).isNotNull()).select("record_id", F.col(key).alias("k")).distinct()
+        met = side.withColumn("met", F.collect_list("record_id").over(before))
+        pairs = met.select(F.explode("met").alias("a"), F.col("record_id").alias("b"))
         out = pairs if out is None else out.union(pairs)
     return out.distinct()
 

@@ -294,7 +294,7 @@ RECORDS = """rec AS (SELECT c_custkey AS record_id, 'CUST' || c_custkey AS sourc
   CASE WHEN c_custkey % 6 = 0 THEN 'D' || (c_custkey // 12) END AS dob, CASE WHEN c_custkey % 7 = 0 THEN 'K' || (c_custkey // 14) END AS kyc_doc_number FROM customer),
   can AS (SELECT *, lower(trim(email)) AS email_c, regexp_replace(phone, '[^0-9]', '', 'g') AS ph FROM rec),
   cn AS (SELECT * EXCLUDE (ph), CASE WHEN length(ph) = 11 AND ph[1] = '1' THEN substr(ph, 2) ELSE ph END AS phone_c, lower(full_name) AS name_c FROM can)"""
-PAIRS = "pairs AS (" + " UNION ".join(f"SELECT x.record_id a, y.record_id b FROM cn x JOIN cn y ON x.{k} = y.{k} AND x.record_id < y.record_id" for k in identity.BLOCKS) + ")"
+PAIRS = "pairs AS (" + " UNION ".join(f"SELECT x.record_id a, y.record_id b FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY record_id) r FROM cn) x JOIN (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY record_id) r FROM cn) y ON x.{k} = y.{k} AND x.r < y.r AND y.r - x.r <= {identity.MOST}" for k in identity.BLOCKS) + ")"
 _LLR = lambda cond, f: f"coalesce(CASE WHEN {cond} THEN ln({S.FIELD_WEIGHTS[f][0]} / {S.FIELD_WEIGHTS[f][1]}) WHEN NOT ({cond}) THEN ln((1 - {S.FIELD_WEIGHTS[f][0]}) / (1 - {S.FIELD_WEIGHTS[f][1]})) END, 0)"
 SCORED = f"""sc AS (SELECT a, b, x.email_c = y.email_c AS se, x.phone_c = y.phone_c AS sp, x.kyc_doc_number = y.kyc_doc_number AS sk,
   {_LLR('jaro_winkler_similarity(x.name_c, y.name_c) >= 0.9', 'name')} + {_LLR('x.email_c = y.email_c', 'email')} + {_LLR('x.phone_c = y.phone_c', 'phone')} + {_LLR('x.dob = y.dob', 'dob')} + {_LLR('x.kyc_doc_number = y.kyc_doc_number', 'kyc_doc')} AS score
@@ -430,7 +430,7 @@ def r13(spark, d):
 
 
 WRITES = """wr AS (SELECT arrival_seq + 1000000000 AS episode_id, customer_id, 'findings.usage' AS field_path, 'x' AS value, 0.5 AS confidence, 'usage' AS agent, t, CASE WHEN arrival_seq % 3 > 0 THEN vn - arrival_seq % 3 + 1 END AS expected, vn
-  FROM env JOIN (SELECT customer_id, count(*) AS vn FROM log GROUP BY 1) USING (customer_id) WHERE arrival_seq % 10 = 0),
+  FROM env JOIN (SELECT customer_id, count(*) AS vn FROM log GROUP BY 1) USING (customer_id)),
   wk AS (SELECT *, expected IS NULL OR (expected = vn AND row_number() OVER (PARTITION BY customer_id, expected ORDER BY episode_id) = 1) AS ok FROM wr)"""
 
 
@@ -438,7 +438,7 @@ def _writes(spark, d):
     n = F.col("arrival_seq")
     log = _log(spark, d)
     versions = log.groupBy("customer_id").agg(F.count(F.lit(1)).alias("state_version"))
-    w = _env(spark, d).where(n % 10 == 0).join(versions, "customer_id")
+    w = _env(spark, d).join(versions, "customer_id")
     expected = F.when(n % 3 > 0, F.col("state_version") - n % 3 + 1)
     w = w.select((n + 1_000_000_000).alias("episode_id"), "customer_id", F.lit("findings.usage").alias("field_path"), F.lit("x").alias("value"), F.lit(0.5).alias("confidence"), F.lit("usage").alias("agent"), "t", expected.alias("expected"))
     return state.update_field(log, w, versions)
@@ -455,10 +455,10 @@ def b3_conflicts(spark, d):
     return _writes(spark, d)[1].select("episode_id", "expected", "actual")
 
 
-@query("b4_record_finding", f"WITH {ENV} SELECT arrival_seq AS episode_id, customer_id, 'findings.' || CASE WHEN arrival_seq % 2 = 0 THEN 'usage' ELSE 'support' END AS field_path FROM env WHERE arrival_seq % 7 = 0")
+@query("b4_record_finding", f"WITH {ENV} SELECT arrival_seq AS episode_id, customer_id, 'findings.' || CASE WHEN arrival_seq % 2 = 0 THEN 'usage' ELSE 'support' END AS field_path FROM env")
 def b4(spark, d):
     n = F.col("arrival_seq")
-    f = _env(spark, d).where(n % 7 == 0).select(n.alias("episode_id"), "customer_id", F.when(n % 2 == 0, "usage").otherwise("support").alias("domain"), F.lit("{}").alias("value"), F.lit(0.6).alias("confidence"), F.lit("usage").alias("agent"), "t")
+    f = _env(spark, d).select(n.alias("episode_id"), "customer_id", F.when(n % 2 == 0, "usage").otherwise("support").alias("domain"), F.lit("{}").alias("value"), F.lit(0.6).alias("confidence"), F.lit("usage").alias("agent"), "t")
     return state.record_finding(f).select("episode_id", "customer_id", "field_path")
 
 
@@ -494,10 +494,10 @@ def x20(spark, d):
     return _env(spark, d).select("event_id", S.age_seconds(F.col("t") + 600_000_000, F.col("it")).alias("age"))
 
 
-@query("b13_f6_hitl_submit", f"""WITH {ENV} SELECT 'apr_' || md5('D' || arrival_seq)[1:12] AS approval_id, customer_id, 'D' || arrival_seq AS decision_id, '{{"confidence":0.4}}' AS decision_payload, t AS submitted_at FROM env WHERE arrival_seq % 9 = 0""")
+@query("b13_f6_hitl_submit", f"""WITH {ENV} SELECT 'apr_' || md5('D' || arrival_seq)[1:12] AS approval_id, customer_id, 'D' || arrival_seq AS decision_id, '{{"confidence":0.4}}' AS decision_payload, t AS submitted_at FROM env""")
 def b13(spark, d):
     """Escalated decisions enter the approvals and are listed oldest first."""
-    e = _env(spark, d).where("arrival_seq % 9 = 0")
+    e = _env(spark, d)
     s = rules.submit_approvals(e.select(F.concat(F.lit("D"), F.col("arrival_seq").cast("string")).alias("decision_id"), "customer_id", F.lit("support_intervention").alias("proposed_action"), F.col("t").alias("submitted_at"), F.lit(0.4).alias("confidence")))
     return rules.pending_approvals(s).select("approval_id", "customer_id", "decision_id", "decision_payload", "submitted_at")
 
@@ -851,10 +851,11 @@ def a10(spark, d):
     return evaluation.grounding(e.select(F.concat(F.lit("EVT_"), F.when(n % 7 == 0, -n - 1).otherwise(n).cast("string")).alias("ref")), e)
 
 
-@query("a11_red_herrings", f"WITH {ENV} SELECT round(count(*) FILTER (arrival_seq % 9 <> 0) / count(*), 4) AS herring_clean FROM env WHERE arrival_seq % 3 = 0")
+@query("a11_red_herrings", f"WITH {ENV} SELECT round(count(*) FILTER (arrival_seq NOT IN (SELECT arrival_seq * 3 FROM env)) / count(*), 4) AS herring_clean FROM env")
 def a11(spark, d):
+    """Every event as a red herring; actions cite the events of three times every number, as far as they exist."""
     e = _env(spark, d)
-    return evaluation.herrings(e.where("arrival_seq % 3 = 0").select("event_id"), e.where("arrival_seq % 9 = 0").select(F.col("event_id").alias("ref")))
+    return evaluation.herrings(e.select("event_id"), e.select(F.concat(F.lit("EVT_"), (F.col("arrival_seq") * 3).cast("string")).alias("ref")))
 
 
 PAIR = f"""pa AS (SELECT arrival_seq, ({_list(rules.STATES)})[CAST(arrival_seq % {len(rules.STATES)} AS INT) + 1] AS is_, ({_list(rules.STATES)})[CAST(arrival_seq * 5 % {len(rules.STATES)} AS INT) + 1] AS es, ({_list(evaluation.BANDS)})[CAST(arrival_seq % 3 AS INT) + 1] AS ib, ({_list(evaluation.BANDS)})[CAST(arrival_seq // 2 % 3 AS INT) + 1] AS eb,
@@ -900,11 +901,17 @@ def r24(spark, d):
     return evaluation.report(cps, e, e.where(n % 3 == 0).select("event_id"), rules.ACTIONS, evaluation.STATES, _pairs(spark, d))
 
 
-@query("j7_checkpoint_match")
+@query("j7_checkpoint_match", f"""WITH RECURSIVE {ENV}, cp AS (SELECT customer_id || ':' || (t // {DAY}) AS s, arrival_seq AS pos, t FROM env), ls AS (SELECT s, list(struct_pack(pos := pos, t := t) ORDER BY pos) AS il, list(struct_pack(k := pos, t := t + CASE WHEN pos % 2 = 0 THEN 3600000000 ELSE -7200000000 END) ORDER BY pos) AS el FROM cp GROUP BY 1),
+  st(s, il, el, k, used, inferred_pos, expected_pos) AS (SELECT s, il, el, 1, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM ls UNION ALL
+    SELECT s, il, el, k + 1, list_append(used, best), p, best FROM (SELECT s, il, el, k, used, il[k].pos AS p, list_sort(list_transform(list_filter(el, lambda e: NOT list_contains(used, e.k)), lambda e: struct_pack(d := abs(il[k].t - e.t), k := e.k)))[1].k AS best FROM st WHERE k <= len(il)))
+  SELECT s AS scenario_id, inferred_pos, expected_pos FROM st WHERE inferred_pos IS NOT NULL""")
 def j7(spark, d):
+    """Every event as a checkpoint of its customer's day, against the same ones moved by an hour on or two back."""
     e = _env(spark, d)
-    cp = lambda mod, shift: e.where(F.col("arrival_seq") % mod == 0).select((F.col("arrival_seq") % 40).cast("string").alias("scenario_id"), F.col("arrival_seq").alias("pos"), (F.col("t") + shift).alias("t"))
-    return evaluation.match_checkpoints(cp(50, 0), cp(70, 3_600_000_000))
+    name = F.concat("customer_id", F.lit(":"), F.floor(F.col("t") / DAY).cast("string")).alias("scenario_id")
+    cps = e.select(name, F.col("arrival_seq").alias("pos"), "t")
+    moved = cps.withColumn("t", F.col("t") + F.when(F.col("pos") % 2 == 0, 3_600_000_000).otherwise(-7_200_000_000))
+    return evaluation.match_checkpoints(cps, moved)
 
 
 @query("j10_false_positive_checks", f"""WITH {ENV} SELECT c.event_id, c.customer_id, 'no_action' AS action, a.t AS action_t FROM env c JOIN env a ON a.customer_id = c.customer_id AND a.t BETWEEN c.t AND c.t + 86400000000 WHERE c.arrival_seq % 50 = 0 AND a.arrival_seq % 6 = 0""")
