@@ -351,7 +351,7 @@ def test_evidence_is_fused(spark, small):
     rows = [(i, f"https://a.site.example/{i}", f"<html lang='fr-FR'><p>{t}</p>") for i, t in enumerate(fr)] + [(100, "https://a.site.example/x", "<html lang=fr><p>12345 678</p>"), (101, None, None), (102, "", "<html></html>")]
     got = {r["page_id"]: r for r in language_id.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("z")), model).collect()}
     assert got[0]["lang"] == "fr" and got[0]["declared"] == "fr" and got[0]["host"] == "a.site.example"
-    assert got[100]["text_lang"] != "fr" or got[100]["lang"] == "fr"
+    assert got[100]["lang"] == "fr" and got[100]["accepted"]
     assert not got[101]["accepted"] and not got[102]["accepted"] and got[101]["lang"] == "und"
 
 
