@@ -210,13 +210,6 @@ def t12(spark, d):
     return r.select("event_id", F.size("ring").cast("long").alias("ring_size"), F.array_join(F.col("ring.event_id"), ",").alias("ring"))
 
 
-@query("t13_r10_triggers")
-def t13(spark, d):
-    f = _flagged(spark, d)
-    f = f.select("customer_id", F.col("arrival_seq").alias("seq"), "t", rules.domain_of(F.col("source_system")).alias("domain"), rules.finding_confidence(F.col("flags")).alias("confidence"), F.array_contains(F.col("flags.type"), "watchlist_hit").alias("watchlist"))
-    return batch.triggers(f.where("domain is not null"))
-
-
 @query("stream_dedup", f"WITH {ENV}, {DUP} SELECT DISTINCT customer_id, event_id FROM arr")
 def stream_dedup(spark, d):
     """The batch's dedup as a drained stream over the same rows."""
@@ -649,6 +642,26 @@ def r1(spark, d):
     return _flagged(spark, d).where(F.size("flags") > 0).select("event_id", F.array_join(F.col("flags.type"), ",").alias("flags"))
 
 
+_D4 = ("transaction", "usage", "support", "kyc")
+_BIT = " + ".join(f"CASE WHEN t - t{i} <= {batch.REFRESH} THEN {1 << i} ELSE 0 END" for i in range(4))
+
+
+@query("t13_r10_triggers", f"""WITH RECURSIVE {ENVN}, {PRIOR}, {FLAGS}, dm AS (SELECT customer_id, arrival_seq AS seq, t, CASE WHEN source_system IN ({_TX}) THEN 'transaction' WHEN source_system = 'web_app_events' THEN 'usage' WHEN source_system = 'support_logs' THEN 'support' WHEN source_system = 'loan_kyc' THEN 'kyc' END AS domain, top AS confidence, list_contains(flags, 'watchlist_hit') AS watchlist FROM fl),
+  fd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t, seq) AS k FROM dm WHERE domain IS NOT NULL),
+  st AS (SELECT DISTINCT customer_id, CAST(0 AS BIGINT) AS k, {', '.join(f"NULL::BIGINT AS t{i}, NULL::DOUBLE AS c{i}" for i in range(4))}, false AS w, NULL::BIGINT AS last, NULL::INT AS before, NULL::BIGINT AS seq, NULL::BIGINT AS t, NULL::VARCHAR AS domain, NULL::DOUBLE AS confidence, false AS watchlist, false AS fired, NULL::VARCHAR AS reason FROM fd UNION ALL
+    SELECT customer_id, k, {', '.join(f"t{i}, c{i}" for i in range(4))}, w, CASE WHEN fire THEN t ELSE last END, fresh, seq, t, domain, confidence, watchlist, fire, CASE WHEN fire THEN why END FROM (
+      SELECT *, why IS NOT NULL AND (last IS NULL OR t - last >= {batch.COOLDOWN}) AS fire FROM (
+        SELECT *, CASE WHEN w THEN 'watchlist' WHEN greatest(c0, c1, c2, c3) >= 0.75 THEN 'high_severity' WHEN bit_count(fresh) > 1 THEN 'domains' WHEN fresh = before THEN 'repeated' END AS why FROM (
+          SELECT *, CAST({_BIT} AS INT) AS fresh FROM (
+            SELECT s.customer_id, f.k, {', '.join(f"CASE WHEN f.domain = '{n}' THEN f.t ELSE s.t{i} END AS t{i}, CASE WHEN f.domain = '{n}' THEN f.confidence ELSE s.c{i} END AS c{i}" for i, n in enumerate(_D4))},
+              s.w OR f.watchlist AS w, s.last, s.before, f.seq, f.t, f.domain, f.confidence, f.watchlist FROM st s JOIN fd f ON f.customer_id = s.customer_id AND f.k = s.k + 1)))))
+  SELECT customer_id, seq, t, domain, confidence, watchlist, fired, reason FROM st WHERE k > 0""")
+def t13(spark, d):
+    f = _flagged(spark, d)
+    f = f.select("customer_id", F.col("arrival_seq").alias("seq"), "t", rules.domain_of(F.col("source_system")).alias("domain"), rules.finding_confidence(F.col("flags")).alias("confidence"), F.array_contains(F.col("flags.type"), "watchlist_hit").alias("watchlist"))
+    return batch.triggers(f.where("domain is not null"))
+
+
 @query("a15_finding_confidence", f"WITH {ENVN}, {PRIOR}, {FLAGS} SELECT event_id, len(flags) AS n_flags, top AS confidence FROM fl")
 def a15(spark, d):
     return _flagged(spark, d).select("event_id", F.size("flags").cast("long").alias("n_flags"), rules.finding_confidence(F.col("flags")).alias("confidence"))
