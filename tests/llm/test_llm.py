@@ -745,6 +745,44 @@ def test_mix_meets_its_targets(spark, sf):
     assert (again.taken.to_numpy() == got.sort_values("doc_id").taken.to_numpy()).all()
 
 
+def test_the_draw_equals_brute_force(spark, small):
+    """Pareto ranks by the same random numbers, fronts and fillers by plain loops; a document longer than its source lacks among them."""
+    from tidemark.llm.common import unit_hash
+
+    d = small.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(10_000 + i, "w " * n, s) for i, (n, s) in enumerate([(30000, "one"), (10, "one"), (7, "one"), (5, "one"), (3, "two"), (0, "two"), (2000, "two")])], "doc_id long, text string, source string"))
+    u = unit_hash(F.lit(7), F.col("doc_id"), F.coalesce("source", F.lit("\0")), F.col("size"))
+    drawn = {r["doc_id"]: r["u"] for r in d.withColumn("size", mixing.words_in(F.coalesce("text", F.lit("")))).select("doc_id", u.alias("u")).collect()}
+    source = {r["doc_id"]: r["source"] for r in d.collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(d).collect()}
+    taken_late = 0
+    for s in set(source.values()):
+        own = [r for i, r in got.items() if source[i] == s]
+        ratio = own[0]["target"] / own[0]["source_size"]
+        whole = int(ratio + 1e-12)
+        part = max(ratio - whole, 0.0)
+        need = part * own[0]["source_size"]
+        def key(r, need=need, part=part):
+            p = min(part, need / r["size"]) if r["size"] else part
+            odds = drawn[r["doc_id"]] / (1 - drawn[r["doc_id"]]) / (p / (1 - p)) if p else 0
+            return odds / (1 + odds), r["doc_id"], r["size"]
+        order = sorted(own, key=key) if part else []
+        extra, total = set(), 0
+        for r in order:
+            total += r["size"]
+            if total <= need:
+                extra.add(r["doc_id"])
+        left = need - sum(got[i]["size"] for i in extra)
+        total = 0
+        for r in order:
+            if r["doc_id"] not in extra and r["size"] <= left:
+                total += r["size"]
+                if total - r["size"] / 2 <= left:
+                    extra.add(r["doc_id"])
+                    taken_late += 1
+        assert {r["doc_id"]: r["copies"] for r in own} == {r["doc_id"]: whole + (r["doc_id"] in extra) for r in own}
+    assert taken_late
+
+
 def test_mix_odd(odd):
     got = mixing.mix(with_null_id(odd))
     assert got.count() == odd.count() and mixing.mix(odd.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target number of words. A document owes ``target / source
-size`` copies: the whole part is certain, the rest is an inclusion probability.
-Documents are ranked by the odds of a random number divided by their inclusion
+size`` copies: the whole part is certain, the rest is an inclusion probability,
+which no document has beyond the words that its source lacks. Documents are ranked by the odds of a random number divided by their inclusion
 odds, and each source takes the front of its ranking until the words that are
 still missing are taken (the sample's size is fixed in words, so long documents
 do not throw it off its target).
@@ -82,7 +82,9 @@ def mix(
     goal = goal.withColumn("need", F.col("part") * F.col("source_size")).withColumnRenamed("source", "of")
     rows = light.join(goal.drop("n"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     u = unit_hash(F.lit(seed), F.col("id"), F.coalesce("source", F.lit("\0")), F.col("size"))
-    odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
+    # a document's inclusion probability: its source's share, less where the document alone is more than the source lacks
+    p = F.least(F.col("part"), F.when(F.col("size") > 0, F.col("need") / F.col("size")).otherwise(F.col("part")))
+    odds = (u / (1 - u)) / (p / (1 - p))
     # Odds over odds are mapped to (0, 1) so that they can be binned; the order is kept.
     rows = rows.withColumn("rank_key", F.when(F.col("part") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
     rows = rows.withColumn("bin", F.least(F.floor(F.col("rank_key") * BINS), F.lit(BINS - 1)).cast("int"))
