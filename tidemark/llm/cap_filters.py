@@ -24,7 +24,7 @@ from tidemark.llm.common import components, released, written
 from tidemark.llm.vectors import matrix, usable
 
 #: Rows of a filter that one task compares with each other; larger filters are cut into blocks, and block meets block.
-BLOCK = 512
+BLOCK = 2048
 #: Bits of the signature that screens rows before their vectors are sent. For a cosine of 0.98 a pair differs in 8 of
 #: them on average and in more than ``APART`` with a probability below 1e-10; unrelated pairs differ in 64.
 SIGNS, APART = 128, 34
