@@ -82,7 +82,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
-    return encode_decode(docs)
+    # written here, so that the batches which go to Python stay as small as ``written`` has them
+    return written(encode_decode(docs), "pipeline-ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean, text_of, written
+from tidemark.llm.common import give_back, lean, text_of
 
 BUCKETS = 1 << 14
 #: Longer pieces (runs of punctuation or letters) are merged with a heap, as folding them would be quadratic.
@@ -41,32 +41,47 @@ def library_class(name: str) -> str:
     import tiktoken
 
     probe = tiktoken.Encoding("probe", pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    return bytes(probe.encode_ordinary("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))).decode()
+    found = lambda a: bytes(probe.encode_ordinary("".join(chr(c) for c in range(a, a + 4096) if not 0xD800 <= c < 0xE000))).decode()
+    return "".join(map(found, range(0, 0x110000, 4096)))
 
 
-_patterns: dict[str, str] = {}
+_patterns: dict[str, tuple[str, str | None]] = {}
 
 
-def split_pattern(spark: SparkSession) -> str:
-    """The vocabulary's pattern for Java, whose tables lack the letters and digits that Unicode added last.
-
-    Those are found once a process, by one row, and written out as ranges.
-    ``\\s`` is spelled as the property it means in the library.
-    """
+def _patterns_of(spark: SparkSession) -> tuple[str, str | None]:
+    """The pattern for any text, and the class of the letters and digits that Java's tables lack (null if they lack none)."""
     java = spark._jvm.java.lang.System.getProperty("java.version")
     if java not in _patterns:
         row = spark.createDataFrame([(library_class("L"), library_class("N"))], "l string, n string")
         lacks = row.select(F.regexp_replace("l", r"\p{L}+", ""), F.regexp_replace("n", r"\p{N}+", "")).first()
         letters, digits = (_ranges(sorted(map(ord, x))) for x in lacks)
         also = lambda r: rf"[\x{{80}}-\x{{10FFFF}}&&[{r}]]" if r else ""  # noqa: E731  the cheap range first
-        other = rf"&&[^{letters}{digits}]" if letters or digits else ""
-        _patterns[java] = (
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}{also(letters)}]+| ?[\p{{N}}{also(digits)}]+| ?[\P{{IsWhite_Space}}&&\P{{L}}&&\P{{N}}{other}]+"
-            r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-        )
+        other = rf"[\P{{IsWhite_Space}}&&\P{{L}}&&\P{{N}}&&[^{letters}{digits}]]" if letters or digits else r"[^\p{IsWhite_Space}\p{L}\p{N}]"
+        least = min(map(ord, "".join(lacks)), default=0)
+        new = rf"[\x{{{least:X}}}-\x{{10FFFF}}&&[{letters}{digits}]]" if letters or digits else None
+        _patterns[java] = PATTERN.replace(r"[\p{L}]", rf"[\p{{L}}{also(letters)}]").replace(r"[\p{N}]", rf"[\p{{N}}{also(digits)}]").replace(r"[^\p{IsWhite_Space}\p{L}\p{N}]", other), new
     return _patterns[java]
 
 
+#: The vocabulary's pattern with ``\s`` spelled as the property it means in the library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+
+
+def split_pattern(spark: SparkSession) -> str:
+    """The vocabulary's pattern for Java, whose tables lack the letters and digits that Unicode added last.
+
+    Those are found once a process, by one row, and written out as ranges.
+    """
+    return _patterns_of(spark)[0]
+
+
+def pieces_of(spark: SparkSession, text: Column) -> Column:
+    """A text's pieces; only texts that hold a new letter or digit pay for the ranges."""
+    full, new = _patterns_of(spark)
+    split = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(new), split(full)).otherwise(split(PATTERN)) if new else split(PATTERN)
+
+
 def _ranges(points: list[int]) -> str:
     """Ascending code points as the inside of a character class."""
     runs: list[list[int]] = []
@@ -91,20 +106,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small buckets by checksum, each with its pieces and their ranks."""
-    table: list[dict[str, list]] = [{"k": [], "r": []} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        bucket = table[zlib.crc32(piece) % BUCKETS]
-        bucket["k"].append(base64.b64encode(piece).decode())
-        bucket["r"].append(rank)
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<struct<k:array<binary>,r:array<int>>>")
+@lru_cache(maxsize=4)
+def _buckets(path: str) -> str:
+    """The rank file as JSON: small buckets by checksum, each with its pieces and their ranks."""
+    table: list[list[tuple[bytes, int]]] = [[] for _ in range(BUCKETS)]
+    for piece, rank in read_ranks(path).items():
+        table[zlib.crc32(piece) % BUCKETS].append((piece, rank))
+    cell = lambda own: json.dumps({"k": [base64.b64encode(p).decode() for p, _ in own], "r": [r for _, r in own]}, separators=(",", ":"))
+    return "[" + ",".join(map(cell, table)) + "]"
+
+
+def rank_map(path: str) -> Column:
+    """The ranks of a file as one literal."""
+    return F.from_json(F.lit(_buckets(path)), "array<struct<k:array<binary>,r:array<int>>>")
 
 
 def rank_of(ranks: Column, piece: Column) -> Column:
     """Rank of a binary piece, null if it is no token."""
     bucket = F.get(ranks, (F.crc32(piece) % BUCKETS).cast("int"))
-    return F.get(bucket["r"], (F.array_position(bucket["k"], piece) - 1).cast("int"))
+    return F.get(F.transform(F.array(bucket), lambda b: F.get(b["r"], (F.array_position(b["k"], piece) - 1).cast("int"))), 0)
 
 
 def fold_merges(piece: Column, ranks: Column) -> Column:
@@ -117,8 +137,9 @@ def _fold(piece: Column, ranks: Column) -> Column:
     none = F.lit(2**31 - 1)
     rank = lambda x: F.coalesce(rank_of(ranks, x), none)
     n = F.octet_length(piece)
+    # pieces go through transform to be looked up, which binds them, so each is cut or joined once
     single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
+    pairs = F.when(n > 1, F.transform(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(piece, i, F.lit(2))), rank)).otherwise(F.array().cast("array<int>"))
     start = F.struct(single.alias("p"), pairs.alias("r"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -127,8 +148,8 @@ def _fold(piece: Column, ranks: Column) -> Column:
         def merged(at: Column) -> Column:
             joined = F.concat(F.get(acc["p"], at - 1), F.get(acc["p"], at))
             p = F.concat(F.slice(acc["p"], F.lit(1), at - 1), F.array(joined), F.slice(acc["p"], at + 2, F.size(acc["p"])))
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(acc["p"], at - 2), joined)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(acc["r"]), F.array(rank(F.concat(joined, F.get(acc["p"], at + 1))))).otherwise(F.array().cast("array<int>"))
+            left = F.when(at > 1, F.transform(F.array(F.concat(F.get(acc["p"], at - 2), joined)), rank)).otherwise(F.array().cast("array<int>"))
+            right = F.when(at < F.size(acc["r"]), F.transform(F.array(F.concat(joined, F.get(acc["p"], at + 1))), rank)).otherwise(F.array().cast("array<int>"))
             r = F.concat(F.slice(acc["r"], F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(acc["r"], at + 2, F.size(acc["r"]) + 1))
             return F.struct(p.alias("p"), r.alias("r"))
 
@@ -285,7 +306,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     wide = lambda c, n: F.lpad(F.hex(c), n, "0")
     alike = Window.partitionBy("word")
     first = F.row_number().over(alike.orderBy("block", "no")) == 1
-    ids = fold_merges(F.col("word").cast("binary"), rank_map(read_ranks(path)))
+    ids = fold_merges(F.col("word").cast("binary"), rank_map(path))
     folded = F.when(F.col("first"), F.array_join(F.transform(ids, lambda i: wide(i, 6)), ""))
     coded = words.withColumn("first", first).withColumn("ids", folded)
     same = F.first("ids", ignorenulls=True).over(alike)
@@ -303,12 +324,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     path = path or default_ranks()
     id_type = docs.schema[id_col].dataType.simpleString()
-    pieces = F.regexp_extract_all(text_of(text_col), F.lit(split_pattern(docs.sparkSession)), F.lit(0)).alias("pieces")
+    pieces = pieces_of(docs.sparkSession, text_of(text_col)).alias("pieces")
     split = docs.select(F.col(id_col).alias("id"), pieces)
     words = split.mapInArrow(lean(_blocks(path, False)), "block long, words array<string>")
     words = words.select("block", F.posexplode("words").alias("no", "word")).where("word is not null")
     book = encode_words(words, path).groupBy("block").agg(F.collect_list("code").alias("book"))
     whole = split.mapInArrow(lean(_blocks(path, True)), f"block long, ids array<{id_type}>, lens binary, n_pieces long, at binary, n_words int, long_no array<int>, long_ids array<array<int>>")
     out = whole.join(book, "block", "left").mapInArrow(lean(_assemble(path)), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    # written here, so that the batches which go to Python stay as small as ``written`` has them
-    return written(out, "bpe-ids").withColumnRenamed("id", id_col)
+    give_back()  # what the driver took to build the rank map
+    return out.withColumnRenamed("id", id_col)

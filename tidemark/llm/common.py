@@ -58,8 +58,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-#: While a table is written: its shuffle files go when it stands, and batches sent to Python stay small in bytes too.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: While a table is written: its shuffle files go when it stands, batches sent to Python stay small in bytes too, and
+#: the driver keeps no long descriptions of plans.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.maxPlanStringLength": "4096",
+}
 
 
 @contextlib.contextmanager
@@ -99,15 +104,20 @@ def released(*tables: DataFrame) -> None:
 ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Give freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: ArrowMap) -> ArrowMap:
-    """A function for ``mapInArrow`` after which the worker, which later tasks use again, gives freed memory back to the system."""
+    """A function for ``mapInArrow`` after which the worker, which later tasks use again, holds no freed memory."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, contracted, lean, released, text_of, written
+from tidemark.llm.common import components, contracted, give_back, lean, released, text_of, written
 from tidemark.llm.shingles import shingle_sets, sliced
 
 SKETCH_BITS, SKETCH_PARTS = 20, 16
@@ -494,13 +494,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for r in sums.collect():  # at most four rows a part, of fixed size
         sketch[r["part"]] += np.frombuffer(r["body"], "<i8")
     order = Order(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32), percent)
+    del sketch
 
     posted = rows.mapInArrow(lean(_post(width, salt, order)), "tok long, ck long, ask int")
     lists = posted.repartition("tok").sortWithinPartitions("tok", "ck").mapInArrow(lean(_lists), "kind int, a long, b long, ask int")
     lists = written(lists, "ngram-lists", "kind")
     counted = lists.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("ask").alias("ask"))
     told_a, told_b = signs.select(F.col("ck").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), signs.select(F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    pairs = written(counted.where("shared >= ask").select("a", "b"), "ngram-pairs")
+    pairs = counted.where("shared >= ask").select("a", "b")
     pairs = pairs.join(told_a, "a").join(told_b, "b").mapInArrow(lean(_pairs(percent)), "a long, b long")
     long = lists.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("ck"))
     long = long.union(long.select("grp", F.col("grp").alias("ck"))).distinct()
@@ -529,4 +530,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("ck").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     told = written(told, "ngram-told")
     released(first, signs, edges)
+    give_back()
     return told
