@@ -10,10 +10,12 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.cap_filters import near_duplicates
 from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.language_id import fit_text_model, identify_pages
+from tidemark.llm.lexical_search import search
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.pii import pseudonymise
+from tidemark.llm.quality_rules import quality_verdicts
 from tidemark.llm.token_counts import token_counts
 
 
@@ -68,6 +70,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and whether it stays."""
+    out = quality_verdicts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +92,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 OP2_SQL = """
@@ -99,5 +114,42 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.l
 reach(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.m FROM reach r JOIN links l ON l.a = r.n AND r.m < l.b),
 comp AS (SELECT n, min(m) AS m FROM reach GROUP BY 1), degree AS (SELECT a, count(*) AS k FROM links GROUP BY 1)
 SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN comp ON n = vec_id LEFT JOIN degree ON a = vec_id"""
+OP11_SQL = r"""
+WITH terms(k, doc_id, term) AS (SELECT k, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))
+  FROM (SELECT row_number() OVER () AS k, * FROM documents)),
+docs AS (SELECT k, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY 1), totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (SELECT k, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, totals GROUP BY term, docs),
+each AS (SELECT k, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)) AS s FROM held JOIN docs USING (k), totals),
+met AS (SELECT item_id, k, doc_id, CAST(sum(w * s) AS BIGINT) AS score FROM each JOIN asked USING (term) JOIN weights USING (term) GROUP BY 1, 2, 3),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, k) AS INT) AS rank, doc_id, score FROM met WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+windows AS (SELECT k, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT k, i FROM (SELECT *, count(*) OVER (PARTITION BY k, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(3) r(j) GROUP BY 1),
+counts AS (SELECT k, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper FROM d LEFT JOIN covered USING (k)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+rates AS (SELECT k, lang, source, base_failed, unnest(['word', 'symbol', 'dup', 'repeat', 'upper']) AS measure, unnest([500, 50, 200, 100, 50]) AS least, coalesce(unnest([1000 * word_chars // n_words, 1000 * n_symbols // n_words,
+  1000 * n_dup_lines // n_lines, 1000 * n_repeat_words // n_words, 1000 * n_upper // word_chars]), 0) AS v FROM m),
+bits AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS e FROM rates),
+cells AS (SELECT measure, least, lang, source, e * 32 + (v >> e) AS b, count(*) AS n FROM bits WHERE NOT base_failed GROUP BY ALL),
+levels AS (SELECT 0 AS level, * FROM cells UNION ALL SELECT 1, measure, least, lang, NULL, b, sum(n) FROM cells GROUP BY ALL UNION ALL SELECT 2, measure, least, NULL, NULL, b, sum(n) FROM cells GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM levels),
+quart AS (SELECT level, lang, source, measure, least, max(total) AS n, min(b) FILTER (4 * upto >= total) AS b1, min(b) FILTER (4 * upto >= 3 * total) + 1 AS b3 FROM run GROUP BY ALL),
+ends AS (SELECT *, greatest(b1 // 32 - 1, 0) AS e1, greatest(b3 // 32 - 1, 0) AS e3 FROM quart),
+q AS (SELECT *, (b1 - e1 * 32) * CAST(pow(2, e1) AS BIGINT) AS q1, (b3 - e3 * 32) * CAST(pow(2, e3) AS BIGINT) - 1 AS q3 FROM ends),
+cuts AS (SELECT level, lang, source, measure, n, q1 - 3 * greatest(q3 - q1, least) AS low, q3 + 3 * greatest(q3 - q1, least) AS high FROM q),
+near AS (SELECT r.k, r.v, r.measure, CASE WHEN o.n >= 100 THEN o.low WHEN l.n >= 100 THEN l.low ELSE a.low END AS low, CASE WHEN o.n >= 100 THEN o.high WHEN l.n >= 100 THEN l.high ELSE a.high END AS high
+  FROM rates r JOIN cuts a ON a.level = 2 AND a.measure = r.measure
+  LEFT JOIN cuts o ON o.level = 0 AND o.measure = r.measure AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+  LEFT JOIN cuts l ON l.level = 1 AND l.measure = r.measure AND l.lang IS NOT DISTINCT FROM r.lang),
+verdict AS (SELECT k, bool_and(v <= high AND (measure <> 'word' OR v >= low)) AS fits FROM near GROUP BY 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND fits AS kept FROM m LEFT JOIN verdict USING (k)"""
 #: The others hash with functions that SQL engines do not share, sample, or call a tokenizer.
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op11_lexical_search": OP11_SQL, "op13_quality_rules": OP13_SQL}
