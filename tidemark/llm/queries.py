@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.cap_filters import near_duplicates
+from tidemark.llm.collocations import collocations
 from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.language_id import fit_text_model, identify_pages
 from tidemark.llm.lexical_search import search
@@ -75,6 +76,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two thousand phrases of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and whether it stays."""
     out = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -125,6 +132,20 @@ each AS (SELECT k, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (5
 met AS (SELECT item_id, k, doc_id, CAST(sum(w * s) AS BIGINT) AS score FROM each JOIN asked USING (term) JOIN weights USING (term) GROUP BY 1, 2, 3),
 ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, k) AS INT) AS rank, doc_id, score FROM met WHERE score > 0)
 SELECT * FROM ranked WHERE rank <= 50"""
+OP12_SQL = r"""
+WITH pieces AS (SELECT lang, k, row_number() OVER () AS p, piece FROM (SELECT coalesce(lang, 'und') AS lang, k, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT row_number() OVER () AS k, * FROM documents))),
+words AS (SELECT lang, p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 5) r(m))),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30), sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY 1),
+cuts AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f, range(1, 4) r(k) WHERE k < m),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (l.f + r.f) AS BIGINT) AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, f, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT lang, f, n, string_split(phrase, ' ') AS w, unnest(range(1, m - n + 2)) AS i FROM f, range(2, 4) r(n) WHERE n < m)),
+longer AS (SELECT lang, phrase, max(f) AS most FROM spans GROUP BY ALL),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best LEFT JOIN longer USING (lang, phrase) JOIN sizes USING (lang) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT * FROM ranked WHERE rank <= 2000"""
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -152,4 +173,4 @@ verdict AS (SELECT k, bool_and(v <= high AND (measure <> 'word' OR v >= low)) AS
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   base_failed, NOT base_failed AND fits AS kept FROM m LEFT JOIN verdict USING (k)"""
 #: The others hash with functions that SQL engines do not share, sample, or call a tokenizer.
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op11_lexical_search": OP11_SQL, "op13_quality_rules": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL, "op13_quality_rules": OP13_SQL}
