@@ -222,7 +222,35 @@ def test_stale_versions_are_refused(spark):
     log = spark.createDataFrame([(1, "C", "p", "a", 0.6, "a", T0), (2, "C", "p", "b", 0.9, "b", T0)], schema)
     writes = spark.createDataFrame([(k, c, "p", "v", 0.5, "a", T0, x) for k, c, x in ((3, "C", 2), (4, "C", 2), (5, "C", 1), (6, "C", None), (7, "D", 0))], f"{schema}, expected long")
     taken, refused = state.update_field(log, writes, spark.createDataFrame([("C", 2)], "customer_id string, state_version long"))
-    assert {r["episode_id"] for r in taken.collect()} == {1, 2, 3, 6, 7} and {(r["episode_id"], r["actual"]) for r in refused.collect()} == {(4, 2), (5, 2)}
+    assert {r["episode_id"] for r in taken.collect()} == {1, 2, 3, 6, 7} and {(r["episode_id"], r["actual"]) for r in refused.collect()} == {(4, 3), (5, 3)}
+
+
+def test_writes_are_checked_in_order(spark):
+    """A write without expectation raises the version, so the next that expects the old one is refused."""
+    schema = "episode_id long, customer_id string, field_path string, value string, confidence double, agent string, t long"
+    log = spark.createDataFrame([], schema)
+    rows = [(1, None), (2, 0), (3, 1), (4, 0), (5, 2), (6, None), (7, 4)]
+    writes = spark.createDataFrame([(i, c, "p", f"v{i // 3}", 0.5, "a", T0, x) for i, x in rows for c in ("C", "D", None)], f"{schema}, expected long")
+    versions = spark.createDataFrame([("D", 0), ("E", 9)], "customer_id string, state_version long")
+    for n in (1, 5):
+        taken, refused = state.update_field(log, writes.repartition(n), versions)
+        assert sorted((r["episode_id"], str(r["customer_id"])) for r in taken.collect()) == [(i, c) for i in (1, 3, 5, 6, 7) for c in ("C", "D", "None")]
+        assert {(r["episode_id"], r["actual"]) for r in refused.collect()} == {(2, 1), (4, 2)}
+
+
+def test_a_named_conflict_keeps_both_values(spark):
+    schema = "episode_id long, customer_id string, field_path string, value string, confidence double, agent string, t long"
+    log = spark.createDataFrame([(1, "C", "p", "stable", 0.6, "a", T0), (2, "C", "q", None, 0.6, "a", T0)], schema)
+    more = [(3, "p", "distress", "a"), (4, "p", "distress", "b"), (5, "p", "x", None), (6, "q", "y", "a"), (7, "r", "z", "a")]
+    writes = spark.createDataFrame([(i, "C", p, v, 0.5, "w", T0, c) for i, p, v, c in more], f"{schema}, conflict_with string")
+    got = state.write_conflicts(log, writes).collect()
+    assert [(r["conflict_id"], r["agents"], r["values"]) for r in got] == [(3, ["a", "w"], ["stable", "distress"])]
+
+
+def test_halves_of_a_summary(spark):
+    flags = F.array(*[F.struct(F.lit("x").alias("type"), F.lit(c).alias("confidence")) for c in (0.625, 0.715, 0.705, 0.375, 1.0, 1234.5)])
+    want = "; ".join(f"x (conf {c:.2f})" for c in (0.625, 0.715, 0.705, 0.375, 1.0, 1234.5))
+    assert spark.range(1).select(S.flag_summary(F.lit("u"), flags).alias("s")).first()["s"] == f"u: 6 flag(s): {want}"
 
 
 def test_paths_and_summaries(spark):
@@ -251,9 +279,41 @@ def test_report_of_files(spark, tmp_path):
     assert report.main(["--inferred", f"file://{tmp_path}/got.json", "--out", str(tmp_path / "out.json")]) == 0 and json.loads((tmp_path / "out.json").read_text())["consistency"]["schema_errors"] == 1.0
 
 
+RECORD = "record_id long, source_customer_id string, source_system string, full_name string, email string, phone string, dob string, kyc_doc_number string"
+
+
 def test_a_common_name_does_not_make_all_pairs(spark):
-    schema = "record_id long, source_customer_id string, source_system string, full_name string, email string, phone string, dob string, kyc_doc_number string"
-    r = identity.canonical(spark.createDataFrame([(i, str(i), "s", "Ann Lee", None, None, None, None) for i in range(300)], schema))
+    r = identity.canonical(spark.createDataFrame([(i, str(i), "s", "Ann Lee", None, None, None, None) for i in range(300)], RECORD))
     c = identity.candidates(r)
-    assert c.count() == sum(min(i, identity.MOST) for i in range(300))
+    assert 299 <= c.count() <= 2 * 300
     assert identity.resolve(r, identity.scored(r, c)).select("canonical_id").distinct().count() == 1
+
+
+def _people(n, seed, names, values, filled):
+    rng = random.Random(seed)
+    some = lambda kind, k: f"{kind}{rng.randrange(k)}" if rng.random() < filled else None
+    return [(i, str(i), "s", rng.choice(names), f"{e}@x.com" if (e := some("u", values)) else None, f"555000{1000 + rng.randrange(values)}" if rng.random() < filled else None, some("D", 3), some("K", values)) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "values", "filled"), [(150, 12, 0.4), (150, 60, 0.8), (120, 4, 0.6), (100, 1000, 1.0)])
+def test_large_blocks_lose_nothing(spark, n, values, filled):
+    """Components and best candidates are those of all pairs, whatever is missing or shared."""
+    r = identity.canonical(spark.createDataFrame(_people(n, n + values, ["Ann Lee", "Bo Day", "ann lee"], values, filled), RECORD)).cache()
+    every, few = (identity.scored(r, identity.candidates(r, bound)) for bound in (10**6, 4))
+    assert few.exceptAll(every).count() == 0  # pairs of its own, and the same scores
+    assert sorted(identity.resolve(r, few).collect()) == sorted(identity.resolve(r, every).collect())
+    assert sorted(identity.best_candidates(few).collect()) == sorted(identity.best_candidates(every).collect())
+
+
+def test_a_block_of_a_thousand_with_one_pair(spark):
+    """Different e-mails keep apart all but the two records that share a birth date."""
+    rows = [(i, str(i), "s", "Ann Lee", f"u{i}@x.com", None, "D1" if i in (3, 998) else None, None) for i in range(1000)]
+    r = identity.canonical(spark.createDataFrame(rows, RECORD))
+    c = identity.candidates(r)
+    assert c.count() <= 26 * 1000
+    m = identity.scored(r, c).where("matched").collect()
+    assert [(x["a"], x["b"], x["score"]) for x in m] == [(3, 998, 5.5481)]
+
+
+def test_the_order_of_keys_decides_what_a_name_links():
+    assert identity.links_by_name(0, 7, False) and identity.links_by_name(3, 3, True) and not identity.links_by_name(1, 1, False) and not identity.links_by_name(5, 5, True)

@@ -169,8 +169,9 @@ def age_seconds(since: Column, now: Column) -> Column:
 
 
 def flag_summary(domain: Column, flags: Column) -> Column:
-    """A finding in words: its flags with their confidence to two places."""
-    parts = F.array_join(F.transform(flags, lambda f: F.format_string("%s (conf %.2f)", f["type"], f["confidence"])), "; ")
+    """A finding in words: its flags with their confidence to two places, halves of the exact binary value to the even digit."""
+    places = lambda x: F.translate(F.format_number(x, 2), ",", "")
+    parts = F.array_join(F.transform(flags, lambda f: F.format_string("%s (conf %s)", f["type"], places(f["confidence"]))), "; ")
     return F.when(F.size(flags) == 0, F.concat(domain, F.lit(": no notable signals."))).otherwise(F.concat(domain, F.format_string(": %d flag(s): ", F.size(flags)), parts))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import MERGE_THRESHOLD, NAME_SIMILARITY, canonical_email, canonical_phone, jaro_winkler, log_ratio, sigmoid
-from tidemark.plans.storage import connected_components
+from tidemark.functions.scalars import FIELD_WEIGHTS, MERGE_THRESHOLD, NAME_SIMILARITY, canonical_email, canonical_phone, jaro_winkler, log_ratio, sigmoid
+from tidemark.plans.storage import connected_components, freed, stored
 
 BLOCKS = ("email_c", "phone_c", "kyc_doc_number", "name_c")
 
@@ -16,26 +18,108 @@ def canonical(records: DataFrame) -> DataFrame:
     return records.withColumns({"email_c": canonical_email(F.col("email")), "phone_c": canonical_phone(F.col("phone")), "name_c": F.lower("full_name")})
 
 
-#: Earlier records of a block that a record meets; those before meet one of these, so components stay whole where they all match.
-MOST = 50
+#: Blocks of up to so many records meet pair by pair; larger ones by the classes of ``_refined``.
+BOUND = 64
+KEYS = ("email", "phone", "kyc_doc")
+OWN = {"email": "email_c", "phone": "phone_c", "kyc_doc": "kyc_doc_number"}
+
+
+def links_by_name(mine: int, other: int, same_dob: bool) -> bool:
+    """Whether two records of one name match whatever their values: ``mine`` and ``other`` say, bit by bit of ``KEYS``, which keys they have.
+
+    Keys that both have are taken to differ, since equal ones match by themselves;
+    birth dates are equal or, without ``same_dob``, one is missing.
+    """
+    llr = lambda field, agree: math.log(FIELD_WEIGHTS[field][0] / FIELD_WEIGHTS[field][1]) if agree else math.log((1 - FIELD_WEIGHTS[field][0]) / (1 - FIELD_WEIGHTS[field][1]))
+    score = llr("name", True) + (llr("dob", True) if same_dob else 0.0)
+    return score + sum(llr(k, False) for i, k in enumerate(KEYS) if mine & other & (1 << i)) >= MERGE_THRESHOLD
 
 
-def candidates(records: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of record ids, a < b, that agree on a blocking key: each record with the 50 before it in its block.
+def candidates(records: DataFrame, bound: int = BOUND) -> DataFrame:
+    """Pairs ``(a, b)`` of record ids, a < b, that agree on a blocking key.
 
-    One window a key, never a join of a block with itself, so a name that very
-    many bear costs its records and not their pairs.
+    A block of up to ``bound`` records gives all its pairs. Of a larger one every
+    record meets its least partner in each class of records that it matches, so
+    the rows grow with the records and not with their pairs, and nothing is lost:
+    components and best candidates are those of all pairs.
     """
-    out = None
+    out, large = None, None
     for key in BLOCKS:
-        before = Window.partitionBy("k").orderBy("record_id").rowsBetween(-MOST, -1)
+        block = Window.partitionBy("k")
         side = records.where(F.col(key).isNotNull()).select("record_id", F.col(key).alias("k")).distinct()
-        met = side.withColumn("met", F.collect_list("record_id").over(before))
+        side = side.withColumn("n", F.count("*").over(block))
+        met = side.where(F.col("n") <= bound).withColumn("met", F.collect_list("record_id").over(block.orderBy("record_id").rowsBetween(-bound, -1)))
         pairs = met.select(F.explode("met").alias("a"), F.col("record_id").alias("b"))
-        out = pairs if out is None else out.union(pairs)
+        more = side.where(F.col("n") > bound).select("record_id", F.lit(key).alias("key"))
+        out, large = (pairs, more) if out is None else (out.union(pairs), large.union(more))
+    large = stored(large, "large-blocks")
+    if not large.isEmpty():
+        out = out.union(_refined(records, large))
     return out.distinct()
 
 
+def _refined(records: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of blocks above the bound: each record with the least other of each class that it matches.
+
+    Records that share an e-mail, phone or document match, so such a block is one
+    class. Records of one name match by what they have alone: their birth dates
+    and which keys are missing (``links_by_name``), so a name's classes are its
+    birth dates times the eight sets of keys. All pairs between two matching
+    classes match; each record meets the least of the other class, and so their
+    component is whole. For the best candidate a record also meets the least that
+    shares no key with it, found in as many rounds as there are keys.
+    """
+    slim = records.select("record_id", "name_c", "dob", *OWN.values()).distinct()
+    own = large.join(slim, "record_id")
+    mask = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(OWN.values())), F.lit(0))
+    text = lambda *xs: F.to_json(F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("string").alias(f"k{i}") for i, x in enumerate(xs)]))
+    name = own.where("key = 'name_c'").withColumn("mask", mask)
+    has, none = F.col("dob").isNotNull(), F.col("dob").isNull()
+    groups = F.array_compact(F.array(F.when(has, text("dob", F.col("name_c"), F.col("dob"), F.col("mask"))), text("any", F.col("name_c"), F.col("mask")), F.when(none, text("null", F.col("name_c"), F.col("mask")))))
+    asked = []
+    for mine in range(8):
+        for other in range(8):
+            is_mine = F.col("mask") == mine
+            if links_by_name(mine, other, True):
+                asked.append(F.when(is_mine & has, text("dob", F.col("name_c"), F.col("dob"), F.lit(other))))
+            if links_by_name(mine, other, False):
+                asked += [F.when(is_mine & none, text("any", F.col("name_c"), F.lit(other))), F.when(is_mine & has, text("null", F.col("name_c"), F.lit(other)))]
+    cols = ["record_id", *OWN.values()]
+    members = name.select(F.explode(groups).alias("g"), *cols)
+    asks = name.select(F.explode(F.array_compact(F.array(*asked))).alias("g"), *cols)
+    nothing = F.lit(None).cast("string")
+    for key in BLOCKS[:3]:
+        rows = own.where(F.col("key") == key).withColumn("g", text("key", key, F.col(key)))
+        members = members.union(rows.select("g", *cols))
+        # a partner by document scores by e-mail or phone instead, where it shares them
+        avoid = [F.col(c) if key == "kyc_doc_number" and c != key else nothing for c in OWN.values()]
+        asks = asks.union(rows.select("g", "record_id", *[a.alias(c) for a, c in zip(avoid, OWN.values(), strict=True)]))
+    members = stored(members.select("g", F.struct(*cols).alias("m")), "class-members")
+    asks = stored(asks.withColumns({f"not_{c}": F.lit(None).cast(asks.schema[c].dataType) for c in cols}), "class-asks")
+    barred = [f"not_{c}" for c in cols]
+    out, held = None, [members]
+    while not asks.isEmpty():  # each round bars one more of a record's id and keys, so there are five at most
+        held.append(asks)
+        needs = asks.select("g", *barred).distinct()
+        free = lambda c: F.coalesce(F.col(f"m.{c}") != F.col(f"not_{c}"), F.lit(True))
+        best = members.join(needs, "g").where(free(cols[0]) & free(cols[1]) & free(cols[2]) & free(cols[3]))
+        best = best.groupBy("g", *barred).agg(F.min_by("m", "m.record_id").alias("m")).withColumnRenamed("g", "g_")
+        best = best.toDF("g_", *[f"b_{c}" for c in cols], "m")
+        same = F.col("g") == F.col("g_")
+        for c in cols:
+            same &= F.col(f"not_{c}").eqNullSafe(F.col(f"b_{c}"))
+        clash = F.coalesce(*[F.when(F.col(f"m.{c}") == F.col(c), F.lit(c)) for c in cols])
+        met = stored(asks.join(best, same).select("g", *cols, *barred, "m", clash.alias("clash")), "class-met")
+        held.append(met)
+        found = met.where(F.col("m.record_id") != F.col("record_id")).select(F.least("record_id", "m.record_id").alias("a"), F.greatest("record_id", "m.record_id").alias("b"))
+        out = found if out is None else out.union(found)
+        asks = met.where("clash is not null").select("g", *cols, *[F.when(F.col("clash") == c, F.col(c)).otherwise(F.col(f"not_{c}")).alias(f"not_{c}") for c in cols])
+        asks = stored(asks, "class-asks")
+    done = stored(out.distinct(), "class-pairs")
+    freed(*held, asks)
+    return done
+
+
 def scored(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a, b, method, score, confidence, matched`` of candidate pairs; exact keys come before the probabilistic score."""
     names = ("email_c", "phone_c", "name_c", "dob", "kyc_doc_number")

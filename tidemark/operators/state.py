@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemark.functions.scalars import DAY, DECAY_FLOOR, HALF_LIFE_DAYS, decay
 
@@ -63,19 +67,54 @@ def merge_by_type(entries: DataFrame) -> DataFrame:
     return entries.groupBy("customer_id", "type").agg(F.min("opened_at").alias("opened_at"), F.max(F.struct("opened_at", "confidence"))["confidence"].alias("confidence"))
 
 
+def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ok`` and ``actual`` of writes that come by customer and in order; nothing is held but the customer at hand."""
+    customer, version, begun = None, 0, False
+    for batch in batches:
+        ok, actual = [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("customer_id", "expected", "start")), strict=True)
+        for who, expected, start in rows:
+            if not begun or who != customer:
+                customer, version, begun = who, start, True
+            actual.append(version)
+            ok.append(expected is None or expected == version)
+            version += ok[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(actual, pa.int64())], [*batch.schema.names, "ok", "actual"])
+
+
+def versioned(writes: DataFrame, versions: DataFrame) -> DataFrame:
+    """``writes(customer_id, episode_id, …, expected)`` with ``ok`` and the version ``actual`` that each met.
+
+    Writes of a customer are taken in order of ``episode_id``. One that expects a
+    version (not null) other than the customer's at that point is refused; one
+    that is taken raises the version by one. ``versions`` holds ``customer_id,
+    state_version``; a customer without one starts at 0. Rows are sorted by
+    customer and order and folded as a stream, so a task holds one batch,
+    however many writes a customer has.
+    """
+    met = writes.join(versions.select("customer_id", F.col("state_version").cast("long").alias("start")), "customer_id", "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
+    schema = StructType([*met.schema.fields, StructField("ok", BooleanType()), StructField("actual", LongType())])
+    return met.repartition("customer_id").sortWithinPartitions("customer_id", "episode_id").mapInArrow(_versions, schema).drop("start")
+
+
 def update_field(log: DataFrame, writes: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(log with the accepted writes, conflicts)`` of ``writes(…, expected)``: a write whose expected version is not the customer's is refused.
+    """``(log with the accepted writes, refused writes with the version they met)`` of ``writes(…, expected)``, in order (``versioned``)."""
+    met = versioned(writes, versions)
+    taken = log.unionByName(met.where("ok").select(*log.columns))
+    return taken, met.where("not ok").select(*log.columns, "expected", "actual")
+
 
-    ``versions`` holds ``customer_id, state_version``; a customer without one is
-    at 0, and a write that expects none (null) is always accepted. Of a batch's
-    writes of one customer that expect the same version the first is accepted.
+def write_conflicts(log: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Conflicts of accepted writes that name another agent (``conflict_with``) where the path held another value.
+
+    The value held is that of the write before on the path, in ``log`` or among
+    the accepted ones; a path without one, or with null, conflicts with nothing.
     """
-    met = writes.join(versions, "customer_id", "left").withColumn("now", F.coalesce("state_version", F.lit(0)))
-    first = F.row_number().over(Window.partitionBy("customer_id", "expected").orderBy("episode_id")) == 1
-    ok = F.col("expected").isNull() | ((F.col("expected") == F.col("now")) & F.col("first"))
-    met = met.withColumn("first", first).withColumn("ok", F.coalesce(ok, F.lit(False)))
-    taken = log.unionByName(met.where("ok").select(*log.columns))
-    return taken, met.where("not ok").select(*log.columns, "expected", F.col("now").alias("actual"))
+    cols = ["episode_id", *PATH, "agent", "value"]
+    rows = log.select(*cols, F.lit(None).cast("string").alias("conflict_with")).unionByName(accepted.select(*cols, "conflict_with"))
+    rows = rows.withColumn("held", F.lag("value").over(Window.partitionBy(*PATH).orderBy("episode_id")))
+    clash = rows.where(F.col("conflict_with").isNotNull() & F.col("held").isNotNull() & ~F.col("held").eqNullSafe(F.col("value")))
+    return clash.select(F.col("episode_id").alias("conflict_id"), *PATH, F.array("conflict_with", "agent").alias("agents"), F.array("held", "value").alias("values"))
 
 
 def record_finding(findings: DataFrame) -> DataFrame:

@@ -287,7 +287,7 @@ RECORDS = """rec AS (SELECT c_custkey AS record_id, 'CUST' || c_custkey AS sourc
   CASE WHEN c_custkey % 6 = 0 THEN 'D' || (c_custkey // 12) END AS dob, CASE WHEN c_custkey % 7 = 0 THEN 'K' || (c_custkey // 14) END AS kyc_doc_number FROM customer),
   can AS (SELECT *, lower(trim(email)) AS email_c, regexp_replace(phone, '[^0-9]', '', 'g') AS ph FROM rec),
   cn AS (SELECT * EXCLUDE (ph), CASE WHEN length(ph) = 11 AND ph[1] = '1' THEN substr(ph, 2) ELSE ph END AS phone_c, lower(full_name) AS name_c FROM can)"""
-PAIRS = "pairs AS (" + " UNION ".join(f"SELECT x.record_id a, y.record_id b FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY record_id) r FROM cn) x JOIN (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY record_id) r FROM cn) y ON x.{k} = y.{k} AND x.r < y.r AND y.r - x.r <= {identity.MOST}" for k in identity.BLOCKS) + ")"
+PAIRS = "pairs AS (" + " UNION ".join(f"SELECT x.record_id a, y.record_id b FROM cn x JOIN cn y ON x.{k} = y.{k} AND x.record_id < y.record_id" for k in identity.BLOCKS) + ")"
 _LLR = lambda cond, f: f"coalesce(CASE WHEN {cond} THEN ln({S.FIELD_WEIGHTS[f][0]} / {S.FIELD_WEIGHTS[f][1]}) WHEN NOT ({cond}) THEN ln((1 - {S.FIELD_WEIGHTS[f][0]}) / (1 - {S.FIELD_WEIGHTS[f][1]})) END, 0)"
 SCORED = f"""sc AS (SELECT a, b, x.email_c = y.email_c AS se, x.phone_c = y.phone_c AS sp, x.kyc_doc_number = y.kyc_doc_number AS sk,
   {_LLR('jaro_winkler_similarity(x.name_c, y.name_c) >= 0.9', 'name')} + {_LLR('x.email_c = y.email_c', 'email')} + {_LLR('x.phone_c = y.phone_c', 'phone')} + {_LLR('x.dob = y.dob', 'dob')} + {_LLR('x.kyc_doc_number = y.kyc_doc_number', 'kyc_doc')} AS score
@@ -422,9 +422,11 @@ def r13(spark, d):
     return state.merge_by_type(_env(spark, d).select("customer_id", F.col("event_type").alias("type"), F.col("t").alias("opened_at"), F.col("amount").alias("confidence")))
 
 
-WRITES = """wr AS (SELECT arrival_seq + 1000000000 AS episode_id, customer_id, 'findings.usage' AS field_path, 'x' AS value, 0.5 AS confidence, 'usage' AS agent, t, CASE WHEN arrival_seq % 3 > 0 THEN vn - arrival_seq % 3 + 1 END AS expected, vn
-  FROM env JOIN (SELECT customer_id, count(*) AS vn FROM log GROUP BY 1) USING (customer_id)),
-  wk AS (SELECT *, expected IS NULL OR (expected = vn AND row_number() OVER (PARTITION BY customer_id, expected ORDER BY episode_id) = 1) AS ok FROM wr)"""
+WRITES = """wr AS (SELECT arrival_seq + 1000000000 AS episode_id, customer_id, 'findings.usage' AS field_path, CAST(arrival_seq % 4 AS VARCHAR) AS value, CASE WHEN arrival_seq % 2 = 0 THEN 'critique' END AS conflict_with,
+  CASE WHEN arrival_seq % 4 > 0 THEN vn + arrival_seq % 5 END AS expected, vn, row_number() OVER (PARTITION BY customer_id ORDER BY arrival_seq) AS k FROM env JOIN (SELECT customer_id, count(*) AS vn FROM log GROUP BY 1) USING (customer_id)),
+  fold(customer_id, k, actual, ok) AS (SELECT customer_id, k, vn, expected IS NULL OR expected = vn FROM wr WHERE k = 1
+  UNION ALL SELECT w.customer_id, w.k, f.actual + CAST(f.ok AS INT), w.expected IS NULL OR w.expected = f.actual + CAST(f.ok AS INT) FROM fold f JOIN wr w ON w.customer_id = f.customer_id AND w.k = f.k + 1),
+  wk AS (SELECT * FROM wr JOIN fold USING (customer_id, k))"""
 
 
 def _writes(spark, d):
@@ -432,20 +434,31 @@ def _writes(spark, d):
     log = _log(spark, d)
     versions = log.groupBy("customer_id").agg(F.count(F.lit(1)).alias("state_version"))
     w = _env(spark, d).join(versions, "customer_id")
-    expected = F.when(n % 3 > 0, F.col("state_version") - n % 3 + 1)
-    w = w.select((n + 1_000_000_000).alias("episode_id"), "customer_id", F.lit("findings.usage").alias("field_path"), F.lit("x").alias("value"), F.lit(0.5).alias("confidence"), F.lit("usage").alias("agent"), "t", expected.alias("expected"))
-    return state.update_field(log, w, versions)
+    expected = F.when(n % 4 > 0, F.col("state_version") + n % 5)
+    w = w.select((n + 1_000_000_000).alias("episode_id"), "customer_id", F.lit("findings.usage").alias("field_path"), (n % 4).cast("string").alias("value"), F.lit(0.5).alias("confidence"), F.lit("usage").alias("agent"), "t",
+                 F.when(n % 2 == 0, "critique").alias("conflict_with"), expected.alias("expected"))
+    return log, w, versions
 
 
-@query("b3_update_field", f"WITH {ENV}, {LOG}, {WRITES} SELECT episode_id, customer_id FROM log UNION ALL SELECT episode_id, customer_id FROM wk WHERE ok")
+@query("b3_update_field", f"WITH RECURSIVE {ENV}, {LOG}, {WRITES} SELECT episode_id, customer_id FROM log UNION ALL SELECT episode_id, customer_id FROM wk WHERE ok")
 def b3_update(spark, d):
-    """Writes with an expected version: stale ones are refused, of simultaneous ones the first is taken."""
-    return _writes(spark, d)[0].select("episode_id", "customer_id")
+    """Writes with an expected version, in order: stale ones are refused, each one taken raises the version."""
+    return state.update_field(*_writes(spark, d))[0].select("episode_id", "customer_id")
 
 
-@query("b3_version_conflicts", f"WITH {ENV}, {LOG}, {WRITES} SELECT episode_id, expected, vn AS actual FROM wk WHERE NOT ok")
+@query("b3_version_conflicts", f"WITH RECURSIVE {ENV}, {LOG}, {WRITES} SELECT episode_id, expected, actual FROM wk WHERE NOT ok")
 def b3_conflicts(spark, d):
-    return _writes(spark, d)[1].select("episode_id", "expected", "actual")
+    return state.update_field(*_writes(spark, d))[1].select("episode_id", "expected", "actual")
+
+
+@query("b3_conflict_with", f"""WITH RECURSIVE {ENV}, {LOG}, {WRITES}, al AS (SELECT episode_id, customer_id, field_path, agent, value, CAST(NULL AS VARCHAR) AS conflict_with FROM log UNION ALL SELECT episode_id, customer_id, field_path, 'usage', value, conflict_with FROM wk WHERE ok),
+  h AS (SELECT *, lag(value) OVER (PARTITION BY customer_id, field_path ORDER BY episode_id) AS held FROM al)
+  SELECT episode_id AS conflict_id, customer_id, field_path, conflict_with || ',' || agent AS agents, held || ',' || value AS "values" FROM h WHERE conflict_with IS NOT NULL AND held <> value""")
+def b3_conflict_with(spark, d):
+    """Both values of accepted writes that name the agent which holds another."""
+    log, writes, versions = _writes(spark, d)
+    c = state.write_conflicts(log, state.versioned(writes, versions).where("ok"))
+    return c.select("conflict_id", "customer_id", "field_path", F.array_join("agents", ",").alias("agents"), F.array_join("values", ",").alias("values"))
 
 
 @query("b4_record_finding", f"WITH {ENV} SELECT arrival_seq AS episode_id, customer_id, 'findings.' || CASE WHEN arrival_seq % 2 = 0 THEN 'usage' ELSE 'support' END AS field_path FROM env")
