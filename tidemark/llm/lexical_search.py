@@ -2,10 +2,11 @@
 
 Documents are read once. A task counts a document's terms in Python and leaves
 one row a document: its number of terms and its terms with their counts. Those
-rows are written; everything after them is DataFrame work. Postings keep the
-order of their documents and are sorted by term bucket inside a task, so a join
-with the terms that are asked for meets whole runs, and the sums of an item and
-a document are made where the document is, before anything is shuffled.
+rows are written; everything after them is DataFrame work. Postings are sorted
+by term bucket inside a task, and those of terms that are asked for are dealt
+out by document before they meet the items. So what is shuffled grows with the
+postings and not with pairs of items and documents: a document's sums are
+complete where it is, and of each item a task passes on its best alone.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
 BUCKETS = 256
+#: Bytes of items' terms that are sent to all tasks; more are joined by term.
+SENT_BYTES = 16 << 20
 TOP = 50
 
 
@@ -72,7 +75,7 @@ def postings(documents: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     flat = flat.select(bucket("p.terms").alias("bucket"), F.col("p.terms").alias("term"), "row", "doc_id", "n", F.col("p.tfs").alias("tf"))
     if asked is not None:
         flat = flat.join(asked.select(bucket("term").alias("bucket"), "term"), ["bucket", "term"], "left_semi")
-    return written(flat.sortWithinPartitions("bucket", "term"), "search-postings")
+    return written(flat.sortWithinPartitions("bucket", "term", "row"), "search-postings")
 
 
 def weighed(items: DataFrame, found: DataFrame, totals: DataFrame) -> DataFrame:
@@ -100,15 +103,17 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, item_col: str = "i
     totals = documents.where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     totals = written(totals, "search-totals")
     held = postings(documents, ask.select("term").distinct())
-    weights = written(weighed(ask, held, totals), "search-weights")
+    weights = table = written(weighed(ask, held, totals), "search-weights")
+    if (weights.agg(F.sum(F.octet_length("term") + 48)).first()[0] or 0) <= SENT_BYTES:
+        weights = F.broadcast(weights)
     m = F.expr("50 + ((50 * n * docs) div words)")
     each = held.crossJoin(F.broadcast(totals)).select("bucket", "term", "row", "doc_id", "tf", m.alias("m"))
-    each = each.select("bucket", "term", "row", "doc_id", F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("s"))
+    each = each.select("bucket", "term", "row", "doc_id", F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("s")).repartition("row")
     met = each.join(weights, ["bucket", "term"]).groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("doc_id"), F.asc("row"))
     ranked = met.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     out = written(ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "search-ranked")
-    released(ask, documents, totals, held, weights)
+    released(ask, documents, totals, held, table)
     return out
 
 
