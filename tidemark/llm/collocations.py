@@ -72,7 +72,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del size[lang]
         number += 1
         n = raw.count(b" ") + raw.count(b"\n") + 1
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.array([raw], pa.binary()), pa.array([n])], ["block", "lang", "text", "n_words"])
+        small = pa.compress(raw, codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.array([small], pa.binary()), pa.array([len(raw)]), pa.array([n])], ["block", "lang", "text", "n_bytes", "n_words"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text").cast(pa.binary()), strict=True):
@@ -94,8 +95,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Phrases:
     """Hashes of every phrase of a block, shortest first, and where they stand."""
 
-    def __init__(self, lang: str, text: bytes, longest: int) -> None:
-        raw = np.frombuffer(text, np.uint8)
+    def __init__(self, lang: str, text: bytes, n_bytes: int, longest: int) -> None:
+        self.text = pa.decompress(text, decompressed_size=n_bytes, codec="zstd", asbytes=True)
+        raw = np.frombuffer(self.text, np.uint8)
         gap = (raw == 32) | (raw == 10)
         edges = np.flatnonzero(gap)
         self.starts = np.concatenate([[0], edges + 1])
@@ -143,8 +145,8 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 def _sketch(bits: int, longest: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lang, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "text")), strict=True):
-                hashes, counts = np.unique(Phrases(lang, text, longest).hashes, return_counts=True)
+            for block, *text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "text", "n_bytes")), strict=True):
+                hashes, counts = np.unique(Phrases(*text, longest).hashes, return_counts=True)
                 segment = segment_of(hashes, bits)
                 cells, counts = cells_of(hashes, bits), np.minimum(counts, least).astype(np.uint8)
                 first = np.flatnonzero(np.diff(segment, prepend=-1))
@@ -190,8 +192,8 @@ def _merge(least: int) -> Callable[[pa.Table], pa.Table]:
 def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text, answers in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "answers")), strict=True):
-                p = Phrases(lang, text, longest)
+            for lang, text, n_bytes, answers in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "n_bytes", "answers")), strict=True):
+                p = Phrases(lang, text, n_bytes, longest)
                 hashes, first, counts = np.unique(p.hashes, return_index=True, return_counts=True)
                 n = np.bincount(segment_of(hashes, bits), minlength=1)
                 stays = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=n[x["segment"]]) for x in sorted(answers, key=lambda x: x["segment"])])
@@ -200,7 +202,7 @@ def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 begin, end = p.starts[p.at[first]], p.ends[p.at[first] + words - 1]
                 for k in range(0, len(first), 1 << 16):
                     here = slice(k, k + (1 << 16))
-                    found = [text[a:b] for a, b in zip(begin[here].tolist(), end[here].tolist(), strict=True)]
+                    found = [p.text[a:b] for a, b in zip(begin[here].tolist(), end[here].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(found)), pa.array(words[here].astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts[stays][here])],
                         ["lang", "words", "phrase", "f"],
@@ -215,14 +217,14 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     ``lang, words, phrase, f`` (written) and ``lang, n``.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
-    blocks = written(rows.mapInArrow(lean(_blocks), "block long, lang string, text binary, n_words long"), "phrases-blocks")
+    blocks = written(rows.mapInArrow(lean(_blocks), "block long, lang string, text binary, n_bytes long, n_words long"), "phrases-blocks")
     sizes = written(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrases-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, longest * total / SEGMENT_PHRASES))))
     sketches = blocks.mapInArrow(_sketch(bits, longest, least), "segment long, block long, n long, cells binary, counts binary")
     answers = sketches.groupBy("segment").applyInArrow(_merge(least), "block long, segment long, bits binary")
     answers = written(answers.groupBy("block").agg(F.collect_list(F.struct("segment", "bits")).alias("answers")), "phrases-answers")
-    met = blocks.join(answers, "block").select("lang", "text", "answers")
+    met = blocks.join(answers, "block").select("lang", "text", "n_bytes", "answers")
     found = met.mapInArrow(_count(bits, longest), "lang string, words int, phrase string, f long")
     counts = written(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases-counts")
     released(blocks, answers)
