@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation, features, identity, replay, retrieval, rules, state
+from tidemark.plans import storage
+from tidemark.plans.state_tables import StateTables
 from tidemark.sources import events as E
-from tidemark.streaming import batch, live
+from tidemark.streaming import batch, live, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,11 +205,15 @@ def t9(spark, d):
     return batch.global_watermark(batch.watermarks(e, F.lit(now), 3_000_000_000))
 
 
-@query("t12_ring", f"""WITH {ENV} SELECT event_id, count(*) OVER w AS ring_size, coalesce(string_agg(event_id, ',') OVER w, '') AS ring FROM env
-  WINDOW w AS (PARTITION BY customer_id ORDER BY arrival_seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)""")
+RINGS = """pl AS (SELECT *, lead(seq2) OVER (PARTITION BY customer_id, event_id ORDER BY seq2) AS again FROM arr),
+  rg AS (SELECT x.event_id, x.seq2, y.event_id AS ref, row_number() OVER (PARTITION BY x.event_id, x.seq2 ORDER BY y.seq2 DESC) AS back, y.seq2 AS ys FROM pl x LEFT JOIN pl y ON y.customer_id = x.customer_id AND y.seq2 < x.seq2 AND (y.again IS NULL OR y.again >= x.seq2))"""
+
+
+@query("t12_ring", f"WITH {ENV}, {DUP}, {RINGS} SELECT event_id, seq2, count(ref) AS ring_size, coalesce(string_agg(ref, ',' ORDER BY ys), '') AS ring FROM rg WHERE back <= 50 GROUP BY 1, 2")
 def t12(spark, d):
-    r = batch.rings(_env(spark, d))
-    return r.select("event_id", F.size("ring").cast("long").alias("ring_size"), F.array_join(F.col("ring.event_id"), ",").alias("ring"))
+    """Arrivals with repeats: an event that comes again moves to the ring's end."""
+    r = batch.rings(_arrivals(spark, d).drop("arrival_seq").withColumn("arrival_seq", F.col("seq2")))
+    return r.select("event_id", "seq2", F.size("ring").cast("long").alias("ring_size"), F.array_join(F.col("ring.event_id"), ",").alias("ring"))
 
 
 @query("stream_dedup", f"WITH {ENV}, {DUP} SELECT DISTINCT customer_id, event_id FROM arr")
@@ -235,6 +241,45 @@ def _stored_stream(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def _in_order(spark, df, order, name, slices=3):
+    """A stream over ``df`` in slices by ``order``, one a micro-batch."""
+    where = f"{storage.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = storage.stored(df, name)
+    cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df.where(F.lit(True) if low is None else F.col(order) > low).where(F.lit(True) if high is None else F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(where)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(where)
+
+
+@query("stream_rings", SQL["t12_ring"])
+def stream_rings(spark, d):
+    """The batch's rings from state, repeats among the arrivals, in three micro-batches."""
+    stateful.with_state(spark)
+    e = _arrivals(spark, d).drop("arrival_seq").withColumnRenamed("seq2", "arrival_seq")
+    r = live.run_to_table(spark, stateful.ring_stream(_in_order(spark, e, "arrival_seq", "rings")), "rings")
+    return r.select("event_id", F.col("arrival_seq").alias("seq2"), F.size("ring").cast("long").alias("ring_size"), F.array_join(F.col("ring.event_id"), ",").alias("ring"))
+
+
+@query("stream_watermarks", f"WITH {ENV} SELECT source_system, max(t) AS max_event_time FROM env GROUP BY 1")
+def stream_watermarks(spark, d):
+    """Each source's last mark from state with timers."""
+    stateful.with_state(spark)
+    e = _in_order(spark, _env(spark, d).select("source_system", "t"), "t", "marks", 1)
+    m = live.run_to_table(spark, stateful.watermark_stream(e), "marks", once=True)
+    return m.groupBy("source_system").agg(F.max_by("max_event_time", "last_seen").alias("max_event_time"))
+
+
+@query("stream_global_watermark", f"WITH {ENV}, m AS (SELECT max(t) AS m FROM env GROUP BY source_system) SELECT min(m) - 30000000 AS watermark, max(m) - min(m) + 30000000 AS lag, count(*) AS live_sources FROM m")
+def stream_global_watermark(spark, d):
+    """The least mark of the live sources, from two states one behind the other."""
+    stateful.with_state(spark)
+    e = _in_order(spark, _env(spark, d).select("source_system", "t"), "t", "global", 1)
+    g = live.run_to_table(spark, stateful.global_watermark_stream(stateful.watermark_stream(e)), "global", once=True)
+    return g.select("watermark", "lag", "live_sources")
+
+
+
 # --- features --------------------------------------------------------------------------------------------
 
 
@@ -461,6 +506,29 @@ def b3_conflict_with(spark, d):
     return c.select("conflict_id", "customer_id", "field_path", F.array_join("agents", ",").alias("agents"), F.array_join("values", ",").alias("values"))
 
 
+@query("s12_state_tables", f"""WITH RECURSIVE {ENV}, {LOG}, {WRITES}, al AS (SELECT episode_id, customer_id, field_path, value, NULL::VARCHAR AS conflict_with FROM log UNION ALL SELECT episode_id, customer_id, field_path, value, conflict_with FROM wk WHERE ok),
+  h AS (SELECT *, lag(value) OVER (PARTITION BY customer_id, field_path ORDER BY episode_id) AS held FROM al), c AS (SELECT customer_id, count(*) AS conflicts FROM h WHERE conflict_with IS NOT NULL AND held <> value GROUP BY 1)
+  SELECT customer_id, any_value(vn) + count(*) FILTER (ok) AS state_version, count(*) FILTER (NOT ok) AS refused, coalesce(any_value(conflicts), 0) AS conflicts FROM wk LEFT JOIN c USING (customer_id) GROUP BY 1""")
+def s12(spark, d):
+    """The persisted tables after the log and then a stream of writes in three micro-batches."""
+    log, writes, _ = _writes(spark, d)
+    at = f"{storage.shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    tables = StateTables(spark, at)
+    tables.apply(log.withColumns({"expected": F.lit(None).cast("long"), "conflict_with": F.lit(None).cast("string")}), 0, "seed")
+    tables.sink(_in_order(spark, writes.drop("state_version"), "episode_id", "writes"), f"{at}/checkpoint").awaitTermination()
+    out = tables.versions().join(tables.refused().groupBy("customer_id").agg(F.count("*").alias("refused")), "customer_id", "left")
+    out = out.join(tables.read("conflicts").groupBy("customer_id").agg(F.count("*").alias("conflicts")), "customer_id", "left")
+    return out.select("customer_id", "state_version", F.coalesce("refused", F.lit(0)).alias("refused"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+
+
+@query("j6_as_of_moments", f"""WITH {ENV}, {LOG}, pr AS (SELECT DISTINCT e.customer_id, t AS moment, field_path FROM env e JOIN (SELECT DISTINCT customer_id, field_path FROM log) USING (customer_id)),
+  lg AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY customer_id, field_path, t ORDER BY episode_id DESC) = 1)
+  SELECT p.customer_id, p.moment, p.field_path, l.value, l.episode_id FROM pr p ASOF JOIN lg l ON l.customer_id = p.customer_id AND l.field_path = p.field_path AND p.moment >= l.t""")
+def j6_many(spark, d):
+    """The state of every customer at the time of each of its events."""
+    return state.as_of_moments(_log(spark, d), _env(spark, d).select("customer_id", F.col("t").alias("moment"))).select("customer_id", "moment", "field_path", "value", "episode_id")
+
+
 @query("b4_record_finding", f"WITH {ENV} SELECT arrival_seq AS episode_id, customer_id, 'findings.' || CASE WHEN arrival_seq % 2 = 0 THEN 'usage' ELSE 'support' END AS field_path FROM env")
 def b4(spark, d):
     n = F.col("arrival_seq")
@@ -667,12 +735,23 @@ _BIT = " + ".join(f"CASE WHEN t - t{i} <= {batch.REFRESH} THEN {1 << i} ELSE 0 E
         SELECT *, CASE WHEN w THEN 'watchlist' WHEN greatest(c0, c1, c2, c3) >= 0.75 THEN 'high_severity' WHEN bit_count(fresh) > 1 THEN 'domains' WHEN fresh = before THEN 'repeated' END AS why FROM (
           SELECT *, CAST({_BIT} AS INT) AS fresh FROM (
             SELECT s.customer_id, f.k, {', '.join(f"CASE WHEN f.domain = '{n}' THEN f.t ELSE s.t{i} END AS t{i}, CASE WHEN f.domain = '{n}' THEN f.confidence ELSE s.c{i} END AS c{i}" for i, n in enumerate(_D4))},
-              s.w OR f.watchlist AS w, s.last, s.before, f.seq, f.t, f.domain, f.confidence, f.watchlist FROM st s JOIN fd f ON f.customer_id = s.customer_id AND f.k = s.k + 1)))))
+              CASE WHEN f.domain = 'kyc' THEN f.watchlist ELSE s.w END AS w, s.last, s.before, f.seq, f.t, f.domain, f.confidence, f.watchlist FROM st s JOIN fd f ON f.customer_id = s.customer_id AND f.k = s.k + 1)))))
   SELECT customer_id, seq, t, domain, confidence, watchlist, fired, reason FROM st WHERE k > 0""")
 def t13(spark, d):
+    return batch.triggers(_findings(spark, d))
+
+
+def _findings(spark, d):
     f = _flagged(spark, d)
     f = f.select("customer_id", F.col("arrival_seq").alias("seq"), "t", rules.domain_of(F.col("source_system")).alias("domain"), rules.finding_confidence(F.col("flags")).alias("confidence"), F.array_contains(F.col("flags.type"), "watchlist_hit").alias("watchlist"))
-    return batch.triggers(f.where("domain is not null"))
+    return f.where("domain is not null")
+
+
+@query("stream_triggers", SQL["t13_r10_triggers"])
+def stream_triggers(spark, d):
+    """The batch's triggers from state, the findings in three micro-batches."""
+    stateful.with_state(spark)
+    return live.run_to_table(spark, stateful.trigger_stream(_in_order(spark, _findings(spark, d), "t", "findings")), "triggers")
 
 
 @query("a15_finding_confidence", f"WITH {ENVN}, {PRIOR}, {FLAGS} SELECT event_id, len(flags) AS n_flags, top AS confidence FROM fl")

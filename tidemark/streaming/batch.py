@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tidemark.operators.features import SPECS, in_window
 
@@ -79,33 +83,123 @@ def global_watermark(marks: DataFrame, slack: int = OUT_OF_ORDER) -> DataFrame:
     return live.agg((F.min("max_event_time") - slack).alias("watermark"), (F.max("max_event_time") - F.min("max_event_time") + slack).alias("lag"), F.count(F.lit(1)).alias("live_sources"))
 
 
+RING_REF = ("event_id", "source_system", "event_type", "t")
+
+
+def _rings(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rings of rows that come by customer and in order of arrival; only the last customer's ring is carried on."""
+
+    def windows(ids: list, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of each ring from row ``first`` on, and its end: of an id that repeats the last place counts."""
+        n = len(ids)
+        if len(set(ids)) == n:
+            begin = np.maximum(np.arange(first, n) - size, 0)
+            lengths = np.arange(first, n) - begin
+            ends = np.cumsum(lengths)
+            return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - begin, lengths), ends
+        held: dict = {}
+        at, ends = [], []
+        for k, x in enumerate(ids):
+            if k >= first:
+                at += held.values()
+                ends.append(len(at))
+            held.pop(x, None)
+            held[x] = k
+            if len(held) > size:
+                del held[next(iter(held))]
+        return np.array(at, np.int64), np.array(ends, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, whose = None, None
+        for batch in batches:
+            names = batch.schema.names
+            refs = pa.StructArray.from_arrays([batch.column(f"__{c}") for c in RING_REF], list(RING_REF))
+            customers = batch.column("__key").to_pylist()
+            starts = [0, *(i for i in range(1, len(customers)) if customers[i] != customers[i - 1]), len(customers)]
+            parts, ends = [], [np.zeros(1, np.int64)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                mine = refs.slice(a, b - a)
+                first = 0
+                if carry is not None and a == 0 and customers[0] == whose:
+                    first, mine = len(carry), pa.concat_arrays([carry, mine])
+                ids = mine.field("event_id").to_pylist()
+                at, upto = windows(ids, first)
+                parts.append(mine.take(pa.array(at)))
+                ends.append(upto + ends[-1][-1])
+                if b == len(customers):
+                    last = list({x: None for x in reversed(ids)})[:size]
+                    place = {x: k for k, x in enumerate(ids)}
+                    carry, whose = mine.take(pa.array(sorted(place[x] for x in last), pa.int64())), customers[-1]
+            if customers:
+                ring = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.concat_arrays(parts))
+                kept = [c for c in names if not c.startswith("__")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ring], [*kept, "ring"])
+
+    return run
+
+
 def rings(events: DataFrame, size: int = RING) -> DataFrame:
-    """``ring``: references of the last ``size`` events of the customer before this one, in order of arrival."""
-    w = Window.partitionBy("customer_id").orderBy("arrival_seq").rowsBetween(-size, -1)
-    return events.withColumn("ring", F.collect_list(F.struct("event_id", "source_system", "event_type", "t")).over(w))
-
-
-def _fire(rows: pd.DataFrame, cooldown: int, refresh: int, severe: float) -> pd.DataFrame:
-    rows = rows.sort_values(["t", "seq"], kind="stable")
-    seen: dict[str, int] = {}
-    strong: dict[str, float] = {}
-    watch, last, before = False, None, None
-    fired, reasons = [], []
-    for t, domain, confidence, watchlist in zip(rows["t"], rows["domain"], rows["confidence"], rows["watchlist"], strict=True):
-        seen[domain], strong[domain] = t, confidence
-        watch = watch or bool(watchlist)
-        fresh = frozenset(d for d, at in seen.items() if t - at <= refresh)
-        reason = "watchlist" if watch else "high_severity" if max(strong.values()) >= severe else "domains" if len(fresh) > 1 else "repeated" if fresh == before else None
-        before = fresh
-        fire = reason is not None and (last is None or t - last >= cooldown)
-        last = t if fire else last
-        fired.append(fire)
-        reasons.append(reason if fire else None)
-    return rows.assign(fired=fired, reason=reasons)
+    """``ring``: references of the last ``size`` events of the customer before this one, in order of arrival.
+
+    An event that arrives again is in the ring once, at its latest place. Rows are
+    sorted by customer and arrival and pass as a stream, so a customer with very
+    many events costs a task its last ``size`` of them.
+    """
+    schema = StructType([*events.schema.fields, StructField("ring", ArrayType(StructType([events.schema[c] for c in RING_REF])))])
+    rows = events.select("*", F.col("customer_id").alias("__key"), *[F.col(c).alias(f"__{c}") for c in RING_REF])
+    return rows.repartition("customer_id").sortWithinPartitions("customer_id", "arrival_seq").mapInArrow(_rings(size), schema)
+
+
+class Correlation:
+    """What a customer's trigger holds: the latest finding of each domain, the domains that were fresh before, and when it last fired."""
+
+    def __init__(self, cooldown: int, refresh: int, severe: float, latest: dict | None = None, last: int | None = None, before: frozenset | None = None) -> None:
+        self.cooldown, self.refresh, self.severe = cooldown, refresh, severe
+        self.latest: dict[str, tuple[int, float, bool]] = dict(latest or {})
+        self.last, self.before = last, before
+
+    def step(self, t: int, domain: str, confidence: float, watchlist: bool) -> str | None:
+        """The reason for which a finding fires, if it does. A watchlist hit counts until its domain's next finding."""
+        self.latest[domain] = (t, confidence, bool(watchlist))
+        fresh = frozenset(d for d, (at, _, _) in self.latest.items() if t - at <= self.refresh)
+        reason = None
+        if any(listed for _, _, listed in self.latest.values()):
+            reason = "watchlist"
+        elif max(c for _, c, _ in self.latest.values()) >= self.severe:
+            reason = "high_severity"
+        elif len(fresh) > 1:
+            reason = "domains"
+        elif fresh == self.before:
+            reason = "repeated"
+        self.before = fresh
+        if reason is None or (self.last is not None and t - self.last < self.cooldown):
+            return None
+        self.last = t
+        return reason
+
+
+FINDING = "customer_id string, seq long, t long, domain string, confidence double, watchlist boolean"
+
+
+def _fire(cooldown: int, refresh: int, severe: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, state = None, None
+        for batch in batches:
+            reasons = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("customer_id", "t", "domain", "confidence", "watchlist")), strict=True)
+            for customer, *finding in rows:
+                if state is None or customer != whose:
+                    whose, state = customer, Correlation(cooldown, refresh, severe)
+                reasons.append(state.step(*finding))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r is not None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], [*batch.schema.names, "fired", "reason"])
+
+    return run
 
 
 def triggers(findings: DataFrame, cooldown: int = COOLDOWN, refresh: int = REFRESH, severe: float = 0.75) -> DataFrame:
-    """``fired`` and ``reason`` of every finding ``(customer_id, seq, t, domain, confidence, watchlist)``; greedy a customer."""
-    rows = findings.select("customer_id", "seq", "t", "domain", "confidence", "watchlist")
-    schema = "customer_id string, seq long, t long, domain string, confidence double, watchlist boolean, fired boolean, reason string"
-    return rows.groupBy("customer_id").applyInPandas(lambda p: _fire(p, cooldown, refresh, severe), schema)
+    """``fired`` and ``reason`` of every finding ``(customer_id, seq, t, domain, confidence, watchlist)``; greedy a customer, in order of time.
+
+    Rows pass as a stream by customer and time; a task holds one customer's latest findings.
+    """
+    rows = findings.select("customer_id", "seq", "t", "domain", "confidence", "watchlist").repartition("customer_id").sortWithinPartitions("customer_id", "t", "seq")
+    return rows.mapInArrow(_fire(cooldown, refresh, severe), f"{FINDING}, fired boolean, reason string")

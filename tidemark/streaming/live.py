@@ -48,9 +48,13 @@ def classify_stream(events: DataFrame, lateness: int, slack: int) -> DataFrame:
     return events.groupBy("source_system").applyInPandasWithState(step, schema, "top long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drains a stream into Parquet in the shared folder and reads it back."""
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", once: bool = False) -> DataFrame:
+    """Drains a stream into Parquet in the shared folder and reads it back.
+
+    One with timers of processing time never runs dry; ``once`` takes what is there as one micro-batch.
+    """
     at = fresh(spark, name)
-    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
+    when = {"once": True} if once else {"availableNow": True}
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(**when).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
