@@ -144,6 +144,7 @@ def test_phrases_equal_brute_force(spark, texts, least, monkeypatch):
     assert sorted(got) == sorted(want)
     monkeypatch.setattr(collocations, "SEGMENT_PHRASES", 64)  # many segments, and many small blocks
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 50)
     assert sorted(tuple(r) for r in collocations.collocations(docs, 40, least=least).collect()) == sorted(want)
 
 

@@ -33,11 +33,11 @@ LONGEST, LEAST = 4, 30
 TOP = 2000
 #: A longer phrase that occurs in this many of 100 occurrences takes a shorter one with it.
 SUBSUMED = 80
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES, SLICE_BYTES = 1 << 22, 1 << 20
 #: Blocks of all languages that a task holds open.
-OPEN_BYTES = 1 << 23
+OPEN_BYTES = 1 << 24
 #: Phrase occurrences to a segment, bits of a cell within it, and of a row of counters.
-SEGMENT_PHRASES, CELL_BITS, ROW_BITS = 1 << 22, 28, 23
+SEGMENT_PHRASES, CELL_BITS, ROW_BITS = 1 << 22, 25, 23
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes(10 if c in _SEPARATORS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -92,35 +92,45 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(lang)
 
 
+def slices_of(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """A block in parts that end where a piece ends, with their places."""
+    at = 0
+    while at < len(text):
+        end = text.find(b"\n", at + SLICE_BYTES)
+        end = len(text) if end < 0 else end
+        yield at, text[at:end]
+        at = end + 1
+
+
 class Phrases:
-    """Hashes of every phrase of a block, shortest first, and where they stand."""
+    """Hashes of every phrase of a block and, with ``places``, where each begins and ends and its words."""
 
-    def __init__(self, lang: str, text: bytes, n_bytes: int, longest: int) -> None:
+    def __init__(self, lang: str, text: bytes, n_bytes: int, longest: int, places: bool = False) -> None:
         self.text = pa.decompress(text, decompressed_size=n_bytes, codec="zstd", asbytes=True)
-        raw = np.frombuffer(self.text, np.uint8)
-        gap = (raw == 32) | (raw == 10)
-        edges = np.flatnonzero(gap)
-        self.starts = np.concatenate([[0], edges + 1])
-        self.ends = np.concatenate([edges, [len(raw)]])
-        piece = np.concatenate([[0], np.cumsum(raw[edges] == 10)])
         seed = U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-        with np.errstate(over="ignore"):
-            up, down = _power(len(raw) + 1)
-            total = np.concatenate([np.zeros(1, U), np.cumsum(_byte_codes()[raw] * up[:-1], dtype=U)])
-            words = _mixed((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
-            del total
-            hashes, at, chain = [], [], np.full(len(words), seed, U)
-            for n in range(1, longest + 1):
-                m = len(words) - n + 1
-                if m <= 0:
-                    break
-                chain = _mixed(chain[:m] * U(0xD6E8FEB86659FD93) + words[n - 1 :] + U(n))
-                inside = np.flatnonzero(piece[:m] == piece[n - 1 :])
-                hashes.append(chain[inside])
-                at.append(inside)
+        hashes, begin, end, size = [], [], [], []
+        for offset, part in slices_of(self.text):
+            raw = np.frombuffer(part, np.uint8)
+            edges = np.flatnonzero((raw == 32) | (raw == 10))
+            starts, ends = np.concatenate([[0], edges + 1]), np.concatenate([edges, [len(raw)]])
+            piece = np.concatenate([[0], np.cumsum(raw[edges] == 10)])
+            with np.errstate(over="ignore"):
+                up, down = _power(len(raw) + 1)
+                total = np.concatenate([np.zeros(1, U), np.cumsum(_byte_codes()[raw] * up[:-1], dtype=U)])
+                words = _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+                chain = np.full(len(words), seed, U)
+                for n in range(1, min(longest, len(words)) + 1):
+                    m = len(words) - n + 1
+                    chain = _mixed(chain[:m] * U(0xD6E8FEB86659FD93) + words[n - 1 :] + U(n))
+                    inside = np.flatnonzero(piece[:m] == piece[n - 1 :])
+                    hashes.append(chain[inside])
+                    if places:
+                        begin.append((offset + starts[inside]).astype(np.int32))
+                        end.append((offset + ends[inside + n - 1]).astype(np.int32))
+                        size.append(np.full(len(inside), n, np.int8))
         self.hashes = np.concatenate(hashes)
-        self.at = np.concatenate(at)
-        self.words = np.repeat(np.arange(1, len(at) + 1), [len(x) for x in at])
+        if places:
+            self.begin, self.end, self.words = np.concatenate(begin), np.concatenate(end), np.concatenate(size)
 
 
 def segment_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -193,18 +203,25 @@ def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text, n_bytes, answers in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "n_bytes", "answers")), strict=True):
-                p = Phrases(lang, text, n_bytes, longest)
-                hashes, first, counts = np.unique(p.hashes, return_index=True, return_counts=True)
-                n = np.bincount(segment_of(hashes, bits), minlength=1)
+                p = Phrases(lang, text, n_bytes, longest, places=True)
+                known = np.unique(p.hashes)
+                n = np.bincount(segment_of(known, bits), minlength=1)
                 stays = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=n[x["segment"]]) for x in sorted(answers, key=lambda x: x["segment"])])
-                stays = np.flatnonzero(stays)
-                first, words = first[stays], p.words[first[stays]]
-                begin, end = p.starts[p.at[first]], p.ends[p.at[first] + words - 1]
+                known = known[np.flatnonzero(stays)]
+                if not len(known):
+                    continue
+                at = np.searchsorted(known, p.hashes)
+                here = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == p.hashes)
+                at = at[here]
+                counts = np.bincount(at, minlength=len(known))
+                first = np.empty(len(known), np.int64)
+                first[at[::-1]] = here[::-1]
+                begin, end, words = p.begin[first], p.end[first], p.words[first]
                 for k in range(0, len(first), 1 << 16):
                     here = slice(k, k + (1 << 16))
                     found = [p.text[a:b] for a, b in zip(begin[here].tolist(), end[here].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(found)), pa.array(words[here].astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts[stays][here])],
+                        [pa.array([lang] * len(found)), pa.array(words[here].astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts[here])],
                         ["lang", "words", "phrase", "f"],
                     )
 
