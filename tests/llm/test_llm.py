@@ -795,3 +795,28 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
+
+
+# --- 5 hostile pages and dirty labels
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script>", "<script", "<html ", "<", "</script ", "<a ", "<style><!--", "&amp", "<html lang", " \t"])
+def test_hostile_pages_take_linear_time(spark, part):
+    page = part * ((1 << 21) // len(part))
+    df = spark.createDataFrame([(page,)], "html string").select(language_id.html_text(F.col("html")).alias("t"), language_id.html_language(F.col("html")).alias("l"))
+    spark.range(1).count()
+    began = time.time()
+    df.select(F.length("t"), "l").collect()
+    assert time.time() - began < 5
+
+
+def test_markup_goes_as_before(spark):
+    pages = {"<html lang='de-AT'><p>a &amp; b</p><!-- c --><script>x < y</script >d<STYLE>q</style>e 1 < 2 f": (" a   b d e 1 < 2 f", "de"), "a <!-- open <p> b": ("a ", None), "<script>never closed</p> a": (" ", None), "a<br": ("a ", None), "": ("", None), "<html><p lang='fr'>x": (" x", None)}
+    rows = spark.createDataFrame([(k,) for k in pages], "html string").select("html", language_id.html_text(F.col("html")).alias("t"), language_id.html_language(F.col("html")).alias("l")).collect()
+    assert {r["html"]: (r["t"], r["l"]) for r in rows} == pages
+
+
+def test_dirty_labels_are_bounded(spark, small):
+    dirty = spark.range(3000).select((F.col("id") + 10**6).alias("doc_id"), F.lit("noise of a label").alias("text"), F.concat(F.lit("x"), F.col("id")).alias("lang"))
+    model = language_id.fit_text_model(small.select("doc_id", "text", "lang").union(dirty), most_languages=6)
+    assert len(model.languages) == 6 and {"de", "en", "es", "fr"} <= set(model.languages)

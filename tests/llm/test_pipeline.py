@@ -154,3 +154,20 @@ def test_shared_runs_of_lines_go_whole(spark, sf):
     assert drop_repeated_runs(d.limit(0)).count() == 0
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, d, sf).collect()}
     assert 94 not in kept and kept[1] == want[rows[1][1].split("\n")[0]]
+
+
+def test_copies_keep_to_their_row(spark, sf):
+    """Null and shared ids: every row comes as often as the mix of that row says, equal rows together."""
+    from tidemark.llm.mixing import mix
+
+    row = lambda i, k, n, lang="en": (i, " ".join(f"w{k}x{j}" for j in range(n)), lang, f"s{k % 3}", n)
+    rows = [row(k if k % 2 else None, k, 3 + k % 17) for k in range(60)] + [row(1, 100 + k, 10) for k in range(9)] + [row(77, 300, 5)] * 4 + [row(5, 301, 6, "de"), row(5, 301, 6, "fr"), (6, None, "en", "s0", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mix(d, keep=("text", "lang")).collect()
+    want = collections.Counter()
+    for r in taken:
+        want[r["doc_id"], r["text"], r["lang"]] += r["copies"]
+    got = corpus_pipeline.source_mixing(spark, d, sf).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["lang"]) for r in got) == +want
+    words = sum(len((r["text"] or "").split()) for r in got)
+    assert words == sum(r["taken"] for r in taken) and max(want.values()) <= 8

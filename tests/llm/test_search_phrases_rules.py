@@ -160,7 +160,8 @@ def test_a_full_sketch_loses_nothing():
     assert (estimate >= true).all() and (estimate > true).mean() < 0.01
 
 
-def test_long_texts_are_cut_between_pieces():
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 1 << 21)
     text = (b"some words here, " * 400_000) + b"x " * 10
     parts = list(collocations.cut(text))
     assert b"".join(parts) == text and len(parts) > 2 and all(p.endswith(b",") for p in parts[:-1])

@@ -26,6 +26,8 @@ TEMPER = 1 / 3
 UNKNOWN = "und"
 #: Labelled rows of each language on which the trigram model is fitted, on average; all of a language that has no more.
 FIT_ROWS = 4000
+#: Languages of the model: those with most labelled rows, ties to the first by name. A label beyond them counts as another language.
+MOST_LANGUAGES = 256
 
 
 def grams_of(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,17 +68,20 @@ class TextModel:
         return out * TEMPER
 
 
-def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> TextModel:
+def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, most_languages: int = MOST_LANGUAGES) -> TextModel:
     """Fit on some ``fit_rows`` labelled rows of every language, so no language is lost at any size.
 
     A language's rows are counted over all rows; those whose hash is within
-    its share are taken, and always the least. What reaches the driver is
-    bounded by the number of languages and ``GRAMS``.
+    its share are taken, and always the least. The model has the
+    ``most_languages`` with most rows, which bounds what reaches the driver, to
+    as many times ``GRAMS``, whatever a dirty label column holds.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit_hash(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).alias("u"))
-    upto = known.groupBy("lang").agg(F.greatest(F.min("u"), fit_rows / F.count(F.lit(1))).alias("upto"))
-    # one row a language
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("u").alias("least"))
+    most = counted.orderBy(F.desc("rows"), "lang").limit(most_languages)
+    upto = most.select("lang", F.greatest("least", fit_rows / F.col("rows")).alias("upto"))
+    # at most a row for each language of the model
     sample = known.join(F.broadcast(upto), "lang").where(F.col("u") <= F.col("upto")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +109,20 @@ def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     return TextModel(languages, logs)
 
 
+#: Scripts, styles, comments and tags. One that is not closed goes to the end, as a reader takes it, so no part is read again and again.
+_MARKUP = r"(?is)<(script|style)\b[^>]*(?:>(?:.*?</\1\s*+>|.*)|\z)|<!--(?:.*?-->|.*)|<[a-z/!?][^>]*(?:>|\z)"
+
+
 def html_text(html: Column) -> Column:
-    """The text of a page without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&[#a-zA-Z0-9]+;|\s+", " ")
+    """The text of a page without scripts, styles, comments and tags, in time linear in the page."""
+    bare = F.regexp_replace(html, _MARKUP, " ")
+    return F.regexp_replace(bare, r"&[#a-zA-Z0-9]++;|\s+", " ")
 
 
 def html_language(html: Column) -> Column:
     """Primary subtag of the ``lang`` attribute of the root element, null if there is none."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]+)", 1))
+    root = F.regexp_extract(html, r"(?i)<html\b([^>]*)", 1)
+    found = F.lower(F.regexp_extract(root, r"(?i)\slang\s*+=\s*+[\"']?([a-zA-Z]+)", 1))
     return F.nullif(found, F.lit(""))
 
 

@@ -63,6 +63,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 7,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``id_col, size, source_size, target, taken, copies`` of every row of ``docs``.
 
@@ -70,10 +71,10 @@ def mix(
     times its certain copies, once more if it is sampled. Null texts have size
     0, a null source is a source, repeated rows are rows (equal ones share
     their random number and are told apart by nothing, so either may be taken).
-    Other columns are ignored. An empty table gives an empty result. The random
+    Columns of ``keep`` come along; others are ignored. An empty table gives an empty result. The random
     numbers hash id, source, size and seed, so reruns agree.
     """
-    light = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_in(text_of(text_col)).alias("size"))
+    light = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_in(text_of(text_col)).alias("size"), *keep)
     light = written(light, "mix-sizes")
     sums = light.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     goal = written(targets(sums, weights, share, most), "mix-targets")
@@ -95,7 +96,7 @@ def mix(
     rows = rows.join(got, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rows = _front(rows.withColumn("need", F.col("need") - F.col("got")).drop("got"), whole_only=False)
     copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"), *keep)
 
 
 def _front(rows: DataFrame, whole_only: bool) -> DataFrame:
