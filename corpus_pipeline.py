@@ -72,11 +72,20 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    key, copies, one = (_unused(docs, c) for c in ("row_key", "row_copies", "row_copy"))
-    taken = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    """Each document as often as the mix takes it.
+
+    Rows are told apart by all their columns, so shared and missing ids keep to
+    their own row. Equal rows are interchangeable: one of them gives the copies
+    of all. Null texts have no words and go; an empty table stays empty.
+    """
+    key, copies, rows, one = (_unused(docs, c) for c in ("row_key", "row_copies", "row_rows", "row_copy"))
+    keyed = docs.withColumn(key, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    taken = mix(keyed, keep=(key,)).groupBy(key).agg(F.sum("copies").cast("int").alias(copies), F.count(F.lit(1)).alias(rows))
     taken = written(taken.where(F.col(copies) > 0), "pipeline-copies")
-    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
+    met = keyed.join(taken.where(F.col(rows) == 1).drop(rows), key)
+    again = taken.where(F.col(rows) > 1).drop(rows)
+    if not again.isEmpty():
+        met = met.union(keyed.join(written(again, "pipeline-again"), key).dropDuplicates([key]).select(*met.columns))
     return met.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
