@@ -1,5 +1,6 @@
 """Hand-computed cases of the operators."""
 
+import json
 import math
 import random
 
@@ -317,3 +318,66 @@ def test_a_block_of_a_thousand_with_one_pair(spark):
 
 def test_the_order_of_keys_decides_what_a_name_links():
     assert identity.links_by_name(0, 7, False) and identity.links_by_name(3, 3, True) and not identity.links_by_name(1, 1, False) and not identity.links_by_name(5, 5, True)
+
+
+def test_components_by_increments(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(100)]
+    labels, up = spark.createDataFrame([], "node long, component long"), {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for k in range(10):
+        batch_edges = edges[k * 10 : (k + 1) * 10]
+        for a, b in batch_edges:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+        rows = identity.update_components(labels, spark.createDataFrame(batch_edges, "a long, b long")).collect()
+        assert {r["node"]: r["component"] for r in rows} == {n: root(n) for n in up} and len(rows) == len(up)
+        labels = spark.createDataFrame(rows, "node long, component long")
+    again = identity.update_components(labels, spark.createDataFrame([], "a long, b long"))
+    assert sorted(again.collect()) == sorted(labels.collect())
+
+
+def test_a_bad_line_is_named(spark, tmp_path):
+    good = '{"event_id":"E%d","event_time":"2026-05-01T00:00:00+00:00","ingestion_time":"2026-05-01T00:00:00+00:00","customer_id":"C","source_system":"web_app_events","event_type":"login","payload":{}}'
+    lines = [good % i for i in range(4000)]
+    lines[17], lines[2500], lines[3999] = "  ", "{not json", good.replace('"customer_id":"C"', '"customer_id":""') % 1
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "y.jsonl").write_text("\n\n[1]\n" + good % 7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")  # a file in several blocks
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = E.read_lines(spark, f"file://{tmp_path}/*.jsonl", "envelope")
+        got = {(r["place"].rsplit("/", 1)[-1], r["reason"]) for r in E.rejects(read).collect()}
+        assert got == {("x.jsonl:2501", "json"), ("x.jsonl:4000", "customer_id"), ("y.jsonl:3", "json")}
+        assert read.where("reject_reason is null").count() == 3998
+        assert sorted(r["line"] for r in E.numbered_lines(spark, f"file://{tmp_path}/x.jsonl").collect()) == list(range(1, 4001))
+        with pytest.raises(ValueError, match=r"y\.jsonl:3: invalid event: json"):
+            E.read_jsonl(spark, f"file://{tmp_path}/y.jsonl")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_scenarios_of_both_bases(spark, tmp_path):
+    line = '{"event_id":"E1","event_time":"2026-05-01T00:00:00+00:00","ingestion_time":"2026-05-01T00:00:00+00:00","customer_id":"C","source_system":"web_app_events","event_type":"login","payload":{}}\n'
+    for base, name in (("dataset", "s2"), ("dataset", "s1"), ("scenarios", "g1"), ("scenarios", "s1")):
+        at = tmp_path / base / name
+        at.mkdir(parents=True)
+        (at / "entities.json").write_text(json.dumps({"profile": {"name": base}} | ({"scenario_id": "own"} if name == "g1" else {})))
+        (at / "history_seed.jsonl").write_text(line)
+        (at / "live_stream.jsonl").write_text(line * 2)
+        (at / "replay_config.json").write_text('{"pace": 2}')
+    (tmp_path / "dataset/s1/ground_truth.json").write_text('{"signal_events": ["E1"]}')
+    (tmp_path / "dataset/s1/instructions.md").write_text("read me\ntwice")
+    root = f"file://{tmp_path}"
+    assert E.available_scenarios(spark, root) == ["s1", "s2", "g1", "s1"]
+    s, g = E.load_scenario(spark, root, "s1"), E.load_scenario(spark, root, "g1")
+    assert s["entities"].first()["profile"]["name"] == "dataset" and s["instructions"] == "read me\ntwice" and s["ground_truth"].first()["signal_events"] == ["E1"]
+    assert g["ground_truth"] is None and g["instructions"] is None and g["replay_config"].first()["pace"] == 2 and {r["scenario_id"] for r in g["live"].collect()} == {"own"}
+    with pytest.raises(LookupError):
+        E.load_scenario(spark, root, "nowhere")

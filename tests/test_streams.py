@@ -123,3 +123,33 @@ def test_a_silent_source_lets_the_minimum_go(spark, tmp_path):
     live.put([("c", 700)])
     r = latest()
     assert r["watermark"] == 690 or r["live_sources"] == 1  # c is back; a and b may be silent by now
+
+
+@pytest.mark.parametrize("cuts", [(300,), (1, 2, 150, 300)])
+def test_lateness_live_equals_batch(spark, tmp_path, cuts, monkeypatch):
+    """Split anywhere, and once stopped between a batch's rows and its marks."""
+    from tidemark.streaming import live
+
+    rng = random.Random(len(cuts))
+    rows = [(f"s{rng.randrange(3)}", f"E{i}", i * MINUTE - rng.choice([0, 0, 0, 2, 40]) * MINUTE, i) for i in range(300)]
+    schema, at = "source_system string, event_id string, t long, arrival_seq long", f"file://{tmp_path}"
+    for low, high in zip((0, *cuts), cuts):
+        spark.createDataFrame(rows[low:high], schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    if len(cuts) > 1:
+        calls = []
+
+        def stop(*a, **k):
+            calls.append(1)
+            if len(calls) == 3:
+                raise RuntimeError("killed")
+            return whole(*a, **k)
+
+        whole = live.classify
+        monkeypatch.setattr(live, "classify", stop)
+        with pytest.raises(Exception, match="killed"):
+            live.classify_to_table(stream, f"{at}/t").awaitTermination()
+    live.classify_to_table(stream, f"{at}/t").awaitTermination()
+    want = batch.classify(spark.createDataFrame(rows, schema)).select("source_system", "event_id", "outcome").collect()
+    got = live.classified(spark, f"{at}/t").collect()
+    assert sorted(got) == sorted(want) and {r["outcome"] for r in got} == {"emitted", "late_recomputed", "too_late_dropped"}

@@ -74,21 +74,23 @@ def baselines(events: DataFrame, end: Column, specs: tuple[WindowSpec, ...] = SP
     span = span.withColumn("n", F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) / (step_days * DAY))).cast("long"))
     span = span.withColumn("step", (F.col("end") - F.col("start")) / F.col("n"))
     joined = events.crossJoin(F.broadcast(span))  # one row
-    out = None
+    meets = []
     for s in specs:
         lo = F.greatest(F.lit(1), F.ceil((F.col("t") - F.col("start")) / F.col("step"))).cast("long")
         hi = F.least(F.col("n"), F.floor((F.col("t") - F.col("start") + int(s.days * DAY)) / F.col("step"))).cast("long")
-        hit = joined.where(of_kind(s)).where(lo <= hi).select("customer_id", "n", F.lit(1.0).alias("one") if s.field is None else F.col(s.field).alias("one"), F.explode(F.sequence(lo, hi)).alias("i"))
-        each = hit.groupBy("customer_id", "n", "i").agg((F.max if s.aggregate == "max" else F.sum)("one").alias("v"))
-        size = F.count("v").cast("double") if s.aggregate == "max" else F.first("n").cast("double")
-        sums = each.groupBy("customer_id").agg(size.alias("m"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"))
-        if s.aggregate != "max":
-            base = joined.select("customer_id", F.col("n").cast("double").alias("m0")).distinct()
-            sums = base.join(sums, "customer_id", "left").select("customer_id", F.col("m0").alias("m"), F.coalesce("s1", F.lit(0.0)).alias("s1"), F.coalesce("s2", F.lit(0.0)).alias("s2"))
-        var = F.greatest((F.col("s2") - F.col("s1") * F.col("s1") / F.col("m")) / (F.col("m") - 1), F.lit(0.0))
-        part = sums.select("customer_id", F.lit(s.name).alias("feature"), F.round(F.col("s1") / F.col("m"), 4).alias("mean"), F.round(F.when(F.col("m") > 1, F.sqrt(var)).otherwise(0.0), 4).alias("std"))
-        out = part if out is None else out.union(part)
-    return out
+        value = F.lit(1.0) if s.field is None else F.col(s.field).cast("double")
+        meets.append(F.when(of_kind(s) & (lo <= hi), F.struct(F.lit(s.name).alias("feature"), lo.alias("lo"), hi.alias("hi"), value.alias("value"))))
+    largest = F.col("feature").isin([s.name for s in specs if s.aggregate == "max"])
+    hit = joined.select("customer_id", "n", F.explode(F.array_compact(F.array(*meets))).alias("h")).select("customer_id", "n", "h.feature", "h.value", F.explode(F.sequence("h.lo", "h.hi")).alias("i"))
+    each = hit.groupBy("customer_id", "feature", "n", "i").agg(F.sum("value").alias("all"), F.max("value").alias("top"))
+    each = each.select("customer_id", "feature", F.when(largest, F.col("top")).otherwise(F.col("all")).alias("v"))
+    sums = each.groupBy("customer_id", "feature").agg(F.count("v").cast("double").alias("met"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"))
+    every = joined.select("customer_id", F.col("n").cast("double").alias("n")).distinct().withColumn("feature", F.explode(F.array(*[F.lit(s.name) for s in specs])))
+    sums = every.join(sums, ["customer_id", "feature"], "left").where(~largest | F.col("met").isNotNull())
+    zero = lambda c: F.when(largest, F.col(c)).otherwise(F.coalesce(c, F.lit(0.0)))
+    sums = sums.select("customer_id", "feature", F.when(largest, F.col("met")).otherwise(F.col("n")).alias("m"), zero("s1").alias("s1"), zero("s2").alias("s2"))
+    var = F.greatest((F.col("s2") - F.col("s1") * F.col("s1") / F.col("m")) / (F.col("m") - 1), F.lit(0.0))
+    return sums.select("customer_id", "feature", F.round(F.col("s1") / F.col("m"), 4).alias("mean"), F.round(F.when(F.col("m") > 1, F.sqrt(var)).otherwise(0.0), 4).alias("std"))
 
 
 def zscore(x: Column, mean: Column, std: Column) -> Column:

@@ -175,3 +175,20 @@ def add_edges(edges: DataFrame, incoming: DataFrame) -> DataFrame:
     both = edges.unionByName(incoming).select(*ends, "method", "confidence").where("a <> b")
     w = Window.partitionBy("a", "b").orderBy(F.col("confidence").desc(), "method")
     return both.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def update_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, component)`` after new ``edges(a, b)``, from the labels before them: no old edge is read again.
+
+    The new edges are contracted to edges between labels; a node that is new is
+    its own. Only components that an edge joins change, and the least node
+    names a component, as in a run over all edges.
+    """
+    named = labels.select("node", "component")
+    ends = edges.select("a").union(edges.select("b")).toDF("node").distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    ends = stored(ends, "touched")
+    of = lambda c: ends.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    small = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    moved = connected_components(small).toDF("component", "now")
+    every = named.union(ends.join(named, "node", "left_anti"))
+    return every.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))

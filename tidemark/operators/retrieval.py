@@ -25,11 +25,35 @@ def scope(customer_id: str | None = None, strict: bool = False, everyone: bool =
     return own if strict else own | F.col("customer_id").isNull()
 
 
-def chunks(rows: DataFrame, id_col: str, text_col: str, source: str) -> DataFrame:
-    """``source, source_id, chunk_no, chunk_text, upsert_key`` beside the other columns."""
-    out = rows.select("*", F.posexplode(chunk_text(F.col(text_col))).alias("chunk_no", "chunk_text"))
-    key = F.concat_ws(":", F.lit(source), F.col(id_col).cast("string"), F.col("chunk_no").cast("string"))
-    return out.withColumns({"source": F.lit(source), "source_id": F.col(id_col).cast("string"), "upsert_key": key})
+def chunks(rows: DataFrame, id_col: str | Column, text_col: str, source: str | Column) -> DataFrame:
+    """``source, source_id, chunk_no, chunk_text, upsert_key`` beside the other columns; a blank text has no chunk."""
+    source = F.lit(source) if isinstance(source, str) else source
+    source_id = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    out = rows.select("*", source.alias("source"), source_id.alias("source_id"), F.posexplode(chunk_text(F.col(text_col))).alias("chunk_no", "chunk_text"))
+    return out.withColumn("upsert_key", F.concat_ws(":", "source", "source_id", F.col("chunk_no").cast("string")))
+
+
+ENTRY = ("customer_id", "source", "source_id", "chunk_no", "chunk_text", "t", "upsert_key")
+#: Fixed value: when reference documents count as written, 2026-01-01 in microseconds.
+POLICY_TIME = 1_767_225_600_000_000
+
+
+def index_events(events: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """Entries of events' texts ``(event_id, customer_id, source_system, t, text)``: a customer's own, under their source."""
+    return chunks(events, "event_id", text_col, F.col("source_system")).select(*ENTRY)
+
+
+def index_findings(findings: DataFrame) -> DataFrame:
+    """Entries of findings ``(customer_id, domain, summary, t, decision_id)``: told apart by their decision or, without one, their time."""
+    when = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    source_id = F.concat_ws("_", F.lit("finding"), "domain", F.coalesce("decision_id", when))
+    return chunks(findings, source_id, "summary", "findings").select(*ENTRY)
+
+
+def index_policies(docs: DataFrame, version: str = "v1") -> DataFrame:
+    """Entries of reference documents ``(doc_id, text)``: everyone's, by version."""
+    rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("customer_id"), F.lit(POLICY_TIME).alias("t"))
+    return chunks(rows, F.concat_ws("_", F.col("doc_id").cast("string"), F.lit(version)), "text", "policy_docs").select(*ENTRY)
 
 
 def upsert(table: DataFrame, incoming: DataFrame, order: str = "indexed_at") -> DataFrame:

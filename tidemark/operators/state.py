@@ -70,7 +70,8 @@ def arbitrate(pending: DataFrame) -> DataFrame:
 
 
 def unresolved(conflict_log: DataFrame, resolutions: DataFrame) -> DataFrame:
-    return conflict_log.join(resolutions.select("conflict_id"), "conflict_id", "left_anti")
+    """Conflicts without a resolution, in order of their ids."""
+    return conflict_log.join(resolutions.select("conflict_id"), "conflict_id", "left_anti").orderBy("conflict_id")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -70,12 +70,25 @@ def _end(e: DataFrame) -> DataFrame:
   WHEN source_system = 'social_signal_consented' THEN 'consent_flag' END AS reason FROM raw) GROUP BY 1""")
 def s4(spark, d):
     """Serialised envelopes with planted faults, parsed and validated."""
-    e = _env(spark, d)
+    return E.parse_events(_faulty(_env(spark, d)).select("value")).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _faulty(e):
     n = F.col("arrival_seq")
     bad = e.select(n, "event_id", F.timestamp_micros("t").alias("event_time"), F.timestamp_micros("it").alias("ingestion_time"), F.when(n % 19 == 0, "").otherwise(F.col("customer_id")).alias("customer_id"), "source_system",
                    F.when(n % 17 == 0, "nonsense").otherwise(F.col("event_type")).alias("event_type"), F.struct(F.when(n % 23 == 0, -F.col("amount") - 1).otherwise(F.col("amount")).alias("amount")).alias("payload"))
-    raw = bad.select(F.to_json(F.struct("event_id", "event_time", "ingestion_time", "customer_id", "source_system", "event_type", "payload")).alias("value"))
-    return E.parse_events(raw).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return bad.select(n, F.to_json(F.struct("event_id", "event_time", "ingestion_time", "customer_id", "source_system", "event_type", "payload")).alias("value"))
+
+
+@query("s1_rejected_lines", SQL["s4_parse_validate"].split("SELECT coalesce(reason")[0].replace("raw AS (SELECT arrival_seq,", "raw AS (SELECT arrival_seq, arrival_seq // 5000 AS file, row_number() OVER (PARTITION BY arrival_seq // 5000 ORDER BY arrival_seq) AS line,")
+  + "SELECT file, line, reason FROM (SELECT file, line, CASE WHEN arrival_seq % 29 = 0 THEN 'json' " + SQL["s4_parse_validate"].split("SELECT CASE ")[1].split(") GROUP BY")[0] + ") WHERE reason IS NOT NULL")
+def s1(spark, d):
+    """File, line and reason of the invalid lines among the events written as lines, some of them no JSON."""
+    lines = _faulty(_env(spark, d)).select("arrival_seq", F.floor(F.col("arrival_seq") / 5000).alias("file"), F.when(F.col("arrival_seq") % 29 == 0, "{no json").otherwise(F.col("value")).alias("value"))
+    at = storage.fresh(spark, "lines")
+    lines.repartition("file").sortWithinPartitions("file", "arrival_seq").select("file", "value").write.partitionBy("file").text(at)
+    bad = E.read_lines(spark, f"{at}/*/*").where("reject_reason is not null")
+    return bad.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("file"), "line", F.col("reject_reason").alias("reason"))
 
 
 @query("s5_serialise_roundtrip", f"WITH {ENV} SELECT event_id, customer_id, t, amount FROM env")
@@ -192,17 +205,20 @@ def t5(spark, d):
 
 @query("t7_t8_watermarks", f"""WITH {ENV}, n AS (SELECT max(it) AS now FROM env) SELECT source_system, max(t) AS max_event_time, max(it) AS last_seen, max(it) < any_value(now) - 300000000 AS is_idle FROM env, n GROUP BY 1""")
 def t7(spark, d):
+    return _marks(spark, d, 300_000_000)
+
+
+def _marks(spark, d, idle):
+    """Watermarks as of the latest arrival, which comes along as one row."""
     e = _env(spark, d)
-    now = e.agg(F.max("it").alias("now")).first()["now"]
-    return batch.watermarks(e, F.lit(now), 300_000_000)
+    e = e.crossJoin(F.broadcast(e.agg(F.max("it").alias("now"))))
+    return batch.watermarks(e, F.col("now"), idle)
 
 
 @query("t9_t10_global_watermark", f"""WITH {ENV}, n AS (SELECT max(it) AS now FROM env), w AS (SELECT source_system, max(t) m, max(it) < any_value(now) - 3000000000 AS idle FROM env, n GROUP BY 1)
   SELECT min(m) - 30000000 AS watermark, max(m) - min(m) + 30000000 AS lag, count(*) AS live_sources FROM w WHERE NOT idle""")
 def t9(spark, d):
-    e = _env(spark, d)
-    now = e.agg(F.max("it").alias("now")).first()["now"]
-    return batch.global_watermark(batch.watermarks(e, F.lit(now), 3_000_000_000))
+    return batch.global_watermark(_marks(spark, d, 3_000_000_000))
 
 
 RINGS = """pl AS (SELECT *, lead(seq2) OVER (PARTITION BY customer_id, event_id ORDER BY seq2) AS again FROM arr),
@@ -225,8 +241,11 @@ def stream_dedup(spark, d):
 
 @query("stream_lateness", f"WITH {ENV}, {CLASSED} SELECT event_id, source_system, outcome FROM cls")
 def stream_lateness(spark, d):
-    e = _stored_stream(spark, _env(spark, d).select("source_system", "event_id", "t", "arrival_seq"), "lateness")
-    return live.run_to_table(spark, live.classify_stream(e, batch.LATENESS, batch.OUT_OF_ORDER), "lateness").select("event_id", "source_system", "outcome")
+    """The batch's outcomes from three micro-batches, each from the marks of the one before."""
+    e = _in_order(spark, _env(spark, d).select("source_system", "event_id", "t", "arrival_seq"), "arrival_seq", "lateness")
+    at = storage.fresh(spark, "lateness")
+    live.classify_to_table(e, at).awaitTermination()
+    return live.classified(spark, at).select("event_id", "source_system", "outcome")
 
 
 def _as_stream(spark, d):
@@ -400,6 +419,18 @@ def b9(spark, d):
     return identity.resolve(r, m)
 
 
+@query("b9_incremental", SQL["b9_components"])
+def b9_incremental(spark, d):
+    """Components by ten batches of matches, each from the labels before it."""
+    r, m = _matches(spark, d)
+    edges = storage.stored(m.where("matched").select("a", "b"), "matches")
+    labels = spark.createDataFrame([], "node long, component long")
+    for k in range(10):
+        labels = storage.stored(identity.update_components(labels, edges.where(F.pmod(F.xxhash64("a", "b"), F.lit(10)) == k)), "labels")
+    out = r.select(F.col("record_id").cast("long").alias("record_id")).join(labels.toDF("record_id", "component"), "record_id", "left")
+    return out.select("record_id", F.coalesce("component", "record_id").alias("canonical_id"))
+
+
 # --- state board -----------------------------------------------------------------------------------------
 
 LOG = f"""log AS (SELECT arrival_seq AS episode_id, customer_id, 'findings.' || event_type AS field_path, CAST(CAST(amount AS BIGINT) % 5 AS VARCHAR) AS value, (50 + arrival_seq % 50) / 100.0 AS confidence,
@@ -633,6 +664,21 @@ def x13(spark, d):
     return p.select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("cos"))
 
 
+@query("b11_index_kinds", f"""WITH {ENV}, tx AS (SELECT *, 'ticket ' || category AS raw_text FROM env WHERE source_system = 'support_logs'), fi AS (SELECT *, CASE WHEN arrival_seq % 2 = 0 THEN 'dec_' || arrival_seq END AS decision_id FROM env WHERE source_system = 'web_app_events')
+  SELECT customer_id, source_system AS source, event_id AS source_id, source_system || ':' || event_id || ':0' AS upsert_key, t, raw_text AS chunk_text FROM tx
+  UNION ALL SELECT customer_id, 'findings', k, 'findings:' || k || ':0', t, 'usage: ' || event_type FROM (SELECT *, 'finding_usage_' || coalesce(decision_id, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%SZ')) AS k FROM fi)
+  UNION ALL SELECT NULL, 'policy_docs', item_id || '_v2', 'policy_docs:' || item_id || '_v2:0', 1767225600000000, trim(text, ' ' || chr(9) || chr(10) || chr(13)) FROM benchmark""")
+def b11_kinds(spark, d):
+    """Entries of event texts, findings and reference documents in one index."""
+    e = _env(spark, d)
+    events = retrieval.index_events(e.where("source_system = 'support_logs'").withColumn("raw_text", F.concat(F.lit("ticket "), F.col("category"))))
+    decided = F.when(F.col("arrival_seq") % 2 == 0, F.concat(F.lit("dec_"), F.col("arrival_seq")))
+    findings = e.where("source_system = 'web_app_events'").select("customer_id", F.lit("usage").alias("domain"), F.concat(F.lit("usage: "), F.col("event_type")).alias("summary"), "t", decided.alias("decision_id"))
+    policies = retrieval.index_policies(spark.read.parquet(f"{d}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"), "v2")
+    out = events.union(retrieval.index_findings(findings)).union(policies)
+    return out.select("customer_id", "source", "source_id", "upsert_key", "t", "chunk_text")
+
+
 @query("x14_b11_chunks", """WITH b AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
   p AS (SELECT conv_id, turn, CASE WHEN t = '' THEN [] WHEN length(t) <= 600 THEN [t] ELSE string_split(list_reduce(string_split_regex(t, '[ \\t\\r\\n]+'), lambda a, w: CASE WHEN length(string_split(a, chr(1))[-1]) + length(w) + 2 > 600 THEN a || chr(1) || w ELSE a || ' ' || w END), chr(1)) END AS c FROM b)
   SELECT 'conversation:' || conv_id || ':' || (i - 1) AS upsert_key, turn, c[i] AS chunk_text FROM p, unnest(range(1, len(c) + 1)) u(i)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,24 +85,92 @@ def is_late() -> Column:
     return F.coalesce(F.col("ingestion_time") > F.col("event_time"), F.lit(False))
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Event lines of a path; blank lines are skipped, a broken line fails the read."""
-    return spark.read.schema(ENVELOPE).option("mode", "FAILFAST").json(path)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value`` of every line of a path's text files, lines counted from 1 in each file.
 
+    A large file is read in blocks. A line's number is its place in the block,
+    which the scan's running id gives, after the lines of the blocks before it:
+    one row a block.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return raw.join(blocks, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def read_lines(spark: SparkSession, path: str, validate: str = "full") -> DataFrame:
+    """Event lines of a path as envelopes with ``file``, ``line`` and ``reject_reason``; blank lines are skipped.
+
+    A line that is no JSON object is rejected as ``json``, others by the field that is wrong.
+    """
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = parse_events(rows, "value", validate)
+    broken = F.json_object_keys("value").isNull()
+    return parsed.withColumn("reject_reason", F.when(broken, "json").otherwise(F.col("reject_reason")))
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """``place`` (``path:line``), ``reason`` and ``value`` of the lines of ``read_lines`` that are no valid event."""
+    bad = lines.where("reject_reason is not null")
+    return bad.select(F.concat_ws(":", "file", F.col("line").cast("string")).alias("place"), F.col("reject_reason").alias("reason"), "value")
+
+
+def read_jsonl(spark: SparkSession, path: str, validate: str = "envelope") -> DataFrame:
+    """The events of a path's lines; blank lines are skipped, and the first invalid line is named in the error (``path:line``)."""
+    lines = read_lines(spark, path, validate)
+    first = rejects(lines).orderBy(F.length("place"), "place").first()
+    if first:
+        raise ValueError(f"{first['place']}: invalid event: {first['reason']}")
+    return lines.select(*FIELDS)
 
-def load_scenario(spark: SparkSession, root: str, name: str) -> dict[str, DataFrame]:
-    """History, live stream and entities of one scenario folder, each with its name."""
-    tag = lambda df: df.withColumn("scenario_id", F.lit(name))
-    read = lambda f: tag(spark.read.option("multiLine", True).json(f"{root}/{name}/{f}.json"))
-    return {"history": tag(read_jsonl(spark, f"{root}/{name}/history_seed.jsonl")), "live": tag(read_jsonl(spark, f"{root}/{name}/live_stream.jsonl")), "entities": read("entities")}
+
+#: Folders below a dataset's root that hold scenarios: given ones first, generated ones after.
+BASES = ("dataset", "scenarios")
+
+
+def _folders(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """``(name, path)`` of the scenario folders below a root, through Hadoop's file systems."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    bases = [b for b in (f"{root}/{x}" for x in BASES) if files.exists(hadoop.Path(b))] or [root]
+    found = []
+    for base in bases:
+        names = sorted(f.getPath().getName() for f in files.listStatus(hadoop.Path(base)) if f.isDirectory())
+        found += [(n, f"{base}/{n}") for n in names]
+    return found
 
 
 def available_scenarios(spark: SparkSession, root: str) -> list[str]:
-    """Sorted names of the folders below ``root`` that hold a live stream, through Hadoop's file systems."""
+    """Names of the scenario folders of ``root``: those of ``dataset`` and then of ``scenarios``, or, without these, its own."""
+    return [name for name, _ in _folders(spark, root)]
+
+
+def load_scenario(spark: SparkSession, root: str, name: str) -> dict[str, DataFrame | str | None]:
+    """One scenario: ``history``, ``live``, ``entities`` and ``replay_config`` as tables, ``ground_truth`` (a table) and ``instructions`` (a text) or None.
+
+    Tables carry ``scenario_id``, the entities' own or the folder's name. An
+    unknown name raises a ``LookupError``, an invalid event line a ``ValueError``
+    that names it.
+    """
+    at = dict(reversed(_folders(spark, root))).get(name)
+    if at is None:
+        raise LookupError(f"scenario {name!r} not found under {root}")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory() and files.exists(hadoop.Path(f.getPath(), "live_stream.jsonl")))
+    files = hadoop.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda f: files.exists(hadoop.Path(f"{at}/{f}"))
+    entities = spark.read.option("multiLine", True).json(f"{at}/entities.json")
+    scenario = entities.select("scenario_id").first()[0] if "scenario_id" in entities.columns else None
+    tag = lambda df: df.withColumn("scenario_id", F.lit(scenario or name))
+    read = lambda f: tag(spark.read.option("multiLine", True).json(f"{at}/{f}.json"))
+    return {
+        "history": tag(read_jsonl(spark, f"{at}/history_seed.jsonl")),
+        "live": tag(read_jsonl(spark, f"{at}/live_stream.jsonl")),
+        "entities": tag(entities),
+        "replay_config": read("replay_config") if there("replay_config.json") else None,
+        "ground_truth": read("ground_truth") if there("ground_truth.json") else None,
+        "instructions": spark.read.text(f"{at}/instructions.md", wholetext=True).first()[0] if there("instructions.md") else None,
+    }
 
 
 def in_order(events: DataFrame) -> DataFrame:

@@ -25,16 +25,19 @@ def first_arrivals(events: DataFrame, *key: str) -> DataFrame:
     return events.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def classify(events: DataFrame, lateness: int = LATENESS, slack: int = OUT_OF_ORDER) -> DataFrame:
+def classify(events: DataFrame, lateness: int = LATENESS, slack: int = OUT_OF_ORDER, marks: DataFrame | None = None) -> DataFrame:
     """``outcome`` of deduplicated arrivals against their source's running maximum.
 
     Rows that are too late lie below the maximum and cannot raise it, so the
     maximum over all rows is that over accepted ones. A source is split into
     runs of arrivals: the maximum of the runs before comes from one row a source
-    and run, so no task sorts a whole source.
+    and run, so no task sorts a whole source. ``marks(source_system, top)`` are
+    maxima from before these arrivals.
     """
     run = F.floor(F.col("arrival_seq") / RUN)
     per_run = events.groupBy("source_system", run.alias("__run")).agg(F.max("t").alias("__m"))
+    if marks is not None:
+        per_run = per_run.union(marks.select("source_system", F.lit(-1).cast("long"), "top"))
     before = Window.partitionBy("source_system").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_run.select("source_system", "__run", F.max("__m").over(before).alias("__carried"))
     within = Window.partitionBy("source_system", "__run").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,8 +76,8 @@ def baseline_writeback(recomputed: DataFrame, specs=SPECS) -> DataFrame:
 
 def watermarks(accepted: DataFrame, now: Column, idle: int = IDLE) -> DataFrame:
     """A row a source: its greatest event time, when it was last heard and whether it is idle."""
-    w = accepted.groupBy("source_system").agg(F.max("t").alias("max_event_time"), F.max("it").alias("last_seen"))
-    return w.withColumn("is_idle", F.col("last_seen") < now - idle)
+    w = accepted.groupBy("source_system").agg(F.max("t").alias("max_event_time"), F.max("it").alias("last_seen"), F.max(now).alias("__now"))
+    return w.withColumn("is_idle", F.col("last_seen") < F.col("__now") - idle).drop("__now")
 
 
 def global_watermark(marks: DataFrame, slack: int = OUT_OF_ORDER) -> DataFrame:

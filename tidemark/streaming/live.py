@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.storage import fresh
 from tidemark.operators.features import SPECS, of_kind
+from tidemark.plans.storage import fresh
+from tidemark.streaming.batch import LATENESS, OUT_OF_ORDER, classify
 
 
 def dedup_stream(events: DataFrame, within: str | None = None) -> DataFrame:
@@ -27,25 +24,32 @@ def daily_counts(events: DataFrame, lateness: str = "900 seconds") -> DataFrame:
     return timed.groupBy(F.window("event_time", "1 day"), "customer_id").agg(*[F.count_if(of_kind(s)).alias(s.name) for s in SPECS])
 
 
-def classify_stream(events: DataFrame, lateness: int, slack: int) -> DataFrame:
-    """``outcome`` against each source's own running maximum, which is the state.
+def classify_to_table(events: DataFrame, path: str, lateness: int = LATENESS, slack: int = OUT_OF_ORDER) -> StreamingQuery:
+    """Starts a drained query that appends ``source_system, event_id, outcome`` of a stream below ``path``; ``classified`` reads them.
 
-    A micro-batch of a source is put in order of arrival as a whole, whatever
-    files and batches it came in; what the trigger admits bounds it.
+    Each micro-batch is classified as a batch, in runs of arrivals, from the
+    sources' maxima before it: a row a source, which the batch before left. A
+    batch writes into folders named by its number, so one that is run again
+    after a stop replaces what it had written. Arrivals must not go back in
+    order from one micro-batch to the next.
     """
-    schema = "source_system string, event_id string, outcome string"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b[["event_id", "t", "arrival_seq"]] for b in batches]).sort_values("arrival_seq", kind="stable")
-        t = rows["t"].to_numpy(np.int64)
-        top = state.get[0] if state.exists else np.iinfo(np.int64).min
-        upto = np.maximum.accumulate(np.concatenate([[top], t]))
-        behind = np.where(upto[:-1] == np.iinfo(np.int64).min, 0, upto[:-1] - t)
-        outcome = np.select([behind > lateness, behind > slack], ["too_late_dropped", "late_recomputed"], "emitted")
-        state.update((int(upto[-1]),))
-        yield pd.DataFrame({"source_system": key[0], "event_id": rows["event_id"].to_numpy(), "outcome": outcome})
-
-    return events.groupBy("source_system").applyInPandasWithState(step, schema, "top long", "append", GroupStateTimeout.NoTimeout)
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        marks = spark.createDataFrame([], "source_system string, top long")
+        if number:
+            marks = spark.read.schema(marks.schema).parquet(f"{path}/marks/{number - 1}")
+        rows = batch.select("source_system", "event_id", "t", "arrival_seq")
+        classify(rows, lateness, slack, marks).select("source_system", "event_id", "outcome").write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        tops = rows.select("source_system", F.col("t").alias("top")).union(marks).groupBy("source_system").agg(F.max("top").alias("top"))
+        tops.coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/{number}")  # a row a source
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+
+
+def classified(spark: SparkSession, path: str) -> DataFrame:
+    """What ``classify_to_table`` has written."""
+    return spark.read.schema("source_system string, event_id string, outcome string").parquet(f"{path}/rows/*")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", once: bool = False) -> DataFrame:
