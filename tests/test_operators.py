@@ -381,3 +381,30 @@ def test_scenarios_of_both_bases(spark, tmp_path):
     assert g["ground_truth"] is None and g["instructions"] is None and g["replay_config"].first()["pace"] == 2 and {r["scenario_id"] for r in g["live"].collect()} == {"own"}
     with pytest.raises(LookupError):
         E.load_scenario(spark, root, "nowhere")
+
+
+def test_many_searches_equal_single_ones(spark):
+    """Queries with and without matches, shared and own rows, ties and empty texts."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, rng.choice([None, "A", "B"]), text(rng.randrange(0, 30)) if i % 9 else None, rng.randrange(0, 30) * DAY) for i in range(400)]
+    rows += [(1000 + i, None, "the same words here", 29 * DAY) for i in range(8)]
+    df = spark.createDataFrame(rows, "chunk_id long, customer_id string, text string, t long")
+    asks = [(1, "A", text(4)), (2, None, text(6)), (3, "B", "the same words here"), (4, "B", "nothing of this occurs"), (5, "A", ""), (6, "Z", rows[20][2] or "w1"), (7, "A", rows[31][2])]
+    queries = spark.createDataFrame(asks, "query_id long, customer_id string, text string")
+    lists = retrieval.Lists(df, F.lit(30 * DAY))
+    for k in (3, 50):
+        got = retrieval.search_many(lists, queries, k).collect()
+        for q, who, said in asks:
+            one = retrieval.search(df, said, retrieval.scope(who) if who else retrieval.scope(everyone=True), F.lit(30 * DAY), k=k).collect()
+            many = sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])
+            assert [(r["final_score"], r["vec_score"], r["lex_score"]) for r in many] == [(r["final_score"], r["vec_score"], r["lex_score"]) for r in sorted(one, key=lambda r: (-r["final_score"], r["chunk_id"]))]
+            assert [r["id"] for r in many] == sorted((r["id"] for r in many), key=lambda i: next((-x["final_score"], i) for x in many if x["id"] == i))
+    asked = retrieval._asked(queries, "query_id")
+    told = queries.toDF("q", "scope", "text").drop("text")
+    reach = {r["q"]: r["count"] for r in retrieval.within_reach(lists, told, asked, 3).groupBy("q").count().collect()}
+    seen = {q: sum(r[1] in (None, who) for r in rows) for q, who, _ in asks}
+    assert reach[3] < seen[3] / 2 and reach[5] == seen[5]  # few can reach a near match; without any word, all are scored
+    assert retrieval.search_many(lists, queries.limit(0)).count() == 0
+    lists.free()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY, RECENCY_PENALTY, bucket_of, chunk_text, sign_of, tokens
+from tidemark.plans.storage import freed, stored
 
 WEIGHTS = (0.7, 0.3)
 
@@ -89,3 +90,98 @@ def search(rows: DataFrame, query: str, where: Column, now: Column, k: int = 5,
     hybrid = WEIGHTS[0] * F.col("vec_score") + WEIGHTS[1] * F.col("lex_score")
     out = scored.withColumn("final_score", hybrid - penalty * F.col("age"))
     return out.select(F.col("id").alias(id_col), "customer_id", *[F.round(c, 6).alias(c) for c in ("vec_score", "lex_score", "final_score")]).orderBy(F.desc("final_score"), id_col).limit(k)
+
+
+class Lists:
+    """Rows as inverted lists: their vectors by dimension, their words, and what they are filtered and aged by. Written, for any number of searches."""
+
+    def __init__(self, rows: DataFrame, now: Column, text_col: str = "text", id_col: str = "chunk_id", penalty: float = RECENCY_PENALTY) -> None:
+        told = rows.select(F.col(id_col).alias("id"), "customer_id", (penalty * F.greatest((now - F.col("t")) / DAY, F.lit(0.0))).alias("cost"))
+        self.rows = stored(told, "search-rows")
+        dims = sparse_embedding(rows, id_col, text_col).select("id", F.col("dim").cast("string").alias("key"), "weight")
+        words = rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(_words(F.col(text_col)))).alias("key"))
+        both = dims.select("id", F.lit(True).alias("vector"), "key", "weight").union(words.select("id", F.lit(False), "key", F.lit(1.0)))
+        self.postings = stored(both.join(self.rows.select("id", "customer_id"), "id"), "search-postings")
+        ends = self.postings.groupBy("vector", "key").agg(F.max("weight").alias("high"), F.min("weight").alias("low"))
+        self.ends = stored(ends, "search-ends")
+
+    def free(self) -> None:
+        freed(self.rows, self.postings, self.ends)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _asked(queries: DataFrame, query_col: str) -> DataFrame:
+    """``q, scope, vector, key, share``: what a posting of the key adds to the query's score, times its weight."""
+    said = queries.select(F.col(query_col).alias("q"), F.col("customer_id").alias("scope"), "text")
+    dims = sparse_embedding(said, "q", "text").select(F.col("id").alias("q"), F.lit(True).alias("vector"), F.col("dim").cast("string").alias("key"), (WEIGHTS[0] * F.col("weight")).alias("share"))
+    terms = said.select("q", F.array_distinct(_words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    terms = terms.select("q", F.lit(False), F.explode("w"), WEIGHTS[1] / F.size("w"))
+    return said.select("q", "scope").join(dims.union(terms), "q")
+
+
+def _in_scope() -> Column:
+    return F.col("customer_id").isNull() | F.coalesce(F.col("customer_id") == F.col("scope"), F.lit(False))
+
+
+def _scored(pairs: DataFrame, lists: Lists, asked: DataFrame) -> DataFrame:
+    """``q, id, customer_id, vec_score, lex_score, final_score`` of ``pairs(q, id)``."""
+    met = pairs.join(lists.postings.drop("customer_id"), "id").join(asked.drop("scope"), ["q", "vector", "key"])
+    part = lambda v, w: F.coalesce(F.sum(F.when(F.col("vector") == v, F.col("share") * F.col("weight"))), F.lit(0.0)) / w
+    sums = met.groupBy("q", "id").agg(part(True, WEIGHTS[0]).alias("vec"), part(False, WEIGHTS[1]).alias("lex"))
+    out = pairs.join(sums, ["q", "id"], "left").join(lists.rows, "id")
+    out = out.select("q", "id", "customer_id", "cost", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vec", "lex")])
+    final = WEIGHTS[0] * F.col("vec") + WEIGHTS[1] * F.col("lex") - F.col("cost")
+    return out.select("q", "id", "customer_id", *[F.round(c, 6).alias(n) for c, n in (("vec", "vec_score"), ("lex", "lex_score"), (final, "final_score"))])
+
+
+#: Lists of a query, those of greatest bound, whose best rows give its first threshold.
+SEEDED = 8
+
+
+def within_reach(lists: Lists, queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``q, id`` of the rows in scope that may be among a query's ``k`` best.
+
+    A list adds at most its query's share times its greatest (or, for a negative
+    share, least) weight. The best rows of a query's strongest lists are scored
+    first; their ``k``-th score is a threshold that the true one cannot be
+    below. Lists are then taken from the weakest up as long as all their bounds
+    together stay below it: a row in these alone is never scored. A query whose
+    threshold is not above 0, which a row in no list could reach, meets all rows
+    in its scope.
+    """
+    bound = F.greatest(F.col("share") * F.col("high"), F.col("share") * F.col("low"), F.lit(0.0))
+    units = asked.join(lists.ends, ["vector", "key"]).select("q", "scope", "vector", "key", "share", bound.alias("bound"))
+    units = stored(units.withColumn("strong", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "vector", "key")) <= SEEDED), "search-units")
+    side = F.when(F.col("share") >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    strong = units.where("strong").select("q", "scope", "vector", "key", side.alias("side"))
+    sided = lists.postings.join(strong.select("vector", "key", "side").distinct(), ["vector", "key"])
+    best = Window.partitionBy("vector", "key", "side", "customer_id").orderBy(F.desc(F.col("weight") * F.col("side")), "id")
+    champions = sided.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("vector", "key", "side", "customer_id", "id")
+    seeds = strong.join(champions, ["vector", "key", "side"]).where(_in_scope()).select("q", "id").distinct()
+    nth = Window.partitionBy("q").orderBy(F.desc("final_score"))
+    least = _scored(seeds, lists, asked).withColumn("r", F.row_number().over(nth)).where(F.col("r") == k).select("q", (F.col("final_score") - 2e-6).alias("least"))  # scores are rounded
+    least = stored(least, "search-least")
+    up = Window.partitionBy("q").orderBy("bound", "vector", "key")
+    open_units = units.withColumn("upto", F.sum("bound").over(up)).join(least, "q", "left").where("least > 0 and upto >= least")
+    some = open_units.select("q", "scope", "vector", "key").join(lists.postings, ["vector", "key"]).where(_in_scope()).select("q", "id")
+    rest = queries.join(least.where("least > 0"), "q", "left_anti")
+    shared = F.lit("\0shared")  # a customer's rows and shared ones meet by equality
+    wide = rest.select("q", F.explode(F.array_distinct(F.array_compact(F.array("scope", shared)))).alias("of"))
+    every = wide.join(lists.rows.select("id", F.coalesce("customer_id", shared).alias("of")), "of").select("q", "id")
+    return some.union(every).distinct()
+
+
+def search_many(lists: Lists, queries: DataFrame, k: int = 5, query_col: str = "query_id") -> DataFrame:
+    """``q, rank, id, customer_id, vec_score, lex_score, final_score``: for every row of ``queries(query_col, customer_id, text)`` what ``search`` gives, in one plan.
+
+    A query sees shared rows and its customer's (null: shared ones alone); its id
+    must be its own. Ties go to the smaller id.
+    """
+    asked = stored(_asked(queries, query_col), "search-asked")
+    told = stored(queries.select(F.col(query_col).alias("q"), F.col("customer_id").alias("scope")), "search-queries")
+    found = _scored(stored(within_reach(lists, told, asked, k), "search-reach"), lists, asked)
+    order = Window.partitionBy("q").orderBy(F.desc("final_score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "id", "customer_id", "vec_score", "lex_score", "final_score")

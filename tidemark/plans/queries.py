@@ -709,6 +709,27 @@ def l1(spark, d):
     return retrieval.search(rows, _Q, retrieval.scope("CUST_1"), F.lit(200 * DAY), k=10)
 
 
+MANY = f"""cs AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 5 > 0 THEN 'CUST_' || (conv_id % 5) END AS customer_id, text, conv_id * {DAY} AS t FROM conversations),
+  qs AS (SELECT item_id AS q, CASE WHEN item_id % 5 > 0 THEN 'CUST_' || (item_id % 5) END AS scope, text FROM benchmark),
+  tx AS (SELECT id, text, true AS own FROM cs UNION ALL SELECT q, text, false FROM qs), tk AS (SELECT id, own, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM tx),
+  tt AS (SELECT *, list_concat(w[1:512], [w[i] || '_' || w[i + 1] for i in range(1, least(len(w), 512))]) ts FROM tk), h AS (SELECT id, own, md5(tok) m FROM (SELECT id, own, unnest(ts) tok FROM tt)),
+  dd AS (SELECT id, own, CAST('0x' || m[1:2] AS INT) dim, CAST(sum(CASE WHEN CAST('0x' || m[9:10] AS INT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) x FROM h GROUP BY ALL),
+  nn AS (SELECT id, own, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id, own)) AS x FROM dd WHERE x <> 0), dt AS (SELECT b.id AS q, a.id, sum(a.x * b.x) s FROM nn a JOIN nn b ON a.own AND NOT b.own AND a.dim = b.dim GROUP BY ALL),
+  fin AS (SELECT q, id, cs.customer_id, coalesce(s, 0) AS vec, CASE WHEN len(b.w) > 0 THEN len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / CAST(len(list_distinct(b.w)) AS DOUBLE) ELSE 0 END AS lex, greatest((200 * {DAY} - t) / {float(DAY)}, 0) AS age
+    FROM qs JOIN cs ON cs.customer_id IS NULL OR cs.customer_id = scope JOIN tk a USING (id) JOIN tk b ON b.id = q AND NOT b.own LEFT JOIN dt USING (q, id) WHERE a.own),
+  sc AS (SELECT q, id, customer_id, round(vec, 6) AS vec_score, round(lex, 6) AS lex_score, round(0.7 * vec + 0.3 * lex - 0.01 * age, 6) AS final_score FROM fin)"""
+
+
+@query("l1_search_many", f"WITH {MANY} SELECT q, row_number() OVER (PARTITION BY q ORDER BY final_score DESC, id) AS rank, id, customer_id, vec_score, lex_score, final_score FROM sc QUALIFY rank <= 10")
+def l1_many(spark, d):
+    """The ten best chunks for every benchmark item, each in its own scope, in one plan."""
+    scoped = lambda c: F.when(c % 5 > 0, F.concat(F.lit("CUST_"), (c % 5).cast("string"))).alias("customer_id")
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), scoped(F.col("conv_id")), "text", (F.col("conv_id") * DAY).alias("t"))
+    asks = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", scoped(F.col("item_id")), "text")
+    return retrieval.search_many(retrieval.Lists(rows, F.lit(200 * DAY)), asks, 10, "item_id")
+
+
 # --- rules -----------------------------------------------------------------------------------------------
 
 PRIOR = f"""pri AS (SELECT e.*, {', '.join(f"(SELECT count(*) FROM env r WHERE r.customer_id = e.customer_id AND r.rn BETWEEN e.rn - 50 AND e.rn - 1 AND r.source_system = '{s}' AND r.event_type = '{k}' AND abs(r.t - e.t) <= {n * DAY}) AS {a}" for s, k, n, a in (('card_payments', 'decline', 1, 'declines_24h'), ('core_banking_ledger', 'withdrawal', 7, 'withdrawals_7d'), ('web_app_events', 'login', 7, 'logins_7d'), ('web_app_events', 'search_query', 7, 'searches_7d'), ('support_logs', 'ticket_created', 30, 'tickets_30d')))} FROM env e)"""
