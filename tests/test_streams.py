@@ -126,18 +126,24 @@ def test_a_silent_source_lets_the_minimum_go(spark, tmp_path):
 
 
 @pytest.mark.parametrize("cuts", [(300,), (1, 2, 150, 300)])
-def test_lateness_live_equals_batch(spark, tmp_path, cuts, monkeypatch):
-    """Split anywhere, and once stopped between a batch's rows and its marks."""
+def test_late_rows_live(spark, tmp_path, cuts, monkeypatch):
+    """Outcomes of any split are the batch's; features are those of the batch so far; a stopped batch is run again."""
     from tidemark.streaming import live
 
     rng = random.Random(len(cuts))
-    rows = [(f"s{rng.randrange(3)}", f"E{i}", i * MINUTE - rng.choice([0, 0, 0, 2, 40]) * MINUTE, i) for i in range(300)]
-    schema, at = "source_system string, event_id string, t long, arrival_seq long", f"file://{tmp_path}"
+    kinds = [("card_payments", "purchase"), ("web_app_events", "login"), ("core_banking_ledger", "withdrawal")]
+    rows = [(f"E{i}", f"C{rng.randrange(3)}", *rng.choice(kinds), float(i), i * 200 * MINUTE - rng.choice([0, 0, 0, 2, 900]) * MINUTE, i) for i in range(300)]
+    at = f"file://{tmp_path}"
+    tables = live.LateTables(spark, f"{at}/t", lateness=60 * MINUTE, slack=MINUTE)
+    rows = [(*r[:5], r[5], r[6]) for r in rows]
+    # every fourth event comes right after the one before it, a little behind
+    rows = [(*r[:5], rows[k - 1][5] - 5 * MINUTE if k % 4 == 3 else r[5], r[6]) for k, r in enumerate(rows)]
+    rows = [(r[0], r[1], "card_payments" if k % 2 else r[2], "purchase" if k % 2 else r[3], *r[4:]) for k, r in enumerate(rows)]
     for low, high in zip((0, *cuts), cuts):
-        spark.createDataFrame(rows[low:high], schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        spark.createDataFrame(rows[low:high], live.EVENT).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(live.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     if len(cuts) > 1:
-        calls = []
+        whole, calls = live.late_recompute, []
 
         def stop(*a, **k):
             calls.append(1)
@@ -145,11 +151,19 @@ def test_lateness_live_equals_batch(spark, tmp_path, cuts, monkeypatch):
                 raise RuntimeError("killed")
             return whole(*a, **k)
 
-        whole = live.classify
-        monkeypatch.setattr(live, "classify", stop)
+        monkeypatch.setattr(live, "late_recompute", stop)
         with pytest.raises(Exception, match="killed"):
-            live.classify_to_table(stream, f"{at}/t").awaitTermination()
-    live.classify_to_table(stream, f"{at}/t").awaitTermination()
-    want = batch.classify(spark.createDataFrame(rows, schema)).select("source_system", "event_id", "outcome").collect()
-    got = live.classified(spark, f"{at}/t").collect()
-    assert sorted(got) == sorted(want) and {r["outcome"] for r in got} == {"emitted", "late_recomputed", "too_late_dropped"}
+            tables.start(stream).awaitTermination()
+    tables.start(stream).awaitTermination()
+    every = batch.classify(spark.createDataFrame(rows, live.EVENT), 60 * MINUTE, MINUTE).cache()
+    want = every.select("event_id", "outcome").collect()
+    assert sorted(tables.outcomes().select("event_id", "outcome").collect()) == sorted(want) and {r["outcome"] for r in want} == {"emitted", "late_recomputed", "too_late_dropped"}
+    expect = []
+    for low, high in zip((0, *cuts), cuts):
+        so_far = batch.late_recompute(every.where(F.col("arrival_seq") < high))
+        new = every.where(f"arrival_seq >= {low}").select(F.col("event_id").alias("late_id"))
+        expect += so_far.join(new, "late_id", "left_semi").collect()
+    got = tables.features().drop("seq").select(*batch.late_recompute(every).columns).collect()
+    order = lambda rs: sorted((tuple(r.asDict()[c] for c in sorted(r.asDict())) for r in rs), key=str)
+    assert len(got) > 10 and order(got) == order(expect)
+    assert tables.writeback().count() > 0

@@ -242,10 +242,30 @@ def stream_dedup(spark, d):
 @query("stream_lateness", f"WITH {ENV}, {CLASSED} SELECT event_id, source_system, outcome FROM cls")
 def stream_lateness(spark, d):
     """The batch's outcomes from three micro-batches, each from the marks of the one before."""
-    e = _in_order(spark, _env(spark, d).select("source_system", "event_id", "t", "arrival_seq"), "arrival_seq", "lateness")
-    at = storage.fresh(spark, "lateness")
-    live.classify_to_table(e, at).awaitTermination()
-    return live.classified(spark, at).select("event_id", "source_system", "outcome")
+    return _late(spark, d).outcomes().select("event_id", "source_system", "outcome")
+
+
+def _late(spark, d):
+    tables = live.LateTables(spark, storage.fresh(spark, "late"))
+    tables.start(_in_order(spark, _env(spark, d).select(*[c.split()[0] for c in live.EVENT.split(", ")]), "arrival_seq", "late")).awaitTermination()
+    return tables
+
+
+SLICED = f"""acc AS (SELECT *, CASE WHEN arrival_seq <= lo + (hi - lo) // 3 THEN 0 WHEN arrival_seq <= lo + (hi - lo) * 2 // 3 THEN 1 ELSE 2 END AS sl FROM cls, (SELECT min(arrival_seq) AS lo, max(arrival_seq) AS hi FROM env) WHERE outcome <> 'too_late_dropped'),
+  h AS (SELECT sl, max(max(t)) OVER (ORDER BY sl) AS hz FROM acc GROUP BY 1), m AS (SELECT l.event_id AS late_id, l.arrival_seq AS seq, hz, a.* FROM acc l JOIN h ON h.sl = l.sl JOIN acc a ON a.customer_id = l.customer_id AND a.arrival_seq <= l.arrival_seq WHERE l.outcome = 'late_recomputed'),
+  f AS (SELECT customer_id, late_id, seq, {', '.join(_spec_sql(s, 'hz') for s in features.SPECS)} FROM m GROUP BY 1, 2, 3)"""
+
+
+@query("stream_late_recompute", f"WITH {ENV}, {CLASSED}, {SLICED} SELECT * EXCLUDE (seq) FROM f")
+def stream_late(spark, d):
+    """Late rows recomputed in three micro-batches, each as of the latest event that it knows."""
+    return _late(spark, d).features().drop("seq")
+
+
+@query("stream_writeback", f"WITH {ENV}, {CLASSED}, {SLICED}, w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1) SELECT customer_id, seq, 'historical_baseline.' || name AS field_path, CAST(value AS DOUBLE) AS value FROM w UNPIVOT (value FOR name IN ({', '.join(s.name for s in features.SPECS)}))")
+def stream_writeback(spark, d):
+    """What these write to the state."""
+    return _late(spark, d).writeback()
 
 
 def _as_stream(spark, d):
@@ -264,7 +284,8 @@ def _in_order(spark, df, order, name, slices=3):
     """A stream over ``df`` in slices by ``order``, one a micro-batch."""
     where = f"{storage.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df = storage.stored(df, name)
-    cuts = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)])).first()[0] or []
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    cuts = [] if low is None else [low + (high - low) * k // slices for k in range(1, slices)]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df.where(F.lit(True) if low is None else F.col(order) > low).where(F.lit(True) if high is None else F.col(order) <= high)
         part.coalesce(1).write.mode("append").parquet(where)

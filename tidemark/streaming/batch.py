@@ -47,14 +47,15 @@ def classify(events: DataFrame, lateness: int = LATENESS, slack: int = OUT_OF_OR
     return rows.withColumn("outcome", outcome).drop("__run", "__carried")
 
 
-def late_recompute(classified: DataFrame, specs=SPECS) -> DataFrame:
-    """Features of each late row's customer over what had been accepted by then, as of the batch's latest accepted event.
+def late_recompute(classified: DataFrame, specs=SPECS, horizon: Column | None = None) -> DataFrame:
+    """Features of each late row's customer over what had been accepted by then, as of the batch's latest accepted event or a given ``horizon``.
 
     The moment is one for all, so a row's part in a feature does not depend on
     the late row that asks: running sums in order of arrival answer all of them.
     """
     taken = classified.where("outcome <> 'too_late_dropped'")
-    rows = taken.crossJoin(F.broadcast(taken.agg(F.max("t").alias("horizon"))))  # one row
+    # one row
+    rows = taken.crossJoin(F.broadcast(taken.agg(F.max("t").alias("horizon")))) if horizon is None else taken.withColumn("horizon", horizon)
     upto = Window.partitionBy("customer_id").orderBy("arrival_seq")
 
     def running(s) -> Column:
