@@ -820,3 +820,17 @@ def test_dirty_labels_are_bounded(spark, small):
     dirty = spark.range(3000).select((F.col("id") + 10**6).alias("doc_id"), F.lit("noise of a label").alias("text"), F.concat(F.lit("x"), F.col("id")).alias("lang"))
     model = language_id.fit_text_model(small.select("doc_id", "text", "lang").union(dirty), most_languages=6)
     assert len(model.languages) == 6 and {"de", "en", "es", "fr"} <= set(model.languages)
+
+
+# --- very long texts
+
+
+def test_long_texts_have_a_language_and_a_share(spark, small):
+    model = language_id.fit_text_model(small)
+    text = small.where("lang = 'fr' and length(text) > 500").first()["text"]
+    long = spark.createDataFrame([(1, text * (5_000_000 // len(text)), None, None), (2, text, None, None), (3, "x" * 3_000_000, None, None)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in language_id.identify_documents(long, model).collect()}
+    assert got[1]["lang"] == got[2]["lang"] == "fr" and len(got) == 3
+    words = spark.createDataFrame([(1, "w " * 1_000_000, "s")] + [(k, "a b c", "s") for k in range(2, 200)], "doc_id long, text string, source string")
+    rows = {r["doc_id"]: r for r in mixing.mix(words).collect()}
+    assert rows[1]["size"] == 1_000_000 and all(r["taken"] <= 2 * r["size"] for r in rows.values()) and len(rows) == 199

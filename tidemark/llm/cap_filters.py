@@ -268,6 +268,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         if classes.where("two").isEmpty():  # else two vectors have one key: new keys
             break
         released(classes)
+    else:
+        raise RuntimeError("different vectors shared a key eight times")
     classes = classes.drop("two")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     caps = Caps(words=max(8, math.ceil(math.sqrt(n * mean / target))), mean=mean, least=least)

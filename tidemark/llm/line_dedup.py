@@ -105,7 +105,9 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids (rows without one come last and are parted by their text), then of
     lines; an occurrence that overlaps the first in its own text stays. Lines
     without words do not count and go with the lines around them. Null texts
-    stay null; all columns are kept, one named as the added one is replaced.
+    stay null; repeated rows lose or keep the same lines, as one text of one id;
+    an empty table gives an empty result; all columns are kept, one named as the
+    added one is replaced.
     """
     names = [c for c in docs.columns if c != "run_lines"]
     body = docs.select(F.struct(F.lit(0).alias("\0"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))

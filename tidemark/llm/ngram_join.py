@@ -489,6 +489,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if signs.where("two").isEmpty():  # else two sets have one key: new keys
             break
         released(first, signs)
+    else:
+        raise RuntimeError("sets of different shingles shared a key eight times")
     sums = first.where("kind = 1").select("part", "body").repartition(SKETCH_PARTS * 4, "part", F.spark_partition_id() % 4).mapInArrow(_add, "part int, body binary")
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in sums.collect():  # at most four rows a part, of fixed size
