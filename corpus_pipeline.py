@@ -35,7 +35,12 @@ def _without(docs: DataFrame, key: str, gone: DataFrame, name: str) -> DataFrame
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents have; those that no evidence puts there go."""
+    """Documents in a language that the labelled documents have; those that no evidence puts there go.
+
+    A null or short text is told by its declared language and source, and goes
+    without them. Rows that share id and text are told alike; a null id is an
+    id. An empty table stays empty.
+    """
     model = fit_text_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     key = _unused(docs, "row_key")
     keyed = docs.withColumn(key, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit("")))))
@@ -44,7 +49,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long runs and the chunks of lines that an earlier document has; a document that loses all of them goes."""
+    """Texts without the long runs and the chunks of lines that an earlier document has; a document that loses all of them goes.
+
+    Null and blank texts that lose nothing stay. Repeated rows are treated alike
+    by the runs, as one owner by the chunks. An empty table stays empty.
+    """
     light = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
     done = dedup_lines(written(drop_repeated_runs(light), "pipeline-runs"))
     gone = (F.col("removed_chunks") + F.col("run_lines") > 0) & (F.length(F.trim("text")) == 0)
@@ -90,7 +99,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes."""
+    """Token counts and digests of the ids and of the decoded bytes: a row for each row, a null text as the empty one, nothing for nothing."""
     # written here, so that the batches which go to Python stay as small as ``written`` has them
     return written(encode_decode(docs), "pipeline-ids")
 
