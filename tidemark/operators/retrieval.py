@@ -134,7 +134,7 @@ def _scored(pairs: DataFrame, lists: Lists, asked: DataFrame) -> DataFrame:
     out = pairs.join(sums, ["q", "id"], "left").join(lists.rows, "id")
     out = out.select("q", "id", "customer_id", "cost", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vec", "lex")])
     final = WEIGHTS[0] * F.col("vec") + WEIGHTS[1] * F.col("lex") - F.col("cost")
-    return out.select("q", "id", "customer_id", *[F.round(c, 6).alias(n) for c, n in (("vec", "vec_score"), ("lex", "lex_score"), (final, "final_score"))])
+    return out.select("q", "id", "customer_id", *[(F.round(c, 6) + 0.0).alias(n) for c, n in (("vec", "vec_score"), ("lex", "lex_score"), (final, "final_score"))])  # no negative zero
 
 
 #: Lists of a query, those of greatest bound, whose best rows give its first threshold.

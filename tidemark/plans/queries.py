@@ -738,7 +738,7 @@ MANY = f"""cs AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 5 > 0
   nn AS (SELECT id, own, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id, own)) AS x FROM dd WHERE x <> 0), dt AS (SELECT b.id AS q, a.id, sum(a.x * b.x) s FROM nn a JOIN nn b ON a.own AND NOT b.own AND a.dim = b.dim GROUP BY ALL),
   fin AS (SELECT q, id, cs.customer_id, coalesce(s, 0) AS vec, CASE WHEN len(b.w) > 0 THEN len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / CAST(len(list_distinct(b.w)) AS DOUBLE) ELSE 0 END AS lex, greatest((200 * {DAY} - t) / {float(DAY)}, 0) AS age
     FROM qs JOIN cs ON cs.customer_id IS NULL OR cs.customer_id = scope JOIN tk a USING (id) JOIN tk b ON b.id = q AND NOT b.own LEFT JOIN dt USING (q, id) WHERE a.own),
-  sc AS (SELECT q, id, customer_id, round(vec, 6) AS vec_score, round(lex, 6) AS lex_score, round(0.7 * vec + 0.3 * lex - 0.01 * age, 6) AS final_score FROM fin)"""
+  sc AS (SELECT q, id, customer_id, round(vec, 6) + 0.0 AS vec_score, round(lex, 6) + 0.0 AS lex_score, round(0.7 * vec + 0.3 * lex - 0.01 * age, 6) + 0.0 AS final_score FROM fin)"""
 
 
 @query("l1_search_many", f"WITH {MANY} SELECT q, row_number() OVER (PARTITION BY q ORDER BY final_score DESC, id) AS rank, id, customer_id, vec_score, lex_score, final_score FROM sc QUALIFY rank <= 10")
