@@ -175,6 +175,27 @@ def test_matching_takes_the_nearest_unused(spark):
     assert got == {0: 1, 1: 0, 2: None} or got == {0: 0, 1: 1, 2: None}
 
 
+def test_matching_of_many_and_of_large_scenarios(spark):
+    """Against a scan of all unused ones, without a call of Python a scenario and without a scan of a large one a row."""
+    rng = random.Random(3)
+    side = lambda: [(f"s{k}" if k else None, i, rng.randrange(6) if k % 2 else rng.randrange(900)) for k in range(40) for i in range(rng.randrange(8))]
+    a, b = side(), side()
+    a += [("large", i, rng.randrange(10**6)) for i in range(20_000)]
+    b += [("large", i, rng.randrange(10**6)) for i in range(20_000)]
+    want = {}
+    for s in {r[0] for r in a} - {"large"}:
+        free = {p: t for x, p, t in b if x == s}
+        for _, p, t in sorted(r for r in a if r[0] == s):
+            want[s, p] = min(free, key=lambda k: (abs(free[k] - t), k), default=None)
+            free.pop(want[s, p], None)
+    schema = "scenario_id string, pos long, t long"
+    matched = evaluation.match_checkpoints(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    assert "FlatMapGroupsInPandas" not in matched._jdf.queryExecution().toString()
+    got = {(r[0], r[1]): r[2] for r in matched.collect()}
+    assert {k: v for k, v in got.items() if k[0] != "large"} == want
+    assert sorted(v for k, v in got.items() if k[0] == "large") == list(range(20_000))
+
+
 def test_replay_is_deterministic(spark):
     e = ev(spark, *[("core_banking_ledger", "deposit", i * HOUR, 1.0) for i in range(20)])
     assert replay.report(replay.impair(e, 0, 0, HOUR)).first().asDict() == {"published": 20, "duplicates": 0, "late": 0}

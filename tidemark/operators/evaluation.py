@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,24 +67,68 @@ def no_action_counts(pairs: DataFrame) -> DataFrame:
     return n.select("tp", "fp", "fn", *precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    inferred = rows[rows["side"] == "inferred"].sort_values("pos")
-    expected = rows[rows["side"] == "expected"].sort_values("pos")
-    used: set[int] = set()
-    out = []
-    for pos, t in zip(inferred["pos"], inferred["t"], strict=True):
-        free = [(abs(t - et), k, int(ep)) for k, (ep, et) in enumerate(zip(expected["pos"], expected["t"], strict=True)) if int(ep) not in used]
-        match = min(free)[2] if free else None
-        used |= {match} if match is not None else set()
-        out.append((rows["scenario_id"].iloc[0], int(pos), match))
-    return pd.DataFrame(out, columns=["scenario_id", "inferred_pos", "expected_pos"]).astype({"expected_pos": "Int64"})
+def _nearest(expected: list[tuple]) -> Callable:
+    """Takes the position of the nearest unused one of ``expected(t, pos)`` to a time, ties to the smaller position; None when all are used.
+
+    Times stand in order, each with its positions; links lead past used ones, so
+    each taking costs about the logarithm of their number.
+    """
+    times, places = [], []
+    for t, pos in sorted(expected, reverse=True):
+        if not times or times[-1] != t:
+            times.append(t)
+            places.append([])
+        places[-1].append(pos)  # the smallest last
+    times, places = times[::-1], places[::-1]
+    after, before = list(range(len(times) + 1)), list(range(len(times) + 1))  # the next unused time from here on; one more than the last unused one below
+
+    def live(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    def take(t):
+        i = bisect_left(times, t)
+        near = [(abs(t - times[k]), places[k][-1], k) for k in (live(before, i) - 1, live(after, i)) if 0 <= k < len(times)]
+        if not near:
+            return None
+        _, pos, k = min(near)
+        places[k].pop()
+        if not places[k]:
+            after[k], before[k + 1] = k + 1, k
+        return pos
+
+    return take
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of rows that come by scenario, expected ones first; nothing is held but the expected ones of the scenario at hand."""
+    whose, expected, take, begun = None, [], None, False
+    for batch in batches:
+        out = []
+        for scenario, inferred, pos, t in zip(*(batch.column(c).to_pylist() for c in ("scenario_id", "inferred", "pos", "t")), strict=True):
+            if not begun or scenario != whose:
+                whose, expected, take, begun = scenario, [], None, True
+            if inferred:
+                take = take or _nearest(expected)
+                out.append((scenario, pos, None if t is None else take(t)))
+            elif t is not None:
+                expected.append((t, pos))
+        cols = zip(*out, strict=True) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["scenario_id", "inferred_pos", "expected_pos"])
 
 
 def match_checkpoints(inferred: DataFrame, expected: DataFrame) -> DataFrame:
-    """Each inferred checkpoint in order takes the nearest unused expected one of its scenario (a handful of rows each)."""
-    side = lambda df, name: df.select("scenario_id", F.lit(name).alias("side"), "pos", "t")
-    both = side(inferred, "inferred").union(side(expected, "expected"))
-    return both.groupBy("scenario_id").applyInPandas(_nearest, "scenario_id string, inferred_pos long, expected_pos long")
+    """Each inferred checkpoint in order takes the nearest unused expected one of its scenario, ties to the first.
+
+    Rows are sorted by scenario and pass as a stream, so a scenario costs its
+    rows and no call of its own. A checkpoint without a time matches none.
+    """
+    side = lambda df, mine: df.select("scenario_id", F.lit(mine).alias("inferred"), F.col("pos").cast("long").alias("pos"), "t")
+    both = side(inferred, True).union(side(expected, False))
+    rows = both.repartition("scenario_id").sortWithinPartitions("scenario_id", "inferred", "pos", "t")
+    return rows.mapInArrow(_matched, "scenario_id string, inferred_pos long, expected_pos long")
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:
