@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import rules
+from tidemark.sources import events as E
 from tidemark.streaming import batch, stateful
 
 MINUTE = 60_000_000
@@ -167,3 +168,13 @@ def test_late_rows_live(spark, tmp_path, cuts, monkeypatch):
     order = lambda rs: sorted((tuple(r.asDict()[c] for c in sorted(r.asDict())) for r in rs), key=str)
     assert len(got) > 10 and order(got) == order(expect)
     assert tables.writeback().count() > 0
+
+
+def test_the_memory_sink_leaves_rows_to_the_tasks(spark, tmp_path):
+    spark.range(1000).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in")
+    for _ in range(2):  # a name may be drained into again
+        got = E.memory_sink(stream.where("id % 2 = 0"), "drained")
+        assert sorted(r["id"] for r in got.collect()) == list(range(0, 1000, 2)) and spark.table("drained").count() == 500
+        assert "MemoryPlan" not in got._jdf.queryExecution().toString() and got.inputFiles()
+    assert E.memory_sink(stream.where("id < 0"), "drained").count() == 0

@@ -636,7 +636,7 @@ def b8_edges(spark, d):
 
 @query("s8_memory_sink", f"WITH {ENV}, {DUP} SELECT customer_id, count(*) AS n FROM arr GROUP BY 1")
 def s8(spark, d):
-    """Arrivals drained into a table of the session's memory."""
+    """Arrivals drained into a table that the session knows by name."""
     name = f"arrivals_{uuid.uuid4().hex}"
     return E.memory_sink(_as_stream(spark, d), name).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
 

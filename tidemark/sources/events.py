@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.storage import fresh
+
 # Which event types a source may send.
 EVENT_TYPES = {
     "card_payments": ("purchase", "refund", "decline"),
@@ -179,13 +181,20 @@ def in_order(events: DataFrame) -> DataFrame:
 
 
 def memory_sink(events: DataFrame, name: str) -> DataFrame:
-    """A stream drained into a table of this session's memory (for tests), or a batch registered under the name."""
+    """A stream drained into a table that this session knows by name, or a batch registered under it.
+
+    The rows stand in the shared folder and are written by the tasks that have
+    them: Spark's own memory sink gathers every row in the driver.
+    """
     if not events.isStreaming:
         events.createOrReplaceTempView(name)
         return events.sparkSession.table(name)
-    query = events.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    spark = events.sparkSession
+    at = fresh(spark, "sink")
+    query = events.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").queryName(name).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return events.sparkSession.table(name)
+    spark.read.schema(events.schema).parquet(f"{at}/out").createOrReplaceTempView(name)
+    return spark.table(name)
 
 
 def paced(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
