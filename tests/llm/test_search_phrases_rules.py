@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,22 @@ def test_a_full_sketch_loses_nothing():
     assert (estimate >= true).all() and (estimate > true).mean() < 0.01
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 8])
+def test_a_task_adds_up_its_blocks(monkeypatch, bound):
+    monkeypatch.setattr(collocations, "HELD_ROWS", bound)
+    raws = [b"a b a b\nc", b"a b d", b"a b c"]
+    small = [pa.compress(x, codec="zstd", asbytes=True) for x in raws]
+    known = [len(np.unique(collocations.Phrases("en", x, len(r), 2).hashes)) for x, r in zip(small, raws)]
+    answers = [[{"segment": 0, "bits": np.packbits(np.ones(n, np.uint8)).tobytes()}] for n in known]
+    batch = pa.table({"lang": ["en"] * 3, "text": pa.array(small, pa.binary()), "n_bytes": [len(x) for x in raws], "answers": answers}).to_batches()[0]
+    rows = [tuple(r.values()) for b in collocations._count(0, 2)(iter([batch])) for r in b.to_pylist()]
+    total = collections.Counter()
+    for lang, words, phrase, f in rows:
+        total[lang, words, phrase] += f
+    assert total == {("en", 1, "a"): 4, ("en", 1, "b"): 4, ("en", 1, "c"): 2, ("en", 1, "d"): 1, ("en", 2, "a b"): 4, ("en", 2, "b a"): 1, ("en", 2, "b d"): 1, ("en", 2, "b c"): 1}
+    assert bound < 10 or len(rows) == len(total)  # one row a phrase, where one row a phrase and block went out
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 1 << 21)
     text = (b"some words here, " * 400_000) + b"x " * 10

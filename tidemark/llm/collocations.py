@@ -7,7 +7,8 @@ the hash space. Segments merge on their own: each adds its blocks' counts into t
 rows of counters, and a phrase's estimate is the smaller of its two. An estimate is
 never below the count, so every phrase as frequent as asked for survives. A segment
 answers each block with one bit a cell. The second pass reads the blocks again and
-emits only surviving phrases, which a grouped sum counts exactly. The number of
+emits only surviving phrases, which a task adds up over its blocks, within a bound, and a
+grouped sum counts exactly. The number of
 segments follows the number of words, so a segment's counters are as full at every
 size, and no task holds more than a block or a segment.
 """
@@ -38,6 +39,8 @@ BLOCK_BYTES, SLICE_BYTES = 1 << 22, 1 << 20
 OPEN_BYTES = 1 << 24
 #: Phrase occurrences to a segment, bits of a cell within it, and of a row of counters.
 SEGMENT_PHRASES, CELL_BITS, ROW_BITS = 1 << 22, 25, 23
+#: Counted phrases that a task adds up before it emits them.
+HELD_ROWS = 1 << 20
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes(10 if c in _SEPARATORS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -200,7 +203,17 @@ def _merge(least: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["lang", "words", "phrase", "f"]
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        """What is held, a row a phrase; texts are compared, not hashes."""
+        one = pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")])
+        held[:] = [one.select([*names[:3], "f_sum"]).rename_columns(names)]
+        return held[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.clear()
         for batch in batches:
             for lang, text, n_bytes, answers in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "n_bytes", "answers")), strict=True):
                 p = Phrases(lang, text, n_bytes, longest, places=True)
@@ -217,13 +230,14 @@ def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 first = np.empty(len(known), np.int64)
                 first[at[::-1]] = here[::-1]
                 begin, end, words = p.begin[first], p.end[first], p.words[first]
-                for k in range(0, len(first), 1 << 16):
-                    here = slice(k, k + (1 << 16))
-                    found = [p.text[a:b] for a, b in zip(begin[here].tolist(), end[here].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(found)), pa.array(words[here].astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts[here])],
-                        ["lang", "words", "phrase", "f"],
-                    )
+                found = [p.text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                held.append(pa.table([pa.array([lang] * len(found)), pa.array(words.astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts)], names))
+                del p, found
+                if sum(t.num_rows for t in held) >= HELD_ROWS and summed().num_rows >= HELD_ROWS // 2:
+                    yield from held.pop().to_batches(1 << 16)
+        if held:
+            yield from summed().to_batches(1 << 16)
+            held.clear()
 
     return lean(run)
 
