@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,15 @@ def test_rings_with_repeats(spark, tmp_path):
     assert {r["arrival_seq"]: [x["event_id"] for x in r["ring"]] for r in got.collect()} == want
 
 
+def test_rings_are_built_a_part_of_a_batch_at_a_time():
+    n = 5000
+    cols = {"customer_id": ["A"] * n, "__key": ["A"] * n, "__event_id": [f"E{i}" for i in range(n)], "__source_system": ["s"] * n, "__event_type": ["k"] * n, "__t": list(range(n))}
+    out = list(batch._rings(50)(iter(pa.table(cols).to_batches())))
+    assert max(b.num_rows for b in out) <= batch.RING_ROWS and sum(b.num_rows for b in out) == n
+    rings = [[x["event_id"] for x in r] for b in out for r in b.column("ring").to_pylist()]
+    assert rings == [[f"E{i}" for i in range(max(0, k - 50), k)] for k in range(n)]
+
+
 def test_rings_of_nothing(spark):
     assert batch.rings(spark.createDataFrame([], RINGS)).count() == 0
 

@@ -14,6 +14,8 @@ from tidemark.operators.features import SPECS, in_window
 
 LATENESS, OUT_OF_ORDER, IDLE = 900_000_000, 30_000_000, 5_000_000  # microseconds
 RING = 50
+#: Rows whose rings a task builds at once: a ring is fifty references, and a batch may hold ten thousand rows.
+RING_ROWS = 1024
 #: Arrival numbers in a run of ``classify``.
 RUN = 1 << 18
 REFRESH, COOLDOWN = 15 * 60_000_000, 30 * 60_000_000
@@ -115,7 +117,7 @@ def _rings(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, whose = None, None
-        for batch in batches:
+        for batch in (b.slice(k, RING_ROWS) for b in batches for k in range(0, b.num_rows, RING_ROWS)):
             names = batch.schema.names
             refs = pa.StructArray.from_arrays([batch.column(f"__{c}") for c in RING_REF], list(RING_REF))
             customers = batch.column("__key").to_pylist()
