@@ -707,6 +707,14 @@ def test_bpe_of_new_letters_and_long_pieces(spark):
     assert got == {i: hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() for i, ids in enumerate(map(lib.encode_ordinary, texts))}
 
 
+def test_words_of_many_blocks_get_the_first_ones_ids(spark):
+    ranks = bpe.read_ranks(bpe.default_ranks())
+    words = [(b, n, w) for b in range(3) for n, w in enumerate([" the", "zzqx", "é", " the" * (b + 1)]) if b or n]
+    got = bpe.encode_words(spark.createDataFrame(words, "block long, no int, word string"), bpe.default_ranks()).collect()
+    want = {(b, n): b"".join(i.to_bytes(3, "big") for i in ([ranks[w.encode()]] if w.encode() in ranks else bpe.heap_merges(w.encode(), ranks))) for b, n, w in words}
+    assert {(r["block"], r["no"]): bytes(r["ids"]) for r in got} == want and len(got) == len(words)
+
+
 def test_bpe_odd(odd):
     assert bpe.encode_decode(with_null_id(odd)).count() == odd.count()
     assert bpe.encode_decode(odd.limit(0)).count() == 0

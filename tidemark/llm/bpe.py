@@ -268,19 +268,16 @@ def _assemble(path: str):
                 code_len[long_no] = np.asarray(pc.list_value_length(long_ids))
                 code_at[long_no] = np.cumsum(code_len[long_no]) - code_len[long_no]
                 codes = np.asarray(long_ids.flatten()).astype(np.int64)
-                book = batch.column("book")[i].values
+                no, book = (batch.column(c)[i].values for c in ("book_no", "book_ids"))
                 if n_words - len(long_no) != (0 if book is None else len(book)):
                     raise ValueError("a block came without its code book: the input gave its rows in another order when it was read again")
                 if book is not None and len(book):
                     offsets = np.frombuffer(book.buffers()[1], np.int32)[book.offset : book.offset + len(book) + 1].astype(np.int64)
                     raw = np.frombuffer(book.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                    head = (offsets[:-1] - offsets[0])[:, None] + np.arange(4)
-                    no = raw[head].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-                    rest = np.ones(len(raw), bool)
-                    rest[head.ravel()] = False
-                    code_len[no] = (np.diff(offsets) - 4) // 3
+                    no = np.asarray(no)
+                    code_len[no] = np.diff(offsets) // 3
                     code_at[no] = np.cumsum(code_len[no]) - code_len[no] + len(codes)
-                    codes = np.concatenate([codes, raw[rest].reshape(-1, 3).astype(np.int64) @ np.array([1 << 16, 1 << 8, 1])])
+                    codes = np.concatenate([codes, raw.reshape(-1, 3).astype(np.int64) @ np.array([1 << 16, 1 << 8, 1])])
                 doc_ends = np.cumsum(lens)
                 n_tokens, id_hash, text_hash = [], [], []
                 for doc, end in enumerate(doc_ends):
@@ -299,18 +296,13 @@ def _assemble(path: str):
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``block, code`` of ``words(block, no, word)``: the rows of a word meet, the first is folded and the others take its ids.
-
-    A code is the number in four bytes and each id in three.
-    """
-    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
+    """``block, no, ids`` of ``words(block, no, word)``: the rows of a word meet, the first is folded and the others take its ids, three bytes each."""
     alike = Window.partitionBy("word")
     first = F.row_number().over(alike.orderBy("block", "no")) == 1
     ids = fold_merges(F.col("word").cast("binary"), rank_map(path))
-    folded = F.when(F.col("first"), F.array_join(F.transform(ids, lambda i: wide(i, 6)), ""))
+    folded = F.when(F.col("first"), F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 6, "0")), "")))
     coded = words.withColumn("first", first).withColumn("ids", folded)
-    same = F.first("ids", ignorenulls=True).over(alike)
-    return coded.select("block", F.unhex(F.concat(wide(F.col("no"), 8), same)).alias("code"))
+    return coded.select("block", "no", F.first("ids", ignorenulls=True).over(alike).alias("ids"))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -328,7 +320,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = docs.select(F.col(id_col).alias("id"), pieces)
     words = split.mapInArrow(lean(_blocks(path, False)), "block long, words array<string>")
     words = words.select("block", F.posexplode("words").alias("no", "word")).where("word is not null")
-    book = encode_words(words, path).groupBy("block").agg(F.collect_list("code").alias("book"))
+    book = encode_words(words, path).groupBy("block").agg(F.collect_list("no").alias("book_no"), F.collect_list("ids").alias("book_ids"))  # neither is ever null, so they stand side by side
     whole = split.mapInArrow(lean(_blocks(path, True)), f"block long, ids array<{id_type}>, lens binary, n_pieces long, at binary, n_words int, long_no array<int>, long_ids array<array<int>>")
     out = whole.join(book, "block", "left").mapInArrow(lean(_assemble(path)), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     give_back()  # what the driver took to build the rank map
