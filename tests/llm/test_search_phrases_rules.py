@@ -177,6 +177,29 @@ def test_a_task_adds_up_its_blocks(monkeypatch, bound):
     assert bound < 10 or len(rows) == len(total)  # one row a phrase, where one row a phrase and block went out
 
 
+def test_counts_go_out_by_segment(texts):
+    """Rows follow tasks and segments, not phrases; segments add up to the counts of all tasks."""
+    bits, rows, total = 3, [], collections.Counter()
+    for part, lang in ((texts[:90], "en"), (texts[90:], "en"), (texts[:60], "und")):
+        raw = b"\n".join(x for t in part if (x := collocations.pieces_of((t or "").encode())))
+        small = pa.compress(raw, codec="zstd", asbytes=True)
+        known = np.unique(collocations.Phrases(lang, small, len(raw), 4).hashes)
+        sizes = np.bincount(collocations.segment_of(known, bits), minlength=1 << bits)
+        answers = [[{"segment": k, "bits": np.packbits(np.ones(n, np.uint8)).tobytes()} for k, n in enumerate(sizes.tolist())]]
+        batch = pa.table({"lang": [lang], "text": pa.array([small], pa.binary()), "n_bytes": [len(raw)], "answers": answers}).to_batches()[0]
+        rows += collocations._count(bits, 4, collocations._by_segment)(iter([batch]))
+        for line in raw.split(b"\n"):
+            w = line.decode().split(" ")
+            total.update((lang, m, " ".join(w[i : i + m])) for m in range(1, 5) for i in range(len(w) - m + 1))
+    packed = pa.Table.from_batches(rows)
+    assert packed.num_rows == 3 << bits < len(total) / 10
+    for least in (1, 5):
+        got = []
+        for k in range(1 << bits):
+            got += [tuple(r.values()) for r in collocations._add_up(least)(packed.filter(pa.array(np.asarray(packed.column("segment")) == k))).to_pylist()]
+        assert sorted(got) == sorted((*p, f) for p, f in total.items() if f >= least)
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 1 << 21)
     text = (b"some words here, " * 400_000) + b"x " * 10

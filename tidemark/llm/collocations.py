@@ -7,8 +7,9 @@ the hash space. Segments merge on their own: each adds its blocks' counts into t
 rows of counters, and a phrase's estimate is the smaller of its two. An estimate is
 never below the count, so every phrase as frequent as asked for survives. A segment
 answers each block with one bit a cell. The second pass reads the blocks again and
-emits only surviving phrases, which a task adds up over its blocks, within a bound, and a
-grouped sum counts exactly. The number of
+keeps only surviving phrases, which a task adds up over its blocks, within a bound, and
+sends on by segment and language, packed in one row. A segment's rows are added up by
+text, which counts exactly. The number of
 segments follows the number of words, so a segment's counters are as full at every
 size, and no task holds more than a block or a segment.
 """
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,14 +204,37 @@ def _merge(least: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["lang", "words", "phrase", "f"]
+COUNTED, PACKED = ["lang", "words", "phrase", "f"], ["segment", "lang", "n_bytes", "n", "phrases", "counts"]
+
+
+def _rows(counted: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row a phrase."""
+    yield from counted.select(COUNTED).to_batches(1 << 16)
+
+
+def _by_segment(counted: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row a segment and language: its phrases in order, a line each, and their counts."""
+    one = counted.sort_by([(c, "ascending") for c in ("segment", "lang", "phrase")]).combine_chunks()
+    segment, lang = np.asarray(one.column("segment")), one.column("lang").combine_chunks()
+    code = np.asarray(lang.dictionary_encode().indices)
+    first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (code[1:] != code[:-1])]))
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), one.num_rows], strict=True))
+    phrase, f = one.column("phrase").cast(pa.binary()).to_pylist(), np.asarray(one.column("f")).astype("<i8")
+    texts = [b"\n".join(phrase[a:b]) for a, b in spans]
+    small = [pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in own], pa.binary()) for own in (texts, [f[a:b].tobytes() for a, b in spans])]
+    sizes = [pa.array(x, pa.int64()) for x in ([len(x) for x in texts], [b - a for a, b in spans])]
+    yield pa.RecordBatch.from_arrays([pa.array(segment[first]), lang.take(pa.array(first)), *sizes, *small], PACKED)
+
+
+def _count(bits: int, longest: int, send: Callable[[pa.Table], Iterator[pa.RecordBatch]] = _rows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [*COUNTED, "segment"]
+    keys = [n for n in names if n != "f"]
     held: list[pa.Table] = []
 
     def summed() -> pa.Table:
         """What is held, a row a phrase; texts are compared, not hashes."""
-        one = pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")])
-        held[:] = [one.select([*names[:3], "f_sum"]).rename_columns(names)]
+        one = pa.concat_tables(held).group_by(keys).aggregate([("f", "sum")])
+        held[:] = [one.select([*keys, "f_sum"]).rename_columns([*keys, "f"]).select(names)]
         return held[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +256,33 @@ def _count(bits: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 first[at[::-1]] = here[::-1]
                 begin, end, words = p.begin[first], p.end[first], p.words[first]
                 found = [p.text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                held.append(pa.table([pa.array([lang] * len(found)), pa.array(words.astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts)], names))
+                held.append(pa.table([pa.array([lang] * len(found)), pa.array(words.astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts), pa.array(segment_of(known, bits))], names))
                 del p, found
                 if sum(t.num_rows for t in held) >= HELD_ROWS and summed().num_rows >= HELD_ROWS // 2:
-                    yield from held.pop().to_batches(1 << 16)
+                    yield from send(held.pop())
         if held:
-            yield from summed().to_batches(1 << 16)
+            yield from send(summed())
             held.clear()
 
     return lean(run)
 
 
+def _add_up(least: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """A segment's phrases with ``least`` occurrences or more, added up by language and text."""
+        parts = []
+        for lang, n_bytes, n, phrases, counts in zip(*(table.column(c).to_pylist() for c in PACKED[1:]), strict=True):
+            text = pa.array(pa.decompress(phrases, decompressed_size=n_bytes, codec="zstd", asbytes=True).split(b"\n"), pa.binary())
+            f = np.frombuffer(pa.decompress(counts, decompressed_size=8 * n, codec="zstd", asbytes=True), "<i8")
+            parts.append(pa.table([pa.array([lang] * n), text, pa.array(f)], ["lang", "phrase", "f"]))
+        one = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        one = one.filter(pc.greater_equal(one.column("f_sum"), least))
+        words = pc.add(pc.count_substring(one.column("phrase"), b" "), 1).cast(pa.int32())
+        return pa.table([one.column("lang"), words, one.column("phrase").cast(pa.string()), one.column("f_sum")], COUNTED)
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Every phrase of up to ``longest`` words with ``least`` occurrences in its language or more, and each language's number of words.
 
@@ -256,8 +297,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     answers = sketches.groupBy("segment").applyInArrow(_merge(least), "block long, segment long, bits binary")
     answers = written(answers.groupBy("block").agg(F.collect_list(F.struct("segment", "bits")).alias("answers")), "phrases-answers")
     met = blocks.join(answers, "block").select("lang", "text", "n_bytes", "answers")
-    found = met.mapInArrow(_count(bits, longest), "lang string, words int, phrase string, f long")
-    counts = written(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases-counts")
+    found = met.mapInArrow(_count(bits, longest, _by_segment), "segment long, lang string, n_bytes long, n long, phrases binary, counts binary")
+    counts = written(found.groupBy("segment").applyInArrow(_add_up(least), "lang string, words int, phrase string, f long"), "phrases-counts")
     released(blocks, answers)
     return counts, sizes
 
