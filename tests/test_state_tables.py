@@ -88,3 +88,17 @@ def test_state_at_many_moments(spark):
     one = state.as_of(df, F.lit(100)).select("customer_id", "field_path", "value", "episode_id")
     many = state.as_of_moments(df, spark.createDataFrame([("A", 100), ("B", 100)], "customer_id string, moment long"))
     assert sorted(one.collect(), key=str) == sorted(many.select(*one.columns).collect(), key=str)
+
+
+def test_tasks_follow_the_rows_of_states_at_moments(spark, monkeypatch):
+    """Rows are sorted once, in tasks that their number asks for; a write, path or moment that is missing gives no row."""
+    log = [(i, "A", "pq"[i % 2], str(i), 0.5, "w", 3 * i) for i in range(50)] + [(90, "A", None, "n", 0.5, "w", 5), (91, "A", "p", "n", 0.5, "w", None)]
+    moments = [("A", m) for m in range(-5, 150)] + [("A", None), (None, 7)]
+    df, at = spark.createDataFrame(log, WRITE), spark.createDataFrame(moments, "customer_id string, moment long")
+    monkeypatch.setattr(state, "TASK_ROWS", 10)
+    out = state.as_of_moments(df, at, 40)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 31" in plan  # 155 moments of two paths
+    assert out.rdd.getNumPartitions() == 31
+    got = {tuple(r) for r in out.select("moment", "field_path", "episode_id").collect()}
+    assert got == {(m, p, max(i for i in range(k, 50, 2) if 3 * i <= m)) for m in range(-5, 150) for k, p in enumerate("pq") if m >= 3 * k}

@@ -27,26 +27,39 @@ def as_of(log: DataFrame, moment: Column) -> DataFrame:
     return last.select(*PATH, "w.value", "w.confidence", "w.agent", "w.t", "w.episode_id")
 
 
+#: Writes and moments of paths that a task sorts, on average.
+TASK_ROWS = 1 << 20
+
+
 def as_of_moments(log: DataFrame, moments: DataFrame, run: int = 30 * DAY) -> DataFrame:
     """``customer_id, moment, field_path, value, confidence, agent, t, episode_id``: the state at every moment of ``moments(customer_id, moment)``.
 
     Each path of a customer meets the customer's moments; writes and moments stand
     in one order and a running maximum carries the latest write forward, ties to
     the later one. The order is split into runs of time: what was last written
-    before a run comes from one row a path and run, so a customer with very many
-    writes or moments is not sorted in one task. A path that nothing was written
-    to by a moment gives no row; repeated moments give one.
+    before a run stands at its beginning as one row a path and run, so a customer
+    with very many writes or moments is not sorted in one task. Rows are sorted
+    once, in as many tasks as their number asks for. A path that nothing was
+    written to by a moment gives no row; repeated moments give one.
     """
     write = F.struct("t", "episode_id", "value", "confidence", "agent")
-    probes = moments.select("customer_id", "moment").distinct().join(log.select(*PATH).distinct(), "customer_id")
-    writes = log.select(*PATH, F.col("t").alias("at"), write.alias("w"))
-    rows = writes.unionByName(probes.select(*PATH, F.col("moment").alias("at"), F.lit(None).cast(writes.schema["w"].dataType).alias("w")))
-    rows = rows.withColumn("run", F.floor(F.col("at") / run))
+    run_of = lambda at: F.floor(F.col(at) / run).alias("run")
+    log = log.where("field_path is not null and t is not null")
+    paths, moments = log.select(*PATH).distinct(), moments.where("moment is not null").select("customer_id", "moment").distinct()
+    met = moments.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).join(paths.groupBy("customer_id").agg(F.count(F.lit(1)).alias("m")), "customer_id")
+    total = met.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    writes = log.select(*PATH, run_of("t"), F.col("t").alias("at"), write.alias("w"))
+    nothing = F.lit(None).cast(writes.schema["w"].dataType).alias("w")
+    probes = moments.join(paths, "customer_id").select(*PATH, run_of("moment"), F.col("moment").alias("at"), nothing)
+    asked = moments.select("customer_id", run_of("moment")).distinct().join(paths, "customer_id").select(*PATH, "run", nothing)
+    last = writes.select(*PATH, "run", "w").unionByName(asked).groupBy(*PATH, "run").agg(F.max("w").alias("last"))
     before = Window.partitionBy(*PATH).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(*PATH, "run").agg(F.max("w").alias("last")).select(*PATH, "run", F.max("last").over(before).alias("carried"))
+    carried = last.select(*PATH, "run", F.max("last").over(before).alias("w")).where("w is not null").select(*PATH, "run", F.col("w.t").alias("at"), "w")
     within = Window.partitionBy(*PATH, "run").orderBy("at", F.col("w").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = rows.join(carried, [*PATH, "run"]).withColumn("held", F.coalesce(F.max("w").over(within), "carried"))
-    return held.where("w is null and held is not null").select("customer_id", F.col("at").alias("moment"), "field_path", "held.value", "held.confidence", "held.agent", "held.t", "held.episode_id")
+    rows = writes.unionByName(probes).unionByName(carried).repartition(tasks, *PATH, "run")
+    held = rows.withColumn("held", F.max("w").over(within)).where("w is null and held is not null")
+    return held.select("customer_id", F.col("at").alias("moment"), "field_path", "held.value", "held.confidence", "held.agent", "held.t", "held.episode_id")
 
 
 def decayed(current: DataFrame, now: Column, half_life: float = HALF_LIFE_DAYS, floor: float = DECAY_FLOOR) -> DataFrame:
