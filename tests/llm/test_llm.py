@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import re
 import struct
 import time
@@ -9,6 +10,7 @@ import time
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,24 @@ def test_parities_never_rule_out_a_link():
             assert not ngram_join.linked(a, b, 90) or sum(len(i) for i, _, _ in found) == 1
 
 
+def test_the_driver_gets_one_small_row_a_sketch_part(spark):
+    """Whatever the tasks, and tasks get the sketch in no more bytes than that."""
+    d = spark.createDataFrame([(i, " ".join(f"w{i * j % 997}" for j in range(40))) for i in range(300)], "id long, text string").repartition(6)
+    first = d.mapInArrow(ngram_join._count(3, 0), ngram_join.COUNTED_SQL).cache()
+    want = np.zeros(1 << ngram_join.SKETCH_BITS, np.int64).reshape(ngram_join.SKETCH_PARTS, -1)
+    for r in first.where("kind = 1").collect():
+        want[r["part"]] += np.frombuffer(r["body"], "<i8")
+    rows = ngram_join.sketch_parts(first).collect()
+    assert sorted(r["part"] for r in rows) == list(range(ngram_join.SKETCH_PARTS)) and sum(len(r["body"]) for r in rows) < want.nbytes / 20
+    for r in rows:
+        assert np.array_equal(np.frombuffer(pa.decompress(bytes(r["body"]), decompressed_size=4 * want.shape[1], codec="zstd", asbytes=True), "<i4"), want[r["part"]])
+    order = ngram_join.Order(want.ravel().astype(np.int32), 80)
+    sent = pickle.dumps(order)
+    again = pickle.loads(sent)
+    assert len(sent) < want.nbytes / 20 and np.array_equal(again.sketch, order.sketch) and (again.noise, again.percent) == (order.noise, order.percent)
+    first.unpersist()
+
+
 def test_lists_across_batches(monkeypatch):
     import pyarrow as pa
 

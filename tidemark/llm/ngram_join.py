@@ -111,6 +111,19 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], ["part", "body"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums as ``_add`` does, a part as compressed 32-bit counts."""
+    for batch in _add(batches):
+        bodies = [np.minimum(np.frombuffer(x.as_py(), "<i8"), 2**31 - 1).astype("<i4").tobytes() for x in batch.column("body")]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in bodies], pa.binary())], ["part", "body"])
+
+
+def sketch_parts(first: DataFrame) -> DataFrame:
+    """``part, body``: the tasks' sketches added up, one packed row a part, so that the driver gets no more at any number of tasks."""
+    parts = first.where("kind = 1").select("part", "body").repartition(SKETCH_PARTS * 4, "part", F.spark_partition_id() % 4).mapInArrow(_add, "part int, body binary")
+    return parts.repartition(SKETCH_PARTS, "part").mapInArrow(_pack, "part int, body binary")
+
+
 def prefix_of(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """A set's prefix in the global order and the number of matches it asks for."""
     seen = sketch[_bucket(shingles)]
@@ -137,6 +150,14 @@ class Order:
         self.sketch, self.percent = sketch, percent
         self.noise = float(np.median(sketch)) + 3 * float(np.sqrt(np.median(sketch)))
 
+    def __getstate__(self) -> dict:
+        """Tasks get the sketch compressed."""
+        return self.__dict__ | {"sketch": pa.compress(self.sketch.astype("<i4").tobytes(), codec="zstd", asbytes=True), "size": len(self.sketch)}
+
+    def __setstate__(self, held: dict) -> None:
+        size = held.pop("size")
+        self.__dict__ |= held | {"sketch": np.frombuffer(pa.decompress(held["sketch"], decompressed_size=4 * size, codec="zstd", asbytes=True), "<i4")}
+
     def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
         return prefix_of(shingles, self.sketch, self.noise, self.percent)
 
@@ -491,11 +512,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         released(first, signs)
     else:
         raise RuntimeError("sets of different shingles shared a key eight times")
-    sums = first.where("kind = 1").select("part", "body").repartition(SKETCH_PARTS * 4, "part", F.spark_partition_id() % 4).mapInArrow(_add, "part int, body binary")
-    sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
-    for r in sums.collect():  # at most four rows a part, of fixed size
-        sketch[r["part"]] += np.frombuffer(r["body"], "<i8")
-    order = Order(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32), percent)
+    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+    sketch = np.zeros((SKETCH_PARTS, size), np.int32)
+    for r in sketch_parts(first).collect():  # one row a part, of bounded size
+        sketch[r["part"]] = np.frombuffer(pa.decompress(bytes(r["body"]), decompressed_size=4 * size, codec="zstd", asbytes=True), "<i4")
+    order = Order(sketch.ravel(), percent)
     del sketch
 
     posted = rows.mapInArrow(lean(_post(width, salt, order)), "tok long, ck long, ask int")
