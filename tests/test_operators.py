@@ -4,11 +4,13 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation, features, identity, replay, retrieval, rules, state
+from tidemark.plans import storage
 from tidemark.sources import events as E
 from tidemark.streaming import batch
 
@@ -363,6 +365,60 @@ def test_components_by_increments(spark):
     assert sorted(again.collect()) == sorted(labels.collect())
 
 
+def _written(monkeypatch):
+    """The names of the tables that ``stored`` writes from now on."""
+    names, real = [], storage.stored
+    for module in (storage, identity):
+        monkeypatch.setattr(module, "stored", lambda df, name: names.append(name) or real(df, name))
+    return names
+
+
+def test_a_small_batch_of_edges_takes_two_tables(spark, monkeypatch):
+    names = _written(monkeypatch)
+    labels = spark.createDataFrame([(n, n - n % 3) for n in range(90)], "node long, component long")
+    edges = spark.createDataFrame([(n, n + 3) for n in range(0, 57, 3)] + [(61, 200), (200, 89), (7, 7)], "a long, b long")
+    got = identity.update_components(labels, edges)
+    want = {n: 0 if n < 60 else n - n % 3 for n in range(90)} | {87: 60, 88: 60, 89: 60, 200: 60}
+    assert sorted(got.collect()) == sorted(want.items()) and names == ["edges", "labels"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_whose_edges_lie_in_many_tasks(spark, monkeypatch, seed):
+    names, rng = _written(monkeypatch), random.Random(seed)
+    order = list(range(300))
+    rng.shuffle(order)
+    edges = list(zip(order, order[1:100])) + [(order[100], x) for x in order[100:200]] + [(x, rng.choice(order[200:])) for x in order[200:]]
+    up = {n: n for n in order}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in edges[k : k + 50]]) for k in range(0, 300, 50)]
+    monkeypatch.setattr(storage, "AT_ONCE", 120)
+    stars = [(x["a"], x["b"]) for batch_ in storage._contract(batches) for x in batch_.to_pylist()]
+    assert {x for s in stars for x in s} == touched and all(a < b and root(a) == root(b) for a, b in stars)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = storage.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8))
+        assert sorted(got.collect()) == sorted((n, root(n)) for n in touched)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "moves" in names
+
+
+def test_equal_names_are_as_similar_as_can_be(spark):
+    names = ["", "a", "aabab", "person aa family1", "öö ö"]
+    assert all(S._jaro_winkler(n, n) == 1.0 for n in names)
+    rows = spark.createDataFrame([(n, n) for n in names] + [("ab", "ba"), (None, None)], "a string, b string").select(S.jaro_winkler("a", "b").alias("s")).collect()
+    assert [r["s"] for r in rows] == [1.0] * 5 + [S._jaro_winkler("ab", "ba"), None]
+
+
 def test_a_bad_line_is_named(spark, tmp_path):
     good = '{"event_id":"E%d","event_time":"2026-05-01T00:00:00+00:00","ingestion_time":"2026-05-01T00:00:00+00:00","customer_id":"C","source_system":"web_app_events","event_type":"login","payload":{}}'
     lines = [good % i for i in range(4000)]

@@ -143,7 +143,7 @@ def _jaro_winkler(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity, null if a side is null."""
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else 1.0 if x == y else _jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def chunk_text(text: Column, most: int = 600) -> Column:

@@ -182,13 +182,15 @@ def update_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
     The new edges are contracted to edges between labels; a node that is new is
     its own. Only components that an edge joins change, and the least node
-    names a component, as in a run over all edges.
+    names a component, as in a run over all edges. The result is stored.
     """
     named = labels.select("node", "component")
-    ends = edges.select("a").union(edges.select("b")).toDF("node").distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    ends = stored(ends, "touched")
-    of = lambda c: ends.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
-    small = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-    moved = connected_components(small).toDF("component", "now")
-    every = named.union(ends.join(named, "node", "left_anti"))
-    return every.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    ends = edges.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    found = ends.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    small = found.groupBy("a", "b").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    moved = connected_components(small.select(F.col("least").alias("a"), F.col("most").alias("b")))
+    every = named.join(ends.select("node").distinct(), "node", "full_outer").withColumn("component", F.coalesce("component", "node"))
+    every = every.join(moved.toDF("component", "now"), "component", "left")
+    done = stored(every.select("node", F.coalesce("now", "component").alias("component")), "labels")
+    freed(moved)
+    return done

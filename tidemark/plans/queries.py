@@ -445,9 +445,12 @@ def b9_incremental(spark, d):
     """Components by ten batches of matches, each from the labels before it."""
     r, m = _matches(spark, d)
     edges = storage.stored(m.where("matched").select("a", "b"), "matches")
-    labels = spark.createDataFrame([], "node long, component long")
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     for k in range(10):
-        labels = storage.stored(identity.update_components(labels, edges.where(F.pmod(F.xxhash64("a", "b"), F.lit(10)) == k)), "labels")
+        old, labels = labels, identity.update_components(labels, edges.where(F.pmod(F.xxhash64("a", "b"), F.lit(10)) == k))
+        if k:
+            storage.freed(old)
+    storage.freed(edges)
     out = r.select(F.col("record_id").cast("long").alias("record_id")).join(labels.toDF("record_id", "component"), "record_id", "left")
     return out.select("record_id", F.coalesce("component", "record_id").alias("canonical_id"))
 
