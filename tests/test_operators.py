@@ -382,6 +382,11 @@ def test_a_small_batch_of_edges_takes_two_tables(spark, monkeypatch):
     assert sorted(got.collect()) == sorted(want.items()) and names == ["edges", "labels"]
 
 
+def test_components_of_short_numbers(spark):
+    got = storage.connected_components(spark.createDataFrame([(3, 2), (2, 9)], "a int, b int"))
+    assert sorted(got.collect()) == [(2, 2), (3, 2), (9, 2)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_whose_edges_lie_in_many_tasks(spark, monkeypatch, seed):
     names, rng = _written(monkeypatch), random.Random(seed)

@@ -87,7 +87,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Tasks contract the edges that they write to stars. Once these are stars all together, they are
     the components: a small graph, whose edges adaptive execution leaves to one task, needs no round.
     """
-    ordered = lambda e, a, b: e.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct().mapInArrow(_contract, "a long, b long")
+    ordered = lambda e, a, b: e.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a < b").distinct().mapInArrow(_contract, "a long, b long")
     live, label = stored(ordered(edges, "a", "b"), "edges"), None
     for _ in range(max_rounds):
         near = live.select(F.col("b").alias("node"), F.col("a").alias("component")).union(live.select("a", "a"))
