@@ -1,5 +1,6 @@
 """The training-data operators against brute force, the libraries they stand for, and odd inputs."""
 
+import base64
 import collections
 import hashlib
 import pickle
@@ -735,6 +736,44 @@ def test_words_of_many_blocks_get_the_first_ones_ids(spark):
     assert {(r["block"], r["no"]): bytes(r["ids"]) for r in got} == want and len(got) == len(words)
 
 
+def odd_ranks(tmp_path):
+    """A rank file as no training gives it: id 0 joins others, tokens come before their parts, some are not reached by merges."""
+    rng = np.random.default_rng(9)
+    pieces = [bytes([b]) for b in range(256)] + [x.encode() for x in ("ab", "bc", "abc", "bcd", "abcd", "dab", "xyz", " a", " ab", "aa", "aaa", "aaaa", "é", "日", "日本", "ÿ\x00", "zq zq"[:2])]
+    order = [pieces.index(b"a"), *(int(i) for i in rng.permutation(len(pieces)) if pieces[i] != b"a")]
+    path = tmp_path / "odd.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(pieces[i]).decode()} {k}\n" for k, i in enumerate(order)))
+    return str(path)
+
+
+@pytest.mark.parametrize("tokens", [None, 256])
+def test_a_look_tells_whether_two_ids_join(tmp_path, tokens):
+    path = odd_ranks(tmp_path)
+    if tokens:  # single bytes alone
+        lines = [f"{base64.b64encode(bytes([b])).decode()} {b}" for b in range(tokens)]
+        path = str(tmp_path / "bytes.tiktoken")
+        (tmp_path / "bytes.tiktoken").write_text("\n".join(lines))
+    ranks, table = bpe.read_ranks(path), bpe.pair_table(path)
+    text = {k: p for p, k in ranks.items()}
+    assert table["edge"] == len(ranks) + 256 and table["bytes"] == [ranks[bytes([b])] for b in range(256)]
+    for a in range(table["edge"] + 1):
+        for b in range(table["edge"] + 1):
+            left = table["cells"][table["starts"][a] + b] ^ a << bpe.ID_BITS
+            want = ranks.get(text[a] + text[b]) if a in text and b in text else None
+            assert left == want if want is not None else left >= 1 << bpe.ID_BITS
+
+
+def test_bpe_of_an_odd_vocabulary_equals_the_library(spark, tmp_path):
+    import tiktoken
+
+    path = odd_ranks(tmp_path)
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("aaabbcdxyzq é日本ÿ\x00!"), 40)) for _ in range(200)] + ["a", "xyz", "aaaaaaa", "abcdab abcd", "ÿ\x00" * 12, "".join(map(chr, range(0x180)))]
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_decode(docs_of(spark, texts), path=path).collect()}
+    assert got == {i: hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() for i, ids in enumerate(map(lib.encode_ordinary, texts))}
+
+
 def test_bpe_odd(odd):
     assert bpe.encode_decode(with_null_id(odd)).count() == odd.count()
     assert bpe.encode_decode(odd.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding splits each text by the vocabulary's pattern, folds the ranked merges
-over the byte arrays of the corpus's distinct pieces with higher-order
-functions and a literal rank map, and puts the ids back in place; decoding
+over the ids of the corpus's distinct pieces with higher-order functions and a
+literal table of the pairs that join, and puts the ids back in place; decoding
 concatenates the binary pieces of the ids.
 
 Pieces go to where they are needed by block: a block is a run of documents that
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import give_back, lean, text_of
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 10
 #: Longer pieces (runs of punctuation or letters) are merged with a heap, as folding them would be quadratic.
 FOLD_BYTES = 48
+#: Bits of a token's id, and of a byte's place in a piece that is folded, in the numbers that a fold holds.
+ID_BITS, PLACE_BITS = 18, 6
 BLOCK_PIECES = 1 << 23
 
 
@@ -63,8 +65,9 @@ def _patterns_of(spark: SparkSession) -> tuple[str, str | None]:
     return _patterns[java]
 
 
-#: The vocabulary's pattern with ``\s`` spelled as the property it means in the library.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+#: The vocabulary's pattern with ``\s`` spelled as the property it means in the library; words come before the endings
+#: with an apostrophe, as the two never begin alike and most pieces are words.
+PATTERN = r" ?[\p{L}]+| ?[\p{N}]+|'(?:[stmd]|re|ve|ll)| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
 
 def split_pattern(spark: SparkSession) -> str:
@@ -107,58 +110,122 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _buckets(path: str) -> str:
-    """The rank file as JSON: small buckets by checksum, each with its pieces and their ranks."""
-    table: list[list[tuple[bytes, int]]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in read_ranks(path).items():
-        table[zlib.crc32(piece) % BUCKETS].append((piece, rank))
-    cell = lambda own: json.dumps({"k": [base64.b64encode(p).decode() for p, _ in own], "r": [r for _, r in own]}, separators=(",", ":"))
-    return "[" + ",".join(map(cell, table)) + "]"
+def _buckets(path: str) -> list[dict[str, list]]:
+    """The tokens that merging would not give as one, in small buckets by checksum, each with its pieces (base64) and their ranks."""
+    ranks = read_ranks(path)
+    known = {bytes([b]): -1 for b in range(256)} | ranks
+    table: list[dict[str, list]] = [{"k": [], "r": []} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        if heap_merges(piece, known) == [rank]:
+            continue
+        own = table[zlib.crc32(piece) % BUCKETS]
+        own["k"].append(base64.b64encode(piece).decode())
+        own["r"].append(rank)
+    return table
+
+
+@lru_cache(maxsize=4)
+def pair_table(path: str) -> dict[str, list[int] | int]:
+    """Which pairs of ids join to a token, in one look: ``cells[starts[a] + b]`` is ``a << ID_BITS | rank of the joined piece``.
+
+    The rows of all first ids lie in each other's gaps, so a cell of another id
+    says that a and b do not join. ``bytes`` has the id of each byte; one that is
+    no token has an id behind all ranks. The id behind those, ``edge``, joins with none.
+    """
+    import numpy as np
+
+    ranks = read_ranks(path)
+    behind = max(ranks.values()) + 1
+    edge = behind + 256
+    if (edge + 1) >> ID_BITS:
+        raise ValueError(f"ranks must stay below {(1 << ID_BITS) - 257}")
+    id_of = {bytes([b]): behind + b for b in range(256)} | ranks
+    cuts = ((piece[:k], piece[k:], rank) for piece, rank in ranks.items() for k in range(1, len(piece)))
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for a, b, rank in cuts:
+        if a in id_of and b in id_of:
+            rows.setdefault(id_of[a], []).append((id_of[b], rank))
+    starts, at, few = np.zeros(edge + 1, np.int64), 0, False
+    more = lambda: (np.zeros(256 + 2 * edge, bool), np.full(256 + 2 * edge, (edge + 1) << ID_BITS))
+    taken, cells = more()
+    for a in sorted(rows, key=lambda a: -len(rows[a])):  # the widest first, from where the one before fitted
+        b, rank = np.array(rows[a]).T
+        if not few and len(b) <= 8:
+            at, few = 0, True
+        while True:
+            if at + 256 + edge > len(taken):
+                taken, cells = (np.concatenate(x) for x in zip((taken, cells), more()))
+            fits = np.flatnonzero(~taken[np.arange(at, at + 256)[:, None] + b].any(1))
+            if len(fits):
+                break
+            at += 256
+        at += fits[0]
+        starts[a] = at
+        taken[at + b] = True
+        cells[at + b] = a << ID_BITS | rank
+    cells = cells[: starts.max() + edge + 1]
+    # where id 0 does not look, an empty cell may be 0, which is one object in Java
+    cells[(cells == (edge + 1) << ID_BITS) & (np.abs(2 * (np.arange(len(cells)) - starts[0]) - edge) > edge)] = 0
+    return {"cells": cells.tolist(), "starts": starts.tolist(), "bytes": [id_of[bytes([b])] for b in range(256)], "edge": edge}
 
 
 def rank_map(path: str) -> Column:
-    """The ranks of a file as one literal."""
-    return F.from_json(F.lit(_buckets(path)), "array<struct<k:array<binary>,r:array<int>>>")
+    """The ranks of a file as one literal: by pairs of ids, and by pieces where pairs do not lead to them."""
+    ranks = json.dumps({"pieces": _buckets(path)} | pair_table(path), separators=(",", ":"))
+    return F.from_json(F.lit(ranks), "pieces array<struct<k:array<binary>,r:array<int>>>, cells array<long>, starts array<long>, bytes array<long>, edge long")
 
 
 def rank_of(ranks: Column, piece: Column) -> Column:
-    """Rank of a binary piece, null if it is no token."""
-    bucket = F.get(ranks, (F.crc32(piece) % BUCKETS).cast("int"))
+    """Rank of a binary piece that is a token and would not be merged to it, else null."""
+    bucket = F.get(ranks["pieces"], (F.crc32(piece) % BUCKETS).cast("int"))
     return F.get(F.transform(F.array(bucket), lambda b: F.get(b["r"], (F.array_position(b["k"], piece) - 1).cast("int"))), 0)
 
 
-def fold_merges(piece: Column, ranks: Column) -> Column:
+def fold_merges(piece: Column, path: str) -> Column:
     """Ids of one binary piece: while an adjacent pair is a token, the pair of least rank merges, the first of equals."""
     # The literal is bound to a lambda variable, so the plan holds it once.
-    return F.get(F.transform(F.array(ranks), lambda bound: _fold(piece, bound)), 0)
+    return F.get(F.transform(F.array(rank_map(path)), lambda bound: _fold(piece, bound)), 0)
 
 
 def _fold(piece: Column, ranks: Column) -> Column:
-    none = F.lit(2**31 - 1)
-    rank = lambda x: F.coalesce(rank_of(ranks, x), none)
-    n = F.octet_length(piece)
-    # pieces go through transform to be looked up, which binds them, so each is cut or joined once
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(piece, i, F.lit(2))), rank)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(single.alias("p"), pairs.alias("r"))
-
-    def step(acc: Column, _: Column) -> Column:
-        low = F.array_min(acc["r"])
+    """A part is one number: the rank that it and the next part would have as one, then its place, then its id.
 
+    So the least part is the first of the pairs of least rank, and that rank is the id of the two as one. The
+    parts stand between two edges. Ahead of all stands a number with a bit for each place where a part begins,
+    which tells how many parts stand before a place (``array_position`` would throw where it finds).
+    """
+    none = F.lit(1 << ID_BITS)
+    own = (1 << (PLACE_BITS + ID_BITS)) - 1  # place and id
+    rank = lambda x: F.shiftright(x, PLACE_BITS + ID_BITS)
+    id_of = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, ID_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+
+    def part(place_and_id: Column, a: Column, b: Column) -> Column:
+        # what another row's cell leaves is more than any rank
+        joined = ranks["cells"][ranks["starts"][a] + b].bitwiseXOR(F.shiftleft(a, ID_BITS))
+        return F.shiftleft(joined, PLACE_BITS + ID_BITS).bitwiseOR(place_and_id)
+
+    chars = F.split(F.decode(piece, "ISO-8859-1"), "")
+    ids = F.concat(F.array(ranks["edge"]), F.transform(chars, lambda c: F.get(ranks["bytes"], F.ascii(c))), F.array(ranks["edge"]))
+    paired = lambda x: F.transform(x, lambda a, i: part(F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(a), a, F.coalesce(F.get(x, i + 1), ranks["edge"])))
+    start = F.concat(F.array(F.lit(2**63 - 1)), F.get(F.transform(F.array(ids), paired), 0))
+
+    def step(parts: Column, _: Column) -> Column:
         def merged(at: Column) -> Column:
-            joined = F.concat(F.get(acc["p"], at - 1), F.get(acc["p"], at))
-            p = F.concat(F.slice(acc["p"], F.lit(1), at - 1), F.array(joined), F.slice(acc["p"], at + 2, F.size(acc["p"])))
-            left = F.when(at > 1, F.transform(F.array(F.concat(F.get(acc["p"], at - 2), joined)), rank)).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(acc["r"]), F.transform(F.array(F.concat(joined, F.get(acc["p"], at + 1))), rank)).otherwise(F.array().cast("array<int>"))
-            r = F.concat(F.slice(acc["r"], F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(acc["r"], at + 2, F.size(acc["r"]) + 1))
-            return F.struct(p.alias("p"), r.alias("r"))
-
-        at = F.array_position(acc["r"], low).cast("int")
+            before, low, gone, behind = (F.get(parts, at + k) for k in (-1, 0, 1, 2))
+            begins = F.get(parts, 0).bitwiseXOR(bit(gone))
+            left = part(before.bitwiseAND(F.lit(own)), id_of(before), rank(low))
+            both = part(low.bitwiseAND(F.lit(own >> ID_BITS << ID_BITS)).bitwiseOR(rank(low)), rank(low), id_of(behind))
+            joined = F.concat(F.array(begins), F.slice(parts, F.lit(2), at - 2), F.array(left, both), F.slice(parts, at + 3, F.lit(FOLD_BYTES)))
+            return F.when(rank(low) >= none, parts).otherwise(joined)
+
+        at = F.bit_count(F.get(parts, 0).bitwiseAND(bit(F.array_min(parts)) - 1)) + 1
         # transform over the one position binds it, so it is found once
-        return F.when(F.coalesce(low, none) >= none, acc).otherwise(F.get(F.transform(F.array(at), merged), 0))
+        return F.get(F.transform(F.array(at), merged), 0)
 
+    n = F.octet_length(piece)
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(steps, start, step, lambda acc: F.transform(acc["p"], lambda x: rank_of(ranks, x)))
+    folded = F.aggregate(steps, start, step, lambda parts: F.transform(F.slice(parts, F.lit(3), F.size(parts) - 3), lambda x: id_of(x).cast("int")))
     return F.coalesce(F.transform(F.array(rank_of(ranks, piece)), lambda x: F.when(x.isNotNull(), F.array(x)))[0], folded)
 
 
@@ -299,7 +366,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     """``block, no, ids`` of ``words(block, no, word)``: the rows of a word meet, the first is folded and the others take its ids, three bytes each."""
     alike = Window.partitionBy("word")
     first = F.row_number().over(alike.orderBy("block", "no")) == 1
-    ids = fold_merges(F.col("word").cast("binary"), rank_map(path))
+    ids = fold_merges(F.col("word").cast("binary"), path)
     folded = F.when(F.col("first"), F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 6, "0")), "")))
     coded = words.withColumn("first", first).withColumn("ids", folded)
     return coded.select("block", "no", F.first("ids", ignorenulls=True).over(alike).alias("ids"))
